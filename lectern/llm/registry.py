@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing
+from . import bpe, langid, linededup, media, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op5_language_id": langid.op5_language_id,
+        "op7_line_dedup": linededup.op7_line_dedup,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op9_media_columns": media.op9_media_columns,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": linededup.SQL,
+        "op8_quality_rules": quality.SQL,
+    }
