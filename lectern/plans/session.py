@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,10 +20,11 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped or str(ROOT.parent) in os.environ.get("PYTHONPATH", "").split(":"):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder) / f"{ROOT.name}.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(ROOT.rglob("*.py")):
-                z.write(p, p.relative_to(ROOT.parent))
-        spark.sparkContext.addPyFile(str(path))
+    folder = tempfile.mkdtemp(prefix="lectern-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # not before: executors fetch it when their first task comes
+    path = Path(folder) / f"{ROOT.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(ROOT.rglob("*.py")):
+            z.write(p, p.relative_to(ROOT.parent))
+    spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
