@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, media, packing, quality
+from . import bpe, langid, linededup, media, neardup, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
         "op5_language_id": langid.op5_language_id,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
