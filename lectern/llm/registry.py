@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, media, neardup, packing, quality
+from . import bpe, langid, linededup, lm, media, neardup, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": bpe.op1_byte_bpe,
         "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
         "op5_language_id": langid.op5_language_id,
+        "op6_lm_scoring": lm.op6_lm_scoring,
         "op7_line_dedup": linededup.op7_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_media_columns": media.op9_media_columns,
