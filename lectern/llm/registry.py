@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, lm, media, neardup, packing, quality
+from . import bpe, langid, licences, linededup, lm, media, neardup, packing, quality, tokencounts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_license_scan": licences.op2_license_scan,
+        "op3_token_counts": tokencounts.op3_token_counts,
         "op4_minhash_near_dedup": neardup.op4_minhash_near_dedup,
         "op5_language_id": langid.op5_language_id,
         "op6_lm_scoring": lm.op6_lm_scoring,
@@ -24,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_license_scan": licences.SQL,
         "op7_line_dedup": linededup.SQL,
         "op8_quality_rules": quality.SQL,
     }
