@@ -23,18 +23,6 @@ def band(value: Column, bands: list[tuple[float, float]]) -> Column:
     return out
 
 
-def as_of(left: DataFrame, key: Column, right: DataFrame, right_key: Column, value: str, slots: Column | None = None) -> DataFrame:
-    """left with the value of the greatest right key that is not above its own.
-
-    Both sides go through one sort, not through a join of ranges. Keys that partition exactly (slots, as of range_slots) keep tasks apart.
-    """
-    l_ = left.withColumn("__k", key).withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
-    r_ = right.select(right_key.alias("__k"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    both = l_.unionByName(r_, allowMissingColumns=True)
-    w = W.orderBy("__k", "__side") if slots is None else W.partitionBy(slots).orderBy("__k", "__side")
-    return both.withColumn("__v", F.last("__v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("__side = 1").withColumnRenamed("__v", value).drop("__k", "__side")
-
-
 def shard_of(terms: DataFrame, term: str, firsts: list[str]) -> DataFrame:
     """Each term's shard: the last whose first term is not above it, -1 before the first. The list of shards is short and sorted, and stays an array."""
     bounds = F.array(*[F.lit(x) for x in sorted(firsts)])

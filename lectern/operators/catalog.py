@@ -26,11 +26,11 @@ def preview(rows: DataFrame, by: str, order: list[Column], size: int) -> DataFra
 
 def statements_rollup(works: DataFrame, statement: str, group: str, example: str, shown: int = 25, examples: int = 3) -> DataFrame:
     """Works for each statement, the set of groups, the first examples; the statements beyond the most frequent `shown` as one row."""
-    top = works.withColumn("k", F.row_number().over(W.partitionBy(statement).orderBy(example))).groupBy(statement).agg(
-        F.count("*").alias("works"),
-        F.array_join(F.array_sort(F.collect_set(group)), ",").alias("groups"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= examples, F.col(example)))), ",").alias("examples"),
-    )
+    # top-k is cut before the shuffle, so that a statement with a third of all works stays a few rows a task
+    first = works.select(statement, example).withColumn("k", F.row_number().over(W.partitionBy(statement).orderBy(example))).filter(F.col("k") <= examples)
+    shown_ = first.groupBy(statement).agg(F.array_join(F.array_sort(F.collect_list(example)), ",").alias("examples"))
+    counted = works.groupBy(statement).agg(F.count("*").alias("works"), F.array_join(F.array_sort(F.collect_set(group)), ",").alias("groups"))
+    top = counted.join(shown_, statement)
     # one row for each statement is left; ranks are dealt over these
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("works"), statement)))
     head = ranked.filter(F.col("rank") <= shown)
@@ -45,10 +45,20 @@ def neighbours(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 
 def editions(works: DataFrame, key: Column) -> DataFrame:
-    """Pairs of works of one key, without those that are borrowed from another."""
-    w = works.withColumn("k", key)
-    other = w.select(F.col("id").alias("other"), F.col("k").alias("k2"), F.col("borrowed_from").alias("b2")).filter(F.col("b2").isNull())
-    return w.join(other, (F.col("k") == F.col("k2")) & (F.col("id") != F.col("other"))).select("id", "other")
+    """(id, edition_of, others): works that share their key with others, the least id of these and how many others there are. Works that are borrowed from
+    another count as nobody's edition but have editions. One row a work, however many share a key."""
+    w = works.select("id", key.alias("k"), "borrowed_from")
+    own = F.col("borrowed_from").isNull()
+    sizes = w.groupBy("k").agg(F.count_if(own).alias("n"), F.min(F.when(own, F.col("id"))).alias("edition_of")).withColumnRenamed("k", "k2")
+    others = F.col("n") - F.when(own, 1).otherwise(0)
+    return w.join(sizes, F.col("k") == F.col("k2")).select("id", "edition_of", others.alias("others")).filter("others > 0")
+
+
+def editions_of(works: DataFrame, work_id, key: Column) -> DataFrame:
+    """The other editions of one work."""
+    w = works.withColumn("__k", key)
+    one = w.filter(F.col("id") == work_id).select(F.col("__k").alias("__one"))
+    return w.join(one, F.col("__k") == F.col("__one"), "left_semi").filter((F.col("id") != work_id) & F.col("borrowed_from").isNull()).drop("__k")
 
 
 def plan_sizes(plans: DataFrame) -> DataFrame:

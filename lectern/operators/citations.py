@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..plans.sizes import broadcast_if_small
 
 #: A quotation is looked for by the hashes of so many tokens in a row.
 WINDOW = 5
@@ -23,14 +24,14 @@ def _windows(df: DataFrame, key: str, text: str, every: int) -> DataFrame:
 def containment(works: DataFrame, targets: DataFrame, work: str = "doc_id", target: str = "item_id", text: str = "text") -> DataFrame:
     """(target, work, n): works whose text holds a target's text whole, with the number of times.
 
-    A target's first inner window that is whole must occur in the work, so works meet targets on that window's hash; the candidates alone are compared
+    A target's first inner window that is whole must occur in the work, so works meet targets on that window's hash (without a shuffle of windows where the targets are few enough to be broadcast); the candidates alone are compared
     by text. Targets of too few tokens for a window are compared with every work.
     """
     words = T.tokens(F.col(text))
     t = targets.select(F.col(target).alias("target"), F.col(text).alias("t"), words.alias("w"))
     # a target's first and last token may be part of a longer word in the work, so the window lies within
     keyed = t.filter(F.size("w") >= WINDOW + 2).select("target", "t", F.xxhash64(*[F.get("w", F.lit(j + 1)) for j in range(WINDOW)]).alias("h"))
-    met = _windows(works.select(F.col(work).alias("work"), text), "work", text, 1).select("work", "h").join(keyed.select("target", "h"), "h").select("work", "target").distinct()
+    met = _windows(works.select(F.col(work).alias("work"), text), "work", text, 1).select("work", "h").join(broadcast_if_small(keyed.select("target", "h"), 24), "h").select("work", "target").distinct()
     texts = works.select(F.col(work).alias("work"), F.col(text).alias("body"))
     pairs = texts.join(met, "work").join(t.select("target", "t"), "target")
     short = t.filter((F.size("w") < WINDOW + 2) & (F.char_length("t") > 0)).select("target", "t")

@@ -19,14 +19,28 @@ def history(rows: DataFrame, user: str, key: str, at: str, tie: str, cap: int =
     return latest(rows, [user, key], at, tie).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
 
 
-def carry_forward(rows: DataFrame, by: str, order: list[str], value: Column, name: str) -> DataFrame:
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
-
-
-def spans(rows: DataFrame, by: str, order: list[str], start: str, name: str = "stop") -> DataFrame:
-    """Each row's end: the next one's start, null for the last."""
-    return rows.withColumn(name, F.lead(start).over(W.partitionBy(by).orderBy(*order)))
+def carry_forward(rows: DataFrame, by: str, order: list[str], value: Column, name: str, block: Column) -> DataFrame:
+    """rows with the last value that isn't null up to each of them.
+
+    In two levels, so that a key with a third of all rows is no task of its own: within blocks (which follow the order, as days do), and from the last
+    values of the blocks before, one row a key and block.
+    """
+    r = rows.withColumn("__b", block).withColumn("__v", value)
+    inner = F.last("__v", ignorenulls=True).over(W.partitionBy(by, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    ends = r.filter(F.col("__v").isNotNull()).groupBy(by, "__b").agg(F.max_by("__v", F.struct(*order)).alias("__end"))
+    blocks = r.select(by, "__b").distinct().join(ends, [by, "__b"], "left")
+    before = F.last("__end", ignorenulls=True).over(W.partitionBy(by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    carried = blocks.select(by, "__b", before.alias("__before"))
+    return r.withColumn("__in", inner).join(carried, [by, "__b"], "left").withColumn(name, F.coalesce("__in", "__before")).drop("__b", "__v", "__in", "__before")
+
+
+def spans(rows: DataFrame, by: str, order: list[str], start: str, block: Column, name: str = "stop") -> DataFrame:
+    """Each row's end: the next one's start, null for the last; in two levels, as carry_forward."""
+    r = rows.withColumn("__b", block)
+    inner = F.lead(start).over(W.partitionBy(by, "__b").orderBy(*order))
+    firsts = r.groupBy(by, "__b").agg(F.min_by(start, F.struct(*order)).alias("__first"))
+    after = firsts.select(by, "__b", F.lead("__first").over(W.partitionBy(by).orderBy("__b")).alias("__next"))
+    return r.withColumn("__in", inner).join(after, [by, "__b"], "left").withColumn(name, F.coalesce("__in", "__next")).drop("__b", "__in", "__next")
 
 
 def merge_keep(current: DataFrame, imported: DataFrame, keys: list[str]) -> DataFrame:

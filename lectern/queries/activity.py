@@ -35,12 +35,12 @@ def bookmarks(spark, d):
 @query("w9_carry_forward", "select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as carried from events")
 def carry_forward(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("v"))
-    return reader.carry_forward(rows, "user_id", ["ts", "event_id"], F.col("v"), "carried").select("event_id", "carried")
+    return reader.carry_forward(rows, "user_id", ["ts", "event_id"], F.col("v"), "carried", F.to_date("ts")).select("event_id", "carried")
 
 
 @query("w13_spans", "select event_id, ts as start, lead(ts) over (partition by user_id order by ts, event_id) as stop from events")
 def spans(spark, d):
-    return reader.spans(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "ts").select("event_id", F.col("ts").alias("start"), "stop")
+    return reader.spans(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "ts", F.to_date("ts")).select("event_id", F.col("ts").alias("start"), "stop")
 
 
 def _halves(spark, d):

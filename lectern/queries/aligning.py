@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..operators import align
+from ..operators import align, reader
 from .registry import query, table
 
 
@@ -65,9 +65,9 @@ def asof_latest(spark, d):
     e = table(spark, d, "events")
     views = e.filter("event_type = 'view'").select("event_id", "user_id", "ts")
     buys = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), "value")
-    both = views.select("event_id", "user_id", "ts", F.lit(1).alias("side"), F.lit(None).cast("double").alias("value")).unionByName(buys.select(F.lit(None).cast("bigint").alias("event_id"), "user_id", F.col("at").alias("ts"), F.lit(0).alias("side"), "value"))
-    w = W.partitionBy("user_id").orderBy("ts", "side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("value", ignorenulls=True).over(w)).filter("side = 1").select("event_id", "value")
+    both = views.select("event_id", "user_id", "ts", F.lit(1).alias("side"), F.lit(None).cast("double").alias("v")).unionByName(buys.select(F.lit(None).cast("bigint").alias("event_id"), "user_id", F.col("at").alias("ts"), F.lit(0).alias("side"), F.col("value").alias("v")))
+    out = reader.carry_forward(both, "user_id", ["ts", "side"], F.col("v"), "value", F.to_date("ts"))
+    return out.filter("side = 1").select("event_id", "value")
 
 
 @query("p21_slice", "select conv_id, turn from conversations where (conv_id = 0 and turn between 1 and 3) or (conv_id = 2 and turn between 0 and 1) or (conv_id = 5)")

@@ -50,7 +50,7 @@ def neighbours(spark, d):
     return catalog.neighbours(table(spark, d, "conversations"), "conv_id", "turn", "role")
 
 
-@query("j3_editions", "select a.doc_id as id, b.doc_id as other from documents a join documents b on lower(a.text) = lower(b.text) and a.doc_id <> b.doc_id")
+@query("j3_editions", "select doc_id as id, min(doc_id) over w as edition_of, count(*) over w - 1 as others from documents window w as (partition by lower(text)) qualify count(*) over w > 1")
 def editions(spark, d):
     works = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"), F.lit(None).cast("string").alias("borrowed_from"))
     # texts meet by digest, which is short, not by themselves
@@ -160,19 +160,10 @@ def part_pages(spark, d):
 g as (select *, cast(sum(case when regexp_matches(t, '^[A-Z]') then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as bigint) as grp from l)
 select doc_id, grp, string_agg(t, ' ' order by i) as line from g group by doc_id, grp""")
 def join_lines(spark, d):
-    """Lines that no capital begins go on the line above, folded within the document's own row."""
-    lines = F.split("text", "\n", -1)
-    empty = F.array().cast("array<struct<grp:bigint,line:string>>")
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-
-    def step(a, t):
-        opens = t.rlike("^[A-Z]")
-        prior = F.coalesce(last(a)["grp"], F.lit(0).cast("bigint"))
-        new = F.struct((prior + F.when(opens, 1).otherwise(0)).cast("bigint").alias("grp"), t.alias("line"))
-        more = F.struct(prior.alias("grp"), F.concat(last(a)["line"], F.lit(" "), t).alias("line"))
-        return F.when(opens | (F.size(a) == 0), F.concat(a, F.array(new))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(more)))
-
-    return table(spark, d, "documents").select("doc_id", F.explode(F.aggregate(lines, empty, step)).alias("x")).select("doc_id", "x.grp", "x.line")
+    """Lines that no capital begins go on the line above: cut before the others alone, in the document's own row."""
+    opens = F.when(F.col("text").rlike("^[A-Z]"), 1).otherwise(0)
+    pieces = table(spark, d, "documents").select("doc_id", opens.alias("opens"), F.posexplode(F.split("text", "\n(?=[A-Z])", -1)).alias("k", "t"))
+    return pieces.select("doc_id", (F.col("k") + F.col("opens")).cast("bigint").alias("grp"), F.replace("t", F.lit("\n"), F.lit(" ")).alias("line"))
 
 
 @query("p14_named_contents", """select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: not starts_with(x, 'The '))) > 0 as named from documents""")

@@ -76,12 +76,6 @@ def test_bands(spark):
     assert [one(spark, align.band(F.lit(p), align.GUTTERS), z=1) for p in (150, 151, 828, 829)] == [0.375, 0.5, 0.875, None]
 
 
-def test_as_of(spark):
-    left = spark.createDataFrame([(5,), (10,), (0,)], ["k"])
-    right = spark.createDataFrame([(1, "a"), (10, "b")], ["at", "v"])
-    assert {r.k: r.v for r in align.as_of(left, F.col("k"), right, F.col("at"), "v").collect()} == {5: "a", 10: "b", 0: None}
-
-
 def test_words_keep_their_case(spark):
     words = modernize.americanisms() | modernize.OLDER
     assert one(spark, modernize.replace_words(F.col("t"), words), t="Thou hast honour; THOU colour'd four hours in the forest.") == "You have honor; YOU color'd four hours in the forest."

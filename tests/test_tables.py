@@ -163,3 +163,16 @@ def test_sessions(spark, small, tmp_path):
     q.awaitTermination(120)
     seen = spark.sql("select sum(events) as n, count(*) as k from seen").first()
     assert 0 < seen.n <= src.count() and seen.k > 0
+
+
+def test_two_levels_equal_one(spark):
+    rows = spark.createDataFrame([(u, t, None if t % 5 else float(t), t // 7) for u in ("a", "b") for t in range(60)], "u string, t int, v double, b int")
+    one = {(r.u, r.t): r.x for r in rows.selectExpr("u", "t", "last_value(v, true) over (partition by u order by t rows between unbounded preceding and current row) as x").collect()}
+    assert {(r.u, r.t): r.x for r in reader.carry_forward(rows, "u", ["t"], F.col("v"), "x", F.col("b")).collect()} == one
+    assert all(r.stop == (r.t + 1 if r.t < 59 else None) for r in reader.spans(rows, "u", ["t"], "t", F.col("b")).collect())
+
+
+def test_editions(spark):
+    works = spark.createDataFrame([(1, "A", None), (2, "a", None), (3, "A", "other"), (4, "b", None)], "id int, title string, borrowed_from string")
+    assert {r.id: (r.edition_of, r.others) for r in catalog.editions(works, F.lower("title")).collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 2)}
+    assert [r.id for r in catalog.editions_of(works, 1, F.lower("title")).collect()] == [2]
