@@ -70,10 +70,10 @@ def _entries(spark, d):
 STOP = ["the", "and", "for", "that", "this", "with", "from", "which", "was", "are", "not", "his", "her"]
 
 
-@query("a3_ambiguous_words", f"""with {ENGLISH}, s as (select distinct unnest({_W}) as word from documents where doc_id = 0)
+@query("a3_ambiguous_words", f"""with {ENGLISH}, s as (select distinct unnest({_W}) as word from documents)
 select word, count(distinct id) as n from e where word in (select word from s) and word not in ({', '.join(repr(w) for w in STOP)}) group by word having count(distinct id) >= 4 order by n desc, word limit 10""")
 def ambiguous(spark, d):
-    chapter = table(spark, d, "documents").filter("doc_id = 0").select(F.explode(F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)), F.array(*[F.lit(w) for w in STOP]))).alias("word"))
+    chapter = table(spark, d, "documents").select(F.explode(F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)), F.array(*[F.lit(w) for w in STOP]))).alias("word"))
     return lexicon.ambiguous(_english(spark, d), chapter)
 
 
