@@ -22,6 +22,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +63,17 @@ def put(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 
 def mapped(folder: str, name: str) -> np.ndarray:
-    """A file's bytes, mapped into memory; one that is in no local folder is copied first, to a file that goes with the mapping."""
+    """A file's bytes, mapped into memory; one that is in no local folder is copied first."""
     system, path = _place(folder, name)
     if isinstance(system, fs.LocalFileSystem):
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+    return _copied(folder, name)
+
+
+@lru_cache(1024)
+def _copied(folder: str, name: str) -> np.ndarray:
+    """A worker's copy of a far file, on a disk of its own; it has no name there and goes with the mapping."""
+    system, path = _place(folder, name)
     with tempfile.TemporaryFile() as local, system.open_input_stream(path) as far:
         while block := far.read(1 << 22):
             local.write(block)
