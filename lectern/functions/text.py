@@ -39,6 +39,18 @@ def title_of_slug(slug: Column) -> Column:
     return F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))
 
 
+def word_input(typed: Column) -> Column:
+    """What of a typed word a concordance takes: letters, apostrophes and hyphens."""
+    return F.regexp_replace(typed, r"[^\p{L}'’-]", "")
+
+
+def respell(text: Column, spoken: dict[str, str]) -> Column:
+    """Names that begin with a capital, as they are spoken; other words stay."""
+    table = F.create_map(*[F.lit(x) for kv in spoken.items() for x in kv])
+    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), 0)
+    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(F.try_element_at(table, w), w)).otherwise(w)), "")
+
+
 def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(title), "[^a-z]", "")
 

@@ -74,10 +74,15 @@ def collapse(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.collapse(F.col("text")).cast("binary")).alias("m"))
 
 
-@query("h24_respell", """with w as (select doc_id, regexp_extract_all(text, '[A-Z][a-z]+') as names from documents) select doc_id, len(list_filter(names, lambda x: x in ('The', 'And', 'Of'))) as respelled from w""")
+@query("h14_word_input", "select page_id, regexp_replace(url, '[^\\p{L}''’-]', '', 'g') as word from pages")
+def word_input(spark, d):
+    return table(spark, d, "pages").select("page_id", T.word_input(F.col("url")).alias("word"))
+
+
+@query("h24_respell", """with w as (select doc_id, unnest(regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+')) as w, generate_subscripts(regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+'), 1) as i from documents)
+select doc_id, md5(string_agg(case w when 'The' then 'Thee' when 'Des' then 'Day' when 'Las' then 'Lahs' else w end, '' order by i)) as m from w group by doc_id""")
 def respelled(spark, d):
-    names = F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(names, lambda x: x.isin("The", "And", "Of"))).cast("long").alias("respelled"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.respell(F.col("text"), {"The": "Thee", "Des": "Day", "Las": "Lahs"}).cast("binary")).alias("m"))
 
 
 @query("h25_truncate", "select doc_id, length(left(text, 3000)) as n, regexp_replace(source, '[^a-z0-9-]', '', 'g') as part from documents")
