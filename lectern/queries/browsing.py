@@ -178,13 +178,13 @@ def changed(spark, d):
 
 
 @query("w2_daily_pick", """with b as (select item_id, row_number() over (order by item_id) - 1 as ord, count(*) over () as n from benchmark), e as (select distinct cast(ts as date) as day from events)
-select day, item_id from e join b on date_diff('day', date '1970-01-01', day) % n = ord""")
+select cast(day as varchar) as day, item_id from e join b on date_diff('day', date '1970-01-01', day) % n = ord""")
 def daily_pick(spark, d):
     items = table(spark, d, "benchmark").select("item_id")
     ranked = items.select("item_id", (F.row_number().over(W.orderBy("item_id")) - 1).alias("ord"))  # the list of picks, one short table
     n = items.agg(F.count("*").alias("n"))
     days = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct().join(F.broadcast(n))
-    return days.join(ranked, F.pmod(F.unix_date("day"), F.col("n")) == F.col("ord")).select("day", "item_id")
+    return days.join(ranked, F.pmod(F.unix_date("day"), F.col("n")) == F.col("ord")).select(F.col("day").cast("string").alias("day"), "item_id")
 
 
 @query("l12_random_unit")
