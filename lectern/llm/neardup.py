@@ -146,18 +146,25 @@ def missed(near: DataFrame, roots: DataFrame, t: int) -> DataFrame:
     limit = (100 - t) * F.col("size")
     all_ = near.select(F.col("a").alias("c"), F.col("b").alias("x"), "size", "delta", _weight(t).alias("w"), (_weight(t) > limit).alias("far"))
     open_ = all_.filter("far").select("c").distinct()
-    # as many shared differences as any partner asks for, which differs by one at least itself
-    need = F.when(F.col("far"), F.ceil((F.col("w") - limit + t) / (100 + t))).otherwise(F.floor(F.col("w") / (100 + t)) + 1)
-    own = all_.join(open_, "c", "left_semi").withColumn("need", need.cast("int")).filter(F.col("need") <= F.size("delta"))
+    # as many shared differences as the nearest partner of either kind asks for: `need` if one of the two is near the centre, for the far one `weak`
+    need = (F.floor(F.col("w") / (100 + t)) + 1).cast("int")
+    weak = F.when(F.col("far"), F.ceil((F.col("w") - limit + t) / (100 + t)).cast("int"))
+    own = all_.join(open_, "c", "left_semi").withColumn("need", need).withColumn("weak", weak).filter(F.coalesce("weak", "need") <= F.size("delta"))
     own = own.join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    rows = common.materialize(own.select("c", "x", "size", "w", "far", "need", "root", F.explode("delta").alias("e")), "deltas")
+    rows = common.materialize(own.select("c", "x", "size", "w", "far", "need", "weak", "root", F.explode("delta").alias("e")), "deltas")
     often = rows.groupBy("c", "e").agg(F.count("*").alias("f"), F.max("far").alias("any_far")).filter("f > 1 and any_far").select("c", "e", "f")
-    kept = rows.join(often, ["c", "e"]).groupBy("c", "x").agg(F.first("size").alias("size"), F.first("w").alias("w"), F.first("far").alias("far"), F.first("need").alias("need"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es"))
-    kept = kept.filter(F.size("es") >= F.col("need")).withColumn("n", F.size("es"))
-    prefix = common.materialize(kept.select("c", "x", "size", "w", "far", "root", "n", F.explode(F.slice("es", 1, F.col("n") - F.col("need") + 1)).alias("p")).select("c", "x", "size", "w", "far", "root", "n", F.col("p.e").alias("e")), "prefixes")
-    far = prefix.filter("far").select(*[F.col(k).alias(f"{k}1") for k in ("c", "x", "w", "root", "n", "e")])
-    met = far.join(prefix, (F.col("c1") == F.col("c")) & (F.col("e1") == F.col("e")))
-    met = met.filter((F.col("root1") != F.col("root")) & (~F.col("far") | (F.col("x1") < F.col("x"))) & ((100 + t) * F.least("n1", "n") >= F.col("w1") + F.col("w") - limit))
+    facts = ("size", "w", "far", "need", "weak", "root")
+    kept = rows.join(often, ["c", "e"]).groupBy("c", "x").agg(*[F.first(k).alias(k) for k in facts], F.sort_array(F.collect_list(F.struct("f", "e"))).alias("es")).withColumn("n", F.size("es"))
+    kept = kept.filter(F.col("n") >= F.coalesce("weak", "need"))
+    upto = F.col("n") - F.coalesce("weak", "need") + 1
+    placed = kept.select("c", "x", *facts, "n", F.posexplode(F.slice("es", 1, upto)).alias("place", "p")).select("c", "x", *facts, "n", "place", F.col("p.e").alias("e"))
+    prefix = common.materialize(placed.withColumn("strict", F.col("place") <= F.col("n") - F.col("need")), "prefixes")
+    far = prefix.filter("far").select(*[F.col(k).alias(f"{k}1") for k in ("c", "x", "w", "root", "n", "e", "place", "strict")])
+    # the first difference that two share stands so far on that those behind it may suffice; later ones need not bring the pair again
+    rest = F.least(F.col("n1") - F.col("place1"), F.col("n") - F.col("place"))
+    both_far = F.col("far") & F.col("strict1") & (F.col("x1") < F.col("x"))
+    on = (F.col("c1") == F.col("c")) & (F.col("e1") == F.col("e")) & (F.col("root1") != F.col("root")) & (both_far | ~F.col("far")) & ((100 + t) * rest >= F.col("w1") + F.col("w") - limit)
+    met = far.join(prefix.filter("strict"), on)
     return common.materialize(met.select(F.least("x1", "x").alias("a"), F.greatest("x1", "x").alias("b")).distinct(), "missed")
 
 
