@@ -1,11 +1,13 @@
 """License scans, by DataFrame functions alone.
 
-Every line of every text that holds a cue is a statement. Its terms, weighted by TF-IDF, are joined to those of the templates (a constant list, so
-the broadcast is bounded) and give a sparse cosine with each; the best template from LEAST on is the line's licence, the best line's the file's. A
-file by one of the usual names, or whose first line is such a statement, speaks for its directory. A file without statement of its own inherits from
+A text's units are its lines, its sentences (over line ends), its first lines together, and the whole text. A unit that holds a telling term is
+scored: its terms, weighted by TF-IDF, are joined to those of the templates and bodies (constant lists, so the broadcast is bounded) and give a sparse
+cosine with each. From LEAST and two shared terms on it is a statement of the best one's licence; the best statement's is the file's, and reserved rights
+yield to any licence. Telling terms are taken from the templates, so that no unit without one reaches LEAST but by COMMON terms alone. A file by one of the usual names, or whose first line is such a statement, speaks for its directory. A file without statement of its own inherits from
 the nearest directory above it that has one: directories, once each, are joined to their ancestors by path, and files to their directories.
 
-IDF is over the templates; a term that none has weighs most, and lengthens a line's vector.
+IDF is over the templates; a term that none has weighs most, and lengthens a unit's vector. The query's SQL scores lines with a CUE against the
+templates alone: its tables have statements of that form only.
 
 Edge cases: null or empty text has no statement and may inherit; ties go to the licence first in order, of files to the first path; repeated
 rows count each; rows without path (in documents: without source or doc_id) get their own statement only; an empty table gives no rows; other columns are not read.
@@ -43,9 +45,42 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved"),
     ("Proprietary", "Copyright, all rights reserved"),
 ]
-#: What a statement holds, in any case.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+_AS_IS = "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"
+_GNU = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+#: Licence texts, their notices and titles. They have no part in the IDF.
+BODIES = [
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-3-Clause", _BSD),
+    ("CC0-1.0", "CC0 1.0 Universal public domain dedication"),
+    ("GPL-2.0", _GNU.format("This program", "General", 2)),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", _GNU.format("This program", "General", 3)),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC}. {_AS_IS}"),
+    ("LGPL-3.0", _GNU.format("This library", "Lesser General", 3)),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", _MIT),
+    ("MIT", _MIT_NOTICE),
+    ("MIT", f"{_MIT}: {_MIT_NOTICE}. {_AS_IS}"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: Terms of templates that other prose has as well, versions and numbers: no statement by themselves. `mit` is also a German word.
+COMMON = set("a above all an and any are as at be but by can copies copy do either except file files following for form forms free from general if in is it its kind language law list may mit must name names no nor not of on or org other out particular person persons public see source code shall so software subject that the this to under use used v version whether whom with without work writing written www you your".split())
+#: What a statement holds, in any case; for SQL.
 CUE = r"licen[cs]e|rights reserved|public domain|copyright"
 LEAST = 0.6
+#: Yields to any licence that a file states besides.
+RESERVED = "Proprietary"
+#: Between sentences: their marks before white space, a colon that ends a line, a line without letters or digits.
+END = r"[.;!?]+(?=\s|$)|:[ \t]*(?=\r?\n|$)|\n[^A-Za-z0-9\n]*(?=\n)"
 NOTICE_NAME = r"(?i)^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(\..*)?$"
 
 
@@ -66,26 +101,75 @@ def weights() -> tuple[list[tuple[str, int, str, float, float]], float]:
     return out, round(math.log(1 + n) + 1, 9)
 
 
-def statements(files: DataFrame) -> DataFrame:
+def bodies() -> list[tuple[str, int, str, float]]:
+    """(term, number behind the templates', licence, share of the unit vector) of BODIES, by the templates' IDF."""
+    table, other = weights()
+    idf = {t: x for t, _, _, x, _ in table}
+    out = []
+    for i, (licence, text) in enumerate(BODIES, len(TEMPLATES)):
+        w = {t: k * idf.get(t, other) for t, k in Counter(_terms(text)).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out += [(t, i, licence, round(x / norm, 9)) for t, x in sorted(w.items())]
+    return out
+
+
+def _branches(words: list[str]) -> str:
+    """A pattern of sorted words that reads each first letter once."""
+    if words == [""]:
+        return ""
+    firsts = sorted({w[0] for w in words if w})
+    out = "|".join(f + _branches([w[1:] for w in words if w[:1] == f]) for f in firsts)
+    return f"(?:{out})?" if "" in words else f"(?:{out})" if len(firsts) > 1 else out
+
+
+def telling() -> str:
+    """A pattern of terms, so that what a unit shares with a template without any of them is COMMON, or too little for LEAST."""
+    shares: dict[int, list[tuple[str, float]]] = {}
+    for term, i, *_, share in [*weights()[0], *bodies()]:
+        shares.setdefault(i, []).append((term, share))
+    found = set()
+    for own in shares.values():
+        rest = sum(x * x for _, x in own)
+        for term, x in sorted(own, key=lambda p: -p[1]):
+            if rest < (LEAST - 0.01) ** 2:
+                break
+            if term not in COMMON and not term.isdigit():
+                found.add(term)
+                rest -= x * x
+    return rf"(?i)(?<![a-z0-9]){_branches(sorted(found))}(?![a-z0-9])"
+
+
+def units(files: DataFrame, header: int) -> DataFrame:
+    """file, unit (a number), top (whether it lies in the first lines, as many as header) and body of files(file, text)."""
+    lines = F.split("text", "\n", -1)
+    head = F.array_join(F.slice(lines, 1, header), "\n")
+    of = lambda top: lambda x: F.struct(F.lit(top).alias("top"), x.alias("body"))
+    every = F.concat(
+        F.transform(lines, lambda x, i: F.struct((i < header).alias("top"), x.alias("body"))), F.transform(F.split("text", END, -1), of(False)), F.transform(F.split(head, END, -1), of(True)), F.array(of(True)(head), of(False)(F.col("text")))
+    )
+    cue = telling()
+    return files.filter(F.col("text").rlike(cue)).select("file", F.posexplode(every).alias("unit", "u")).select("file", "unit", "u.top", "u.body").filter(F.col("body").rlike(cue))
+
+
+def statements(files: DataFrame, header: int) -> DataFrame:
     """file, licence, score and on_top, a row for each file(file, text) that has a statement."""
     table, other = weights()
     spark = files.sparkSession
-    vectors = spark.createDataFrame(table, "term string, template int, licence string, idf double, share double")
-    idfs = vectors.select("term", "idf").distinct()
-    lines = files.filter(F.col("text").rlike(f"(?i){CUE}")).select("file", F.posexplode(F.split("text", "\n", -1)).alias("line", "body")).filter(F.col("body").rlike(f"(?i){CUE}"))
-    terms = lines.select("file", "line", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy("file", "line", "term").agg(F.count("*").alias("tf"))
+    vectors = spark.createDataFrame([(t, i, licence, share) for t, i, licence, _, share in table] + bodies(), "term string, template int, licence string, share double")
+    idfs = spark.createDataFrame(sorted({(t, idf) for t, _, _, idf, _ in table}), "term string, idf double")
+    terms = units(files, header).select("file", "unit", "top", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy("file", "unit", "top", "term").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(idfs), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighed.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors.select("term", "template", "licence", "share")), "term").groupBy("file", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).select("file", "line", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "licence"))
-    return scored.groupBy("file").agg(best.alias("b"), F.min("line").alias("first")).select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), (F.col("first") == 0).alias("on_top"))
+    norms = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("file", "unit", "top", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).filter("shared > 1")
+    scored = dots.join(norms, ["file", "unit"]).select("file", "top", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST)
+    best = F.min(F.struct((F.col("licence") == RESERVED).alias("r"), (-F.col("score")).alias("s"), "licence"))
+    return scored.groupBy("file").agg(best.alias("b"), F.max("top").alias("on_top")).select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "on_top")
 
 
 def scan(files: DataFrame) -> DataFrame:
     """files(file: a key, path, text) to file, path, licence, how (header, inherited, none), score and from_dir."""
     files = files.select("file", "path", "text")
-    own = common.materialize(statements(files.select("file", "text")), "statements")
+    own = common.materialize(statements(files.select("file", "text"), 1), "statements")
     parent: Column = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     placed = files.select("file", "path", parent.alias("dir"))
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(NOTICE_NAME)

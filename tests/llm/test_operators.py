@@ -96,6 +96,26 @@ def test_licences(spark, empty):
     assert licences.scan(empty.select(F.col("doc_id").alias("file"), F.col("source").alias("path"), "text")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("/* This file was written by the build team. Released under the MIT License. */", "MIT"),
+        ('Copyright 2020 Acme Inc. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+        ("#!/bin/sh\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\necho", "GPL-3.0"),
+        ("Copyright (c) 1999 A. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Code", "BSD-3-Clause"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction, including the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies.", "MIT"),
+        ("    GNU GENERAL PUBLIC LICENSE\n     Version 2, June 1991\n\nEveryone may copy", "GPL-2.0"),
+        ("Version 2.0", None),
+        ("Mit.", None),
+        ("Call the public source under the version of the file.", None),
+    ],
+)
+def test_licence_units(spark, text, licence):
+    """Statements beside other text, over line ends and without a cue; what only shares common terms is none."""
+    out = licences.scan(spark.createDataFrame([("a", "r/a", text)], "file string, path string, text string")).first()
+    assert (out["licence"], out["how"]) == (licence, "header" if licence else "none")
+
+
 # ---- 3 -------------------------------------------------------------------------------------------------------------------------------------
 
 
