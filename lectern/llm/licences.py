@@ -3,7 +3,7 @@
 A text's units are its lines, its sentences (over line ends), its first lines together, and the whole text. A unit that holds a telling term is
 scored: its terms, weighted by TF-IDF, are joined to those of the templates and bodies (constant lists, so the broadcast is bounded) and give a sparse
 cosine with each. From LEAST and two shared terms on it is a statement of the best one's licence; the best statement's is the file's, and reserved rights
-yield to any licence. Telling terms are taken from the templates, so that no unit without one reaches LEAST but by COMMON terms alone. A file by one of the usual names, or whose first line is such a statement, speaks for its directory. A file without statement of its own inherits from
+yield to any licence. Telling terms are taken from the templates, so that no unit without one reaches LEAST but by COMMON terms alone. A file by one of the usual names, or with a statement in its first lines, speaks for its directory. A file without statement of its own inherits from
 the nearest directory above it that has one: directories, once each, are joined to their ancestors by path, and files to their directories.
 
 IDF is over the templates; a term that none has weighs most, and lengthens a unit's vector. The query's SQL scores lines with a CUE against the
@@ -81,6 +81,8 @@ LEAST = 0.6
 RESERVED = "Proprietary"
 #: Between sentences: their marks before white space, a colon that ends a line, a line without letters or digits.
 END = r"[.;!?]+(?=\s|$)|:[ \t]*(?=\r?\n|$)|\n[^A-Za-z0-9\n]*(?=\n)"
+#: The header region: so many first lines.
+HEADER = 20
 NOTICE_NAME = r"(?i)^(LICEN[CS]E|COPYING|NOTICE|UNLICENSE)(\..*)?$"
 
 
@@ -166,10 +168,10 @@ def statements(files: DataFrame, header: int) -> DataFrame:
     return scored.groupBy("file").agg(best.alias("b"), F.max("top").alias("on_top")).select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "on_top")
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """files(file: a key, path, text) to file, path, licence, how (header, inherited, none), score and from_dir."""
+def scan(files: DataFrame, header: int = HEADER) -> DataFrame:
+    """files(file: a key, path, text) to file, path, licence, how (header, inherited, none), score and from_dir; header: the first lines that speak for a directory."""
     files = files.select("file", "path", "text")
-    own = common.materialize(statements(files.select("file", "text"), 1), "statements")
+    own = common.materialize(statements(files.select("file", "text"), header), "statements")
     parent: Column = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     placed = files.select("file", "path", parent.alias("dir"))
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(NOTICE_NAME)
@@ -185,14 +187,24 @@ def scan(files: DataFrame) -> DataFrame:
     return out.select("file", "path", F.coalesce("licence", "up_licence").alias("licence"), how.alias("how"), "score", F.when(inherits, F.col("up")).alias("from_dir"))
 
 
-def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _over_documents(spark: SparkSession, sf_dir: str, header: int) -> DataFrame:
     """Over documents, whose path is made of source and doc_id: a folder for each source, in it one for each thousand, in that one for each hundred."""
     d = F.col("doc_id")
     path = F.concat("source", F.lit("/"), F.floor(d / 1000).cast("string"), F.lit("/"), F.floor(d / 100).cast("string"), F.lit("/"), d.cast("string"))
-    return scan(common.documents(spark, sf_dir).select(d.alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
+    return scan(common.documents(spark, sf_dir).select(d.alias("file"), path.alias("path"), "text"), header).withColumnRenamed("file", "doc_id")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only a statement on its first line lets a document speak for its directory."""
+    return _over_documents(spark, sf_dir, 1)
+
+
+def op2_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement anywhere in the header region does; a title or shebang may stand before it."""
+    return _over_documents(spark, sf_dir, HEADER)
 
 
-def _sql() -> str:
+def _sql(header: int) -> str:
     table, other = weights()
     values = ", ".join(f"('{t}', {i}, '{licence}', cast({idf} as double), cast({share} as double))" for t, i, licence, idf, share in table)
     return f"""
@@ -206,7 +218,7 @@ w as (select doc_id, line, t.term, count(*) * coalesce(any_value(i.idf), {other}
 n as (select doc_id, line, sqrt(sum(w * w)) as norm from w group by doc_id, line),
 p as (select doc_id, line, template, licence, sum(w * share) as dot from w join v using (term) group by doc_id, line, template, licence),
 c as (select doc_id, line, licence, round(dot / norm, 6) as score from p join n using (doc_id, line) where round(dot / norm, 6) >= {LEAST}),
-o as (select doc_id, arg_min(licence, (-score, licence)) as licence, max(score) as score, min(line) = 0 as on_top from c group by doc_id),
+o as (select doc_id, arg_min(licence, (-score, licence)) as licence, max(score) as score, min(line) {'= 0' if header == 1 else f'< {header}'} as on_top from c group by doc_id),
 k as (select dir, arg_min(licence, (-score, path)) as licence from d join o using (doc_id) where on_top group by dir),
 a as (select distinct dir, unnest(range(1, len(string_split(dir, '/')) + 1)) as depth from d),
 u as (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') as up from a),
@@ -217,4 +229,5 @@ from d left join o using (doc_id) left join b on d.dir = b.dir
 """
 
 
-SQL = _sql()
+SQL = _sql(1)
+TREE_SQL = _sql(HEADER)

@@ -21,12 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_media_columns": media.op9_media_columns,
         "op10_packing": packing.op10_packing,
+        "op2_license_tree": licences.op2_license_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licences.SQL,
+        "op2_license_tree": licences.TREE_SQL,
         "op7_line_dedup": linededup.SQL,
         "op8_quality_rules": quality.SQL,
     }

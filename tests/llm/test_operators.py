@@ -116,6 +116,15 @@ def test_licence_units(spark, text, licence):
     assert (out["licence"], out["how"]) == (licence, "header" if licence else "none")
 
 
+def test_licences_inherited(spark, small):
+    """A statement after a title speaks for its directory, and documents of the table inherit."""
+    rows = [("a", "r/s/a", "#!/bin/sh\n# A title\n# Released under the MIT License.\necho"), ("b", "r/s/b", "code"), ("c", "r/c", "code"), ("d", "t/d", "code\n" * licences.HEADER + "Released under the MIT License."), ("e", "t/e", "code")]
+    out = {r.file: (r.licence, r.how, r.from_dir) for r in licences.scan(spark.createDataFrame(rows, "file string, path string, text string")).collect()}
+    assert out == {"a": ("MIT", "header", None), "b": ("MIT", "inherited", "r/s"), "c": (None, "none", None), "d": ("MIT", "header", None), "e": (None, "none", None)}
+    inherited = registry.queries()["op2_license_tree"](spark, small).filter("how = 'inherited'").collect()
+    assert inherited and all(r.licence and r.score is None and r.path.startswith(f"{r.from_dir}/") for r in inherited)
+
+
 # ---- 3 -------------------------------------------------------------------------------------------------------------------------------------
 
 
