@@ -141,6 +141,22 @@ def postings_round_trip(spark, d):
     return legacy.postings(packed).select("term", F.col("uid").cast("long").alias("doc"), F.col("tf").cast("long").alias("tf"))
 
 
+@query("s14_postings_whole", "select term, doc, count(*) as tf from (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by term, doc")
+def postings_whole(spark, d):
+    """All terms' postings, packed in blocks of document numbers and unpacked again: a term that most documents hold is many short lists."""
+    from pyspark.sql.types import StringType
+
+    from ..sources import legacy
+
+    @F.udf(StringType(), useArrow=True)
+    def pack(pairs):
+        return legacy.encode_postings([(p["doc"], p["tf"]) for p in pairs])
+
+    block = F.floor(F.col("doc") / legacy.BLOCK)
+    packed = search.postings(table(spark, d, "documents")).groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("pairs")).select("term", pack("pairs").alias("blob"))
+    return legacy.postings(packed).select("term", F.col("uid").cast("long").alias("doc"), F.col("tf").cast("long").alias("tf"))
+
+
 @query("x4_rewrite_links", "select page_id, 'book-' || regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) || '-' || regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) as target from pages")
 def rewrite_links(spark, d):
     part = lambda k: F.regexp_extract("url", "/([a-z]{2})/([0-9]+)", k)

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+#: A packed list holds documents of so many consecutive numbers at most.
+BLOCK = 4096
+
 
 def varints(raw: bytes) -> list[int]:
     """Little-endian base-128 numbers; a byte's high bit says that more follow."""

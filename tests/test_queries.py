@@ -19,6 +19,21 @@ def test_without_sql(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
 
+def test_postings_whole(spark, small):
+    """Short and common terms make the round trip too: all postings, and every block's list is bounded."""
+    from lectern.operators import search
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = QUERIES["s14_postings_whole"](spark, small)
+    assert got.count() == search.postings(docs).count() and got.filter("length(term) <= 14").count() > 0
+
+
+def test_interlinear_whole(spark, small):
+    """Every word has its row, those of entries divisible by ten as well."""
+    got = QUERIES["j11_interlinear_whole"](spark, small)
+    assert got.count() == spark.read.parquet(f"{small}/lineitem.parquet").count() and got.filter("id % 10 = 0").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
