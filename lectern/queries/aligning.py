@@ -93,6 +93,23 @@ def unaligned(spark, d):
     return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss")))[1]
 
 
+def _aligned(spark, d):
+    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
+    return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss")))
+
+
+@query("j11_interlinear_whole", "select o_orderkey as v, l_linenumber as pos, l_partkey as id, coalesce(p_name, '') as gloss from orders join lineitem on l_orderkey = o_orderkey left join part on p_partkey = l_partkey")
+def interlinear_whole(spark, d):
+    """Every word, whatever its entry."""
+    return _aligned(spark, d)[0]
+
+
+@query("j11_unaligned_whole", "select o_orderkey as v from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def unaligned_whole(spark, d):
+    """The verses that have none of these words."""
+    return _aligned(spark, d)[1]
+
+
 @query("j4_work_book", "select c_custkey, n_name from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3")
 def work_book(spark, d):
     books = table(spark, d, "nation").filter("n_regionkey < 3")
