@@ -8,6 +8,10 @@ batches of texts sparsely in numpy. A very long text is scored in slices that ov
 Edge cases: null text, or text without a letter, is `und` with score 0; without a labelled row everything is `und`; rows without lang or text
 teach nothing; repeated rows count each; a row without doc_id is scored, not held out and teaches nothing; ties go to the language first in
 order; an empty table gives no rows; other columns are not read.
+
+The pipeline's stage drops texts that no learned language explains: over a text's distinct sequences (those of each slice of a long one), the mean
+log-probability in its best language lies below that of a uniform choice among the SLOTS by more than ERRORS standard errors. Fewer than FEWEST of
+them decide nothing. Without a model only texts without a letter go.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ BLOCK = 1 << 11
 SLICE = 1 << 19
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: When a text counts as explained by no language.
+ERRORS, FEWEST = 3, 16
+#: Rows that the stage holds as Python objects at once.
+PART = 256
 
 
 @lru_cache(1)
@@ -120,9 +128,10 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.concatenate([logs, np.log(prior / max(prior.sum(), 1))], 1).astype(np.float32) if langs else counts.astype(np.float32)
 
 
-def score(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float]]:
-    """The most probable language of each text, and its posterior probability."""
+def weigh(texts: list[str | None], langs: list[str], logs: np.ndarray, judge: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's log-probability in each language, whether it has a letter, and, if judged, whether its best language explains it."""
     sums, seen = np.zeros((len(texts), len(langs))), np.zeros(len(texts), bool)
+    count, total, squares = np.zeros(len(texts)), np.zeros(sums.shape), np.zeros(sums.shape)
     padded = np.concatenate([logs[:, :-1], np.zeros((len(langs), 1), np.float32)], 1)  # slot SLOTS adds nothing
     for which, joined, starts in slices([t or "" for t in texts]):
         two, three, letter = grams(joined, starts)
@@ -131,10 +140,29 @@ def score(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[
         for k in range(len(langs)):
             each = padded[k][two] + padded[k][three]
             np.add.at(sums[:, k], which, np.add.reduceat(each, begins, dtype=np.float64))
-    seen &= bool(langs)
+        if judge and langs:
+            for i, lo, hi in zip(which, starts, [*starts[1:], len(joined)], strict=True):
+                both = np.concatenate([two[lo:hi], three[lo:hi]])
+                own = np.flatnonzero(np.bincount(both, minlength=SLOTS + 1)[:SLOTS]) if len(both) > SLOTS // 8 else (u := np.unique(both))[u < SLOTS]
+                x = padded[:, own].astype(np.float64)
+                count[i] += len(own)
+                total[i] += x.sum(1)
+                squares[i] += (x * x).sum(1)
     if not langs:
-        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return sums, seen, seen
     sums += logs[:, -1]
+    best = np.arange(len(texts)), sums.argmax(1)
+    n = np.maximum(count, 1)
+    mean = total[best] / n
+    error = np.sqrt(np.maximum(squares[best] / n - mean * mean, 0) / n)
+    return sums, seen, seen & ((count < FEWEST) | (mean + ERRORS * error >= -np.log(SLOTS)))
+
+
+def score(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[list[str], list[float]]:
+    """The most probable language of each text, and its posterior probability."""
+    sums, seen, _ = weigh(texts, langs, logs)
+    if not langs:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
     best = sums.argmax(1)
     posterior = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
     return [langs[b] if s else UNKNOWN for b, s in zip(best, seen, strict=True)], [float(p) if s else 0.0 for p, s in zip(posterior, seen, strict=True)]
@@ -159,10 +187,14 @@ def held_out(folds: int, fold: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """What train() gives of the labelled rows that aren't held out."""
+    return train(docs.filter(F.col("doc_id").isNotNull() & ~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
+
+
 def identify(docs: DataFrame, keep: list[str], new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs' columns keep, lang_pred and score. It learns from the labelled rows that aren't held out."""
-    teachers = docs.filter(F.col("doc_id").isNotNull() & ~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs, logs = train(teachers)
+    langs, logs = model(docs)
     return predict(docs, langs, logs, keep, new)
 
 
@@ -172,6 +204,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is known: those without a letter go. The label that they came with stays as it is."""
-    known = identify(docs, docs.columns, ("__lang_pred", "__score"))
-    return known.filter(F.col("__lang_pred") != UNKNOWN).select(*docs.columns)
+    """The documents that a learned language explains; without a model, those with a letter. The label that they came with stays as it is."""
+    langs, logs = model(docs)
+    shared = spark.sparkContext.broadcast(logs)  # languages x SLOTS floats
+    at, columns = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(lo, PART) for x in batches for lo in range(0, x.num_rows, PART)):
+            kept = weigh(b.column(at).to_pylist(), langs, shared.value, judge=True)[2]
+            yield pa.RecordBatch.from_arrays(b.columns, columns).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

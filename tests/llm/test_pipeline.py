@@ -5,10 +5,11 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from test_operators import TEXTS, brute_components, brute_counts, brute_lines
 
 import corpus_pipeline
-from lectern.llm import common, packing, quality
+from lectern.llm import common, langid, packing, quality
 
 
 def rows(frame):
@@ -57,3 +58,13 @@ def test_empty(spark, docs, small):
 
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_language_by_model(spark, small):
+    """What no learned language explains goes; short texts, and all texts with a letter where there is no model, stay."""
+    real = spark.read.parquet(f"{small}/documents.parquet")
+    odd = ["Это русский текст о погоде и новостях", "これは日本語の文章です。今日は天気がいい。", "Ok", "12 34"]
+    both = real.unionByName(spark.createDataFrame([(20_000 + k, t, None, "odd", None) for k, t in enumerate(odd)], real.schema))
+    assert rows(langid.stage(spark, both, small)) == rows(real.unionByName(both.filter("doc_id = 20002")))
+    unlabelled = both.withColumn("lang", F.lit(None).cast("string"))
+    assert rows(langid.stage(spark, unlabelled, small)) == rows(both.filter("doc_id <> 20003"))
