@@ -80,7 +80,8 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple[tuple
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """c with A-Z in lower case and nothing else changed; texts of ASCII alone go the short way."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def connected(edges: DataFrame) -> DataFrame:

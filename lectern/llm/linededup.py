@@ -1,10 +1,13 @@
 """Line dedup, by DataFrame functions alone.
 
-Only hashes move: a document's distinct keys, as two 64-bit hashes with the document and the line's position, are partitioned by range of
-(hash, document), so that a line which a third of all documents hold is spread over many tasks, and sorted by position within. Each task reads its
-sorted rows as a stream, one row for a document that holds the key, and adds up holders and the document that keeps it; what it passes on is one row a key.
-Keys with enough holders are joined back to their lines, and a document's losses become a compressed bitmap: of its 64-line words, those that lose a
-line, with the bits of the lines that stay. Texts are rebuilt from the bitmap by whoever wants them (apply_bitmaps).
+Only hashes move. A document's keys, as two 64-bit hashes with the document and the line's position, are written once to the shared folder. They are
+partitioned by range of the hash and sorted within by document, the largest first, and position. Windows read that sorted stream: a key's first row
+holds the document that keeps it, and the rank of a row's document among the key's shows how many hold it. The lines after the first document's, where
+enough documents hold the key, become bits of compressed bitmaps, one a document: of its 64-line words, those that lose a line, with the bits of the
+lines that stay. Texts are rebuilt from the bitmap by whoever wants them (apply_bitmaps).
+
+A key with more rows than half of an even partition would not fit the ranges. Such keys are found by counts over narrow ranges of the hash, and there are
+fewer of them than twice the partitions, whatever the data, so a list of them is broadcast. Their documents are counted apart, dealt by key and document.
 
 A hash is 128 bits wide; two keys are taken as equal if both halves are.
 
@@ -14,13 +17,17 @@ one holder, each with its own lines; repeats within a document go or stay togeth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Narrow ranges of the hash for each partition, by which heavy keys are looked for.
+NARROW = 8
+#: A key with so few rows is never heavy.
+LIGHT = 64
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -33,20 +40,38 @@ def _row_key() -> Column:
     return F.xxhash64("text")
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc, row_key, pos, h1 and h2, a row for each line whose key is long enough."""
+    trimmed = F.transform(F.split(_text(), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)))
+    hashed = F.transform(F.transform(trimmed, common.lower_ascii), lambda k, i: F.struct(i.alias("pos"), F.char_length(k).alias("n"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2")))
+    long = F.filter(hashed, lambda e: e["n"] >= min_chars)
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), _row_key().alias("row_key"), F.explode(long).alias("e"))
+    return rows.select("doc", "row_key", "e.pos", "e.h1", "e.h2")
+
+
+def heavy_keys(lines: DataFrame, parts: int, light: int = LIGHT) -> DataFrame:
+    """h1 and h2 of the keys that have more rows than half of an even partition, and more than light."""
+    limit = max(lines.count() // (2 * parts), light)
+    narrow = F.floor((F.col("h1") / 2.0**64 + 0.5) * (NARROW * parts))
+    full = lines.groupBy(narrow.alias("r")).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("r")
+    # fewer than two for each partition, as the rows of each are more than the limit
+    within = lines.withColumn("r", narrow).join(F.broadcast(full), "r", "left_semi")
+    return common.materialize(within.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("h1", "h2"), "heavy-keys")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, light: int = LIGHT) -> DataFrame:
     """doc, row_key, keep (array of (word, bits), by word) and n_dropped, for the rows that lose a line."""
-    key = common.lower_ascii(F.btrim(F.col("line"), F.lit(_BLANK)))
-    lines = (
-        docs.filter(F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("doc"), _row_key().alias("row_key"), F.posexplode(F.split(_text(), "\n", -1)).alias("pos", "line"))
-        .select("doc", "row_key", "pos", key.alias("key"))
-        .filter(F.char_length("key") >= min_chars)
-        .select("doc", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
-    )
-    ranged = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    holders = ranged.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first"))
-    common_keys = holders.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs)
-    lost = lines.join(common_keys, ["h1", "h2"]).filter(F.col("doc") < F.col("keeper"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = common.materialize(keys(docs, min_chars), "line-keys")
+    heavy = heavy_keys(lines, parts, light)
+    ranged = lines.join(F.broadcast(heavy), ["h1", "h2"], "left_anti").repartitionByRange(parts, "h1", "h2").sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
+    stream = Window.partitionBy("h1", "h2").orderBy(F.desc("doc"))
+    ranked = ranged.select("*", F.first("doc").over(stream).alias("keeper"), F.dense_rank().over(stream).alias("rank"))
+    counted = ranked.withColumn("n", F.max("rank").over(Window.partitionBy("h1", "h2")))
+    lost = counted.filter((F.col("n") >= min_docs) & (F.col("doc") < F.col("keeper"))).select("doc", "row_key", "pos")
+    often = lines.join(F.broadcast(heavy), ["h1", "h2"])
+    kept = often.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count_distinct("doc").alias("n")).filter(F.col("n") >= min_docs)
+    lost = lost.unionByName(often.join(F.broadcast(kept), ["h1", "h2"]).filter(F.col("doc") < F.col("keeper")).select("doc", "row_key", "pos"))
     words = lost.groupBy("doc", "row_key", (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
     entry = F.struct("word", F.bitwise_not("gone").alias("bits"))
     return words.groupBy("doc", "row_key").agg(F.sort_array(F.collect_list(entry)).alias("keep"), F.sum(F.bit_count("gone").cast("long")).alias("n_dropped"))
@@ -63,7 +88,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     bits = F.col("__bits")
     stays = lambda x, i: F.coalesce(F.get(bits, F.floor(i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) != 0, F.lit(True))
     kept = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter("__lines", stays), "\n"))
-    n_lines = (F.char_length(_text()) - F.char_length(F.translate(_text(), "\n", "")) + 1).cast("long")
+    n_lines = (F.octet_length(_text()) - F.octet_length(F.replace(_text(), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return spread.select(*docs.columns, kept.alias("__kept"), n_lines.alias("__n_lines"), F.coalesce("__gone", F.lit(0)).cast("long").alias("__n_dropped"))
 
 
