@@ -10,6 +10,7 @@ its own; an empty table gives no pieces; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -27,7 +28,14 @@ KNOWN_WORDS = 600_000
 #: Words longer than that are encoded anew each time.
 LONG_WORD = 64
 
-# The classes of the vocabulary's split pattern, as far as Latin-1 goes.
+# The normalizer and the split of the vocabulary that the short way is for, as its file has them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+# The classes of that split, as far as Latin-1 goes.
 _L = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _N = r"0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 LATIN_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\x09-\x0d\x20\x85\xa0A-Z\xc0-\xd6\xd8-\xde{_L}{_N}]+"
@@ -40,22 +48,39 @@ def cuts(n: int, limit: int = LIMIT) -> list[int]:
 
 
 class WordEncoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers, as tokenizers gives them without special tokens.
+    """Ids of whole texts, as little-endian unsigned 32-bit integers, as tokenizers gives them with add_special_tokens=False.
 
-    In Latin-1 text the vocabulary's normalizer only lowers letters and its split only sees blanks, letters, digits and the rest, and the merges
-    never cross a split; so such text is split here and a word's ids are remembered. Any other text goes to the library as a whole.
+    In Latin-1 text the normalizer that is expected only lowers letters and its split only sees blanks, letters, digits and the rest, and the merges
+    never cross a split; so such text is split here and a word's ids are remembered. Any other text goes to the library as a whole, as does one
+    that holds an added token's string, which the library takes out first. Of a vocabulary with another normalizer or split, all texts do.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        added = file.get("added_tokens") or []
+        self.short = file.get("normalizer") == NORMALIZER and file.get("pre_tokenizer") == PRE_TOKENIZER and file.get("post_processor") is None
+        self.short = self.short and not any(t.get(k) for t in added for k in ("normalized", "single_word", "lstrip", "rstrip"))
+        self.added = [t["content"] for t in added]
+        del file
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.split, self.known = re.compile(LATIN_SPLIT).findall, {}
         self.unit = {b: c for b, c in zip(range(256), _byte_letters(), strict=True)}
 
+    def plain(self, text: str) -> bool:
+        if not self.short or any(t in text for t in self.added):
+            return False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return True
+
     def word(self, w: str) -> bytes:
         letters = "".join(map(self.unit.__getitem__, w.encode()))
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
@@ -66,10 +91,7 @@ class WordEncoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
-        try:
-            if not text.isascii():
-                text.encode("latin-1")
-        except UnicodeEncodeError:
+        if not self.plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, known = self.split(text.lower()), self.known
         try:
