@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
 #: A batch that Python returns holds about so many bytes at most, besides its last row.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
+#: Rows that a worker holds as Python objects at once, at most.
+PART = 128
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,13 @@ class Batches:
         self.rows, self.held = [], 0
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, PART rows at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PART):
+            yield b.slice(lo, PART)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple[tuple, int]]], schema: pa.Schema, sql_schema: str) -> DataFrame:
     """df through fn, which takes an iterator over tuples of the columns and gives (row, its bytes) pairs."""
 
@@ -69,7 +78,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple[tuple
         out = Batches(schema)
 
         def rows() -> Iterator[tuple]:
-            for b in batches:
+            for b in parts(batches):
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
         for row, held in fn(rows()):

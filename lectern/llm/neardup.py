@@ -38,16 +38,6 @@ BINS = BANDS * ROWS
 TRIES = (8, 64, 4096)
 
 
-#: Rows whose texts or sets a worker holds as Python objects at once.
-PART = 128
-
-
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, PART):
-            yield b.slice(lo, PART)
-
-
 class Sketch:
     def __init__(self):
         self.edges = np.array([(i << 64) // BINS for i in range(BINS)], np.uint64)
@@ -87,7 +77,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
-        for b in parts(batches):
+        for b in common.parts(batches):
             sizes, nodes, bands = [], [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 s = hashing.shingles(hashing.words(text), words)
@@ -105,7 +95,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.fields(("node", pa.binary()), ("set", pa.binary()))
         out = common.Batches(schema)
-        for b in parts(batches):
+        for b in common.parts(batches):
             for node, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 s = hashing.shingles(hashing.words(text), words)
                 if len(s) and digest(s) == node:  # another row may share the doc_id
@@ -122,7 +112,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = common.fields(("a", pa.binary()), ("b", pa.binary()), ("size", pa.int64()), ("adds", pa.int64()), ("lacks", pa.int64()), ("delta", pa.list_(pa.int64())))
         out = common.Batches(schema)
-        for batch in parts(batches):
+        for batch in common.parts(batches):
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 delta = np.setxor1d(x, y, assume_unique=True)

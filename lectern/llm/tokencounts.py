@@ -135,8 +135,7 @@ def build(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(bpe.codec(path, pattern))
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for part in common.parts([b]):
                 trees = [counter.build(t or "") for t in part.column(len(keep) - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t.tobytes() for t in trees], pa.binary()), pa.array([t.tokens for t in trees], pa.int64())], names)
 
@@ -145,25 +144,47 @@ def build(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = Non
     return chosen.mapInArrow(run, f"{kinds}, tree binary, n_tokens long")
 
 
-EDITS = "array<struct<at:bigint,remove:bigint,insert:string>>"
+def _follow(counter: Counter, tree: Tree, text: str, edits: list[dict] | None) -> tuple[Tree, str, int]:
+    """The tree and text after all edits, and how many code points were encoded anew."""
+    again = 0
+    for e in edits or []:
+        tree, text, n = counter.edit(tree, text, e["at"], e["remove"], e["insert"] or "")
+        again += n
+    return tree, text, again
+
+
+#: What is said of a document's edits: tokens before and after, edits, leaves, code points after, and code points that were encoded.
+COUNTS = ("n_tokens_before", "n_tokens", "n_edits", "n_leaves", "n_chars", "encoded_chars")
+_kinds = ", ".join(f"{c} long" for c in COUNTS)
 
 
 def update(built: DataFrame, path: str, pattern: str) -> DataFrame:
-    """built(doc_id, edits, text, tree, n_tokens) after its edits, in their order: doc_id, text, tree, n_tokens_before, n_tokens, n_edits, n_leaves, n_chars and encoded_chars."""
-    schema = common.fields(("doc_id", pa.int64()), ("text", pa.string()), ("tree", pa.binary()), ("n_tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_leaves", pa.int64()), ("n_chars", pa.int64()), ("encoded_chars", pa.int64()))
+    """built(doc_id, edits, text, tree, n_tokens), with stored trees, after its edits, in their order: doc_id, text, tree and COUNTS."""
+    schema = common.fields(("doc_id", pa.int64()), ("text", pa.string()), ("tree", pa.binary()), *((c, pa.int64()) for c in COUNTS))
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
         counter = Counter(bpe.codec(path, pattern))
         for doc_id, edits, text, raw, before in rows:
-            tree, text, again = Tree.of(raw), text or "", 0
-            for e in edits or []:
-                tree, text, n = counter.edit(tree, text, e["at"], e["remove"], e["insert"] or "")
-                again += n
+            tree, text, again = _follow(counter, Tree.of(raw), text or "", edits)
             raw = tree.tobytes()
             yield (doc_id, text, raw, before, tree.tokens, len(edits or []), tree.leaves, len(text), again), 4 * len(text) + len(raw)
 
-    kinds = "doc_id long, text string, tree binary, n_tokens_before long, n_tokens long, n_edits long, n_leaves long, n_chars long, encoded_chars long"
-    return common.map_rows(built.select("doc_id", "edits", "text", "tree", "n_tokens"), run, schema, kinds)
+    return common.map_rows(built.select("doc_id", "edits", "text", "tree", "n_tokens"), run, schema, f"doc_id long, text string, tree binary, {_kinds}")
+
+
+def recount(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs(doc_id, edits, text) to doc_id and COUNTS: a worker builds a text's tree and takes it through its edits; neither trees nor texts come back."""
+    schema = common.fields(("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS))
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
+        counter = Counter(bpe.codec(path, pattern))
+        for doc_id, edits, text in rows:
+            tree = counter.build(text or "")
+            before = tree.tokens
+            tree, text, again = _follow(counter, tree, text or "", edits)
+            yield (doc_id, before, tree.tokens, len(edits or []), tree.leaves, len(text), again), 64
+
+    return common.map_rows(docs.select("doc_id", "edits", "text"), run, schema, f"doc_id long, {_kinds}")
 
 
 def sample_edits(n):
@@ -179,5 +200,4 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
     docs = common.texts_only(common.documents(spark, sf_dir)).withColumn("edits", sample_edits(F.char_length(F.coalesce("text", F.lit("")))))
-    out = update(build(docs, path, pattern, ["doc_id", "edits", "text"]), path, pattern)
-    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_leaves", "n_chars", "encoded_chars")
+    return recount(docs, path, pattern)
