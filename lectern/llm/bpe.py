@@ -85,22 +85,27 @@ def encode_piece(bpe: ByteBpe, left: str, own: str, right: str, overlap: int = O
     return bpe.encode(text[begin:]), doubtful
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ids (binary, little-endian unsigned 32 bits) for each row of docs."""
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, and_decode: bool = False) -> DataFrame:
+    """doc_id, ids (binary, little-endian unsigned 32 bits) for each row of docs; and, where asked for, their decoded bytes, by the same worker."""
     if overlap > chunk:
         raise ValueError("the overlap must not exceed the chunk")
     rows = common.texts_only(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     short = rows.filter(F.char_length("text") <= chunk)
     long = rows.filter(F.char_length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
 
+    def result(bpe: ByteBpe, doc_id: int | None, ids: bytes) -> tuple[tuple, int]:
+        raw = (bpe.decode(ids),) if and_decode else ()
+        return (doc_id, ids, *raw), len(ids) + sum(map(len, raw))
+
     def whole(it: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
         bpe = codec(path, pattern)
         for doc_id, text in it:
-            ids = bpe.encode(text)
-            yield (doc_id, ids), len(ids)
+            yield result(bpe, doc_id, bpe.encode(text))
 
-    ids_schema = common.fields(("doc_id", pa.int64()), ("ids", pa.binary()))
-    done = common.map_rows(short, whole, ids_schema, "doc_id long, ids binary")
+    more = [("bytes", pa.binary())] if and_decode else []
+    out_schema = common.fields(("doc_id", pa.int64()), ("ids", pa.binary()), *more)
+    kinds = "doc_id long, ids binary" + ", bytes binary" * and_decode
+    done = common.map_rows(short, whole, out_schema, kinds)
 
     def deal(it: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
         for doc_id, text, uid in it:
@@ -127,9 +132,9 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
             ids = b"".join(parts)
             if doubtful:
                 ids = bpe.encode(bpe.decode(ids).decode())
-            yield (doc_id, ids), len(ids)
+            yield result(bpe, doc_id, ids)
 
-    return done.unionByName(common.map_rows(joined, join, ids_schema, "doc_id long, ids binary"))
+    return done.unionByName(common.map_rows(joined, join, out_schema, kinds))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -149,5 +154,5 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     path, pattern = vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN
-    both = decode(encode(common.documents(spark, sf_dir), path, pattern), path, pattern)
+    both = encode(common.documents(spark, sf_dir), path, pattern, and_decode=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
