@@ -4,19 +4,22 @@ An Aho-Corasick automaton finds the magic bytes of all formats in one pass over
 which confirms structure, lengths and checksums and gives the medium's extent and its samples. What no validator confirms is no medium, however
 its bytes begin; what one confirms corrects the declared type, and is carved out of whatever surrounds it.
 
-The formats, all lossless with 8-bit samples: WAVE (PCM, one channel), BMP (8 bits a pixel), PNG (8-bit grey), PGM (binary).
+The formats: WAVE (PCM of any depth and number of channels), BMP (uncompressed, any depth), PNG (any colour, depth and filter, interlaced or not) and PGM (binary,
+comments allowed). Samples are read of 8-bit media of one channel that aren't interlaced; of others the kind, extent and size are known, samples are null.
 
 Edge cases: a null or empty text gives one line of blanks; repeated texts equal values; an empty table none; other columns are not read. A blob
-without a valid medium gives no carvings.
+without a valid medium gives no carvings; a null blob is empty.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ class Medium:
     kind: str
     start: int
     end: int
-    samples: bytes
+    samples: bytes | None
     width: int
     height: int
 
@@ -83,9 +86,12 @@ def _wave(b: bytes, at: int) -> Medium | None:
         if kind == b"fmt " and size >= 16:
             fmt = struct.unpack_from("<HHIIHH", b, data)
         if kind == b"data":
-            if fmt is None or fmt[0] != 1 or fmt[1] != 1 or fmt[5] != 8 or fmt[3] != fmt[2] or fmt[4] != 1:
+            if fmt is None:
                 return None
-            return Medium("wave", at, end, b[data : data + size], size, 1)
+            code, channels, rate, bytes_a_second, frame, bits = fmt
+            if code != 1 or not channels or not bits or frame != channels * ((bits + 7) // 8) or bytes_a_second != rate * frame or size % frame:
+                return None
+            return Medium("wave", at, end, b[data : data + size] if (channels, bits) == (1, 8) else None, size // frame, channels)
         place = data + size + (size & 1)
     return None
 
@@ -94,14 +100,59 @@ def _bmp(b: bytes, at: int) -> Medium | None:
     if len(b) < at + 54:
         return None
     size, r1, r2, offset, head, width, height, planes, bits, packed, data = struct.unpack_from("<IHHIIiiHHII", b, at + 2)
-    stride, rows = (width + 3) // 4 * 4, abs(height)
-    if r1 or r2 or head != 40 or planes != 1 or bits != 8 or packed or width <= 0 or not rows or offset < 54 or size != offset + stride * rows or data not in (0, stride * rows) or at + size > len(b):
+    stride, rows = (width * bits + 31) // 32 * 4, abs(height)
+    if r1 or r2 or head not in (40, 108, 124) or planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or packed or width <= 0 or not rows:
+        return None
+    if offset < 14 + head or size != offset + stride * rows or data not in (0, stride * rows) or at + size > len(b):
         return None
+    if bits != 8:
+        return Medium("bmp", at, at + size, None, width, rows)
     first = at + offset
     lines = [b[first + i * stride : first + i * stride + width] for i in range(rows)] if stride != width or height > 0 else [b[first : first + stride * rows]]
     return Medium("bmp", at, at + size, b"".join(lines[::-1] if height > 0 else lines), width, rows)
 
 
+#: Channels of a PNG by its colour type, and the depths that it may have.
+_PNG_COLOURS = {0: (1, (1, 2, 4, 8, 16)), 2: (3, (8, 16)), 3: (1, (1, 2, 4, 8)), 4: (2, (8, 16)), 6: (4, (8, 16))}
+#: First column and row, and steps, of the seven passes of an interlaced PNG.
+_PNG_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _png_rows(width: int, rows: int, bits: int, interlaced: bool) -> list[int]:
+    """The lengths of all scan lines, each with the byte of its filter before it."""
+    if not interlaced:
+        return [1 + (width * bits + 7) // 8] * rows
+    sizes = [(max(0, -(-(width - x) // dx)), max(0, -(-(rows - y) // dy))) for x, y, dx, dy in _PNG_PASSES]
+    return [1 + (w * bits + 7) // 8 for w, h in sizes if w for _ in range(h)]
+
+
+def _unfiltered(lines: bytes, width: int, rows: int) -> bytes:
+    """The bytes of scan lines of one byte a sample, after each line's filter is undone."""
+    if not any(lines[:: width + 1]):
+        return b"".join(lines[i + 1 : i + 1 + width] for i in range(0, len(lines), width + 1))
+    out, above = [], np.zeros(width, np.uint8)
+    for i in range(0, len(lines), width + 1):
+        kind, x = lines[i], np.frombuffer(lines, np.uint8, width, i + 1)
+        if kind == 1:
+            x = np.cumsum(x, dtype=np.uint8)
+        elif kind == 2:
+            x = x + above
+        elif kind:
+            raw, up, row, left = x.tolist(), above.tolist(), bytearray(width), 0
+            for k in range(width):
+                if kind == 3:
+                    guess = (left + up[k]) // 2
+                else:
+                    corner = up[k - 1] if k else 0
+                    far = (abs(up[k] - corner), abs(left - corner), abs(left + up[k] - 2 * corner))
+                    guess = (left, up[k], corner)[far.index(min(far))]
+                left = row[k] = (raw[k] + guess) & 255
+            x = np.frombuffer(bytes(row), np.uint8)
+        out.append(x.tobytes())
+        above = x
+    return b"".join(out)
+
+
 def _png(b: bytes, at: int) -> Medium | None:
     place, head, data = at + 8, None, []
     while place + 12 <= len(b):
@@ -117,34 +168,45 @@ def _png(b: bytes, at: int) -> Medium | None:
         elif kind == b"IDAT":
             data.append(body)
         elif kind == b"IEND":
-            width, rows, depth, colour, *rest = head
-            if depth != 8 or colour or any(rest) or not width or not rows:
-                return None
-            try:
-                lines = zlib.decompress(b"".join(data))
-            except zlib.error:
-                return None
-            if len(lines) != rows * (width + 1) or any(lines[:: width + 1]):  # only rows that no filter has changed
-                return None
-            return Medium("png", at, end, b"".join(lines[i + 1 : i + 1 + width] for i in range(0, len(lines), width + 1)), width, rows)
+            return _png_image(head, b"".join(data), at, end)
         place = end
     return None
 
 
+def _png_image(head: tuple[int, ...], data: bytes, at: int, end: int) -> Medium | None:
+    width, rows, depth, colour, packing, filters, interlaced = head
+    channels, depths = _PNG_COLOURS.get(colour, (0, ()))
+    if depth not in depths or packing or filters or interlaced > 1 or not width or not rows:
+        return None
+    lengths = _png_rows(width, rows, channels * depth, bool(interlaced))
+    whole = sum(lengths)
+    try:
+        unpack = zlib.decompressobj()
+        lines = unpack.decompress(data, whole + 1)  # no more than a sound file holds
+    except zlib.error:
+        return None
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    if len(lines) != whole or not unpack.eof or np.frombuffer(lines, np.uint8)[starts].max() > 4:
+        return None
+    return Medium("png", at, end, _unfiltered(lines, width, rows) if (channels, depth, interlaced) == (1, 8, 0) and colour == 0 else None, width, rows)
+
+
+_pgm_head = re.compile(rb"P5(?:\s+|\s*#[^\n]*\n\s*)+(\d{1,9})(?:\s+|\s*#[^\n]*\n\s*)+(\d{1,9})(?:\s+|\s*#[^\n]*\n\s*)+(\d{1,5})\s")
+
+
 def _pgm(b: bytes, at: int) -> Medium | None:
-    parts = b[at : at + 64].split(maxsplit=4)
-    if len(parts) < 4 or not all(p.isdigit() for p in parts[1:4]) or int(parts[3]) != 255:
+    m = _pgm_head.match(b, at, min(len(b), at + 1024))
+    if not m:
         return None
-    width, rows = int(parts[1]), int(parts[2])
-    head = b"P5\n%d %d\n255\n" % (width, rows)
-    end = at + len(head) + width * rows
-    if not width or not rows or not b.startswith(head, at) or end > len(b):
+    width, rows, most = map(int, m.groups())
+    end = m.end() + width * rows * (2 if most > 255 else 1)
+    if not width or not rows or not 0 < most < 65536 or end > len(b):
         return None
-    return Medium("pgm", at, end, b[at + len(head) : end], width, rows)
+    return Medium("pgm", at, end, b[m.end() : end] if most < 256 else None, width, rows)
 
 
 #: Magic bytes, the kind and its validator.
-MAGIC = {b"RIFF": ("wave", _wave), b"BM": ("bmp", _bmp), b"\x89PNG\r\n\x1a\n": ("png", _png), b"P5\n": ("pgm", _pgm)}
+MAGIC = {b"RIFF": ("wave", _wave), b"BM": ("bmp", _bmp), b"\x89PNG\r\n\x1a\n": ("png", _png), b"P5": ("pgm", _pgm)}
 KINDS = tuple(k for k, _ in MAGIC.values())
 
 
@@ -177,43 +239,80 @@ def pad(raw: bytes) -> bytes:
     return raw + b" " * (-len(raw) % WIDTH if raw else WIDTH)
 
 
+#: What may stand around a file in a blob: bytes that begin like media and are none.
+BEFORE, AFTER = b"\0BM RIFF P5 1\n\x89PNG\r\n", b"BM\0RIFF"
+
+
 def wrap(payload: bytes) -> tuple[str, bytes, str]:
     """A payload's kind, its file and the type that is declared for it, which is right for every second one or so."""
     kind = kind_of(payload)
     return kind, store(payload, kind), KINDS[zlib.crc32(payload[::-1]) % 2 * KINDS.index(kind)]
 
 
+def blob_of(payload: bytes) -> tuple[bytes, str]:
+    """A payload's file, for every third one or so among other bytes, and the declared type."""
+    _, file, declared = wrap(payload)
+    return (BEFORE + file + AFTER if zlib.crc32(payload[::-1]) % 3 == 0 else file), declared
+
+
+_STORED = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("media", pa.binary())]
+_SEEN = [("kind", pa.string()), ("media_at", pa.int64()), ("media_end", pa.int64()), ("payload", pa.binary()), ("width", pa.int64()), ("height", pa.int64()), ("n_media", pa.int32())]
+_stored = "doc_id long, n_bytes long, declared string, media binary"
+_seen = "kind string, media_at long, media_end long, payload binary, width long, height long, n_media int"
+
+
+def _stored_row(doc_id: int | None, text: str | None) -> tuple:
+    raw = (text or "").encode()
+    blob, declared = blob_of(pad(raw))
+    return doc_id, len(raw), declared, blob
+
+
+def _seen_row(sniffer: Sniffer, blob: bytes | None) -> tuple:
+    found = sniffer.media(blob or b"")
+    m = found[0] if found else Medium(None, None, None, None, None, None)
+    return m.kind, m.start, m.end, m.samples, m.width, m.height, len(found)
+
+
 def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, declared (type) and media (binary): each text stored as a media column."""
 
     def run(it: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
         for doc_id, text in it:
-            raw = (text or "").encode()
-            _, file, declared = wrap(pad(raw))
-            yield (doc_id, len(raw), declared, file), len(file)
+            row = _stored_row(doc_id, text)
+            yield row, len(row[3])
 
-    schema = common.fields(("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("media", pa.binary()))
-    return common.map_rows(common.texts_only(docs), run, schema, "doc_id long, n_bytes long, declared string, media binary")
+    return common.map_rows(common.texts_only(docs), run, common.fields(*_STORED), _stored)
 
 
 def sniff(column: DataFrame) -> DataFrame:
-    """column(doc_id, n_bytes, declared, media) with kind (the corrected type, null where there is no medium), media_at, payload (the first medium's samples), width, height and n_media."""
+    """column(doc_id, n_bytes, declared, media) with kind (the corrected type, null where there is no medium), media_at and media_end, payload (the first medium's samples), width, height and n_media."""
 
     def run(it: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
         sniffer = Sniffer()
-        for doc_id, n_bytes, declared, blob in it:
-            found = sniffer.media(blob or b"")
-            m = found[0] if found else Medium(None, None, None, None, None, None)
-            yield (doc_id, n_bytes, declared, blob, m.kind, m.start, m.samples, m.width, m.height, len(found)), 2 * len(blob or b"")
+        for row in it:
+            yield (*row, *_seen_row(sniffer, row[3])), 2 * len(row[3] or b"")
+
+    return common.map_rows(column.select("doc_id", "n_bytes", "declared", "media"), run, common.fields(*_STORED, *_SEEN), f"{_stored}, {_seen}")
+
+
+def stored_and_sniffed(docs: DataFrame) -> DataFrame:
+    """What sniff(media(docs)) gives, by one worker for each row."""
+
+    def run(it: Iterator[tuple]) -> Iterator[tuple[tuple, int]]:
+        sniffer = Sniffer()
+        for doc_id, text in it:
+            row = _stored_row(doc_id, text)
+            yield (*row, *_seen_row(sniffer, row[3])), 2 * len(row[3])
 
-    schema = common.fields(("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("media", pa.binary()), ("kind", pa.string()), ("media_at", pa.int64()), ("payload", pa.binary()), ("width", pa.int64()), ("height", pa.int64()), ("n_media", pa.int32()))
-    return common.map_rows(column.select("doc_id", "n_bytes", "declared", "media"), run, schema, "doc_id long, n_bytes long, declared string, media binary, kind string, media_at long, payload binary, width long, height long, n_media int")
+    return common.map_rows(common.texts_only(docs), run, common.fields(*_STORED, *_SEEN), f"{_stored}, {_seen}")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = sniff(media(common.documents(spark, sf_dir)))
+    """The stored form is the file as it is carved out of its blob."""
+    seen = stored_and_sniffed(common.documents(spark, sf_dir))
     feature = F.format_string("%s %dx%d at %d, declared %s", "kind", "width", "height", "media_at", "declared")
+    file = F.substring("media", (F.col("media_at") + 1).cast("int"), (F.col("media_end") - F.col("media_at")).cast("int"))
     return seen.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substr(payload, -16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.crc32(F.expr("substr(payload, -16)")).alias("tail_crc32"), F.octet_length(file).cast("long").alias("media_bytes"), F.sha2(file, 256).alias("media_sha256"), feature.alias("feature"),
     )
