@@ -1,37 +1,27 @@
 """Rule-based text cleaning: dictionary replacement that keeps case, ordered rewrites, and long sentences broken up.
 
-Dictionaries and rules are parameters. The defaults are short; a work's full tables come as a DataFrame or list from its editor.
+Every table, list and rule belongs to its editor and is a parameter: nothing is built in but the defaults of two limits.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Older English words and what is said today.
-OLDER = {
-    "thou": "you", "thee": "you", "thy": "your", "thine": "your", "ye": "you", "hast": "have", "shalt": "shall", "wilt": "will", "dost": "do",
-    "didst": "did", "canst": "can", "wast": "were", "hadst": "had", "hath": "has", "doth": "does", "saith": "says", "unto": "to",
-}
-# Stems of words in -our that lose the u in American spelling, and the endings they take.
-OUR_STEMS = ["col", "hon", "lab", "neighb", "splend", "vap", "clam", "od", "fav", "val", "arm", "rum", "ard", "ferv", "succ", "vig", "endeav"]
-OUR_ENDINGS = ["", "s", "ed", "ing", "able", "ful", "less"]
-# Other British spellings.
-BRITISH = {"offence": "offense", "defence": "defense", "centre": "center", "sceptre": "scepter", "grey": "gray", "plough": "plow", "judgement": "judgment", "travelled": "traveled", "counsellor": "counselor", "saviour": "savior", "amongst": "among", "whilst": "while"}
-# Set phrases, in the order in which they are rewritten.
-REWRITES = [
-    (r"\bit came to pass,? that\b", "it happened that"), (r"\bit came to pass\b", "it happened"), (r"\bdid eat and drink\b", "ate and drank"), (r"\bdid eat\b", "ate"),
-    (r"\bof a truth\b", "in truth"), (r"\bin no wise\b", "in no way"), (r"\bburnt (?!offering|sacrifice)", "burned "),
-]
+from . import text as T
 
+PARTS = r"\p{L}+|[^\p{L}]+"
 
-def americanisms() -> dict[str, str]:
-    return {f"{s}our{e}": f"{s}or{e}" for s in OUR_STEMS for e in OUR_ENDINGS} | BRITISH
+
+def inflected(stems: dict[str, str], endings: list[str]) -> dict[str, str]:
+    """A table of stems carried through their endings."""
+    return {old + e: new + e for old, new in stems.items() for e in endings}
 
 
 def cased(like: Column, word: Column) -> Column:
@@ -41,86 +31,115 @@ def cased(like: Column, word: Column) -> Column:
 
 def replace_words(text: Column, words: dict[str, str]) -> Column:
     """Whole words by a dictionary of lower-case forms, their case kept; what lies between words stays. One pass, in the row."""
+    if not words:
+        return text
     table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
 
     def one(w: Column) -> Column:
         new = F.try_element_at(table, F.lower(w))
         return F.when(new.isNull(), w).otherwise(cased(w, new))
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), 0), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PARTS), 0), one), "")
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Ordered rewrites of phrases; one that begins with a capital keeps it."""
+    """Ordered rewrites (a pattern in any case, what it becomes, with $1 and so on for its groups); what begins with a capital keeps it."""
     for pattern, to in rules:
-        head = re.match(r"(?:\\b)?([a-z])", pattern)
-        if head:
-            at = head.start(1)
-            text = F.regexp_replace(text, pattern[:at] + pattern[at].upper() + pattern[at + 1 :], to[:1].upper() + to[1:])
-        text = F.regexp_replace(text, pattern, to)
+        capital = rf"(?=\p{{Lu}})(?i:{pattern})"
+        if to.startswith("$"):  # what the group holds isn't known before: its place is marked
+            pieces = F.split(F.regexp_replace(text, capital, "\0" + to), "\0", -1)
+            text = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.char_length(p))))), "")
+        else:
+            text = F.regexp_replace(text, capital, to[:1].upper() + to[1:])
+        text = F.regexp_replace(text, rf"(?=\P{{Lu}})(?i:{pattern})", to)
     return text
 
 
-# Subjects that open a clause of their own.
-#: "he that knows" is a relative clause, "told him that he knew" isn't: it is one unless a subject follows.
-SUBJECTS = "he|she|it|they|we|you|i|the|this|these|those|there|a|an|his|her|their|my|your|our|its|what|which|who|how|if|when|where|since|because|ye|thou|thee|thy|thine"
-
-
-def relative_who(text: Column) -> Column:
-    following = rf"(?=\s+(?!(?:{SUBJECTS})\b)[a-z])"
-    text = F.regexp_replace(text, rf"\b([Hh]e|[Hh]im|[Ss]he|[Hh]er) that\b{following}", "$1 who")
-    text = F.regexp_replace(text, rf"\b(?:They|Them|Those) that\b{following}", "Those who")
-    return F.regexp_replace(text, rf"\b(?:they|them|those) that\b{following}", "those who")
-
-
-# A sentence's most words, a piece's fewest, and what opens a clause or makes it dependent.
-LONGEST, SHORTEST = 32, 7
-_opening = re.compile(r", (?:and|but|for|so|therefore|yet) (?=(?:He|She|It|They|We|You|I|There|This|These|Those)\b)|, (?:but|therefore|so|yet|nevertheless) (?=[a-z])|; (?:(?:and|but|for|so|nor|yet|therefore) )?(?=[A-Za-z])")
-_dependent = re.compile(r"(?:that|which|who|whom|whose|because|since|although|though|while|when|whenever|where|wherever|if|unless|until|till|lest|as|than|whereby|wherein|to|in)\b")
-
-
-def _break(sentence: str) -> tuple[str, str] | None:
-    """A long sentence in two, at the clause nearest its middle that leaves SHORTEST words on either side."""
-    if len(sentence.split()) <= LONGEST:
-        return None
-    best: tuple[float, str, str] | None = None
-    for m in _opening.finditer(sentence):
-        if _dependent.match(sentence, m.end()):
-            continue
-        left, right = sentence[: m.start()], sentence[m.start() + 2 :]
-        if min(len(left.split()), len(right.split())) >= SHORTEST:
-            found = (abs(m.start() - len(sentence) / 2), left, right)
-            best = found if best is None or found[0] < best[0] else best
-    return best and (best[1].rstrip() + ".", best[2][:1].upper() + best[2][1:])
-
-
-def shorten(text: str | None) -> str | None:
-    """Sentences of more than LONGEST words are broken up while they can be; marks and capitals change, words don't."""
-    if not text or len(text.split()) <= LONGEST:
-        return text
-    out = []
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        todo = [sentence]
-        while todo:
-            now = todo.pop()
-            if two := _break(now):
-                todo += two[::-1]
-            else:
-                out.append(now)
-    return " ".join(out)
-
-
-@F.pandas_udf(StringType())
-def resentence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(shorten, na_action="ignore")
-
-
-def by_tier(text: Column, tier: Column) -> Column:
-    """As received, lightly (spelling) or in full (spelling, words, phrases)."""
-    light = replace_words(text, americanisms())
-    full = relative_who(rewrite(replace_words(text, americanisms() | OLDER), REWRITES))
-    return F.when(tier == "none", text).when(tier == "safe", light).otherwise(full)
+def relative(text: Column, heads: list[str], link: str, to: str, subjects: list[str]) -> Column:
+    """`link` becomes `to` where it opens a relative clause: right after one of heads, and before a lower-case word that is none of subjects, as a subject
+    would make it a clause of its own. All lists are in lower case."""
+    parts = F.regexp_extract_all(text, F.lit(PARTS), 0)
+    at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    blank = lambda i: at(i).rlike(r"^\s+$")
+
+    def one(w: Column, i: Column) -> Column:
+        after = at(i + 2)
+        opens = (F.lower(w) == link) & F.lower(at(i - 2)).isin(heads) & blank(i - 1) & blank(i + 1) & after.rlike(r"^\p{Ll}") & ~F.lower(after).isin(subjects)
+        return F.when(opens, cased(w, F.lit(to))).otherwise(w)
+
+    return F.array_join(F.transform(parts, one), "")
+
+
+def modernized(text: Column, phrases: list[tuple[str, str]], words: dict[str, str]) -> Column:
+    """Phrases first, as they are made of words that change, then words."""
+    return replace_words(rewrite(text, phrases), words)
+
+
+def fixed(text: Column, syntax: list[tuple[str, str]], words: dict[str, str], spelling: dict[str, str], names: dict[str, str]) -> Column:
+    """The corrections of a text in their order: syntax, vocabulary, spelling, and names, which begin with a capital and go by their exact form."""
+    text = replace_words(replace_words(rewrite(text, syntax), words), spelling)
+    return T.respell(text, names) if names else text
+
+
+def by_tier(text: Column, tier: Column, spelling: dict[str, str], words: dict[str, str], phrases: list[tuple[str, str]]) -> Column:
+    """As received (none), lightly (safe: spelling) or in full (phrases, words, spelling)."""
+    light = replace_words(text, spelling)
+    return F.when(tier == "none", text).when(tier == "safe", light).otherwise(modernized(text, phrases, spelling | words))
+
+
+@dataclass(frozen=True)
+class Clauses:
+    """Where a sentence of more than `most` words may be cut, leaving `least` words on either side: after a semicolon; or after a comma, before one of
+    joiners that one of subjects follows (with joiners alone nothing shows that a clause begins). A semicolon is safer than a comma."""
+
+    joiners: frozenset[str] = frozenset()
+    subjects: frozenset[str] = frozenset()
+    most: int = 32
+    least: int = 7
+    rounds: int = field(default=40)
+
+    def cut(self, sentence: str) -> int | None:
+        """The word before which the sentence is best cut: the safest place, of these the one nearest the middle, of two the first."""
+        words = sentence.split()
+        best = None
+        if len(words) > self.most:
+            for i in range(max(1, self.least), len(words) - max(1, self.least) + 1):
+                mark = words[i - 1][-1]
+                follows = words[i + 1].lower() if i + 1 < len(words) else ""
+                safety = 2 if mark == ";" else 1 if mark == "," and words[i] in self.joiners and follows in self.subjects else 0
+                if safety:
+                    best = max(best or (0, 0, 0), (safety, -abs(2 * i - len(words)), -i))
+        return best and -best[2]
+
+    def shortened(self, text: str | None) -> str | None:
+        """Sentences are cut while they can be, `rounds` times in a text at most; marks and capitals change, words and line breaks don't."""
+        if not text or len(text.split()) <= self.most:
+            return text
+        out, rounds = [], self.rounds
+        for sentence in re.split(r"((?<=[.!?])\s+)", text):
+            todo = [sentence]
+            while todo:
+                now = todo.pop()
+                at = self.cut(now) if rounds else None
+                if at is None:
+                    out.append(now)
+                    continue
+                rounds -= 1
+                words = list(re.finditer(r"\S+", now))
+                left, gap, right = now[: words[at - 1].end() - 1], now[words[at - 1].end() : words[at].start()], now[words[at].start() :]
+                todo += [right[:1].upper() + right[1:], gap, left + "."]
+        return "".join(out)
+
+
+def resentence(text: str, clauses: Clauses) -> Column:
+    """The column text with its long sentences cut."""
+
+    @F.pandas_udf(StringType())
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(clauses.shortened, na_action="ignore")
+
+    return cut(text)
 
 
 def applied(units: DataFrame, text: str, dictionary: DataFrame) -> DataFrame:

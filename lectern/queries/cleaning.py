@@ -1,41 +1,89 @@
-"""Text cleaning over whole tables."""
+"""Text cleaning over whole tables. The tables and rules are examples; where the texts hold none of their words, the query plants some."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import modernize
-from ..sources import wikitext
+from ..sources import usfm, volumes, wikitext
 from .registry import query, table
 
 _CASE = "case when upper(w) = w and length(w) > 1 then upper(r) when left(w, 1) <> lower(left(w, 1)) then upper(left(r, 1)) || substring(r, 2) else r end"
 WORDS = {"with": "by", "from": "out", "avec": "sans", "und": "oder"}
 _R = "case lower(w) " + " ".join(f"when '{a}' then '{b}'" for a, b in WORDS.items()) + " end"
 
+SPELLING = modernize.inflected({"harbour": "harbor", "flavour": "flavor", "parlour": "parlor"}, ["", "s", "ed"])
+ARCHAIC = {"betwixt": "between", "yonder": "there"}
+PHRASES = [("twas said that", "they say"), ("twas said", "it was said")]
+SYNTAX = [(r"gone is (he|she|it)", "$1 has gone")]
+NAMES = {"Lundon": "London"}
+
+
+def _planted(text, of: str, the: str):
+    """text with `of` behind each inner "of", and `the` for each "The "."""
+    return F.replace(F.replace(text, F.lit(" of "), F.lit(f" of {of} ")), F.lit("The "), F.lit(the))
+
+
+def _planted_sql(of: str, the: str) -> str:
+    return f"replace(replace(text, ' of ', ' of {of} '), 'The ', '{the}')"
+
+
+def _md5(c):
+    return F.md5(c.cast("binary")).alias("m")
+
 
 @query("n1_dictionary_replace", f"""with t as (select doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+')) as w, generate_subscripts(regexp_extract_all(text, '\\p{{L}}+|[^\\p{{L}}]+'), 1) as i from documents),
 r as (select *, {_R} as r from t) select doc_id, md5(string_agg(case when r is null then w else {_CASE} end, '' order by i)) as m from r group by doc_id""")
 def dictionary_replace(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(modernize.replace_words(F.col("text"), WORDS).cast("binary")).alias("m"))
+    return table(spark, d, "documents").select("doc_id", _md5(modernize.replace_words(F.col("text"), WORDS)))
+
+
+@query("n2_fix_text", f"select doc_id, md5({_planted_sql('london: it has gone there, and to London between parlors', 'He has gone HARBORED ')}) as m from documents")
+def fix_text(spark, d):
+    """Syntax, words, spelling, names; a name's other forms stay."""
+    text = _planted(F.col("text"), "london: gone is it yonder, and to Lundon betwixt parlours", "Gone is he HARBOURED ")
+    return table(spark, d, "documents").select("doc_id", _md5(modernize.fixed(text, SYNTAX, ARCHAIC, SPELLING, NAMES)))
 
 
-@query("n3_americanize", "select doc_id, md5(text) as m from documents")
+@query("n3_americanize", f"select doc_id, md5({_planted_sql('harbors or flavored', 'PARLOR, Flavors ')}) as m from documents")
 def americanize(spark, d):
-    """The tables hold no British spelling, so that nothing may change."""
-    return table(spark, d, "documents").select("doc_id", F.md5(modernize.replace_words(F.col("text"), modernize.americanisms()).cast("binary")).alias("m"))
+    text = _planted(F.col("text"), "harbours or flavoured", "PARLOUR, Flavours ")
+    return table(spark, d, "documents").select("doc_id", _md5(modernize.replace_words(text, SPELLING)))
 
 
-@query("n5_rewrites", """select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Of the ', 'Of this ', 'g'), 'of the ', 'of this ', 'g'), 'To the ', 'To that ', 'g'), 'to the ', 'to that ', 'g')) as m from documents""")
+@query("n4_modernize", f"select doc_id, md5({_planted_sql('they say there it was said,', 'They say ')}) as m from documents")
+def modernize_words(spark, d):
+    text = _planted(F.col("text"), "twas said that yonder twas said,", "Twas said that ")
+    return table(spark, d, "documents").select("doc_id", _md5(modernize.modernized(text, PHRASES, ARCHAIC)))
+
+
+@query("n5_rewrites", """with a as (select doc_id, regexp_replace(text, '(?i) (of|to) the ', ' \\1 this ', 'g') as t from documents)
+select doc_id, md5(regexp_replace(regexp_replace(t, 'T(?i:he ([a-z]+) of )', 'That \\1 of ', 'g'), 't(?i:he ([a-z]+) of )', 'that \\1 of ', 'g')) as m from a""")
 def rewrites(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(modernize.rewrite(F.col("text"), [("of the ", "of this "), ("to the ", "to that ")]).cast("binary")).alias("m"))
+    rules = [(" (of|to) the ", " $1 this "), ("the ([a-z]+) of ", "that $1 of ")]
+    return table(spark, d, "documents").select("doc_id", _md5(modernize.rewrite(F.col("text"), rules)))
+
+
+@query("n6_relative", """with p as (select doc_id, regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+') as ws from documents), t as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from p),
+n as (select *, lag(w, 2) over o as b2, lag(w) over o as b1, lead(w) over o as a1, lead(w, 2) over o as a2 from t window o as (partition by doc_id order by i)),
+r as (select doc_id, i, w, case when lower(w) = 'the' and lower(b2) in ('of', 'in', 'to') and regexp_matches(b1, '^\\s+$') and regexp_matches(a1, '^\\s+$') and regexp_matches(a2, '^\\p{Ll}') and lower(a2) not in ('a', 'that', 'is') then 'which' end as r from n)
+select doc_id, count(r) as changed, md5(string_agg(case when r is null then w else """ + _CASE + """ end, '' order by i)) as m from r group by doc_id""")
+def relative(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", modernize.relative(F.col("text"), ["of", "in", "to"], "the", "which", ["a", "that", "is"]).alias("t"))
+    count = lambda c, w: F.size(F.filter(F.regexp_extract_all(F.lower(c), F.lit(modernize.PARTS), 0), lambda x: x == w))
+    return docs.select("doc_id", (count(F.col("t"), "which") - count(F.col("text"), "which")).cast("long").alias("changed"), _md5(F.col("t")))
+
+
+#: Clauses of invented prose: what joins them and what they begin with are its commonest words.
+CLAUSES = modernize.Clauses(frozenset(["and", "of", "to", "et", "und", "y", "de"]), frozenset(["the", "a", "it", "is", "la", "le", "der", "die", "el"]))
 
 
 @query("n7_resentence")
 def resentence(spark, d):
     """Words stay as they were; sentences get no longer."""
-    docs = table(spark, d, "documents").select("doc_id", "text", modernize.resentence("text").alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", "text", modernize.resentence("text", CLAUSES).alias("t"))
     n = lambda c: F.size(F.split(F.btrim(F.regexp_replace(c, r"\s+", " ")), " "))
-    return docs.select("doc_id", n("text").alias("words_before"), n("t").alias("words_after"), F.md5(F.col("t").cast("binary")).alias("m"))
+    return docs.select("doc_id", n("text").alias("words_before"), n("t").alias("words_after"), (F.char_length(F.regexp_replace("t", "[^.]", "")) - F.char_length(F.regexp_replace("text", "[^.]", ""))).alias("cuts"), _md5(F.col("t")))
 
 
 @query("n10_strip_markup", "select page_id, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) as n from pages")
@@ -43,11 +91,87 @@ def strip_markup(spark, d):
     return table(spark, d, "pages").select("page_id", F.char_length(wikitext.strip_tags(F.col("html"))).cast("long").alias("n"))
 
 
-@query("n14_tiers", "select doc_id, case when lang = 'en' then 'none' else 'safe' end as tier, md5(text) as m from documents")
+def _plain(c):
+    """Text without the characters that markup is made of."""
+    return F.regexp_replace(c, r"[\[\]{}|'&<>0-9=_\\*]", "")
+
+
+_WORDS = r"regexp_extract_all(regexp_replace(line, '[\[\]{}|''&<>0-9=_\\*]', '', 'g'), '[^\x20\x09-\x0D]+')"
+
+
+@query("n9_usfm_words", f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+select doc_id, cast(i as varchar) as verse, md5(array_to_string({_WORDS}, ' ')) as m, cast(len({_WORDS}) // 11 as bigint) as notes from l where len({_WORDS}) > 0""")
+def usfm_words(spark, d):
+    """Each document as a book, each line as a verse, whose words stand in wrappers, styles and nested wrappers, every eleventh with a note behind it."""
+    words = F.regexp_extract_all(_plain(F.col("line")), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "i", words.alias("w")).filter(F.size("w") > 0)
+
+    def wrapped(w, k):
+        c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+        one = F.when(k % 5 == 0, c("\\w ", w, '|strong="H1"\\w*')).when(k % 5 == 1, c("\\wj \\+add \\+w ", w, "|lemma=\"x\"\\+w*\\+add*\\wj*")).otherwise(w)
+        return F.when((k + 1) % 11 == 0, c(one, "\\f + \\fr 1:1 \\ft about \\fq ", w, "\\f*")).otherwise(one)
+
+    marked = lines.select(F.col("doc_id").alias("book"), F.col("i").alias("ord"), F.lit("v").alias("tag"), F.concat((F.col("i") + 1).cast("string"), F.lit(" "), F.array_join(F.transform("w", wrapped), " ")).alias("rest"))
+    found = usfm.pieces(marked)
+    return found.select(F.col("book").alias("doc_id"), "verse", F.md5(usfm.visible(F.col("runs")).cast("binary")).alias("m"), F.coalesce(F.array_max(F.transform("runs", lambda r: r["note"])), F.lit(0)).cast("long").alias("notes"))
+
+
+@query("s24_wikitext", f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)
+select doc_id, i // 500 as page, i % 500 + 1 as verse, md5(array_to_string({_WORDS}, ' ')) as m, cast(case when len({_WORDS}) > 3 then 1 else 0 end as bigint) as notes from l""")
+def wikitext_verses(spark, d):
+    """Each 500 lines of a document as a chapter, each line as a verse, with links, templates within templates, and notes."""
+    words = lambda x: F.regexp_extract_all(_plain(x), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    lines = F.transform(F.split("text", "\n", -1), words)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 500).cast("int")), lambda p: F.slice("ls", p * 500 + 1, F.lit(500)))
+    pages = table(spark, d, "documents").select("doc_id", lines.alias("ls")).select("doc_id", F.posexplode(cut).alias("page", "ls"))
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    dressed = lambda w, k: F.when(k % 4 == 0, c("[[to|", w, "]]")).when(k % 4 == 1, c("{{sc|{{anchor+|a|2=", w, "}}}}")).when(k % 4 == 2, c("''[[", w, "]]''{{hidden|{{x}}}}")).otherwise(c(w, F.when(k == 3, "<ref>a ''note''</ref>").otherwise("")))
+    verse = lambda ws, i: c((i + 1).cast("string"), ". ", F.array_join(F.transform(ws, dressed), " "))
+    text = c("{{header\n| title = {{x}}\n}}\n", F.array_join(F.transform("ls", verse), "\n"), "\n== Footnotes ==\n1. none")
+    files = pages.select(F.struct("doc_id", "page").alias("file"), text.alias("text"))
+    return wikitext.parsed(files).select("file.doc_id", F.col("file.page").cast("long").alias("page"), F.col("verse").cast("long").alias("verse"), _md5(F.col("text")), F.size("notes").cast("long").alias("notes"))
+
+
+@query("n11_repair", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)
+select doc_id, count(*) as lines, md5(string_agg(replace(rtrim(line), '|', 'I'), chr(10) order by i)) as m from l where trim(line) <> 'A PLATE' group by doc_id""")
+def repair(spark, d):
+    """Lines with page marks between and within them, and plates' captions; without these the lines are what they were, but for bars."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    odd = F.when(F.col("i") % 3 == 0, F.array(F.col("line"), F.lit(" <page 12> ("), F.lit("A PLATE"))).otherwise(F.array(F.col("line"), F.lit("A PLATE")))
+    planted = lines.select("file", "i", F.posexplode(odd).alias("k", "line")).select("file", F.struct("i", "k").alias("ord"), F.regexp_replace("line", r" <page 12> \(", "<page 12>(see next)").alias("line"))
+    out = volumes.repaired(planted, [r"<page \d+>", r"\(see next\)"], ["A PLATE"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    return out.groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("lines"), F.md5(text.cast("binary")).alias("m"))
+
+
+@query("n12_chapter_titles", "select p_partkey, p_name as title from part")
+def chapter_titles(spark, d):
+    head = F.concat(F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit("[12]. — LONGER. "))
+    return table(spark, d, "part").select("p_partkey", volumes.chapter_title(head, ["SHORTER", "LONGER"]).alias("title"))
+
+
+@query("n13_typed_runs", """with a as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents), w as (select doc_id, i, regexp_extract_all(regexp_replace(line, '[\\[\\]_]', '', 'g'), '[^\\x20\\x09-\\x0D]+') as w from a)
+select doc_id, i as line, w[1] as italic, array_to_string(w[2:], ' ') as plain, i as caller from w where len(w) > 1""")
+def typed_runs(spark, d):
+    """Each line's first word in italics, a caller behind the last."""
+    words = F.regexp_extract_all(F.regexp_replace("line", r"[\[\]_]", ""), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), words.alias("w")).filter(F.size("w") > 1)
+    text = F.concat(F.lit("_"), F.get("w", F.lit(0)), F.lit("_ "), F.array_join(F.slice("w", F.lit(2), F.size("w")), " "), F.lit(" ["), F.col("line").cast("string"), F.lit("]"))
+    seen = lines.select("doc_id", "line", volumes.runs(text).alias("r"))
+    of = lambda kind: F.trim(F.array_join(F.transform(F.filter("r", lambda x: x["kind"] == kind), lambda x: x["text"]), ""))
+    return seen.select("doc_id", "line", of("italic").alias("italic"), of("plain").alias("plain"), of("caller").cast("long").alias("caller"))
+
+
+_TIER = ("twas said that harbours lie yonder", "Twas said Harboured ")
+
+
+@query("n14_tiers", f"""select doc_id, case lang when 'en' then 'none' when 'de' then 'safe' else 'full' end as tier, md5(case lang when 'en' then {_planted_sql(*_TIER)}
+when 'de' then {_planted_sql('twas said that harbors lie yonder', 'Twas said Harbored ')} else {_planted_sql('they say harbors lie there', 'It was said Harbored ')} end) as m from documents""")
 def tiers(spark, d):
-    """English is left as received, the rest lightly modernized, which changes nothing in it."""
-    docs = table(spark, d, "documents").withColumn("tier", F.when(F.col("lang") == "en", "none").otherwise("safe"))
-    return docs.select("doc_id", "tier", F.md5(modernize.by_tier(F.col("text"), F.col("tier")).cast("binary")).alias("m"))
+    """English as received, German lightly, the rest in full."""
+    of = F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit(f" of {_TIER[0]} ")), F.lit("The "), F.lit(_TIER[1]))
+    docs = table(spark, d, "documents").select("doc_id", of.alias("text"), F.when(F.col("lang") == "en", "none").when(F.col("lang") == "de", "safe").otherwise("full").alias("tier"))
+    return docs.select("doc_id", "tier", _md5(modernize.by_tier(F.col("text"), F.col("tier"), SPELLING, ARCHAIC, PHRASES)))
 
 
 @query("p22_applied_corrections", f"""with v as (select distinct unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as w from documents), f(received, corrected) as (values {', '.join(f"('{a}', '{b}')" for a, b in WORDS.items())}, ('zzyzx', 'x'))

@@ -1,35 +1,79 @@
-"""USFM, as tables of lines, markers and verses: each step is a column or a window over a file's lines."""
+"""USFM, as tables of lines, verses, notes and typed runs: each step is a column or a window over a file's lines.
+
+A line's inline content is read by its markers, as the format describes them: `\\xx ` opens a character style and ends those that are open, `\\+xx `
+nests, `\\xx*` closes its style and what is nested in it; a note is closed by its own marker alone, and its parts, which are styles, end one another. What follows a
+bar within a style are its attributes. So wrappers go at any depth, and a style that is never closed ends with its line.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from pyspark.sql.window import Window as W
 
-# The markers that open a paragraph.
-PARAGRAPHS = ["p", "m", "nb", "pc", "mi", "pi1", "pi2", "li1", "li2", "q1", "q2", "q3", "q4", "qc", "qr", "b", "d", "sp", "s1", "s2", "ms1", "ms2", "is1", "ip", "iot", "io1", "cl"]
-# The markers that are passed over.
-IGNORED = ["ide", "rem", "sts", "toc3", "usfm", "cp", "va", "vp"]
-# How words with a dictionary number, the divine name among them, are wrapped.
-DIVINE_NAME = r'\\\+?w\s+(LORD|GOD)((?:’s)?)\|strong="(?:H3068|H3069)"[^\\]*\\\+?w\*'
-WRAPPED_WORD = r"\\\+?(w|wh|wg|wa)\s+([^|\\]*?)(?:\|[^\\]*?)?\\\+?\1\*"
-SMALL_CAPITALS = "\u0001$1$2\u0002"
-
-
-def strip_words(text: Column, depth: int = 4) -> Column:
-    """Word wrappers to the word, to the depth that they are nested; the divine name is set between marks for small capitals."""
-    text = F.regexp_replace(text, DIVINE_NAME, SMALL_CAPITALS)
-    for _ in range(depth):
-        text = F.regexp_replace(text, WRAPPED_WORD, "$2")
-    return F.regexp_replace(text, r"(?s)\\\+?nd\s+(.*?)\\\+?nd\*", "$1")
-
-
-def strip_notes(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(f|x)\s.*?\\\1\*", "")
-
-
-def strip_markers(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\\\+?[a-z0-9]+\*?", ""), r"\s+", " "))
+#: Paragraphs by the format's description: prose, poetry, lists, tables, headings in the text. Digits may follow.
+PARAGRAPH = r"^(?:p|m|po|pr|cls|pmo|pm|pmc|pmr|pi|mi|nb|pc|ph|b|q|qr|qc|qa|qm|qd|lh|li|lf|lim|tr|ms|mr|s|sr|r|d|sp|sd|cl|ip|ipi|im|imi|ipq|imq|ipr|iq|ib|ili|iot|io|is|iex)[1-9]?$"
+#: Notes and cross references, plain and extended.
+NOTES = ["f", "fe", "ef", "x", "ex"]
+#: Numbers that are no text of a verse: those of other editions, and printed ones.
+SILENT = ["va", "vp", "cp", "ca", "rq", "fig"]
+# The dictionary numbers of the divine name.
+DIVINE = ["H3068", "H3069"]
+
+_token = re.compile(r"(?P<mark>\\(?P<nests>\+?)(?P<name>[a-z]+[0-9]*)(?:(?P<ends>\*)|[ \t\n]|(?=\\)|$))|[^\\]+|\\")
+RUN = StructType().add("styles", ArrayType(StringType())).add("text", StringType()).add("attrs", StringType()).add("note", IntegerType())
+
+
+def parsed(text: str) -> list[dict]:
+    """runs() of one line."""
+    open_, note, out = [], 0, []
+    for m in _token.finditer(text):
+        name = m["name"]
+        in_note = bool(open_) and open_[0] in NOTES
+        if m["ends"]:  # takes its style off, the innermost of that name, with what is nested in it; one that isn't open closes nothing
+            if name in open_:
+                del open_[len(open_) - 1 - open_[::-1].index(name) :]
+        elif name:
+            if not m["nests"]:
+                open_ = open_[:1] if in_note and name not in NOTES else []
+            open_ = [*open_, name]
+            note += name in NOTES
+        elif m.group() != "\\":
+            body, bar, attrs = m.group().partition("|") if open_ else (m.group(), "", "")
+            out.append({"styles": list(open_), "text": body, "attrs": attrs if bar else None, "note": note if in_note else None})
+    return out
+
+
+@F.pandas_udf(ArrayType(RUN))
+def runs(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Inline content as an array of RUN: the styles that a piece of text stands in, outermost first, the text, its attributes, and the number of the note that it
+    belongs to (from 1 on), if any."""
+    for s in lines:
+        yield s.map(parsed, na_action="ignore")
+
+
+def marked(runs: Column, divine: list[str] = DIVINE) -> Column:
+    """runs, where a word in capitals with one of the numbers of the divine name has the style `nd` as well."""
+    number = lambda r: F.regexp_extract(F.coalesce(r["attrs"], F.lit("")), r'strong="([^"]*)"', 1)
+    is_name = lambda r: number(r).isin(divine) & r["text"].rlike(r"^\p{Lu}{2,}\b")
+    return F.transform(runs, lambda r: F.struct(F.when(is_name(r) & ~F.array_contains(r["styles"], "nd"), F.concat(r["styles"], F.array(F.lit("nd")))).otherwise(r["styles"]).alias("styles"), r["text"].alias("text"), r["attrs"].alias("attrs"), r["note"].alias("note")))
+
+
+def visible(runs: Column) -> Column:
+    """The text of runs without notes and numbers that are no text, its white space collapsed."""
+    silent = F.array(*[F.lit(s) for s in SILENT])
+    kept = F.filter(runs, lambda r: r["note"].isNull() & ~F.arrays_overlap(r["styles"], silent))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda r: r["text"]), ""), r"\s+", " "))
+
+
+def strip_words(text: Column) -> Column:
+    """Text without its markers, whatever their depth."""
+    return visible(runs(text))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -43,38 +87,49 @@ def lines(files: DataFrame) -> DataFrame:
     """(book, ord, tag, rest): one row for each marker line, with the lines that continue it."""
     cut = F.split(F.replace("body", F.lit("\u200e"), F.lit("")), r"\n(?=\\)", -1)
     rows = files.select("book", F.posexplode(cut).alias("ord", "line")).withColumn("line", F.regexp_replace("line", r"\s*\n\s*", " "))
-    shape = r"(?s)^\\(\+?[a-z0-9]+)\*?\s?(.*)$"
-    return rows.filter(F.col("line").rlike(shape)).select("book", "ord", F.regexp_extract("line", shape, 1).alias("tag"), F.trim(F.regexp_extract("line", shape, 2)).alias("rest")).filter(~F.col("tag").isin(IGNORED))
+    shape = r"(?s)^\\(\+?[a-z]+[0-9]*)\*?\s?(.*)$"
+    return rows.filter(F.col("line").rlike(shape)).select("book", "ord", F.regexp_extract("line", shape, 1).alias("tag"), F.trim(F.regexp_extract("line", shape, 2)).alias("rest"))
 
 
-def verses(lines: DataFrame) -> DataFrame:
-    """(book, chapter, verse, ord, style, text): the text of each verse, piece by piece where paragraphs divide it."""
+def pieces(lines: DataFrame) -> DataFrame:
+    """(book, chapter, verse, ord, style, runs): each verse's content, piece by piece where paragraphs divide it; ord sorts a book's pieces."""
     by_book = W.partitionBy("book").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     tag, rest = F.col("tag"), F.col("rest")
     placed = lines.withColumn("chapter", F.coalesce(F.last(F.when(tag == "c", F.regexp_extract("rest", r"^(\S+)", 1)), ignorenulls=True).over(by_book), F.lit("1")))
-    placed = placed.withColumn("style", F.coalesce(F.last(F.when(tag.isin(PARAGRAPHS), tag).when(tag == "c", F.lit("")), ignorenulls=True).over(by_book), F.lit("")))
-    body = placed.filter(tag.isin([*PARAGRAPHS, "v"])).withColumn("text", F.when(tag == "v", F.concat(F.lit(r"\v "), rest)).otherwise(rest))
-    pieces = body.select("book", "chapter", "style", "ord", F.posexplode(F.split(strip_notes(strip_words(F.col("text"))), r"(?=\\v\s)", -1)).alias("part", "piece"))
+    placed = placed.withColumn("style", F.coalesce(F.last(F.when(tag.rlike(PARAGRAPH), tag).when(tag == "c", F.lit("")), ignorenulls=True).over(by_book), F.lit("")))
+    body = placed.filter(tag.rlike(PARAGRAPH) | (tag == "v")).withColumn("text", F.when(tag == "v", F.concat(F.lit(r"\v "), rest)).otherwise(rest))
+    cut = body.select("book", "chapter", "style", "ord", F.posexplode(F.split("text", r"(?=\\v\s)", -1)).alias("part", "piece")).withColumn("ord", F.struct("ord", "part"))
     number = F.regexp_extract("piece", r"^\\v\s+([\w\-,]+)", 1)
-    w = W.partitionBy("book", "chapter").orderBy("ord", "part").rowsBetween(W.unboundedPreceding, 0)
-    known = pieces.withColumn("verse", F.last(F.when(number != "", number), ignorenulls=True).over(w))
-    text = strip_markers(F.regexp_replace("piece", r"^\\v\s+[\w\-,]+\s?", ""))
-    return known.select("book", "chapter", "verse", (F.col("ord") * 1000 + F.col("part")).alias("ord"), F.when(F.col("style") == "", "p").otherwise(F.col("style")).alias("style"), text.alias("text")).filter("text <> ''")
+    w = W.partitionBy("book", "chapter").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    known = cut.withColumn("verse", F.last(F.when(number != "", number), ignorenulls=True).over(w))
+    content = marked(runs(F.regexp_replace("piece", r"^\\v\s+[\w\-,]+\s?", "")))
+    return known.select("book", "chapter", "verse", "ord", F.when(F.col("style") == "", "p").otherwise(F.col("style")).alias("style"), content.alias("runs"))
+
+
+def verses(lines: DataFrame) -> DataFrame:
+    """(book, chapter, verse, ord, style, text): pieces() as plain text, those without any left out."""
+    return pieces(lines).select("book", "chapter", "verse", "ord", "style", visible(F.col("runs")).alias("text")).filter("text <> ''")
 
 
 def notes(lines: DataFrame) -> DataFrame:
-    """(book, ord, kind, ref, text) of foot- and cross-reference notes."""
-    each = lines.select("book", "ord", F.explode(F.regexp_extract_all("rest", F.lit(r"(?s)\\[fx]\s.*?\\[fx]\*"), 0)).alias("n"))
-    ref = F.regexp_replace(F.trim(F.regexp_extract("n", r"\\(?:fr|xo)\s*([^\\]*)", 1)), ":$", "")
-    body = F.regexp_replace(F.regexp_replace("n", r"^\\[fx]\s+[+?-]?\s*|\\[fx]\*$", ""), r"\\(?:fr|xo)\s*[^\\]*", "")
-    return each.select("book", "ord", F.substring("n", 2, 1).alias("kind"), F.when(ref != "", ref).alias("ref"), strip_markers(strip_words(body)).alias("text"))
+    """(book, ord, no, kind, ref, parts, text) of foot- and cross-reference notes: parts are (kind, text), ref is what the origin part says, text the others."""
+    each = lines.select("book", "ord", F.explode(F.filter(runs(F.col("rest")), lambda r: r["note"].isNotNull())).alias("r"))
+    part = F.struct(F.coalesce(F.get("r.styles", F.size("r.styles") - 1), F.lit("")).alias("kind"), F.col("r.text").alias("text"))
+    numbered = each.select("book", "ord", F.col("r.note").alias("no"), F.get("r.styles", F.lit(0)).alias("kind"), part.alias("part"), F.monotonically_increasing_id().alias("k"))
+    all_ = numbered.groupBy("book", "ord", "no", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"]).alias("parts"))
+    # what stands directly in the note is its caller, and white space
+    own = F.filter("parts", lambda p: p["kind"] != F.col("kind"))
+    ref = F.array_join(F.transform(F.filter(own, lambda p: p["kind"].isin("fr", "xo")), lambda p: p["text"]), "")
+    body = F.array_join(F.transform(F.filter(own, lambda p: ~p["kind"].isin("fr", "xo")), lambda p: p["text"]), "")
+    ref = F.regexp_replace(F.trim(ref), r"\s*:$", "")
+    return all_.select("book", "ord", "no", "kind", F.when(ref != "", ref).alias("ref"), F.transform(own, lambda p: F.struct(p["kind"].alias("kind"), F.trim(p["text"]).alias("text"))).alias("parts"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("text"))
 
 
 def headings(lines: DataFrame) -> DataFrame:
     """(book, id, h, toc1, toc2, mt), a row for each book."""
     pick = lambda *tags: F.first(F.when(F.col("tag").isin(*tags), F.col("rest")), ignorenulls=True)
     titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").startswith("mt"), F.struct("ord", "rest")))), lambda x: x["rest"]), " ")
-    return lines.groupBy("book").agg(pick("h").alias("h"), pick("toc1").alias("toc1"), pick("toc2").alias("toc2"), strip_words(titles).alias("mt"))
+    return lines.groupBy("book").agg(pick("h").alias("h"), pick("toc1").alias("toc1"), pick("toc2").alias("toc2"), titles.alias("t")).select("book", "h", "toc1", "toc2", strip_words(F.col("t")).alias("mt"))
 
 
 def slice_book(verses: DataFrame, spec: DataFrame) -> DataFrame:

@@ -87,3 +87,36 @@ def callers(verses: DataFrame, footnotes: DataFrame) -> DataFrame:
     """(file, name, chapter, verse, no, text): notes joined to the verses that call them."""
     calls = verses.select("file", "name", "chapter", "verse", F.explode(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), 1)).alias("no")).withColumn("no", F.col("no").cast("int"))
     return calls.join(footnotes, ["file", "no"]).select("file", "name", "chapter", "verse", "no", "text")
+
+
+def repaired(lines: DataFrame, furniture: list[str], plates: list[str]) -> DataFrame:
+    """lines of a damaged transcription: those that are nothing but furniture (patterns of page markers, captions) or a plate's caption go as a whole, so that no
+    paragraph breaks where a page turns; furniture within a line goes alone; a bar stands for a capital I."""
+    any_ = "|".join(f"(?:{p})" for p in furniture)
+    bare = F.trim("line")
+    kept = lines.filter(~bare.isin(plates)) if plates else lines
+    if furniture:
+        kept = kept.filter(~bare.rlike(rf"^(?:{any_})+$")).withColumn("line", F.regexp_replace("line", rf"\s*(?:{any_})\s*", " "))
+    return kept.withColumn("line", F.rtrim(F.replace("line", F.lit("|"), F.lit("I"))))
+
+
+def chapter_title(head: Column, recensions: list[str]) -> Column:
+    """A chapter's title without callers, underscores, a recension's name behind a dash, and its last full stop; white space is collapsed."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(head, r"\[\d+\]", ""), r"\s+", " "))
+    if recensions:
+        bare = F.regexp_replace(bare, rf"\s*[—–-]\s*(?:{'|'.join(recensions)})\.?\s*$", "")
+    return F.regexp_replace(F.btrim(bare, F.lit("_ ")), r"[.\s]+$", "")
+
+
+def runs(text: Column) -> Column:
+    """Text as an array of (kind, text): plain, italic (between underscores) and caller (the number between brackets)."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\[\d+\]|_[^_]+_|(?:(?!\[\d+\]|_[^_]+_).)+"), 0)
+    inner = lambda p: F.substring(p, F.lit(2), F.char_length(p) - 2)
+    kind = lambda p: F.when(p.rlike(r"^\[\d+\]$"), "caller").when(p.rlike(r"^_[^_]+_$"), "italic").otherwise("plain")
+    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), F.when(kind(p) == "plain", p).otherwise(inner(p)).alias("text")))
+
+
+def note_parts(text: Column) -> Column:
+    """A footnote's body as an array of (kind, text): what is quoted (italic) as fqa, the rest as ft; blank parts go."""
+    kinds = F.transform(runs(text), lambda r: F.struct(F.when(r["kind"] == "italic", "fqa").otherwise("ft").alias("kind"), F.trim(r["text"]).alias("text")))
+    return F.filter(kinds, lambda r: r["text"] != "")

@@ -1,55 +1,92 @@
-"""Wikitext and HTML: templates, tags, footnotes and verses."""
+"""Wikitext and HTML: templates, links, tags, footnotes and verses."""
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.window import Window as W
+
+# Templates that show one of their arguments, and which one. Others show nothing.
+SHOWN = {"anchor+": "2", "bbsc": "1", "sc": "1", "small-caps": "1"}
+
+_mark = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
+_ends = {"{{": "}}", "[[": "]]"}
 
 
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"[ \t\n\r\f\x0B]+", " ")
 
 
-# Templates and links, and what is seen of them.
-TEMPLATES = [
-    (r"\{\{anchor\+\|[^|]*\|2=([^}]*)\}\}", "$1"), (r"\{\{(?:small-caps|bbsc|sc)\|([^}]*)\}\}", "$1"), (r"\{\{[^{}]*\}\}", ""),
-    (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), (r"\[\[([^\]]*)\]\]", "$1"), ("'{2,3}", ""), ("&nbsp;| ", " "), ("&amp;", "&"),
-]
+def _seen(opening: str, parts: list[str], shown: dict[str, str]) -> str:
+    """What a closed link or template shows: a link its label, else its target; a template the argument that `shown` names."""
+    if opening == "[[":
+        return parts[-1]
+    plain, named = 0, {}
+    for p in parts[1:]:
+        key, sign, value = p.partition("=")
+        plain += not sign
+        named[key.strip() if sign else str(plain)] = value if sign else p
+    return named.get(shown.get(parts[0].strip().lower(), ""), "")
+
+
+def rendered(text: str, shown: dict[str, str] = SHOWN) -> str:
+    """Links and templates, nested as they are, to what is seen of them; marks for bold and italics go, character entities become characters, hard blanks soft
+    ones. What opens and never closes, or closes what isn't open, stays."""
+    levels: list[tuple[str, list[list[str]]]] = [("", [[]])]
+    last = 0
+    for m in _mark.finditer(text):
+        opening, parts = levels[-1]
+        parts[-1].append(text[last : m.start()])
+        last, mark = m.end(), m.group()
+        if mark in _ends:
+            levels.append((mark, [[]]))
+        elif mark == "|" and opening:
+            parts.append([])
+        elif opening and _ends[opening] == mark:
+            levels.pop()
+            levels[-1][1][-1].append(_seen(opening, ["".join(p) for p in parts], shown))
+        else:
+            parts[-1].append(mark)
+    levels[-1][1][-1].append(text[last:])
+    while len(levels) > 1:
+        opening, parts = levels.pop()
+        levels[-1][1][-1].append(opening + "|".join("".join(p) for p in parts))
+    return html.unescape(re.sub("'{2,5}", "", "".join(levels[0][1][0]))).replace("\xa0", " ")
+
+
+def without_header(text: str, name: str = "header") -> str:
+    """What follows the first template of that name, its braces balanced; the text as it is if there is none, or it never closes."""
+    begins = re.search(r"\{\{\s*" + re.escape(name) + r"\b", text)
+    depth = 0
+    for m in re.finditer(r"\{\{|\}\}", text[begins.start() :] if begins else ""):
+        depth += 1 if m.group() == "{{" else -1
+        if not depth:
+            return text[begins.start() + m.end() :]
+    return text
 
 
-def strip_templates(text: Column) -> Column:
-    """Links and templates to what is seen of them; templates of no visible text go."""
-    for pattern, to in TEMPLATES:
-        text = F.regexp_replace(text, pattern, to)
-    return text
+@F.pandas_udf(StringType())
+def strip_templates(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(rendered, na_action="ignore")
 
 
-def after_balanced(text: str | None, opening: str, left: str = "{{", right: str = "}}") -> str | None:
-    """What follows the block that begins with `opening`, its braces balanced; the text as it is if there is none or it never closes."""
-    at = text.find(opening) if text else -1
-    if at < 0:
-        return text
-    depth, place = 0, at
-    while True:
-        a, b = text.find(left, place), text.find(right, place)
-        if b < 0:
-            return text
-        if 0 <= a < b:
-            depth, place = depth + 1, a + len(left)
-        else:
-            depth, place = depth - 1, b + len(right)
-            if not depth:
-                return text[place:]
+@F.pandas_udf(ArrayType(StringType()))
+def strip_each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda a: [rendered(t) for t in a], na_action="ignore")
 
 
 @F.pandas_udf(StringType())
 def drop_header(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lambda t: after_balanced(t, "{{header"), na_action="ignore")
+        yield s.map(without_header, na_action="ignore")
 
 
 def accepted(numbers: Column) -> Column:
@@ -57,33 +94,37 @@ def accepted(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda last, n: F.when(n == last + 1, n).otherwise(last))
 
 
+def numbered(text: Column) -> Column:
+    """Text as an array of (verse, text): a number with a full stop begins a verse only if it is the next one expected; what comes before the first is verse 0."""
+    pieces = F.split(text, r"(?=(?<![0-9])[0-9]{1,3}\.\s)", -1)
+    number = lambda p: F.regexp_extract(p, r"^([0-9]{1,3})\.\s", 1).try_cast("int")
+    empty = F.expr("named_struct('due', 1, 'out', cast(array() as array<struct<verse:int,text:string>>))")
+
+    def step(state: Column, p: Column) -> Column:
+        due, out = state["due"], state["out"]
+        make = lambda d, o: F.struct(d.alias("due"), o.alias("out"))
+        verse = lambda n, t: F.array(F.struct(n.cast("int").alias("verse"), t.alias("text")))
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), verse(last["verse"], F.concat(last["text"], p)))
+        begins = F.coalesce(number(p) == due, F.lit(False))
+        return F.when(begins, make(due + 1, F.concat(out, verse(due, F.regexp_replace(p, r"^[0-9]{1,3}\.\s+", ""))))).when(F.size(out) == 0, make(due, verse(F.lit(0), p))).otherwise(make(due, longer))
+
+    return F.filter(F.aggregate(pieces, empty, step, lambda s: s["out"]), lambda v: (v["verse"] > 0) | (F.trim(v["text"]) != ""))
+
+
 def chapters(spark: SparkSession, path: str) -> DataFrame:
     """(file, verse, text, notes) of chapters in wikitext, one file each: the header and the footnotes' section go, notes are lifted out of verses, and a
     number is a verse only if it is the next one expected."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), drop_header(F.col("value")).alias("t"))
-    body = F.get(F.split("t", r"==\s*Footnotes\s*=="), F.lit(0))
-    marked = raw.select("file", F.regexp_replace(body, r"(?s)<ref[^>/]*/>", "").alias("t"))
-    notes = F.transform(F.regexp_extract_all("t", F.lit(r"(?s)<ref[^>]*>(.*?)</ref>"), 1), lambda n: F.trim(strip_templates(n)))
-    clean = strip_templates(F.regexp_replace("t", r"(?s)<ref[^>]*>.*?</ref>", "\u0001"))
-    flat = marked.select("file", notes.alias("notes"), F.trim(F.regexp_replace(clean, r"\s+", " ")).alias("t"))
-    # pieces that begin with a number and a full stop; the ones whose number isn't expected belong to the piece before
-    pieces = F.split(F.col("t"), r"(?=(?<![0-9])[0-9]{1,3}\.\s)", -1)
-    empty = F.array().cast("array<struct<verse:int,text:string>>")
-
-    def step(a: Column, p: Column) -> Column:
-        n = F.regexp_extract(p, r"^([0-9]{1,3})\.\s", 1).try_cast("int")
-        last = F.try_element_at(a, F.lit(-1))
-        due = F.coalesce(last["verse"], F.lit(0)) + 1
-        new = F.struct(n.alias("verse"), F.regexp_replace(p, r"^[0-9]{1,3}\.\s+", "").alias("text"))
-        first = F.struct(F.lit(0).alias("verse"), p.alias("text"))
-        more = F.struct(last["verse"].alias("verse"), F.concat(last["text"], p).alias("text"))
-        return F.when(n.isNotNull() & (n == due), F.concat(a, F.array(new))).when(F.size(a) == 0, F.array(first)).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(more)))
-
-    verses = flat.select("file", "notes", F.explode(F.aggregate(pieces, empty, step)).alias("v")).select("file", "notes", "v.verse", "v.text")
-    n_marks = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\u0001"), F.lit("")))
-    from pyspark.sql.window import Window as W
-
-    before = F.sum(n_marks(F.col("text"))).over(W.partitionBy("file").orderBy("verse").rowsBetween(W.unboundedPreceding, 0)) - n_marks(F.col("text"))
-    placed = verses.withColumn("from", before.cast("int"))
-    own = F.slice("notes", F.col("from") + 1, n_marks(F.col("text")))
-    return placed.select("file", "verse", F.trim(F.replace("text", F.lit("\u0001"), F.lit(""))).alias("text"), own.alias("notes"))
+    return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """chapters() of files(file, text)."""
+    body = F.regexp_replace(F.get(F.split(drop_header(F.col("text")), r"==\s*Footnotes\s*=="), F.lit(0)), r"(?s)<ref[^>/]*/>", "")
+    taken = files.select("file", body.alias("t")).select("file", F.regexp_extract_all("t", F.lit(r"(?s)<ref[^>]*>(.*?)</ref>"), 1).alias("notes"), F.regexp_replace("t", r"(?s)<ref[^>]*>.*?</ref>", "\u0001").alias("t"))
+    flat = taken.select("file", F.transform(strip_each("notes"), F.trim).alias("notes"), strip_templates("t").alias("t"))
+    verses = flat.select("file", "notes", F.explode(numbered(F.trim(F.regexp_replace("t", r"\s+", " ")))).alias("v")).select("file", "notes", "v.verse", "v.text")
+    marks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\u0001"), F.lit("")))
+    upto = F.sum("marks").over(W.partitionBy("file").orderBy("verse").rowsBetween(W.unboundedPreceding, 0))
+    own = F.slice("notes", (F.col("upto") - F.col("marks") + 1).cast("int"), F.col("marks"))
+    return verses.withColumn("marks", marks).withColumn("upto", upto).select("file", "verse", F.trim(F.replace("text", F.lit("\u0001"), F.lit(""))).alias("text"), own.alias("notes"))

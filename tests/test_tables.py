@@ -30,13 +30,46 @@ def test_usfm(spark, tmp_path):
     (tmp_path / "02-GENeng.usfm").write_text(USFM)
     lines = usfm.lines(usfm.files(spark, str(tmp_path)))
     got = [(r.chapter, r.verse, r.style, r.text) for r in usfm.verses(lines).orderBy("ord").collect()]
-    assert got == [("1", "1", "p", "In the beginning God made it."), ("1", "2-3", "q1", "And light was."), ("2", "4b", "p", "The \u0001LORD\u0002 rested."), ("2", "5", "p", "So.")]
-    assert [(r.ref, r.text) for r in usfm.notes(lines).collect()] == [("1:1", "a note")]
+    assert got == [("1", "1", "p", "In the beginning God made it."), ("1", "2-3", "q1", "And light was."), ("2", "4b", "p", "The LORD rested."), ("2", "5", "p", "So.")]
+    assert [(r.kind, r.ref, r.text, [tuple(p) for p in r.parts]) for r in usfm.notes(lines).collect()] == [("f", "1:1", "a note", [("fr", "1:1"), ("ft", "a note")])]
+    styled = {(tuple(x.styles), x.text, x.attrs) for r in usfm.pieces(lines).collect() for x in r.runs if x.note is None and x.styles}
+    assert styled == {(("w",), "In", 'strong="H1"'), (("w",), "God", 'strong="H430"'), (("wj",), "light", None), (("w", "nd"), "LORD", 'strong="H3068"')}
     assert usfm.headings(lines).select("book", "h", "toc1", "mt").first() == ("GEN", "Genesis", "The Book of Genesis", "Genesis")
     spec = spark.createDataFrame([("GEN", "1", 2, 2), ("GEN", "2", None, None)], "book string, chapter string, lo int, hi int")
     assert {r.verse for r in usfm.slice_book(usfm.verses(lines), spec).collect()} == {"2-3", "4b", "5"}
 
 
+def test_usfm_inline(spark):
+    """Nested styles at any depth, implied ends, stray ends, notes with styles in them, a style that never ends."""
+    deep = "a"
+    for _ in range(9):
+        deep = f"\\+add {deep}\\+add*"
+    cases = {
+        "x \\wj say \\+w it|x=\"y\"\\+w* now\\wj*.": ("x say it now.", [["wj"], ["wj", "w"], ["wj"]]),
+        "\\add one \\nd two\\nd* three": ("one two three", [["add"], ["nd"]]),
+        "one\\add* two": ("one two", []),
+        f"\\add {deep}\\add* b": ("a b", [["add"] * 10]),
+        "a\\f + \\ft see \\+w b|c\\+w* \\fq d\\f* e\\x - \\xo 1:2: \\xt f\\x*": ("a e", [["f"], ["f", "ft"], ["f", "ft", "w"], ["f", "ft"], ["f", "fq"], ["x"], ["x", "xo"], ["x", "xt"]]),
+        "tail \\qs never ends": ("tail never ends", [["qs"]]),
+        "": ("", []),
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "t string").select("t", usfm.runs(F.col("t")).alias("r")).select("t", "r", usfm.visible(F.col("r")).alias("v"))
+    for row in frame.collect():
+        assert (row.v, [x.styles for x in row.r if x.styles]) == cases[row.t]
+    lines = spark.createDataFrame([("B", 1, "v", next(k for k in cases if "\\x -" in k))], "book string, ord int, tag string, rest string")
+    assert {(r.kind, r.no, r.ref, r.text) for r in usfm.notes(lines).collect()} == {("f", 1, None, "see b d"), ("x", 2, "1:2", "f")}
+
+
+def test_volume_repairs(spark):
+    rows = [(k, t) for k, t in enumerate(["A PLATE", "<page 3>", "and so <page 4> on", "| said |t", "  A PLATE  ", "kept"])]
+    lines = spark.createDataFrame(rows, "ord int, line string")
+    assert [r.line for r in volumes.repaired(lines, [r"<page \d+>"], ["A PLATE"]).orderBy("ord").collect()] == ["and so on", "I said It", "kept"]
+    one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c.alias("x")).first().x
+    assert [one(volumes.chapter_title(F.col("t"), ["SHORTER", "LONGER"]), t) for t in ("_Of  Peace._[3]", "Of war—LONGER.", "Plain")] == ["Of Peace", "Of war", "Plain"]
+    assert [tuple(r) for r in one(volumes.runs(F.col("t")), "a _b c_ d[12] _e [f")] == [("plain", "a "), ("italic", "b c"), ("plain", " d"), ("caller", "12"), ("plain", " _e [f")]
+    assert [tuple(r) for r in one(volumes.note_parts(F.col("t")), "Or, _that is_ ")] == [("ft", "Or,"), ("fqa", "that is")]
+
+
 VOLUME = """preface
 *** START OF IT
 THE BOOK OF A.
@@ -78,7 +111,18 @@ def test_wikitext(spark, tmp_path):
     (tmp_path / "I.txt").write_text("{{header\n| a = {{b}}\n}}Chapter I. 1. There are [[two|two ways]]<ref>a ''note''</ref> in 7. of them. 2. {{sc|Next}}. ==Footnotes== x")
     got = [(r.verse, r.text, r.notes) for r in wikitext.chapters(spark, str(tmp_path)).orderBy("verse").collect()]
     assert got == [(0, "Chapter I.", []), (1, "There are two ways in 7. of them.", ["a note"]), (2, "Next.", [])]
-    assert wikitext.after_balanced("a {{header b", "{{header") == "a {{header b"
+    assert wikitext.without_header("a {{header b") == "a {{header b" and wikitext.without_header("x {{header|{{a}}|b}} c {{header|d}}") == " c {{header|d}}"
+
+
+@pytest.mark.parametrize(
+    "text, seen",
+    [
+        ("[[a|b]] [[c]]", "b c"), ("{{sc|{{anchor+|x|2=Y}}}}z", "Yz"), ("{{ Small-Caps | q }}", " q "), ("{{none|{{sc|a}}}}.", "."), ("'" * 3 + "b" + "'" * 3 + " ''i''", "b i"), ("a&nbsp;b &amp; c&#39;", "a b & c'"),
+        ("{{sc|[[a|b]]}}", "b"), ("{{open [[x|y]]", "{{open y"), ("]] }} |", "]] }} |"), ("{{sc|1=n}}", "n"), ("[[a|{{sc|b}} c]]", "b c"), ("", ""),
+    ],
+)
+def test_rendered(text, seen):
+    assert wikitext.rendered(text) == seen
 
 
 @given(st.lists(st.tuples(st.integers(1, 10**6), st.integers(1, 500)), max_size=30))
