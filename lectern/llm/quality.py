@@ -1,8 +1,13 @@
 """Quality rules with verdicts on hosts, by DataFrame functions alone.
 
-Each text gets its counts from array functions in its own row, without a shuffle. Failures are then added up by host (partial sums first, so a
-host with a third of all rows is no burden), each host's failure rate is shrunk to the corpus' by a beta prior fitted to the hosts' rates by
-moments, and the hosts whose shrunk rate passes HOST_LIMIT go: their verdict is joined back to their documents.
+Each text gets its counts from array functions in its own row, without a shuffle, and is held against RULES: the base rule, which fails a document by
+itself, and softer ones (symbols, repeated lines, word lengths), which don't. Failures of every rule are then added up by host (partial sums first, so a host with
+a third of all rows is no burden) and each host's failure rates are shrunk to the corpus' by a beta prior, fitted to the hosts' rates by moments. Two verdicts on a
+host follow. It is bad, and all its documents go, if its shrunk rate of the base rule passes HOST_LIMIT. It is strict in a rule if its shrunk rate lies above the
+prior's mean by more than SPREAD of the prior's standard deviations: there a soft failure counts, elsewhere it is forgiven. Verdicts are joined back to documents.
+
+A document that fails no rule goes only with a bad host. The join broadcasts the hosts with a verdict if they are few by count; beyond that, hosts with more
+documents than an even partition, fewer than the partitions, are broadcast alone and the others' documents are shuffled to them.
 
 Edge cases: null or empty text has no words and fails; a document without host is judged by its text alone; repeated rows count each; very long
 texts take time in n log n of their words; an empty table gives no rows; in op8 other columns are not read, the stage keeps them.
@@ -10,6 +15,9 @@ texts take time in n log n of their words; an empty table gives no rows; in op8
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,68 +28,113 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: A host goes if its shrunk rate of failed documents is above this.
 HOST_LIMIT = 0.6
+#: How far above the prior's mean a host's rate makes it strict, in the prior's standard deviations.
+SPREAD = 0.5
+#: So many hosts with a verdict are broadcast: at 200 bytes each, 20 MB.
+FEW_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (2.0, 1000.0)
 SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
+#: Rules that a document fails, in SQL over its counts. The first is the base rule.
+RULES = {
+    "base": f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "lengths": "word_chars < 2 * n_words or word_chars > 12 * n_words",
+}
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def _without(text: Column, characters: str) -> Column:
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
 
 
 def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """docs' columns keep, and __n_words, __word_chars, __n_symbols, __n_dup_lines and __n_repeat_words."""
+    """docs' columns keep, and COUNTS, each with two underscores before it."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     words = docs.select(
         *keep, F.regexp_extract_all(t, F.lit(common.WORD), 0).alias("__words"), lines.alias("__lines"),
-        F.char_length(F.translate(t, _BLANK, "")).cast("long").alias("__word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
+        (F.octet_length(t) - F.octet_length(_without(t, SYMBOLS))).cast("long").alias("__n_symbols"),
     )
     n = F.size("__words")
     w = F.col("__words")
     window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
     sorted_ = words.select(
-        *keep, "__word_chars", "__n_symbols", n.cast("long").alias("__n_words"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
-        F.sort_array(windows).alias("__windows"),
+        *keep, F.char_length(F.array_join("__words", "")).cast("long").alias("__word_chars"), "__n_symbols", n.cast("long").alias("__n_words"), F.size("__lines").cast("long").alias("__n_lines"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"), F.sort_array(windows).alias("__windows"),
     )
     s = F.col("__windows")
+    counts = [f"__{c}" for c in COUNTS[:-1]]
     same = lambda x, j: (F.get(s, j)["h"] == x["h"])
     again = F.filter(s, lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
-    placed = sorted_.select(*keep, "__word_chars", "__n_symbols", "__n_words", "__n_dup_lines", F.sort_array(F.transform(again, lambda x: x["p"])).alias("__places"))
+    placed = sorted_.select(*keep, *counts, F.sort_array(F.transform(again, lambda x: x["p"])).alias("__places"))
     p = F.col("__places")
     # each repeated window covers its three words, or as many as come before the next one begins
     covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return placed.select(*keep, "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", covered.cast("long").alias("__n_repeat_words"))
-
-
-def base_failed() -> Column:
-    return (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEATED * F.col("__n_words"))
-
-
-def bad_hosts(judged: DataFrame, host: str) -> DataFrame:
-    """The hosts to drop, from judged(host, __failed): host as __host, and __rate, shrunk."""
-    by = common.materialize(judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), F.count_if("__failed").alias("k")), "hosts")
-    # moments over hosts: one row
-    m = by.agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.avg(F.col("k") / F.col("n")).alias("mean"), F.var_pop(F.col("k") / F.col("n")).alias("var")).first()
+    return placed.select(*keep, *counts, covered.cast("long").alias("__n_repeat_words"))
+
+
+def failures(counted: DataFrame) -> DataFrame:
+    """counted with __fails, a boolean for each of RULES."""
+    return counted.withColumn("__fails", F.array(*[F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__\1", rule)) for rule in RULES.values()]))
+
+
+def verdicts(judged: DataFrame, host: str) -> tuple[DataFrame, int]:
+    """The hosts with a verdict, from judged(host, __fails), and the number of documents with a host: __host, n (its documents), __bad, and __strict, a
+    boolean for each of RULES (never so of the base rule)."""
+    k = range(len(RULES))
+    failed = [F.count_if(F.get("__fails", F.lit(i))).alias(f"k{i}") for i in k]
+    by = common.materialize(judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), *failed), "hosts")
+    rates = [F.col(f"k{i}") / F.col("n") for i in k]
+    m = by.agg(F.sum("n").alias("n"), *[F.avg(r).alias(f"mean{i}") for i, r in enumerate(rates)], *[F.var_pop(r).alias(f"var{i}") for i, r in enumerate(rates)]).first()  # one row
+    bad, strict = F.lit(False), [F.lit(False)]
+    for i in k if m["n"] else ():
+        mean, var = m[f"mean{i}"], m[f"var{i}"]
+        weight = min(max(mean * (1 - mean) / var - 1 if var else PRIOR_WEIGHT[1], PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+        rate = F.round((F.col(f"k{i}") + mean * weight) / (F.col("n") + weight), 9)
+        if i:
+            strict.append(rate > round(mean + SPREAD * (mean * (1 - mean) / (weight + 1)) ** 0.5, 9))
+        else:
+            bad = rate > HOST_LIMIT
     if not m["n"]:
-        return by.select("__host", F.lit(0.0).alias("__rate")).limit(0)
-    mean, var = m["mean"], m["var"]
-    weight = mean * (1 - mean) / var - 1 if var else PRIOR_WEIGHT[1]
-    weight = min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-    rate = (F.col("k") + mean * weight) / (F.col("n") + weight)
-    return by.select("__host", rate.alias("__rate")).filter(F.col("__rate") > HOST_LIMIT)
-
-
-def judge(docs: DataFrame, keep: list[str], host: str = "source") -> DataFrame:
-    """docs' columns keep with the counts, __failed and __kept."""
+        strict = [F.lit(False) for _ in k]
+    judged_hosts = by.select("__host", "n", bad.alias("__bad"), F.array(*strict).alias("__strict"))
+    return judged_hosts.filter(F.col("__bad") | F.exists("__strict", lambda x: x)), m["n"] or 0
+
+
+def with_verdicts(judged: DataFrame, found: DataFrame, total: int, host: str, few: int = FEW_HOSTS) -> DataFrame:
+    """judged with __bad and __strict of its hosts, null where a host has no verdict. At most `few` hosts are broadcast as they are."""
+    if found.count() <= few:
+        return judged.join(F.broadcast(found.drop("n")), judged[host] == F.col("__host"), "left").drop("__host")
+    found = common.materialize(found, "verdicts")
+    parts = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = common.materialize(judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n")).filter(F.col("n") * parts > total).select("__host"), "large-hosts")
+    # fewer than parts, as each holds more than 1 / parts of all documents
+    of_large = judged.join(F.broadcast(large), judged[host] == F.col("__host")).drop("__host")
+    few_found = found.drop("n").join(F.broadcast(large), "__host", "left_semi")
+    others = judged.filter(F.col(host).isNotNull()).join(F.broadcast(large), judged[host] == F.col("__host"), "left_anti")
+    none = judged.filter(F.col(host).isNull()).withColumn("__bad", F.lit(None).cast("boolean")).withColumn("__strict", F.lit(None).cast("array<boolean>"))
+    back = lambda rows, v: rows.join(v, rows[host] == F.col("__host"), "left").drop("__host")
+    return back(of_large, F.broadcast(few_found)).unionByName(back(others, found.drop("n"))).unionByName(none)
+
+
+def judge(docs: DataFrame, keep: list[str], host: str = "source", few: int = FEW_HOSTS) -> DataFrame:
+    """docs' columns keep with the counts, __failed (the base rule), __bad and __strict of its host, and __kept."""
     wanted = keep if host in keep else [*keep, host]
-    judged = common.materialize(with_counts(docs, wanted).withColumn("__failed", base_failed()), "judged")
-    bad = bad_hosts(judged, host)
-    return judged.join(bad, judged[host] == bad["__host"], "left").withColumn("__kept", ~F.col("__failed") & F.col("__rate").isNull())
+    judged = common.materialize(failures(with_counts(docs, wanted)), "judged")
+    found, total = verdicts(judged, host)
+    out = with_verdicts(judged, found, total, host, few)
+    softly = F.exists(F.zip_with("__fails", F.coalesce("__strict", F.array()), lambda f, s: f & F.coalesce(s, F.lit(False))), lambda x: x)
+    failed = F.get("__fails", F.lit(0))
+    return out.withColumn("__failed", failed).withColumn("__kept", ~(failed | F.coalesce("__bad", F.lit(False)) | softly))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(common.documents(spark, sf_dir), ["doc_id"])
-    counts = [F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    counts = [F.col(f"__{c}").alias(c) for c in COUNTS if c != "n_lines"]
     return out.select("doc_id", *counts, F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
@@ -99,15 +152,19 @@ r as (select rid, i, count(*) over (partition by rid, a, b, c) as n from v where
 cov as (select distinct rid, i + d as i from r, (values (0), (1), (2)) as o(d) where n >= 2),
 rep as (select rid, count(*) as n from cov group by rid),
 l as (select rid, unnest(string_split(text, chr(10))) as line from t),
-dup as (select rid, count(*) - count(distinct line) as n from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
+dup as (select rid, count(*) as n_lines, count(*) - count(distinct line) as n from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
 f as (select t.doc_id, t.source, cast(len(w.words) as bigint) as n_words, cast(length(array_to_string(w.words, '')) as bigint) as word_chars,
-  cast(length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
+  cast(length(regexp_replace(t.text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dup.n_lines, 0) as n_lines, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
   from t join w using (rid) left join dup using (rid) left join rep using (rid)),
-j as (select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words) as base_failed from f),
-h as (select source, count(*) as n, count(*) filter (where base_failed) as k from j where source is not null group by source),
-m as (select avg(k / n) as mean, var_pop(k / n) as var from h),
-p as (select mean, least(greatest(case when var > 0 then mean * (1 - mean) / var - 1 else {PRIOR_WEIGHT[1]} end, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) as weight from m),
-bad as (select h.source from h, p where (k + mean * weight) / (n + weight) > {HOST_LIMIT})
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (not base_failed and coalesce(source not in (select source from bad), true)) as kept from j
+j as (select *, ({RULES["base"]}) as f0, ({RULES["symbols"]}) as f1, ({RULES["lines"]}) as f2, ({RULES["lengths"]}) as f3 from f),
+o as (select source, unnest([0, 1, 2, 3]) as rule, unnest([f0, f1, f2, f3]) as failed from j where source is not null),
+h as (select rule, source, count(*) as n, count(*) filter (where failed) as k from o group by rule, source),
+m as (select rule, avg(k / n) as mean, var_pop(k / n) as var from h group by rule),
+p as (select rule, mean, least(greatest(case when var > 0 then mean * (1 - mean) / var - 1 else {PRIOR_WEIGHT[1]} end, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) as weight from m),
+shrunk as (select rule, source, round((k + mean * weight) / (n + weight), 9) as rate, round(mean + {SPREAD} * sqrt(mean * (1 - mean) / (weight + 1)), 9) as above from h join p using (rule)),
+bad as (select source from shrunk where rule = 0 and rate > {HOST_LIMIT}),
+s as (select source, bool_or(rule = 1) as s1, bool_or(rule = 2) as s2, bool_or(rule = 3) as s3 from shrunk where rule > 0 and rate > above group by source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 as base_failed,
+  not (f0 or coalesce(j.source in (select source from bad), false) or (f1 and coalesce(s1, false)) or (f2 and coalesce(s2, false)) or (f3 and coalesce(s3, false))) as kept
+from j left join s on j.source = s.source
 """
