@@ -1,14 +1,20 @@
 """LM scoring by an interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays that workers map into memory.
 
 Counting. Each task reduces its training rows to sorted distinct keys with counts and sends them as blocks, a block for each of the model's
-buckets; a bucket's blocks are merged where they meet and written as one file of the shared folder: sorted keys, then counts. The first round counts
-words (64-bit hashes), whose places in the sorted files are their ids from then on; the second counts pairs of ids, bucketed by a hash of the pair, so that no
-word, however common, fills a bucket; what a pair bucket knows of its contexts and continuations goes, as partial sums by id, to a third
-round, which writes the counts of counts that the discounts' mass needs. All rounds cover all training rows; what they gather grows with them. The driver sees sums for each bucket.
+buckets; a bucket's blocks meet in a task of their own, are merged and written as one file of the shared folder: sorted keys, then counts, as wide as the largest
+asks for. The first round counts words (64-bit hashes), whose places in the sorted files are their ids from then on; the second counts pairs of ids; what a
+pair bucket knows of its contexts and continuations goes, as partial sums by id, to a third round, which writes the counts of counts that the discounts' mass
+needs. All rounds cover all training rows; what they gather grows with them, and so does the number of buckets, so that a bucket's size doesn't. The driver
+sees sums for each bucket.
 
-Scoring. A worker sorts a batch's keys and looks them up bucket by bucket in mapped files, so its memory does not grow with the model.
+A pair's key is made from both ids by two rounds of a Feistel network: its first bits are its bucket, so that no word, however common, fills one, the
+others are the sorted key, and both ids can be read back. So counts of pairs are exact, for 2^(32 + bits / 2) distinct words, where 2^bits is the number of buckets
+(at least one for each input partition): 10^13 words in a corpus of a million partitions.
 
-The lower order is interpolated with the uniform distribution over the vocabulary and one unknown word. A model is for fewer than 2^32 - 2 distinct words.
+Scoring. A worker sorts a batch's keys and looks them up bucket by bucket in mapped files, so its memory does not grow with the model. Files that are in no mounted
+folder can't be mapped; a worker then holds one bucket at a time.
+
+The lower order is interpolated with the uniform distribution over the vocabulary and one unknown word.
 
 Edge cases: null or empty text is one end token; rows without doc_id are scored, count as not held out and teach nothing; repeated rows count
 each; without training rows every token has probability 1; very long texts are worked in pieces; an empty table gives no rows; other columns are not read.
@@ -18,7 +24,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -38,7 +43,8 @@ START, END, FIRST = 0, 1, 2
 GATHER = 1 << 20
 #: Keys that a task holds before it sends them.
 HOLD = 1 << 22
-U4, U8 = np.dtype("<u4"), np.dtype("<u8")
+U8 = np.dtype("<u8")
+WIDTHS = [np.dtype(t) for t in ("u1", "<u2", "<u4", "<u8")]
 
 
 # ---- files ---------------------------------------------------------------------------------------------------------------------------------
@@ -63,22 +69,18 @@ def put(folder: str, name: str, *arrays: np.ndarray) -> None:
 
 
 def mapped(folder: str, name: str) -> np.ndarray:
-    """A file's bytes, mapped into memory; one that is in no local folder is copied first."""
+    """A file's bytes, mapped into memory; of one that is in no mounted folder, read."""
     system, path = _place(folder, name)
     if isinstance(system, fs.LocalFileSystem):
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    return _copied(folder, name)
+    return _read(folder, name)
 
 
-@lru_cache(1024)
-def _copied(folder: str, name: str) -> np.ndarray:
-    """A worker's copy of a far file, on a disk of its own; it has no name there and goes with the mapping."""
+@lru_cache(1)
+def _read(folder: str, name: str) -> np.ndarray:
     system, path = _place(folder, name)
-    with tempfile.TemporaryFile() as local, system.open_input_stream(path) as far:
-        while block := far.read(1 << 22):
-            local.write(block)
-        local.flush()
-        return np.memmap(local, np.uint8, "r") if local.tell() else np.zeros(0, np.uint8)
+    with system.open_input_stream(path) as far:
+        return np.frombuffer(far.read(), np.uint8)
 
 
 @dataclass(frozen=True)
@@ -86,6 +88,7 @@ class Model:
     folder: str
     bits: int
     words: tuple[int, ...]  # of each word bucket
+    id_bits: int
     span: int  # ids of each id file
     tokens: int
     documents: int
@@ -102,6 +105,18 @@ class Model:
 # ---- blocks of keys and counts -------------------------------------------------------------------------------------------------------------
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest asks for."""
+    most = int(counts.max()) if counts.size else 0
+    return counts.astype(next(t for t in WIDTHS if most >> (8 * t.itemsize) == 0))
+
+
+def widened(raw: np.ndarray | bytes, n: int) -> np.ndarray:
+    """n counts that narrow() made."""
+    raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
+    return raw.view(next(t for t in WIDTHS if t.itemsize * n == len(raw))) if n else np.zeros(0, np.uint8)
+
+
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts (rows of a matrix, if counts are)."""
     k = np.concatenate(keys)
@@ -133,25 +148,46 @@ BLOCK = "kind string, bucket int, keys binary, counts binary"
 
 
 def block(kind: str, bucket: int, keys: np.ndarray, counts: np.ndarray) -> tuple[tuple, int]:
-    small = counts.astype(U4) if counts.dtype != U4 else counts
-    return (kind, bucket, planes(keys), small.tobytes()), 10 * len(keys)
+    return (kind, bucket, planes(keys), narrow(counts).tobytes()), 10 * len(keys)
 
 
 def blocks_of(kind: str, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[tuple, int]]:
     """keys and counts, in order within each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    b, k, c = bucket[order], keys[order], counts[order]
-    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-    for lo, hi in zip(edges, [*edges[1:], len(b)], strict=True):
-        yield block(kind, int(b[lo]), k[lo:hi], c[lo:hi])
+    for b, k, c in _by_bucket(bucket, keys, counts):
+        yield block(kind, b, k, c)
 
 
 def top(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64)
 
 
-def pair_bucket(x: np.ndarray, bits: int) -> np.ndarray:
-    return top(hashing.mix(x), bits)
+class Pairs:
+    """Keys of pairs of ids: a bucket, and the sorted key in it, from which both ids can be read back."""
+
+    def __init__(self, bits: int, id_bits: int):
+        self.bits, self.id_bits = bits, id_bits
+        if 2 * id_bits - bits > 64 or bits > id_bits:
+            raise ValueError(f"pairs of {id_bits}-bit ids don't fit {1 << bits} buckets: cut the input into more partitions")
+        self.low, self.rest = np.uint64((1 << id_bits) - 1), np.uint64((1 << id_bits - bits) - 1)
+
+    def key(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = u ^ (hashing.mix(v + np.uint64(1)) & self.low)
+        v = v ^ (hashing.mix(~u) & self.low)
+        return (u >> np.uint64(self.id_bits - self.bits)).astype(np.int64), ((u & self.rest) << np.uint64(self.id_bits)) | v
+
+    def ids(self, bucket: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = (key >> np.uint64(self.id_bits)) | np.uint64(bucket << self.id_bits - self.bits)
+        v = (key & self.low) ^ (hashing.mix(~u) & self.low)
+        return u ^ (hashing.mix(v + np.uint64(1)) & self.low), v
+
+
+def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Each bucket, and its part of the columns."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
+    for lo, hi in zip(edges, [*edges[1:], len(b)], strict=True):
+        yield int(b[lo]), *(c[order[lo:hi]] for c in columns)
 
 
 def _arrow(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[tuple, int]]], schema: pa.Schema):
@@ -185,26 +221,26 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
 
 
 class Held:
-    """Keys with counts that a task sends once they are HOLD."""
+    """Keys with counts, by bucket, that a task sends once they are HOLD."""
 
-    def __init__(self, send: Callable[[np.ndarray, np.ndarray], Iterator]):
-        self.send, self.keys, self.counts, self.n = send, [], [], 0
+    def __init__(self, kind: str):
+        self.kind, self.parts, self.n = kind, {}, 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.n += len(keys)
+    def add(self, bucket: np.ndarray, keys: np.ndarray) -> Iterator:
+        for b, k in _by_bucket(bucket, keys):
+            k, c = distinct(k)
+            self.parts.setdefault(b, []).append((k, c))
+            self.n += len(k)
         if self.n >= HOLD:
             yield from self.flush()
 
     def flush(self) -> Iterator:
-        if self.keys:
-            k, c = merge(self.keys, self.counts)
-            yield from self.send(k, c)
-        self.keys, self.counts, self.n = [], [], 0
+        for b, parts in self.parts.items():
+            yield block(self.kind, b, *merge([k for k, _ in parts], [c for _, c in parts]))
+        self.parts, self.n = {}, 0
 
 
-def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[np.ndarray], list[bytes]]]:
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[np.ndarray], list[np.ndarray]]]:
     """The blocks of each kind and bucket, from rows sorted by these."""
     now, keys, counts = None, [], []
     for b in batches:
@@ -214,7 +250,7 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[np.n
                     yield *now, keys, counts
                 now, keys, counts = (kind, bucket), [], []
             keys.append(unplanes(k))
-            counts.append(c)
+            counts.append(widened(c, len(keys[-1]) * (3 if kind == "left" else 1)).astype(np.int64))
     if now:
         yield *now, keys, counts
 
@@ -222,22 +258,22 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[np.n
 # ---- lookups -------------------------------------------------------------------------------------------------------------------------------
 
 
+def put_counts(folder: str, name: str, keys: np.ndarray, counts: np.ndarray) -> None:
+    put(folder, name, np.array([len(keys)], U8), keys.astype(U8), narrow(counts))
+
+
 def look_up(folder: str, kind: str, keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys, dealt to buckets: each one's place in its bucket (-1 if not there) and its count."""
+    """For distinct keys, dealt to buckets: each one's place in its bucket (-1 if not there) and its count."""
     place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
-    for lo, hi in zip(edges, [*edges[1:], len(b)], strict=True):
-        at, name = order[lo:hi], int(b[lo])
+    for name, own, at in _by_bucket(bucket, keys, np.arange(len(keys))):
         try:
             raw = mapped(folder, f"{kind}-{name}")
         except FileNotFoundError:
             continue  # a bucket without keys has no file
-        n = len(raw) // 12
-        own, counts = raw[: 8 * n].view(U8), raw[8 * n :].view(U4)
-        found = np.minimum(np.searchsorted(own, keys[at]), n - 1)
-        hit = own[found] == keys[at]
+        n = int(raw[:8].view(U8)[0])
+        known, counts = raw[8 : 8 + 8 * n].view(U8), widened(raw[8 + 8 * n :], n)
+        found = np.minimum(np.searchsorted(known, own), n - 1)
+        hit = known[found] == own
         place[at[hit]] = found[hit]
         count[at[hit]] = counts[found[hit]]
     return place, count
@@ -286,62 +322,61 @@ def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _reduced(sent: DataFrame, fn) -> DataFrame:
-    return sent.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_arrow(fn, _SUMS), "kind string, bucket int, sums array<long>")
+def _met(blocks: DataFrame, bits: int) -> DataFrame:
+    """Blocks, those of a bucket in one task: a task for each bucket."""
+    return blocks.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("kind", "bucket")
+
+
+def _sums(blocks: DataFrame, bits: int, fn) -> list:
+    return _met(blocks, bits).mapInArrow(_arrow(fn, _SUMS), "kind string, bucket int, sums array<long>").collect()  # a row for each kind and bucket
 
 
 def train(rows: DataFrame) -> Model:
     """The model of rows(text), in a new folder of the shared one."""
     spark = rows.sparkSession
-    folder = f"{common.shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    folder = common.new_path(spark, "lm")
     rows = rows.select("text")
-    bits = max(5, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))
+    bits = max(5, math.ceil(math.log2(max(1, rows.rdd.getNumPartitions()))))
 
     def count_words(batches):
-        held = Held(lambda k, c: blocks_of("word", k, c, top(k, bits)))
-        documents = 0
+        held, documents = Held("word"), 0
         for _, numbers, texts in gathered(batches, 0):
             documents += len(numbers)
-            yield from held.add(*distinct(np.concatenate(texts)))
+            w = np.concatenate(texts)
+            yield from held.add(top(w, bits), w)
         yield from held.flush()
         if documents:
             yield block("all", 0, np.array([1], np.uint64), np.array([documents]))
 
     def write_words(batches):
         for kind, bucket, keys, counts in met(batches):
-            c = [np.frombuffer(x, U4).astype(np.int64) for x in counts]
-            if kind == "all":
-                yield ("all", 0, [int(sum(x[0] for x in c))]), 64
-                continue
-            k, n = merge(keys, c)
-            put(folder, f"word-{bucket}", k.astype(U8), np.minimum(n, (1 << 32) - 1).astype(U4))
-            yield ("word", bucket, [len(k), int(n.sum())]), 64
+            k, n = merge(keys, counts)
+            if kind == "word":
+                put_counts(folder, f"word-{bucket}", k, n)
+            yield (kind, bucket, [len(k), int(n.sum())]), 64
 
-    sums = _reduced(rows.mapInArrow(_arrow(count_words, _BLOCK), BLOCK), write_words).collect()  # a row for each bucket
-    documents = sum(r.sums[0] for r in sums if r.kind == "all")
+    sums = _sums(rows.mapInArrow(_arrow(count_words, _BLOCK), BLOCK), bits, write_words)
+    documents = sum(r.sums[1] for r in sums if r.kind == "all")
     by = {r.bucket: r.sums for r in sums if r.kind == "word"}
     sizes = tuple(by.get(b, [0, 0])[0] for b in range(1 << bits))
     tokens = sum(s[1] for s in by.values()) + documents
     ids = sum(sizes) + FIRST
-    if ids >= 1 << 32:
-        raise ValueError("more than 2^32 - 3 distinct words")
-    span = -(-ids // (1 << bits))
+    span, id_bits = -(-ids // (1 << bits)), max(32, ids.bit_length())
+    code = Pairs(bits, id_bits)
 
     def count_pairs(batches):
-        words = Words(folder, bits, sizes)
-        held = Held(lambda k, c: blocks_of("pair", k, c, pair_bucket(k, bits)))
+        words, held = Words(folder, bits, sizes), Held("pair")
         for _, _, texts in gathered(batches, 0):
             left, right, _ = sequences(texts, words(np.concatenate(texts))[0])
-            yield from held.add(*distinct((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)))
+            yield from held.add(*code.key(left.astype(np.uint64), right.astype(np.uint64)))
         yield from held.flush()
 
     def write_pairs(batches):
         for _, bucket, keys, counts in met(batches):
-            k, n = merge(keys, [np.frombuffer(x, U4).astype(np.int64) for x in counts])
-            put(folder, f"pair-{bucket}", k.astype(U8), np.minimum(n, (1 << 32) - 1).astype(U4))
-            u, v = (k >> np.uint64(32)), k & np.uint64(0xFFFFFFFF)
-            kinds = np.stack([n == 1, n == 2, n > 2], 1).astype(np.int64)
-            cu, cn = merge([u], [kinds])
+            k, n = merge(keys, counts)
+            put_counts(folder, f"pair-{bucket}", k, n)
+            u, v = code.ids(bucket, k)
+            cu, cn = merge([u], [np.stack([n == 1, n == 2, n > 2], 1).astype(np.int64)])
             vu, vn = distinct(v)
             yield from blocks_of("left", cu, cn, (cu // np.uint64(span)).astype(np.int64))
             yield from blocks_of("right", vu, vn, (vu // np.uint64(span)).astype(np.int64))
@@ -349,45 +384,39 @@ def train(rows: DataFrame) -> Model:
 
     def write_ids(batches):
         for kind, bucket, keys, counts in met(batches):
+            width = 3 if kind == "left" else 1
+            k, n = merge(keys, [c.reshape(-1, width) for c in counts])
             if kind == "all":
-                yield ("all", 0, sum(np.frombuffer(x, U4).astype(np.int64) for x in counts).tolist()), 64
+                yield ("all", 0, n[:, 0].tolist()), 64
                 continue
-            width = 3 if kind == "left" else 1
-            k, n = merge(keys, [np.frombuffer(x, U4).reshape(-1, width).astype(np.int64) for x in counts])
-            dense = np.zeros((span, width), U4)
-            dense[(k - np.uint64(bucket * span)).astype(np.int64)] = np.minimum(n, (1 << 32) - 1)
-            put(folder, f"{kind}-{bucket}", dense)
+            dense = np.zeros((span, width), np.int64)
+            dense[(k - np.uint64(bucket * span)).astype(np.int64)] = n
+            put(folder, f"{kind}-{bucket}", narrow(dense))
             yield (kind, bucket, [*_of_counts(n[:, 0]), int((n[:, 0] > 2).sum())]), 64
 
-    pairs = rows.mapInArrow(_arrow(count_pairs, _BLOCK), BLOCK).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_arrow(write_pairs, _BLOCK), BLOCK)
-    sums = _reduced(pairs, write_ids).collect()  # a row for each bucket
+    pairs = _met(rows.mapInArrow(_arrow(count_pairs, _BLOCK), BLOCK), bits).mapInArrow(_arrow(write_pairs, _BLOCK), BLOCK)
+    sums = _sums(pairs, bits, write_ids)
     total = next((r.sums for r in sums if r.kind == "all"), [0] * 5)
     n = [sum(r.sums[k] for r in sums if r.kind == "right") for k in range(5)]
     lower = discounts(n[:4])
-    return Model(folder, bits, sizes, span, tokens, documents, total[4], discounts(total[:4]), lower, lower[0] * n[0] + lower[1] * n[1] + lower[2] * n[4])
+    return Model(folder, bits, sizes, id_bits, span, tokens, documents, total[4], discounts(total[:4]), lower, lower[0] * n[0] + lower[1] * n[1] + lower[2] * n[4])
 
 
 # ---- scoring -------------------------------------------------------------------------------------------------------------------------------
 
 
 def _by_id(m: Model, kind: str, ids: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(ids), width), np.int64)
+    """The counts of ids; nothing for unknown ones, which are below zero."""
     own, back = np.unique(ids, return_inverse=True)
-    bucket = own // m.span
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(own) else []
     got = np.zeros((len(own), width), np.int64)
-    for lo, hi in zip(edges, [*edges[1:], len(own)], strict=True):
-        if own[lo] < 0:
-            lo = np.searchsorted(own[:hi], 0) if own[hi - 1] >= 0 else hi
-            if lo == hi:
-                continue
+    known = np.flatnonzero(own >= 0)
+    for bucket, at in _by_bucket(own[known] // m.span, known):
         try:
-            dense = mapped(m.folder, f"{kind}-{int(bucket[hi - 1])}").view(U4).reshape(-1, width)
+            dense = widened(mapped(m.folder, f"{kind}-{bucket}"), m.span * width).reshape(-1, width)
         except FileNotFoundError:
             continue
-        got[lo:hi] = dense[own[lo:hi] - bucket[hi - 1] * m.span]
-    out[:] = got[back]
-    return out
+        got[at] = dense[own[at] - bucket * m.span]
+    return got[back]
 
 
 def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -409,9 +438,13 @@ def probabilities(m: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     before[begins] = m.documents
     known = (left >= 0) & (right >= 0)
     pair = np.zeros(len(right), np.int64)
-    keys = (left[known].astype(np.uint64) << np.uint64(32)) | right[known].astype(np.uint64)
-    own, back = np.unique(keys, return_inverse=True)
-    pair[known] = look_up(m.folder, "pair", own, pair_bucket(own, m.bits))[1][back]
+    bucket, key = Pairs(m.bits, m.id_bits).key(left[known].astype(np.uint64), right[known].astype(np.uint64))
+    order = np.lexsort((key, bucket))
+    bucket, key = bucket[order], key[order]
+    first = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, bool)
+    found = np.zeros(len(key), np.int64)
+    found[order] = look_up(m.folder, "pair", key[first], bucket[first])[1][np.cumsum(first) - 1]
+    pair[known] = found
     p = (_discounted(_by_id(m, "right", right, 1)[:, 0], m.lower) + m.spread / (m.vocabulary + 1)) / m.pairs
     mass = _by_id(m, "left", left, 3) @ np.array(m.upper)
     seen = before > 0
