@@ -398,6 +398,38 @@ def test_hosts(spark):
     assert out[1] and not out[0] and not out[200] and not out[201] and not out[400] and out[401] and not out[402]
 
 
+@pytest.mark.parametrize("few", [quality.FEW_HOSTS, 0])
+def test_soft_failures(spark, few):
+    """A soft failure counts on a host where it is common, and is forgiven elsewhere; either way of the join, with a host of a third of all rows."""
+    good = " ".join(f"word{i}" for i in range(60))
+    noisy = good + " #" * 20
+    rows = [(k, noisy if k % 40 == 0 else good, "large") for k in range(400)] + [(1000 + k, noisy if k % 2 else good, "noisy") for k in range(60)]
+    rows += [(2000 + k, noisy if k == 1 else good, f"small{k % 30}") for k in range(600)] + [(3000, noisy, None), (3001, good, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = {r.doc_id: r["__kept"] for r in quality.judge(frame, ["doc_id"], few=few).collect()}
+    assert len(out) == len(rows)
+    assert {i for i, kept in out.items() if not kept} == {1000 + k for k in range(60) if k % 2}
+
+
+def test_quality_of_repeated_and_foreign_columns(spark):
+    """Repeated rows count each, other columns named like counts play no part, and the stage keeps them."""
+    text = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([(1, text, "h", 5, "x"), (1, text, "h", 5, "x"), (2, "few", "h", 6, "y"), (None, text, None, None, None)], "doc_id long, text string, source string, n_words long, kept string")
+    assert sorted((str(r.doc_id), r["__kept"]) for r in quality.judge(frame, ["doc_id"]).collect()) == [("1", True), ("1", True), ("2", False), ("None", True)]
+    left = quality.stage(spark, frame, "")
+    assert left.columns == frame.columns and sorted(str(r.n_words) for r in left.collect()) == ["5", "5", "None"]
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_verdicts_act(spark, sf):
+    """On the tables some documents go by their host's verdict, and most with a soft failure stay."""
+    judged = quality.judge(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"), ["doc_id"])
+    soft = judged.filter(~F.col("__failed") & F.exists("__fails", lambda x: x))
+    assert judged.filter("not __failed and not __kept").count() > 0
+    assert 0 < soft.filter("__kept").count()
+    assert judged.filter(~F.exists("__fails", lambda x: x) & ~F.col("__kept")).count() == 0
+
+
 # ---- 9, 10 ---------------------------------------------------------------------------------------------------------------------------------
 
 

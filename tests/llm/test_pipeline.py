@@ -31,12 +31,9 @@ def test_stages(spark, docs, small):
         steps.append(common.materialize(stage(spark, steps[-1], small), "step"))
     assert all(s.columns == docs.columns for s in steps[:-1])
     assert rows(steps[1]) == [r for r in rows(docs) if re.search(r"[^\W\d_]", r[1] or "")]
-    passed = [r for r in rows(steps[1]) if (c := brute_counts(r[1]))[0] >= quality.MIN_WORDS and 100 * c[4] <= quality.MAX_REPEATED * c[0]]
-    bad = quality.bad_hosts(quality.judge(steps[1], ["doc_id", "source"]).select("source", "__failed"), "source").collect()
-    assert not bad or {r["__host"] for r in bad} == {"odd"}
-    if bad:
-        odd = {r.doc_id for r in docs.filter("source = 'odd'").select("doc_id").collect()}
-        passed = [r for r in passed if r[0] not in odd]
+    judged = quality.judge(steps[1], ["doc_id", "text", "source"])
+    assert rows(judged.filter("not __failed")) == [r for r in rows(steps[1]) if (c := brute_counts(r[1]))[0] >= quality.MIN_WORDS and 100 * c[4] <= quality.MAX_REPEATED * c[0]]
+    passed = rows(judged.filter("__kept"))
     assert rows(steps[2]) == passed
     assert rows(steps[3]) == sorted(((i, kept) for i, _, _, kept in brute_lines(rows(steps[2]))), key=str)
     kept = {i for i, _, c in brute_components(rows(steps[3]), 5, 80) if i == c}
