@@ -71,7 +71,7 @@ def _occurrences(term: str) -> Column:
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc, score), less is better: documents with any of the terms. A document's row is read once; only hits are moved."""
     words = T.tokens(F.col("text"))
-    counted = docs.select(F.col("doc_id").alias("doc"), words.alias("w")).select("doc", F.size("w").alias("dl"), *[_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = docs.select(F.col("doc_id").alias("doc"), words.alias("w")).select("doc", F.coalesce(F.size("w"), F.lit(0)).alias("dl"), *[_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)

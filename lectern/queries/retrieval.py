@@ -7,37 +7,50 @@ from pyspark.sql.window import Window as W
 
 from ..functions import porter
 from ..functions import text as T
-from ..operators import search
+from ..operators import index, search
+from ..plans import storage
 from .registry import query, table
 
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 POS = f"select doc_id as doc, unnest({TOK}) as term, generate_subscripts({TOK}, 1) - 1 as pos from documents"
 
 
+_indexes: dict[tuple[str, str], index.Index] = {}
+
+
+def _index(spark, d):
+    """The tables' stored index, written by an application's first search."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        _indexes[key] = index.write(table(spark, d, "documents"), storage.new_path(spark, "index"), attributes=("lang", "source"))
+    return _indexes[key]
+
+
 def _positions(spark, d):
     return search.positions(table(spark, d, "documents"))
 
 
 @query("p6_match_all", f"with p as ({POS}) select doc, count(*) as tf from p where term in ('the', 'and') group by doc having count(distinct term) = 2")
 def match_all(spark, d):
-    return search.match(_positions(spark, d), search.parse("the and"))
+    return _index(spark, d).match(search.parse("the and"))
 
 
 @query("p6_match_phrase", f"with p as ({POS}) select a.doc, count(*) as tf from p a join p b on a.doc = b.doc and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by a.doc")
 def match_phrase(spark, d):
-    return search.match(_positions(spark, d), search.parse('"of the"'))
+    return _index(spark, d).match(search.parse('"of the"'))
 
 
 @query("p6_match_prefix", f"with p as ({POS}) select doc, count(*) as tf from p where starts_with(term, 'tion') group by doc")
 def match_prefix(spark, d):
-    return search.match(_positions(spark, d), search.parse("tion*"))
+    return _index(spark, d).match(search.parse("tion*"))
 
 
 @query("p7_match_filtered", f"""with p as ({POS}), m as (select doc, count(*) as tf from p where term = 'the' group by doc)
 select m.doc, m.tf, l.quality from m join documents t on t.doc_id = m.doc join labels l on l.doc_id = m.doc where t.lang = 'en' and t.source in ('src0', 'src1')""")
 def match_filtered(spark, d):
-    docs = table(spark, d, "documents").filter((F.col("lang") == "en") & F.col("source").isin("src0", "src1"))
-    hits = search.match(search.positions(docs), search.parse("the"))
+    stored = _index(spark, d)
+    units = stored.table("units").filter((F.col("lang") == "en") & F.col("source").isin("src0", "src1")).select("doc")
+    hits = stored.match(search.parse("the")).join(units, "doc")
     return hits.join(table(spark, d, "labels"), F.col("doc") == F.col("doc_id")).select("doc", "tf", "quality")
 
 
@@ -47,7 +60,7 @@ s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (where a > 0) as d
 r as (select doc, -(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from c, s where a > 0 or b > 0)
 select doc, round(score, 6) as score from r order by round(score, 6), doc limit 25 offset 25""")
 def bm25_page(spark, d):
-    ranked = search.bm25(table(spark, d, "documents"), ["the", "and"]).select("doc", F.round("score", 6).alias("score"))
+    ranked = _index(spark, d).bm25(["the", "and"]).select("doc", F.round("score", 6).alias("score"))
     return search.page(ranked, 2, 25, F.col("score"), F.col("doc"))
 
 
@@ -69,14 +82,15 @@ def snippet_chars(spark, d):
 
 @query("a1_match_count", f"with p as ({POS}) select count(distinct doc) as total from p where term = 'the'")
 def match_count(spark, d):
-    return search.match(_positions(spark, d), search.parse("the")).agg(F.count("*").alias("total"))
+    return _index(spark, d).match(search.parse("the")).agg(F.count("*").alias("total"))
 
 
 _HITS = f"with h as (select * from documents where list_contains({TOK}, 'the'))"
 
 
 def _hits(spark, d):
-    return table(spark, d, "documents").filter(F.array_contains(T.tokens(F.col("text")), "the"))
+    stored = _index(spark, d)
+    return stored.match(search.parse("the")).join(stored.table("units"), "doc").select(F.col("doc").alias("doc_id"), "lang", "source")
 
 
 @query("a2_concordance", f"""{_HITS}, c as (select source, any_value(lang) filter (where false) as none, count(*) as n from h group by source), r as (select source, n, row_number() over (order by n desc, source) as rank, max(n) over () as most from c)
@@ -106,6 +120,17 @@ def longest_terms(spark, d):
     return first.select("term", "f.doc", "f.pos").orderBy(F.desc(F.char_length("term")), "doc", "pos", "term").limit(8)
 
 
+@query("s13_stored_terms", f"with p as ({POS}) select term, count(distinct doc) as df, count(*) as n from p group by term")
+def stored_terms(spark, d):
+    return _index(spark, d).vocabulary()
+
+
+@query("s13_stored_places", f"with p as ({POS}) select term, doc, string_agg(pos, ' ' order by pos) as places from p where term in ('of', 'the', 'tion') group by term, doc")
+def stored_places(spark, d):
+    """A search's words with all their places, from the shards that hold them."""
+    return _index(spark, d).postings(search.parse("of the tion")).select("term", "doc", F.array_join(F.col("places").cast("array<string>"), " ").alias("places"))
+
+
 @query("t7_postings", f"with p as ({POS}) select term, doc, count(*) as tf from p group by term, doc")
 def postings(spark, d):
     return search.postings(table(spark, d, "documents"))
