@@ -1,16 +1,15 @@
-"""What the operators share: table reading, Arrow batches, shared storage and union of components."""
+"""What the operators share: table reading, Arrow batches and union of components."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import drop_tables, materialize, new_path  # noqa: F401 - operators take them from here
+
 #: The white space that separates words: blank, and tab to carriage return. `bytes.split()` splits at the same.
 BLANKS = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANKS}]+"
@@ -24,49 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine, as in tests, a local one may stand for it."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (found or "file:///tmp/lectern-shared").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, under one for this application, which is deleted when its driver ends."""
-    own = f"{shared_dir(spark)}/lectern-{spark.sparkContext.applicationId}"
-    if own not in _own_folders:
-        _own_folders.add(own)
-        atexit.register(_delete, own)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
-
-
-_own_folders: set[str] = set()
-
-
-def _delete(folder: str) -> None:
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
-
-
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it: lineage ends there, and a lost executor costs no more than its tasks."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes what materialize() wrote for these, once nothing lazy reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for df in frames:
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for f in folders:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class Batches:
     """Gathers rows and gives a record batch whenever they hold FLUSH_BYTES."""
 
