@@ -9,8 +9,11 @@ the nearest directory above it that has one: directories, once each, are joined
 IDF is over the templates; a term that none has weighs most, and lengthens a unit's vector. The query's SQL scores lines with a CUE against the
 templates alone: its tables have statements of that form only.
 
+Rows are told apart by two hashes of all they hold, not by their key: rows that share a key, or have none, have statements of their own, equal rows equal ones.
+Directories with many below them (roots above all) are joined to these in SALTS parts.
+
 Edge cases: null or empty text has no statement and may inherit; ties go to the licence first in order, of files to the first path; repeated
-rows count each; rows without path (in documents: without source or doc_id) get their own statement only; an empty table gives no rows; other columns are not read.
+rows get a row each; rows without path (in documents: without source or doc_id) get their own statement only; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,6 +80,8 @@ COMMON = set("a above all an and any are as at be but by can copies copy do eith
 #: What a statement holds, in any case; for SQL.
 CUE = r"licen[cs]e|rights reserved|public domain|copyright"
 LEAST = 0.6
+#: Parts in which a directory meets those below it.
+SALTS = 16
 #: Yields to any licence that a file states besides.
 RESERVED = "Proprietary"
 #: Between sentences: their marks before white space, a colon that ends a line, a line without letters or digits.
@@ -142,7 +147,7 @@ def telling() -> str:
 
 
 def units(files: DataFrame, header: int) -> DataFrame:
-    """file, unit (a number), top (whether it lies in the first lines, as many as header) and body of files(file, text)."""
+    """h1, h2, unit (a number), top (whether it lies in the first lines, as many as header) and body of files(h1, h2, text)."""
     lines = F.split("text", "\n", -1)
     head = F.array_join(F.slice(lines, 1, header), "\n")
     of = lambda top: lambda x: F.struct(F.lit(top).alias("top"), x.alias("body"))
@@ -150,47 +155,60 @@ def units(files: DataFrame, header: int) -> DataFrame:
         F.transform(lines, lambda x, i: F.struct((i < header).alias("top"), x.alias("body"))), F.transform(F.split("text", END, -1), of(False)), F.transform(F.split(head, END, -1), of(True)), F.array(of(True)(head), of(False)(F.col("text")))
     )
     cue = telling()
-    return files.filter(F.col("text").rlike(cue)).select("file", F.posexplode(every).alias("unit", "u")).select("file", "unit", "u.top", "u.body").filter(F.col("body").rlike(cue))
+    return files.filter(F.col("text").rlike(cue)).select("h1", "h2", F.posexplode(every).alias("unit", "u")).select("h1", "h2", "unit", "u.top", "u.body").filter(F.col("body").rlike(cue))
 
 
 def statements(files: DataFrame, header: int) -> DataFrame:
-    """file, licence, score and on_top, a row for each file(file, text) that has a statement."""
+    """h1, h2, licence, score and on_top, a row for each file(h1, h2, text) that has a statement, one for equal rows."""
     table, other = weights()
     spark = files.sparkSession
     vectors = spark.createDataFrame([(t, i, licence, share) for t, i, licence, _, share in table] + bodies(), "term string, template int, licence string, share double")
     idfs = spark.createDataFrame(sorted({(t, idf) for t, _, _, idf, _ in table}), "term string, idf double")
-    terms = units(files, header).select("file", "unit", "top", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy("file", "unit", "top", "term").agg(F.count("*").alias("tf"))
+    unit = ["h1", "h2", "unit"]
+    terms = units(files, header).select(*unit, "top", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy(*unit, "top", "term").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(idfs), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("file", "unit", "top", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).filter("shared > 1")
-    scored = dots.join(norms, ["file", "unit"]).select("file", "top", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST)
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy(*unit, "top", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).filter("shared > 1")
+    # equal rows have counted their terms together, which changes no cosine
+    scored = dots.join(norms, unit).select("h1", "h2", "top", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST)
     best = F.min(F.struct((F.col("licence") == RESERVED).alias("r"), (-F.col("score")).alias("s"), "licence"))
-    return scored.groupBy("file").agg(best.alias("b"), F.max("top").alias("on_top")).select("file", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "on_top")
+    return scored.groupBy("h1", "h2").agg(best.alias("b"), F.max("top").alias("on_top")).select("h1", "h2", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "on_top")
+
+
+def nearest(dirs: DataFrame, of_dir: DataFrame) -> DataFrame:
+    """d, up and up_licence: for each of dirs(dir) the nearest of of_dir(up, up_licence) that is the directory itself or lies above it."""
+    parts = F.split("dir", "/", -1)
+    above = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).select("dir", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("up"))
+    salted = above.withColumn("salt", F.pmod(F.xxhash64("dir"), F.lit(SALTS)).cast("int"))
+    spread = of_dir.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = salted.join(spread, ["up", "salt"]).groupBy("dir").agg(F.max(F.struct("depth", "up", "up_licence")).alias("n"))
+    return met.select(F.col("dir").alias("d"), F.col("n.up").alias("up"), F.col("n.up_licence").alias("up_licence"))
 
 
 def scan(files: DataFrame, header: int = HEADER) -> DataFrame:
     """files(file: a key, path, text) to file, path, licence, how (header, inherited, none), score and from_dir; header: the first lines that speak for a directory."""
-    files = files.select("file", "path", "text")
-    own = common.materialize(statements(files.select("file", "text"), header), "statements")
+    row = [F.col(c) for c in ("file", "path", "text")]
     parent: Column = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1))
-    placed = files.select("file", "path", parent.alias("dir"))
+    files = files.select(*row, F.xxhash64(*row).alias("h1"), F.xxhash64(F.lit(1), *row).alias("h2"))
+    own = common.materialize(statements(files.select("h1", "h2", "text"), header), "statements")
+    placed = files.select("file", "path", parent.alias("dir"), "h1", "h2").join(own, ["h1", "h2"], "left")
+    placed = common.materialize(placed.drop("h1", "h2"), "placed")
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(NOTICE_NAME)
-    speaks = placed.join(own, "file").filter(F.col("dir").isNotNull() & (F.col("on_top") | named))
+    speaks = placed.filter(F.col("licence").isNotNull() & F.col("dir").isNotNull() & (F.col("on_top") | named))
     of_dir = speaks.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "licence")).alias("b")).select(F.col("dir").alias("up"), F.col("b.licence").alias("up_licence"))
-    dirs = placed.select("dir").filter(F.col("dir").isNotNull()).distinct()
-    parts = F.split("dir", "/", -1)
-    above = dirs.select("dir", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).select("dir", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("up"))
-    nearest = above.join(of_dir, "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "up_licence")).alias("n")).select(F.col("dir").alias("d"), F.col("n.up").alias("up"), F.col("n.up_licence").alias("up_licence"))
-    out = placed.join(own, "file", "left").join(nearest, F.col("dir") == F.col("d"), "left")
+    found = nearest(placed.select("dir").filter(F.col("dir").isNotNull()).distinct(), of_dir)
+    out = placed.join(found, F.col("dir") == F.col("d"), "left")
     inherits = F.col("licence").isNull() & F.col("up_licence").isNotNull()
     how = F.when(F.col("licence").isNotNull(), "header").when(inherits, "inherited").otherwise("none")
     return out.select("file", "path", F.coalesce("licence", "up_licence").alias("licence"), how.alias("how"), "score", F.when(inherits, F.col("up")).alias("from_dir"))
 
 
-def _over_documents(spark: SparkSession, sf_dir: str, header: int) -> DataFrame:
-    """Over documents, whose path is made of source and doc_id: a folder for each source, in it one for each thousand, in that one for each hundred."""
+def _over_documents(spark: SparkSession, sf_dir: str, header: int, notices: bool = False) -> DataFrame:
+    """Over documents, whose path is made of source and doc_id: a folder for each source, in it one for each thousand, in that one for each hundred;
+    with notices, the first of each hundred is its LICENSE."""
     d = F.col("doc_id")
-    path = F.concat("source", F.lit("/"), F.floor(d / 1000).cast("string"), F.lit("/"), F.floor(d / 100).cast("string"), F.lit("/"), d.cast("string"))
+    name = F.when(d % 100 == 0, "LICENSE").otherwise(d.cast("string")) if notices else d.cast("string")
+    path = F.concat("source", F.lit("/"), F.floor(d / 1000).cast("string"), F.lit("/"), F.floor(d / 100).cast("string"), F.lit("/"), name)
     return scan(common.documents(spark, sf_dir).select(d.alias("file"), path.alias("path"), "text"), header).withColumnRenamed("file", "doc_id")
 
 
@@ -200,34 +218,36 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement anywhere in the header region does; a title or shebang may stand before it."""
-    return _over_documents(spark, sf_dir, HEADER)
+    """A statement anywhere in the header region does, a title or shebang may stand before it; in a file named LICENSE one anywhere does."""
+    return _over_documents(spark, sf_dir, HEADER, True)
 
 
-def _sql(header: int) -> str:
+def _sql(header: int, notices: bool = False) -> str:
     table, other = weights()
     values = ", ".join(f"('{t}', {i}, '{licence}', cast({idf} as double), cast({share} as double))" for t, i, licence, idf, share in table)
+    name = "case when doc_id % 100 = 0 then 'LICENSE' else cast(doc_id as varchar) end" if notices else "doc_id"
+    speaks = "on_top or regexp_matches(path, '/LICENSE$')" if notices else "on_top"
     return f"""
 with v(term, template, licence, idf, share) as (values {values}),
 i as (select distinct term, idf from v),
-d as (select doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) as dir, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id as path, text from documents),
-l as (select doc_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from d),
+d as materialized (select row_number() over () as rid, doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) as dir, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || {name} as path, text from documents),
+l as (select rid, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from d),
 s as (select * from l where regexp_matches(body, '(?i){CUE}')),
-t as (select doc_id, line, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) as term from s),
-w as (select doc_id, line, t.term, count(*) * coalesce(any_value(i.idf), {other}) as w from t left join i on t.term = i.term group by doc_id, line, t.term),
-n as (select doc_id, line, sqrt(sum(w * w)) as norm from w group by doc_id, line),
-p as (select doc_id, line, template, licence, sum(w * share) as dot from w join v using (term) group by doc_id, line, template, licence),
-c as (select doc_id, line, licence, round(dot / norm, 6) as score from p join n using (doc_id, line) where round(dot / norm, 6) >= {LEAST}),
-o as (select doc_id, arg_min(licence, (-score, licence)) as licence, max(score) as score, min(line) {'= 0' if header == 1 else f'< {header}'} as on_top from c group by doc_id),
-k as (select dir, arg_min(licence, (-score, path)) as licence from d join o using (doc_id) where on_top group by dir),
+t as (select rid, line, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) as term from s),
+w as (select rid, line, t.term, count(*) * coalesce(any_value(i.idf), {other}) as w from t left join i on t.term = i.term group by rid, line, t.term),
+n as (select rid, line, sqrt(sum(w * w)) as norm from w group by rid, line),
+p as (select rid, line, template, licence, sum(w * share) as dot from w join v using (term) group by rid, line, template, licence),
+c as (select rid, line, licence, round(dot / norm, 6) as score from p join n using (rid, line) where round(dot / norm, 6) >= {LEAST}),
+o as (select rid, arg_min(licence, (-score, licence)) as licence, max(score) as score, min(line) {'= 0' if header == 1 else f'< {header}'} as on_top from c group by rid),
+k as (select dir, arg_min(licence, (-score, path)) as licence from d join o using (rid) where {speaks} group by dir),
 a as (select distinct dir, unnest(range(1, len(string_split(dir, '/')) + 1)) as depth from d),
 u as (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') as up from a),
 b as (select u.dir, arg_max(k.dir, depth) as up, arg_max(k.licence, depth) as licence from u join k on u.up = k.dir group by u.dir)
 select d.doc_id, d.path, coalesce(o.licence, b.licence) as licence, case when o.licence is not null then 'header' when b.licence is not null then 'inherited' else 'none' end as how,
   o.score, case when o.licence is null then b.up end as from_dir
-from d left join o using (doc_id) left join b on d.dir = b.dir
+from d left join o using (rid) left join b on d.dir = b.dir
 """
 
 
 SQL = _sql(1)
-TREE_SQL = _sql(HEADER)
+TREE_SQL = _sql(HEADER, True)
