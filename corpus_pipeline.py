@@ -31,8 +31,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialize(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        done = common.materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:  # what it was made of is no longer read
+            common.drop_tables(spark, docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,10 +14,14 @@
 
 The only way to miss a link is that two texts share no bucket: at the threshold similarity, one pair in 10^10 (0.85) or 10^6 (0.8).
 
-Nothing about all documents goes to the driver. Steps are cut by tables in the shared folder.
+A departure from optimal densification: a part that finds no filled one in 4096 tries, as happens to one in 10^9 where a single part is filled, takes the first.
+
+Nothing about all documents goes to the driver. Steps are cut by tables in the shared folder, which are deleted once no later step reads them. Classes of copies with
+more rows than an even partition, fewer than the partitions, are joined back to their rows by broadcast.
 
 Edge cases: a text without words, or null, is linked with nothing; a row without doc_id is linked with nothing and not kept; rows that share a
-doc_id stay rows of their own; equal sets are linked, whatever their number; an empty table gives no rows; other columns are not read.
+doc_id stay rows of their own; equal sets are linked, whatever their number; an empty table gives no rows; other columns are not read. The stage goes by rows: of
+rows that share a doc_id, only those whose text is a copy of another document's go, and of equal rows one stays; rows without doc_id stay.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import sizes
 from . import common, hashing
 
 BANDS, ROWS = 40, 5
@@ -72,21 +77,26 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def row_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set, null without words) and bands."""
+    """doc_id, row_key (a hash of the text), n_shingles, node (digest of the set, null without words) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for b in common.parts(batches):
-            sizes, nodes, bands = [], [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
+            found, nodes, bands = [], [], []
+            for text in b.column(2).cast(pa.binary()).to_pylist():
                 s = hashing.shingles(hashing.words(text), words)
-                sizes.append(len(s))
+                found.append(len(s))
                 nodes.append(digest(s) if len(s) else None)
                 bands.append(sketch.bands(s).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "node", "bands"])
 
-    return common.texts_only(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return common.texts_only(docs).select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -134,7 +144,9 @@ def stars(nodes: DataFrame) -> DataFrame:
     met = members.groupBy("node").agg(F.sum("n").alias("met"))
     centre = members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
     pairs = members.join(centre, "bucket").filter(F.col("node") != F.col("centre"))
-    return common.materialize(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    out = common.materialize(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    common.drop_tables(nodes.sparkSession, members)
+    return out
 
 
 def _weight(t: int) -> Column:
@@ -145,7 +157,7 @@ def missed(near: DataFrame, roots: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b) within stars that may be linked though no star has joined them (step 3), from compared stars and the components so far."""
     limit = (100 - t) * F.col("size")
     all_ = near.select(F.col("a").alias("c"), F.col("b").alias("x"), "size", "delta", _weight(t).alias("w"), (_weight(t) > limit).alias("far"))
-    open_ = all_.filter("far").select("c").distinct()
+    open_ = sizes.broadcast_if_small(all_.filter("far").select("c").distinct(), 64)
     # as many shared differences as the nearest partner of either kind asks for: `need` if one of the two is near the centre, for the far one `weak`
     need = (F.floor(F.col("w") / (100 + t)) + 1).cast("int")
     weak = F.when(F.col("far"), F.ceil((F.col("w") - limit + t) / (100 + t)).cast("int"))
@@ -165,11 +177,27 @@ def missed(near: DataFrame, roots: DataFrame, t: int) -> DataFrame:
     both_far = F.col("far") & F.col("strict1") & (F.col("x1") < F.col("x"))
     on = (F.col("c1") == F.col("c")) & (F.col("e1") == F.col("e")) & (F.col("root1") != F.col("root")) & (both_far | ~F.col("far")) & ((100 + t) * rest >= F.col("w1") + F.col("w") - limit)
     met = far.join(prefix.filter("strict"), on)
-    return common.materialize(met.select(F.least("x1", "x").alias("a"), F.greatest("x1", "x").alias("b")).distinct(), "missed")
+    out = common.materialize(met.select(F.least("x1", "x").alias("a"), F.greatest("x1", "x").alias("b")).distinct(), "missed")
+    common.drop_tables(near.sparkSession, rows, prefix)
+    return out
+
+
+def _back(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """sig with the component of classes(node, rows, component), for nodes that have one. A large class' rows don't meet in one task."""
+    known = sig.select("doc_id", "row_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    parts, total = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions")), sig.count()
+    of = classes.select(F.col("node").alias("k"), "component", (F.col("rows") * parts > total).alias("large"))
+    large = F.broadcast(of.filter("large"))  # fewer than parts, as each holds more than 1 / parts of all rows
+    own = F.col("node") == F.col("k")
+    none = known.filter(F.col("node").isNull()).withColumn("component", F.lit(None).cast("long"))
+    some = known.filter(F.col("node").isNotNull())
+    few = some.join(large, own, "left_anti").join(of.filter(~F.col("large")), own, "left")
+    pick = lambda d: d.select("doc_id", "row_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return pick(some.join(large, own)).unionByName(pick(few)).unionByName(pick(none))
 
 
 def components(docs: DataFrame, words: int, t: int) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id of the linked documents) for each row of docs; t: the similarity in percent."""
+    """doc_id, row_key, n_shingles and component_id (the least doc_id of the linked documents) for each row of docs; t: the similarity in percent."""
     sig = common.materialize(signatures(docs, words), "signatures")
     nodes = common.materialize(sig.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.any_value("bands").alias("bands")), "nodes")
     pairs = stars(nodes)
@@ -178,17 +206,18 @@ def components(docs: DataFrame, words: int, t: int) -> DataFrame:
     near = compared(pairs, sets)
     linked = lambda d: d.filter(_weight(t) <= (100 - t) * F.col("size")).select("a", "b")
     roots = common.materialize(common.connected(linked(near)), "roots")
-    more = linked(compared(missed(near, roots, t), sets))
+    doubts = missed(near, roots, t)
+    more = compared(doubts, sets)
     first = roots.select(F.col("node").alias("n1"), F.col("root").alias("r1"))
     second = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-    lifted = more.join(first, F.col("a") == F.col("n1"), "left").join(second, F.col("b") == F.col("n2"), "left").select(F.coalesce("r1", "a").alias("a"), F.coalesce("r2", "b").alias("b"))
+    lifted = linked(more).join(first, F.col("a") == F.col("n1"), "left").join(second, F.col("b") == F.col("n2"), "left").select(F.coalesce("r1", "a").alias("a"), F.coalesce("r2", "b").alias("b"))
     over = common.materialize(common.connected(lifted).select(F.col("node").alias("r"), F.col("root").alias("top")), "over")
     by_node = nodes.select("node", "doc", "rows").join(roots, "node", "left").withColumn("r", F.coalesce("root", "node")).join(over, "r", "left").select("node", "doc", "rows", "root", F.coalesce("top", "r").alias("top"), F.col("top").isNotNull().alias("late"))
-    by_node = common.materialize(by_node.filter("rows > 1 or root is not null or late"), "classes")
+    by_node = common.materialize(by_node.filter("rows > 1 or root is not null or late"), "members-of")
     least = by_node.groupBy("top").agg(F.min("doc").alias("component"))
-    of = by_node.join(least, "top").select(F.col("node").alias("k"), "component")
-    known = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return known.join(of, F.col("node") == F.col("k"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = common.materialize(by_node.join(least, "top").select("node", "rows", "component"), "classes")
+    common.drop_tables(docs.sparkSession, nodes, pairs, sets, near, roots, doubts, more, over, by_node)
+    return _back(sig, classes)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,5 +227,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the least doc_id, by five-word shingles and a similarity of 0.8. Rows without doc_id stay."""
-    others = components(docs, 5, 80).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__doc_id"))
-    return docs.join(others, F.col("doc_id") == F.col("__doc_id"), "left_anti")
+    found = common.materialize(components(docs, 5, 80).filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k"), "component_id"), "found")
+    gone = found.filter(F.col("__d") != F.col("component_id")).select("__d", "__k").distinct()
+    again = sizes.broadcast_if_small(found.groupBy("__d", "__k").count().filter("count > 1").select("__d", "__k"), 64)
+    same = (F.col("doc_id") == F.col("__d")) & (F.col("__row_key") == F.col("__k"))
+    left = docs.withColumn("__row_key", row_key()).join(gone, same, "left_anti")
+    one = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__row_key"])
+    return left.join(again, same, "left_anti").unionByName(one).select(*docs.columns)
