@@ -123,6 +123,25 @@ def test_licences_inherited(spark, small):
     assert inherited and all(r.licence and r.score is None and r.path.startswith(f"{r.from_dir}/") for r in inherited)
 
 
+def test_licences_of_odd_rows(spark):
+    """Rows that share a key or have none, repeated rows, a very long text, ties and clashing columns."""
+    mit, long = "Released under the MIT License.", "plain words here. " * 60_000 + "\nReleased under the MIT License.\n" + "more of it. " * 60_000
+    rows = [(7, "a/x", mit), (7, "a/y", "code"), (None, "b/x", "Licensed under CC BY 4.0"), (None, None, mit), (8, "c/x", mit), (8, "c/x", mit), (9, "d/long", long), (10, "e/x", f"{mit}\nLicensed under CC BY 4.0"), (None, "b/z", None)]
+    files = spark.createDataFrame([(*r, "t", 1.0, "l", "u") for r in rows], "file long, path string, text string, licence string, score double, dir string, up string")
+    got = sorted(((r.file, r.path, r.licence, r.how, r.from_dir) for r in licences.scan(files).collect()), key=str)
+    want = [
+        (7, "a/x", "MIT", "header", None), (7, "a/y", "MIT", "inherited", "a"), (None, "b/x", "CC-BY-4.0", "header", None), (None, None, "MIT", "header", None), (8, "c/x", "MIT", "header", None),
+        (8, "c/x", "MIT", "header", None), (9, "d/long", "MIT", "header", None), (10, "e/x", "CC-BY-4.0", "header", None), (None, "b/z", "CC-BY-4.0", "inherited", "b"),
+    ]
+    assert got == sorted(want, key=str)
+
+
+def test_licences_below_one_root(spark):
+    rows = [("l", "root/LICENSE", "x\n" * 40 + "Released under the MIT License."), *((f"f{k}", f"root/d{k}/e/f", "code") for k in range(200))]
+    out = licences.scan(spark.createDataFrame(rows, "file string, path string, text string"))
+    assert out.filter("how = 'inherited' and from_dir = 'root' and licence = 'MIT'").count() == 200
+
+
 # ---- 3 -------------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import TEXTS, brute_components, brute_counts, brute_lines
 
 import corpus_pipeline
-from lectern.llm import common, langid, packing, quality
+from lectern.llm import common, langid, neardup, packing, quality
 
 
 def rows(frame):
@@ -53,6 +53,36 @@ def test_empty(spark, docs, small):
         assert now.count() == 0
 
 
+def test_near_duplicates_by_row(spark, small):
+    """Only the row whose text is a copy goes, of equal rows one stays, clashing columns stay as they are."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    all_ = [(3, text(0), "a"), (7, text(0), "b"), (7, text(1), "c"), (8, text(2), "d"), (8, text(2), "d"), (None, text(0), "e"), (None, text(0), "e"), (9, None, "f"), (10, "", "g")]
+    frame = spark.createDataFrame([(i, t, k, 1, "r") for i, t, k in all_], "doc_id long, text string, node string, component_id int, row_key string")
+    left = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, frame, small)
+    assert left.columns == frame.columns
+    assert sorted(r.node for r in left.collect()) == ["a", "c", "d", "e", "e", "f", "g"]
+
+
+def test_large_classes(spark):
+    """Half of all rows are copies of one text: their class is joined back by broadcast."""
+    rows = [(k, "the same text in many rows here" if k % 2 else f"a text of its own number {k} and more {k}") for k in range(400)]
+    out = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(k, 1 if k % 2 else k) for k in range(400)}
+
+
+def test_clashing_columns(spark, docs, small):
+    """Every stage but the last gives the columns that it is given, whatever they are called."""
+    names = ["node", "row_key", "component_id", "n", "keep", "h1", "lang_pred", "score", "__host"]
+    frame = common.materialize(docs.limit(60).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)]), "clash")
+    plain = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality rules":
+            frame = frame.drop("__host")  # names with two underscores are the operators' own
+        left = stage(spark, frame, small)
+        assert left.columns == frame.columns
+        assert rows(left) == rows(stage(spark, frame.select(*plain), small))
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
 
