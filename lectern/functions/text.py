@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
-# Latin letters with marks, and their base letters.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_BASE = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def tokens(text: Column) -> Column:
@@ -16,9 +16,30 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
+@lru_cache(1)
+def _folding() -> tuple[str, str]:
+    """Letters that canonical decomposition (NFD) makes into one letter and marks (U+0300 to U+036F), these letters, and then the marks, which stand for nothing."""
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if x not in marks) for c in map(chr, range(0xC0, 0x3000))}
+    pairs = [(c, b) for c, b in bare.items() if b != c and len(b) == 1]
+    return "".join(c for c, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(text), _MARKED, _BASE)
+    """Lower case without marks: canonically decomposed, as far as U+2FFF, and the marks left out. ASCII goes the short way."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, *_folding()))
+
+
+def transliterated(word: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A word as it is looked up in transliteration: folded, without quotes before it, common words by the name that they go by."""
+    bare = F.regexp_replace(fold(word), "^['’‘ʼʻʾʿ`]+", "")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), bare), bare) if aliases else bare
+
+
+def cut(text: Column, size: int) -> Column:
+    """The first `size` characters."""
+    return F.substring(text, 1, size)
 
 
 def collapse(text: Column) -> Column:

@@ -44,12 +44,22 @@ def canonical(rows: DataFrame, work: Column, chapter: Column, canon: DataFrame,
 
 
 def starts(parts: DataFrame, key: str, n: str, block: int = 4096) -> DataFrame:
-    """Where each part starts if parts(key, n) follow one another by their integer key: sums within blocks of keys, and of the blocks before."""
-    p = parts.withColumn("__b", F.floor(F.col(key) / block))
-    blocks = p.groupBy("__b").agg(F.sum(n).alias("__n"))
-    before = blocks.select("__b", (F.sum("__n").over(W.orderBy("__b")) - F.col("__n")).alias("__s"))
-    within = F.sum(n).over(W.partitionBy("__b").orderBy(key)) - F.col(n)
-    return p.withColumn("__w", within).join(before, "__b").select(key, (F.col("__s") + F.col("__w")).alias("start"))
+    """Where each part starts if parts(key, n) follow one another by their integer key: sums within blocks of keys, within blocks of blocks, and of those before;
+    the last, one for block * block keys, are few."""
+    p = parts.withColumn("__b", F.floor(F.col(key) / block)).withColumn("__w", F.sum(n).over(W.partitionBy("__b").orderBy(key)) - F.col(n))
+    blocks = p.groupBy("__b").agg(F.sum(n).alias("__n")).withColumn("__g", F.floor(F.col("__b") / block))
+    blocks = blocks.withColumn("__v", F.sum("__n").over(W.partitionBy("__g").orderBy("__b")) - F.col("__n"))
+    groups = blocks.groupBy("__g").agg(F.sum("__n").alias("__n"))
+    before = groups.select("__g", (F.sum("__n").over(W.orderBy("__g")) - F.col("__n")).alias("__s"))
+    offset = blocks.join(before, "__g").select("__b", (F.col("__s") + F.col("__v")).alias("__o"))
+    return p.join(offset, "__b").select(key, (F.col("__o") + F.col("__w")).alias("start"))
+
+
+def canonical_parallel(units: DataFrame, edition: str, work: Column, chapter: Column, editions: list, text: str, canon: DataFrame, books: DataFrame) -> DataFrame:
+    """A row for each chapter by its canonical reference (book_key, local), a column for each edition, null where it lacks the chapter: editions number their
+    chapters in their own ways, so they are aligned by the map of composite works."""
+    placed = canonical(units.select(edition, text, work.alias("__work"), chapter.alias("__chapter")), F.col("__work"), F.col("__chapter"), canon, books)
+    return placed.groupBy("book_key", "local").pivot(edition, editions).agg(F.first(text))
 
 
 def interlinear(verses: DataFrame, words: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,35 +9,42 @@ from pyspark.sql.window import Window as W
 from ..functions import text as T
 from ..plans.sizes import broadcast_if_small
 
-#: A quotation is looked for by the hashes of so many tokens in a row.
-WINDOW = 5
+#: A quotation is looked for by the hashes of so many tokens in a row, a short one by so many first characters.
+WINDOW, GRAM = 5, 3
+#: Bytes of a target with its text, and of a key, as the checks of broadcasts count them.
+TEXT_BYTES, KEY_BYTES = 1024, 32
 
 
-def _windows(df: DataFrame, key: str, text: str, every: int) -> DataFrame:
-    """(key, h, k): hashes of WINDOW tokens in a row, at every `every`-th place from the first on."""
-    w = T.tokens(F.col(text))
-    rows = df.select(key, w.alias("w")).filter(F.size("w") >= WINDOW)
-    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW, F.lit(every)), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WINDOW)]))
-    return rows.select(key, F.posexplode(hashed).alias("k", "h"))
+def _windows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h): the distinct hashes of WINDOW tokens in a row."""
+    w = df.select(key, T.tokens(F.col(text)).alias("w")).filter(F.size("w") >= WINDOW)
+    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WINDOW)]))
+    return w.select(key, F.explode(F.array_distinct(hashed)).alias("h"))
+
+
+def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, h): the distinct sequences of n characters."""
+    return df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1))).alias("h"))
 
 
 def containment(works: DataFrame, targets: DataFrame, work: str = "doc_id", target: str = "item_id", text: str = "text") -> DataFrame:
     """(target, work, n): works whose text holds a target's text whole, with the number of times.
 
-    A target's first inner window that is whole must occur in the work, so works meet targets on that window's hash (without a shuffle of windows where the targets are few enough to be broadcast); the candidates alone are compared
-    by text. Targets of too few tokens for a window are compared with every work.
+    A target's first inner window that is whole (its first and last token may be part of longer words in the work) must occur in the work, so works meet targets on that
+    window's hash; targets of too few tokens on their first characters. Pairs are made of keys alone. Then they get the target's text and meet the works'
+    texts, which move at most once, by work, and not at all where the pairs are few enough to be broadcast.
     """
-    words = T.tokens(F.col(text))
-    t = targets.select(F.col(target).alias("target"), F.col(text).alias("t"), words.alias("w"))
-    # a target's first and last token may be part of a longer word in the work, so the window lies within
-    keyed = t.filter(F.size("w") >= WINDOW + 2).select("target", "t", F.xxhash64(*[F.get("w", F.lit(j + 1)) for j in range(WINDOW)]).alias("h"))
-    met = _windows(works.select(F.col(work).alias("work"), text), "work", text, 1).select("work", "h").join(broadcast_if_small(keyed.select("target", "h"), 24), "h").select("work", "target").distinct()
+    t = targets.select(F.col(target).alias("target"), F.col(text).alias("t"), T.tokens(F.col(text)).alias("w")).filter(F.char_length("t") > 0)
     texts = works.select(F.col(work).alias("work"), F.col(text).alias("body"))
-    pairs = texts.join(met, "work").join(t.select("target", "t"), "target")
-    short = t.filter((F.size("w") < WINDOW + 2) & (F.char_length("t") > 0)).select("target", "t")
-    pairs = pairs.select("work", "target", "body", "t").unionByName(texts.join(short, F.col("body").contains(F.col("t"))).select("work", "target", "body", "t"))
+    long = t.filter(F.size("w") >= WINDOW + 2).select("target", F.xxhash64(*[F.get("w", F.lit(j + 1)) for j in range(WINDOW)]).alias("h"))
+    pairs = _windows(texts, "work", "body").join(broadcast_if_small(long, KEY_BYTES), "h").select("work", "target")
+    short = t.filter(F.size("w") < WINDOW + 2).select("target", "t", F.least(F.lit(GRAM), F.char_length("t")).alias("n"))
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # GRAM of them at most
+        keyed = short.filter(F.col("n") == n).select("target", F.substring("t", 1, n).alias("h"))
+        pairs = pairs.unionByName(_grams(texts, "work", "body", n).join(broadcast_if_small(keyed, KEY_BYTES), "h").select("work", "target"))
+    met = pairs.join(broadcast_if_small(t.select("target", "t"), TEXT_BYTES), "target")
     n = ((F.char_length("body") - F.char_length(F.replace("body", F.col("t"), F.lit("")))) / F.char_length("t")).cast("long")
-    return pairs.select("target", "work", n.alias("n")).filter("n > 0")
+    return texts.join(met, "work").select("target", "work", n.alias("n")).filter("n > 0")
 
 
 def counts(cites: DataFrame) -> DataFrame:
@@ -51,9 +58,17 @@ def cited_by(cites: DataFrame, titles: DataFrame, limit: int = 300) -> DataFrame
 
 
 def by_group(cites: DataFrame, groups: DataFrame) -> DataFrame:
-    return cites.join(groups, "work").groupBy("target", "grp").agg(F.count("*").alias("works"), F.array_join(F.array_sort(F.collect_list(F.col("work"))).cast("array<string>"), ",").alias("ids"))
+    """How many works of each group cite each target."""
+    return cites.join(groups, "work").groupBy("target", "grp").agg(F.count("*").alias("works"), F.min("work").alias("first"), F.max("work").alias("last"))
+
+
+def listed(cites: DataFrame, groups: DataFrame) -> DataFrame:
+    """The works of each target and group in their order, a row each, with the number: what an export nests."""
+    rows = cites.join(groups, "work").select("target", "grp", "work")
+    return rows.withColumn("ord", F.row_number().over(W.partitionBy("target", "grp").orderBy("work")))
 
 
 def first_edition(texts: DataFrame, cites: DataFrame) -> DataFrame:
-    """For each target, the text of the first work that has it: texts(work, ord, body)."""
-    return cites.join(texts, "work").groupBy("target").agg(F.min_by(F.struct("work", "body"), F.struct("ord", "work")).alias("f")).select("target", "f.work", "f.body")
+    """For each target, the text of the first work that has it: texts(work, ord, body). Only keys are compared; the texts of the first works alone move."""
+    first = cites.join(texts.select("work", "ord"), "work").groupBy("target").agg(F.min_by("work", F.struct("ord", "work")).alias("work"))
+    return first.join(texts.select("work", "body"), "work").select("target", "work", "body")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -23,13 +23,30 @@ def by_word(entry: DataFrame, t: str, limit: int = 40) -> DataFrame:
     return entry.filter((F.col("word") == t) | F.col("word").startswith(t)).orderBy("num", "word").limit(limit)
 
 
+def answers(entry: DataFrame, english: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, id, priority): for each of asked(q), the entries by number (1), by English word (2) and by the beginning of their transliteration (3), of the first kind that has any."""
+    a = asked.select("q", F.lower(F.trim("q")).alias("w"), F.replace(F.lower(F.trim("q")), F.lit(" "), F.lit("")).alias("number"))
+    by_number = a.join(entry.select(F.lower("id").alias("number"), "id"), "number").select("q", "id", F.lit(1).alias("priority"))
+    by_english = a.join(english.select(F.col("word").alias("w"), "id"), "w").select("q", "id", F.lit(2).alias("priority"))
+    # beginnings meet what is asked by themselves: an entry has as many as its word has letters
+    heads = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    by_spelling = a.join(entry.filter(F.char_length("word") > 0).select("id", F.explode(heads).alias("w")), "w").select("q", "id", F.lit(3).alias("priority"))
+    rows = by_number.unionByName(by_english).unionByName(by_spelling).distinct()
+    best = rows.groupBy("q").agg(F.min("priority").alias("priority"))
+    return rows.join(best, ["q", "priority"]).select("q", "id", "priority")
+
+
+def mode(priority: Column) -> Column:
+    return F.when(priority == 1, "number").when(priority == 2, "english").when(priority == 3, "word")
+
+
 def lookup(entry: DataFrame, english: DataFrame, q: str, limit: int = 40) -> DataFrame:
     """Entries for what someone typed, by number, else by English word, else by transliteration; `mode` says which answered."""
-    q = q.strip().lower()
-    number = entry.filter(F.lower("id") == q.replace(" ", "")).select("id", F.lit(1).alias("priority"))
-    word = english.filter(F.col("word") == q).select("id", F.lit(2).alias("priority"))
-    spelled = entry.filter(F.col("word").startswith(q)).select("id", F.lit(3).alias("priority"))
-    rows = number.unionByName(word).unionByName(spelled).distinct()
-    best = rows.agg(F.min("priority").alias("priority"))
-    mode = F.element_at(F.array(F.lit("number"), F.lit("english"), F.lit("word")), F.col("priority"))
-    return rows.join(F.broadcast(best), "priority").join(entry, "id").orderBy(F.desc("lang"), "num", "id").limit(limit).select("id", "lang", "num", mode.alias("mode"))
+    found = answers(entry, english, entry.sparkSession.createDataFrame([(q,)], "q string"))
+    return found.join(entry, "id").orderBy(F.desc("lang"), "num", "id").limit(limit).select("id", "lang", "num", mode(F.col("priority")).alias("mode"))
+
+
+def modes(entry: DataFrame, english: DataFrame, asked: DataFrame) -> DataFrame:
+    """How each of asked(q) is answered, none of those without an entry, and the number of entries."""
+    found = answers(entry, english, asked).groupBy("q").agg(F.min("priority").alias("priority"), F.count("*").alias("n"))
+    return asked.select("q").distinct().join(found, "q", "left").select("q", F.coalesce(mode(F.col("priority")), F.lit("none")).alias("mode"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -72,11 +72,29 @@ def label(highlights: DataFrame, notes: DataFrame, places: DataFrame, key: str)
     return j.withColumn("shown", F.coalesce("__t", "__l", F.col(key).cast("string"))).drop("__n", "__t", "__p", "__l")
 
 
-def export(rows: DataFrame, user: str, *order: str) -> DataFrame:
-    """One JSON document for each user, its rows sorted."""
+def in_order(rows: DataFrame, work: str, chapter: str, unit: str, tie: str) -> DataFrame:
+    """Highlights of each work by chapter and verse as numbers (a paragraph pN by its digits), with their place in the work: places within chapters, and the
+    chapters before, so that a work with a third of all rows is no single task's."""
+    digits = lambda c: F.coalesce(F.regexp_extract(c, "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    r = rows.withColumn("chapter_no", digits(F.col(chapter))).withColumn("unit_no", digits(F.col(unit)))
+    r = r.withColumn("__k", F.row_number().over(W.partitionBy(work, "chapter_no").orderBy("unit_no", tie)))
+    sizes = r.groupBy(work, "chapter_no").agg(F.count("*").alias("__n"))
+    before = sizes.select(work, "chapter_no", (F.sum("__n").over(W.partitionBy(work).orderBy("chapter_no")) - F.col("__n")).alias("__b"))
+    return r.join(before, [work, "chapter_no"]).withColumn("place", F.col("__b") + F.col("__k")).drop("__b", "__k")
+
+
+def merged(base: Column, update: Column, gone: Column | None = None) -> Column:
+    """Two maps as one: the second's values win, and its nulls leave the first's; keys of the array `gone` are deleted."""
+    both = F.map_zip_with(F.coalesce(base, F.create_map().cast("map<string,bigint>")), F.coalesce(update, F.create_map().cast("map<string,bigint>")), lambda k, a, b: F.coalesce(b, a))
+    return both if gone is None else F.map_filter(both, lambda k, v: ~F.array_contains(gone, k))
+
+
+def export(rows: DataFrame, user: str, *order: str, block: Column | None = None) -> DataFrame:
+    """JSON documents (user, block, json) of each user's rows, sorted. `block` bounds a document: it follows the order, and a user's blocks follow one another."""
     kept = [c for c in rows.columns if c != user]
     fields = [*order, *[c for c in kept if c not in order]]
-    return rows.groupBy(user).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("json"))
+    r = rows.withColumn("block", F.lit(0) if block is None else block)
+    return r.groupBy(user, "block").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("json"))
 
 
 def import_(exported: DataFrame, user: str, schema: str) -> DataFrame:

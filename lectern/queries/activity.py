@@ -85,19 +85,24 @@ def highlight_labels(spark, d):
     return reader.label(table(spark, d, "labels").select("doc_id").distinct(), notes, places, "doc_id").select("doc_id", "shown")
 
 
-@query("a14_highlights_by_work", "select user_id, array_to_string(list_sort(list(distinct event_type)), ',') as kinds, count(*) as n from events group by user_id")
+@query("a14_highlights_by_work", """select event_type as work, user_id % 20 as chapter_no, event_id % 9 as unit_no, event_id, row_number() over (partition by event_type order by user_id % 20, event_id % 9, event_id) as place from events""")
 def highlights_by_work(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.count("*").alias("n"))
+    """Verses and paragraphs in the order of their numbers."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("work"), (F.col("user_id") % 20).cast("string").alias("chapter"), F.concat(F.when(F.col("event_id") % 2 == 0, "p").otherwise(""), (F.col("event_id") % 9).cast("string")).alias("unit"), "event_id")
+    return reader.in_order(e, "work", "chapter", "unit", "event_id").select("work", "chapter_no", "unit_no", "event_id", "place")
 
 
-@query("s26_export_json", """select user_id, '[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' order by event_id) || ']' as json from events group by user_id""")
+@query("s26_export_json", """select user_id, event_id // 1000 as block, '[' || string_agg('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}', ',' order by event_id) || ']' as json from events group by user_id, event_id // 1000""")
 def export_json(spark, d):
-    return reader.export(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+    return reader.export(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", block=F.floor(F.col("event_id") / 1000))
 
 
 @query("s27_import_json", "select user_id, event_id, event_type from events")
 def import_json(spark, d):
-    return reader.import_(export_json(spark, d), "user_id", "event_id bigint, event_type string")
+    """Documents as another program may write them: fields in another order, white space, fields that nobody reads."""
+    e = table(spark, d, "events").withColumn("one", F.format_string('{ "x": [1, {}], "event_type" : "%s",\n"event_id":%d }', "event_type", "event_id"))
+    written = e.groupBy("user_id", F.floor(F.col("event_id") / 1000)).agg(F.concat(F.lit(" [ "), F.array_join(F.collect_list("one"), " , "), F.lit("]")).alias("json"))
+    return reader.import_(written, "user_id", "event_id bigint, event_type string")
 
 
 @query("m9_json_fields", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")

@@ -16,6 +16,19 @@ def parallel(spark, d):
     return align.parallel(units, "turn", "edition", ["c0", "c1", "c2"], "text")
 
 
+@query("j7_canonical", """with u as (select conv_id, turn, md5(text) as m, case when conv_id % 3 = 0 then 'a' when conv_id % 3 = 1 then 'b' else 'c' end as edition from conversations)
+select conv_id // 3 as book_key, turn as local, max(case when edition = 'a' then m end) as a, max(case when edition = 'b' then m end) as b, max(case when edition = 'c' then m end) as c from u group by all""")
+def canonical_parallel(spark, d):
+    """Every third conversation is an edition that numbers its chapters on from 100 and is mapped; the others are books of their own."""
+    c = table(spark, d, "conversations")
+    edition = F.when(F.col("conv_id") % 3 == 0, "a").when(F.col("conv_id") % 3 == 1, "b").otherwise("c")
+    units = c.select(F.col("conv_id").alias("w"), F.when(F.col("conv_id") % 3 == 0, F.col("turn") + 100).otherwise(F.col("turn")).alias("ch"), edition.alias("edition"), F.md5(F.col("text").cast("binary")).alias("m"))
+    book = F.floor(F.col("conv_id") / 3)
+    canon = c.filter("conv_id % 3 = 0").select(F.col("conv_id").alias("work"), (F.col("turn") + 100).alias("global_chapter"), book.alias("book_key"), F.col("turn").alias("local_chapter"))
+    books = c.filter("conv_id % 3 <> 0").select(F.col("conv_id").alias("work"), book.alias("key")).distinct()
+    return align.canonical_parallel(units, "edition", F.col("w"), F.col("ch"), ["a", "b", "c"], "m", canon, books)
+
+
 @query("j6_headings", """select a.conv_id, a.turn, array_to_string(list(b.role order by b.turn) filter (where b.role is not null), ',') as headings from conversations a left join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 group by a.conv_id, a.turn""")
 def headings(spark, d):
     c = table(spark, d, "conversations")
@@ -81,33 +94,19 @@ def selection(spark, d):
     return table(spark, d, "conversations").filter(F.col("turn").between(F.least(F.lit(4), F.lit(2)), F.greatest(F.lit(4), F.lit(2)))).select("conv_id", "turn")
 
 
-@query("j11_interlinear", """select o_orderkey as v, l_linenumber as pos, l_partkey as id, coalesce(p_name, '') as gloss from orders join lineitem on l_orderkey = o_orderkey left join part on p_partkey = l_partkey where l_partkey % 10 <> 0""")
+@query("j11_interlinear", "select o_orderkey as v, l_linenumber as pos, l_partkey as id, coalesce(s_name, '') as gloss from orders join lineitem on l_orderkey = o_orderkey left join supplier on s_suppkey = l_partkey")
 def interlinear(spark, d):
-    words = table(spark, d, "lineitem").filter("l_partkey % 10 <> 0").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
-    return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss")))[0]
-
-
-@query("j11_unaligned", "select o_orderkey as v from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 40)")
-def unaligned(spark, d):
-    words = table(spark, d, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
-    return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss")))[1]
-
-
-def _aligned(spark, d):
+    """Every word; most entries are absent."""
     words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
-    return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss")))
-
+    return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("gloss")))[0]
 
-@query("j11_interlinear_whole", "select o_orderkey as v, l_linenumber as pos, l_partkey as id, coalesce(p_name, '') as gloss from orders join lineitem on l_orderkey = o_orderkey left join part on p_partkey = l_partkey")
-def interlinear_whole(spark, d):
-    """Every word, whatever its entry."""
-    return _aligned(spark, d)[0]
 
-
-@query("j11_unaligned_whole", "select o_orderkey as v from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
-def unaligned_whole(spark, d):
-    """The verses that have none of these words."""
-    return _aligned(spark, d)[1]
+@query("j11_unaligned", "select c_custkey as v from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def unaligned(spark, d):
+    """The verses that have no word."""
+    words = table(spark, d, "orders").select(F.col("o_custkey").alias("v"), F.lit(1).alias("pos"), F.col("o_orderkey").alias("id"))
+    entries = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss"))
+    return align.interlinear(table(spark, d, "customer").select(F.col("c_custkey").alias("v")), words, entries)[1]
 
 
 @query("j4_work_book", "select c_custkey, n_name from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3")
@@ -146,11 +145,23 @@ def parse_ref(spark, d):
     return table(spark, d, "part").select("p_partkey", book.alias("book"), chapter.alias("chapter"), verse.alias("verse"))
 
 
-@query("h10_resolve_ref", """select item_id, c.conv_id, c.turn from benchmark join conversations c on c.conv_id = item_id % 20 and c.turn = item_id % 4""")
+@query("h10_resolve_ref", """select item_id, item_id % 40 as book_key, c.turn, md5(c.text) as m, case when c.turn is not null then 'verse' when exists (select 1 from conversations e where e.conv_id = item_id % 40) then 'chapter' else 'none' end as found
+from benchmark left join conversations c on c.conv_id = item_id % 40 and c.turn = item_id % 7""")
 def resolve_ref(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 20).alias("k"), (F.col("item_id") % 4).alias("v"))
-    c = table(spark, d, "conversations").select("conv_id", "turn")
-    return b.join(c, (F.col("k") == F.col("conv_id")) & (F.col("v") == F.col("turn"))).select("item_id", "conv_id", "turn")
+    """References as people write them, by name or by alias, to the unit, or to its book alone where it has no such unit."""
+    from ..functions import refs
+
+    k = F.col("item_id") % 40
+    name = F.when(k % 3 == 0, F.concat(F.lit(" tk."), k.cast("string"))).otherwise(F.concat(F.lit("The TALK no. "), k.cast("string")))
+    asked = table(spark, d, "benchmark").select("item_id", F.concat(name, F.lit("  1:"), (F.col("item_id") % 7).cast("string")).alias("ref"))
+    ids = spark.range(40).select(F.col("id").alias("book_key"))
+    books = ids.select(F.concat(F.lit("The Talk No. "), F.col("book_key").cast("string")).alias("label"), "book_key")
+    aliases = ids.select(F.concat(F.lit("Tk."), F.col("book_key").cast("string")).alias("alias"), "book_key")
+    c = table(spark, d, "conversations")
+    hits = refs.resolve(asked, "ref", books, aliases).join(c.select(F.col("conv_id").alias("b"), "turn", F.md5(F.col("text").cast("binary")).alias("m")), (F.col("b") == F.col("book_key")) & (F.col("turn") == F.col("verse")), "left").drop("b")
+    known = c.select(F.col("conv_id").alias("b")).distinct()
+    found = F.when(F.col("turn").isNotNull(), "verse").when(F.col("b").isNotNull(), "chapter").otherwise("none")
+    return hits.join(known, F.col("b") == F.col("book_key"), "left").select("item_id", "book_key", "turn", "m", found.alias("found"))
 
 
 @query("h22_range_label", "select conv_id, case when count(*) = 1 then cast(min(turn) as varchar) else min(turn) || '–' || max(turn) end as label from conversations where turn between 1 and 4 group by conv_id")

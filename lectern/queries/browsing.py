@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import catalog
+from ..operators import align, catalog
 from .registry import query, table
 
 
@@ -57,6 +57,14 @@ def editions(spark, d):
     return catalog.editions(works.select("id", F.sha2(F.col("t").cast("binary"), 256).alias("t"), "borrowed_from"), F.col("t"))
 
 
+@query("j3_composite", """with w as (select p_partkey as id, case when p_size <= 5 then '§' || p_brand else lower(p_name) end as k, p_size = 50 as borrowed from part), g as (select k, count(*) filter (where not borrowed) as n, min(id) filter (where not borrowed) as edition_of from w group by k)
+select id, edition_of, n - case when borrowed then 0 else 1 end as others from w join g using (k) where n - case when borrowed then 0 else 1 end > 0""")
+def composite_editions(spark, d):
+    """Parts as works: the small ones are composite and go by their section, those of the largest size are borrowed."""
+    works = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("section"), (F.col("p_size") <= 5).alias("composite"), F.when(F.col("p_size") == 50, "another").alias("borrowed_from"))
+    return catalog.editions(works, catalog.edition_key(F.col("title"), F.col("section"), F.col("composite")))
+
+
 @query("p15_unborrowed", "select o_orderpriority, count(*) as n from orders where o_orderstatus <> 'P' group by o_orderpriority")
 def unborrowed(spark, d):
     return table(spark, d, "orders").filter(F.col("o_orderstatus") != "P").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
@@ -150,10 +158,14 @@ def renumber(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", n.alias("n")).filter(F.col("n") != F.col("l_linenumber"))
 
 
-@query("w14_part_pages", """select conv_id, turn, role, coalesce(lag(role) over (partition by conv_id order by turn) <> role, true) as opens from conversations""")
+@query("w14_part_pages", """with recursive b as (select conv_id, turn, role, length(text) // 40 + 1 as pages, row_number() over (partition by conv_id order by turn) as k, row_number() over (partition by conv_id, role order by turn) = 1 as opens from conversations),
+r(conv_id, k, turn, opens, page, after) as (select conv_id, k, turn, opens, cast(2 as bigint), cast(2 + pages as bigint) from b where k = 1
+union all select b.conv_id, b.k, b.turn, b.opens, cast(after + case when b.opens then after % 2 + 2 else 0 end as bigint), cast(after + case when b.opens then after % 2 + 2 else 0 end + pages as bigint) from r join b on b.conv_id = r.conv_id and b.k = r.k + 1)
+select conv_id, turn, opens, page from r""")
 def part_pages(spark, d):
-    before = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(before != F.col("role"), F.lit(True)).alias("opens"))
+    """Turns as books, roles as parts."""
+    books = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.floor(F.char_length("text") / 40) + 1).alias("pages"))
+    return catalog.part_pages(books, "conv_id", "turn", "role", "pages").select("conv_id", "turn", "opens", "page")
 
 
 @query("w16_join_lines", """with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
@@ -181,7 +193,7 @@ def changed(spark, d):
 select cast(day as varchar) as day, item_id from e join b on date_diff('day', date '1970-01-01', day) % n = ord""")
 def daily_pick(spark, d):
     items = table(spark, d, "benchmark").select("item_id")
-    ranked = items.select("item_id", (F.row_number().over(W.orderBy("item_id")) - 1).alias("ord"))  # the list of picks, one short table
+    ranked = align.starts(items.withColumn("one", F.lit(1)), "item_id", "one").select("item_id", F.col("start").alias("ord"))
     n = items.agg(F.count("*").alias("n"))
     days = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct().join(F.broadcast(n))
     return days.join(ranked, F.pmod(F.unix_date("day"), F.col("n")) == F.col("ord")).select(F.col("day").cast("string").alias("day"), "item_id")

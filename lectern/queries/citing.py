@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import citations, lexicon
+from ..plans import storage
 from .registry import query, table
 
 CITE = "c as (select item_id as target, doc_id as work, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n from documents d join benchmark b on contains(d.text, b.text))"
@@ -26,11 +28,16 @@ def cited_by(spark, d):
     return citations.cited_by(_cites(spark, d), titles).select("target", "work", "title", "n", "rank")
 
 
-@query("a5_citing_groups", f"with {CITE} select target, lang as grp, count(*) as works, array_to_string(list_sort(list(work)), ',') as ids from c join documents on doc_id = work group by target, lang")
+@query("a5_citing_groups", f"with {CITE} select target, lang as grp, count(*) as works, min(work) as first, max(work) as last from c join documents on doc_id = work group by target, lang")
 def citing_groups(spark, d):
     return citations.by_group(_cites(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("work"), F.col("lang").alias("grp")))
 
 
+@query("a5_citing_list", f"with {CITE} select target, lang as grp, work, row_number() over (partition by target, lang order by work) as ord from c join documents on doc_id = work")
+def citing_list(spark, d):
+    return citations.listed(_cites(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("work"), F.col("lang").alias("grp")))
+
+
 @query("j14_first_edition", f"with {CITE} select target, arg_min(work, work) as work, md5(arg_min(text, work)) as body_md5 from c join documents on doc_id = work group by target")
 def first_edition(spark, d):
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("work"), F.col("doc_id").alias("ord"), F.md5(F.col("text").cast("binary")).alias("body"))
@@ -53,8 +60,18 @@ _W = "regexp_extract_all(lower(text), '[a-z]{3,}')"
 ENGLISH = f"""e as (select word, id, min(rank) as rank from (select unnest({_W}) as word, doc_id as id, generate_subscripts({_W}, 1) - 1 as rank from documents where lang = 'en') group by word, id)"""
 
 
+_lists: dict[tuple[str, str], DataFrame] = {}
+
+
 def _english(spark, d):
-    """word, id (a document) and rank (its first place there), once for each word of a document."""
+    """word, id (a document) and rank (its first place there), once for each word of a document: a stored table, written by an application's first query."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _lists:
+        _lists[key] = storage.materialize(_english_of(spark, d), "english")
+    return _lists[key]
+
+
+def _english_of(spark, d):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
     docs = table(spark, d, "documents").filter(F.col("lang") == "en")
     return docs.select(F.col("doc_id").alias("id"), F.posexplode(words).alias("rank", "word")).groupBy("word", "id").agg(F.min("rank").alias("rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import reader, search
+from ..operators import lexicon, reader, search
 from ..sources import library
 from .registry import query, table
 
@@ -60,10 +60,12 @@ def safe_highlight(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(html.cast("binary")).alias("m"))
 
 
-@query("h11_transliteration", "select term, count(*) as n from (select ltrim(unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '''?[a-z]+')), '''') as term from documents) group by term")
+@query("h11_transliteration", """with t as (select regexp_replace(strip_accents(lower(unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))), '^[''’‘ʼʻʾʿ`]+', '') as w from documents)
+select case w when 'elohim' then 'god' when 'der' then 'the' when 'el' then 'the' else w end as term, count(*) as n from t group by 1""")
 def transliteration(spark, d):
-    words = F.regexp_extract_all(T.fold(F.col("text")), F.lit("'?[a-z]+"), 0)
-    return table(spark, d, "documents").select(F.explode(words).alias("w")).select(F.ltrim("w", F.lit("'")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    docs = table(spark, d, "documents").select(F.explode(words).alias("w"))
+    return docs.select(T.transliterated(F.col("w"), {"elohim": "god", "der": "the", "el": "the"}).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("h13_lookup_words", """with p as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{3,}'), 1) as pos from documents), f as (select doc_id, w, min(pos) as pos from p group by doc_id, w),
@@ -101,17 +103,24 @@ def statement_ranks(spark, d):
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("works"), "p_type")))
 
 
-@query("l15_cut_notes", "select conv_id, turn, length(left(text, 4000)) as n from conversations")
+@query("l15_cut_notes", "select doc_id, md5(left(text, 4000)) as m from documents where text <> ''")
 def cut_notes(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.char_length(F.substring("text", 1, 4000)).cast("long").alias("n"))
+    """Texts as notes that are written: all are cut, none is left that is empty."""
+    notes = table(spark, d, "documents").select("doc_id", "text")
+    return reader.upsert(notes.limit(0), notes, ["doc_id"], "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
 
 
-@query("m8_map_merge", "select user_id, count(distinct event_type) as kinds from events group by user_id")
+@query("m8_map_merge", """with l as (select user_id, event_type as k, value > 10 as late, max(event_id) as v from events group by user_id, event_type, value > 10), u as (select distinct user_id from events),
+m as (select user_id, k, arg_max(v, late) as v from l where k <> 'view' group by user_id, k)
+select u.user_id, coalesce(string_agg(k || '=' || v, ',' order by k), '') as entries, coalesce(max(v) filter (where k = 'purchase'), -1) as purchase from u left join m on u.user_id = m.user_id group by u.user_id""")
 def map_merge(spark, d):
-    """A map put together key by key, the last value of a key winning."""
-    last = reader.latest(table(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", "event_id")
-    maps = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "event_id"))).alias("m"))
-    return maps.select("user_id", F.size(F.map_keys(F.map_filter("m", lambda k, v: v.isNotNull()))).cast("long").alias("kinds"))
+    """Two maps of each reader put together: the later one's values win, a key is deleted, one is read."""
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id", "event_type", (F.coalesce(F.col("value") > 10, F.lit(False))).alias("late")).agg(F.max("event_id").alias("v"))
+    of = lambda late: F.map_from_entries(F.filter(F.collect_list(F.when(F.col("late") == late, F.struct("event_type", "v"))), lambda x: x.isNotNull()))
+    maps = last.groupBy("user_id").agg(of(False).alias("a"), of(True).alias("b")).select("user_id", reader.merged(F.col("a"), F.col("b"), F.array(F.lit("view"))).alias("m"))
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return maps.select("user_id", entries.alias("entries"), F.coalesce(F.try_element_at("m", F.lit("purchase")), F.lit(-1)).alias("purchase"))
 
 
 @query("m10_bits", "select p_partkey, (p_partkey & 127) | 128 as low, p_partkey >> 7 as high from part")
@@ -125,36 +134,14 @@ def numeric_cast(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace("source", "[^0-9]", "").try_cast("int").alias("n"))
 
 
-@query("s14_postings_round_trip", "select term, doc, count(*) as tf from (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) where length(term) > 14 group by term, doc")
-def postings_round_trip(spark, d):
-    """Long terms' postings, packed as the legacy shards are and unpacked again."""
-    from pyspark.sql.types import StringType
-
-    from ..sources import legacy
-
-    @F.udf(StringType())
-    def pack(pairs):
-        return legacy.encode_postings([(p["doc"], p["tf"]) for p in pairs])
-
-    rows = search.postings(table(spark, d, "documents")).filter(F.char_length("term") > 14)
-    packed = rows.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("pairs")).select("term", pack("pairs").alias("blob"))
-    return legacy.postings(packed).select("term", F.col("uid").cast("long").alias("doc"), F.col("tf").cast("long").alias("tf"))
-
-
 @query("s14_postings_whole", "select term, doc, count(*) as tf from (select doc_id as doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by term, doc")
 def postings_whole(spark, d):
     """All terms' postings, packed in blocks of document numbers and unpacked again: a term that most documents hold is many short lists."""
-    from pyspark.sql.types import StringType
-
     from ..sources import legacy
 
-    @F.udf(StringType(), useArrow=True)
-    def pack(pairs):
-        return legacy.encode_postings([(p["doc"], p["tf"]) for p in pairs])
-
     block = F.floor(F.col("doc") / legacy.BLOCK)
-    packed = search.postings(table(spark, d, "documents")).groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc", "tf"))).alias("pairs")).select("term", pack("pairs").alias("blob"))
-    return legacy.postings(packed).select("term", F.col("uid").cast("long").alias("doc"), F.col("tf").cast("long").alias("tf"))
+    lists = search.positions(table(spark, d, "documents")).groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    return legacy.postings(lists.select("term", legacy.packed("docs").alias("blob"))).select("term", F.col("uid").alias("doc"), "tf")
 
 
 @query("x4_rewrite_links", "select page_id, 'book-' || regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) || '-' || regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) as target from pages")
@@ -171,10 +158,24 @@ def highlight_set(spark, d):
     return reader.upsert(labels.filter("quality = 1").select("k", F.lit("red").alias("colour")), changes, ["k"], "colour")
 
 
-@query("x7_answer_modes", "select doc_id, case when regexp_matches(source, '^src[0-9]$') then 'number' when lang = 'en' then 'english' else 'word' end as mode from documents")
+_FIRST = "coalesce(regexp_extract(lower(text), '[a-z]{3,}'), '')"
+
+
+@query("x7_answer_modes", f"""with entry as (select 'd' || doc_id as id, {_FIRST} as word from documents where lang <> 'en'), english as (select distinct regexp_extract(lower(text), '[a-z]{{3,}}') as word, 'd' || doc_id as id from documents where lang = 'en'),
+asked as (select 'D ' || doc_id as q from labels union select ' ' || left({_FIRST}, 5) from documents union select {_FIRST} from documents),
+k as (select q, lower(trim(q)) as w from asked),
+h as (select q, 1 as p, id from k join entry on id = replace(w, ' ', '') union select q, 2, id from k join english on word = w union select q, 3, id from k join entry on starts_with(word, w) and w <> ''),
+b as (select q, min(p) as p from h group by q)
+select k.q, case b.p when 1 then 'number' when 2 then 'english' when 3 then 'word' else 'none' end as mode, count(h.id) as n from k left join b on k.q = b.q left join h on h.q = k.q and h.p = b.p group by k.q, b.p""")
 def answer_modes(spark, d):
-    mode = F.when(F.col("source").rlike("^src[0-9]$"), "number").when(F.col("lang") == "en", "english").otherwise("word")
-    return table(spark, d, "documents").select("doc_id", mode.alias("mode"))
+    """How questions are answered: by number, by English word, by the beginning of a transliteration, or not."""
+    docs = table(spark, d, "documents")
+    first = F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)
+    id_ = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    entry = docs.filter("lang <> 'en'").select(id_.alias("id"), first.alias("word"))
+    english = docs.filter("lang = 'en'").select(first.alias("word"), id_.alias("id"))
+    asked = table(spark, d, "labels").select(F.concat(F.lit("D "), F.col("doc_id").cast("string")).alias("q")).union(docs.select(F.concat(F.lit(" "), F.substring(first, 1, 5)))).union(docs.select(first))
+    return lexicon.modes(entry, english, asked)
 
 
 @query("d5_title_match", "select p_partkey, p_name from part where contains(' ' || lower(p_name) || ' ', ' large ') or starts_with(lower(p_name), 'small')")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from ..functions import porter
 from ..functions import text as T
 from ..operators import index, search
-from ..plans import storage
+from ..plans import sizes, storage
 from .registry import query, table
 
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
@@ -136,17 +136,22 @@ def postings(spark, d):
     return search.postings(table(spark, d, "documents"))
 
 
-@query("h3_fold", "select term, count(*) as n from (select unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) as term from documents) group by term")
+@query("h3_fold", "select term, count(*) as n from (select unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')) as term from documents) group by term")
 def folded(spark, d):
-    return table(spark, d, "documents").select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit(T.TOKEN), 0)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Every accent is taken off, then letters and digits of ASCII alone make words."""
+    return table(spark, d, "documents").select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("h4_porter_vocab")
 def porter_vocab(spark, d):
-    """Stems of the distinct English words, with their documents: the vocabulary is stemmed once and joined back."""
-    pos = search.positions(table(spark, d, "documents").filter(F.col("lang") == "en"))
-    vocab = pos.select("term").distinct().filter(F.col("term").rlike("^[a-z]+$")).withColumn("stem", porter.stem_column("term"))
-    return pos.join(vocab, "term").groupBy("stem").agg(F.count_distinct("doc").alias("docs"), F.count_distinct("term").alias("terms"))
+    """Stems of the distinct English words, with their documents: the vocabulary is stemmed once and joined to the index's postings."""
+    stored = _index(spark, d)
+    english = stored.table("units").filter("lang = 'en'").select("doc")
+    rows = stored.table("postings").select("term", "doc").filter(F.col("term").rlike("^[a-z]+$")).join(english, "doc")
+    vocab = storage.materialize(rows.select("term").distinct().withColumn("stem", porter.stem_column("term")), "stems")
+    terms = vocab.groupBy("stem").agg(F.count("*").alias("terms"))
+    docs = rows.join(sizes.broadcast_if_small(vocab, 64), "term").select("stem", "doc").distinct().groupBy("stem").agg(F.count("*").alias("docs"))
+    return docs.join(terms, "stem").select("stem", "docs", "terms")
 
 
 @query("h12_light_stem", f"""with v as (select distinct unnest({TOK}) as term from documents where lang = 'en'),

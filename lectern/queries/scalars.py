@@ -56,7 +56,10 @@ def roman(spark, d):
 
 @query("h27_unroman", "select p_partkey, p_size as n from part")
 def unroman(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.unroman(T.roman(F.col("p_size"))).alias("n"))
+    """Numerals as older print has them, four strokes and all, in either case."""
+    n = F.col("p_size").cast("int")
+    additive = F.concat(F.repeat(F.lit("X"), F.floor(n / 10).cast("int")), F.element_at(F.array(*[F.lit(x) for x in ["", "I", "II", "iii", "IIII", "V", "VI", "vii", "VIII", "IX"]]), n % 10 + 1))
+    return table(spark, d, "part").select("p_partkey", T.unroman(additive).alias("n"))
 
 
 @query("h28_leading_int", "select p_partkey, try_cast(regexp_extract(cast(p_size as varchar) || 'b', '^([0-9]+)', 1) as int) as n from part")
@@ -85,9 +88,9 @@ def respelled(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.respell(F.col("text"), {"The": "Thee", "Des": "Day", "Las": "Lahs"}).cast("binary")).alias("m"))
 
 
-@query("h25_truncate", "select doc_id, length(left(text, 3000)) as n, regexp_replace(source, '[^a-z0-9-]', '', 'g') as part from documents")
+@query("h25_truncate", "select doc_id, md5(left(text, 3000)) as m, regexp_replace(source, '[^a-z0-9-]', '', 'g') as part from documents")
 def truncate(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.char_length(F.substring("text", 1, 3000)).cast("long").alias("n"), F.regexp_replace("source", "[^a-z0-9-]", "").alias("part"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.cut(F.col("text"), 3000).cast("binary")).alias("m"), F.regexp_replace("source", "[^a-z0-9-]", "").alias("part"))
 
 
 @query("s28_query_params", """with q as (select page_id, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) as kv from pages) select page_id, string_split(kv, '=')[1] as k, array_to_string(list_sort(list(string_split(kv, '=')[2])), ',') as vs from q where kv <> '' group by page_id, string_split(kv, '=')[1]""")

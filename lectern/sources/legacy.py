@@ -5,14 +5,18 @@ from __future__ import annotations
 import base64
 import gzip
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: A packed list holds documents of so many consecutive numbers at most.
 BLOCK = 4096
+#: Lists of so many bundles are broadcast, at 100 kB or so each.
+BUNDLES = 500
 
 
 def varints(raw: bytes) -> list[int]:
@@ -49,7 +53,14 @@ def decode_postings(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("uid", IntegerType()), StructField("tf", IntegerType())])))
+@F.pandas_udf(StringType())
+def packed(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Sorted document numbers, one for each occurrence, as postings."""
+    for s in docs:
+        yield s.map(lambda a: encode_postings([(k, len(list(g))) for k, g in groupby(a)]), na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("uid", LongType()), StructField("tf", LongType())])))
 def decoded(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in blobs:
         yield s.map(lambda t: [{"uid": u, "tf": n} for u, n in decode_postings(t)], na_action="ignore")
@@ -61,12 +72,18 @@ def postings(shards: DataFrame) -> DataFrame:
 
 
 def members(spark: SparkSession, bundles: str, index: DataFrame) -> DataFrame:
-    """(name, body) of the gzip members that index(bundle, name, offset, length) lists in the bundles at a path."""
+    """(name, body) of the gzip members that index(bundle, name, offset, length) lists in the bundles at a path. A bundle is read once, with the list of its members,
+    and cut where it is read: its bytes are joined to one row and go nowhere."""
     files = spark.read.format("binaryFile").load(bundles).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
-    cut = files.join(index, F.col("file") == F.col("bundle")).select("name", F.expr("substring(content, cast(offset + 1 as int), cast(length as int))").alias("member"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"name": p["name"], "body": [gzip.decompress(m).decode() for m in p["member"]]})
-
-    return cut.mapInPandas(run, "name string, body string")
+    lists = index.groupBy("bundle").agg(F.collect_list(F.struct("name", "offset", "length")).alias("members"))  # of one file
+    cut = files.join(F.broadcast(lists) if lists.limit(BUNDLES + 1).count() <= BUNDLES else lists, F.col("file") == F.col("bundle")).select("members", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                raw = b.column(1)[i].as_buffer()
+                for m in b.column(0)[i].as_py():
+                    body = gzip.decompress(memoryview(raw)[m["offset"] : m["offset"] + m["length"]]).decode()
+                    yield pa.RecordBatch.from_arrays([pa.array([m["name"]]), pa.array([body])], ["name", "body"])
+
+    return cut.mapInArrow(run, "name string, body string")

@@ -35,7 +35,8 @@ def test_terms(both):
 
 def test_what_is_read(both):
     """Only the shards of the words and, in these, what row groups hold of them; no text."""
-    plan = both[1].match(search.parse('a "b a"'))._explain_string(mode="formatted")
+    found = both[1].match(search.parse('a "b a"'))
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     scans = [x for x in plan.split("\n\n") if "Scan parquet" in x and "Location" in x]
     assert scans
     for x in scans:
