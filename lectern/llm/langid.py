@@ -1,6 +1,6 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-A text is lower-cased, what is no letter counts as a blank, and its two- and three-character sequences (none with two blanks side by side) are
+A text is lower-cased, what is no letter counts as a blank, as does its end, and its two- and three-character sequences (none with two blanks side by side) are
 hashed to SLOTS. Training sums counts by language and slot: each task adds up its own rows, blocks of slots are then summed by key, so what
 moves is bounded by tasks x languages x slots. The smoothed log-probability matrix is languages x SLOTS; it goes to the workers, which score
 batches of texts sparsely in numpy. A very long text is scored in slices that overlap by two characters, which changes no count.
@@ -117,7 +117,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], ["lang", "block", "counts"])
 
     kind = "lang string, block int, counts binary"
-    summed = rows.select("lang", "text").mapInArrow(count, kind).repartition("lang", "block").mapInArrow(add, kind).collect()  # languages x SLOTS
+    summed = rows.select("lang", "text").mapInArrow(count, kind).repartition("lang", "block").mapInArrow(add, kind).collect()  # languages x SLOTS: labels are a list of languages, a few hundred at most
     langs = sorted({r.lang for r in summed})
     counts = np.zeros((len(langs), SLOTS + 1), np.float64)
     for r in summed:

@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers as P
@@ -264,6 +265,53 @@ def test_language_id(real, docs, empty):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string")), ["doc_id"]).collect()} == {"und"}
 
 
+def brute_bayes(train, texts):
+    """Multinomial naive Bayes by dictionaries, over the same slots: one text, one gram at a time."""
+    def slots(text):
+        c = "".join(x if x.isalpha() else " " for x in text.lower()) + "  "
+        for i in range(len(c) - 2):
+            for g in (c[i : i + 2], c[i : i + 3]):
+                if "  " not in g:
+                    yield slot_of(g)
+
+    @cache
+    def slot_of(g):
+        two, three, _ = langid.grams(g + "\0" * (4 - len(g)), [0])
+        return int((two if len(g) == 2 else three)[0])
+
+    counts, docs = {}, Counter()
+    for lang, text in train:
+        counts.setdefault(lang, Counter()).update(slots(text))
+        docs[lang] += 1
+    total = {x: sum(c.values()) + langid.SMOOTHING * langid.SLOTS for x, c in counts.items()}
+    out = []
+    for text in texts:
+        if not any(x.isalpha() for x in text or ""):
+            out.append(("und", 0.0))
+            continue
+        own = Counter(slots(text))
+        logs = {x: math.log(docs[x] / sum(docs.values())) + sum(k * math.log((counts[x][g] + langid.SMOOTHING) / total[x]) for g, k in own.items()) for x in sorted(counts)}
+        best = max(logs, key=logs.get)
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_op5_by_brute_force(spark, small, real, docs):
+    """Priors, smoothing, slots and the fold of the registered query, and short texts, where the posterior is no certainty."""
+    rows = [(r.doc_id, r.lang, r.text) for r in real.select("doc_id", "lang", "text").collect()]
+    out_of = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    train = [(lang, t) for i, lang, t in rows if not out_of[i] and lang is not None and t is not None]
+    want = brute_bayes(train, [t for _, _, t in rows])
+    got = {r.doc_id: r for r in langid.op5_language_id(spark, small).collect()}
+    assert len(got) == len(rows)
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i].held_out == out_of[i] and got[i].lang_pred == lang and math.isclose(got[i].score, score, abs_tol=2e-3)
+    short = ["de", "la x", "the", "un", "Der", "œ", "", None, "12 -", "que en", "é è"]
+    model = langid.train(spark.createDataFrame(train, "lang string, text string"))
+    for (lang, score), (a, b) in zip(zip(*langid.score(short, *model), strict=True), brute_bayes(train, short), strict=True):
+        assert lang == a and math.isclose(score, b, abs_tol=1e-3)
+
+
 def test_slices_change_nothing(monkeypatch):
     texts = ["abc déf ghi " * 40, "", "x", "zz  y" * 30]
     whole = Counter()
@@ -333,6 +381,48 @@ def test_lm(docs, real, empty):
     assert {r.score for r in lm.score(docs, model).collect()} == {0.0}
 
 
+def test_op6_columns(spark, small, real):
+    """The registered query: fold, counts and both scores of every document."""
+    rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
+    out_of = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    train = [t for i, t in rows if not out_of[i]]
+    want = {w[0]: w for w in brute_lm(train, rows)}
+    got = lm.op6_lm_scoring(spark, small).collect()
+    tokens = sum(len((t or "").encode().split()) + 1 for t in train)
+    assert len(got) == len(rows)
+    for r in got:
+        _, n, known, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out_of[r.doc_id], n, known, tokens)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9) and math.isclose(r.perplexity, 10 ** (-score / n), rel_tol=1e-9)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 12), st.integers(32, 38), st.lists(st.tuples(st.integers(0, 2**38), st.integers(0, 2**38)), min_size=1, max_size=50))
+def test_pair_keys(bits, id_bits, pairs):
+    """Keys of pairs differ as pairs do, and give both ids back, of more than 32 bits too."""
+    if 2 * id_bits - bits > 64:
+        with pytest.raises(ValueError):
+            lm.Pairs(bits, id_bits)
+        return
+    code = lm.Pairs(bits, id_bits)
+    u, v = (np.array([p[k] % (1 << id_bits) for p in pairs], np.uint64) for k in (0, 1))
+    bucket, key = code.key(u, v)
+    assert bucket.min() >= 0 and bucket.max() < 1 << bits
+    for i in range(len(pairs)):
+        a, b = code.ids(int(bucket[i]), key[i : i + 1])
+        assert (a[0], b[0]) == (u[i], v[i])
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 2**16, 2**32 - 1, 2**32, 2**40])
+def test_counts_of_any_size(most, tmp_path):
+    counts = np.array([1, most, 3], np.int64)
+    assert lm.widened(lm.narrow(counts).tobytes(), 3).astype(np.int64).tolist() == counts.tolist()
+    keys = np.array([5, 9, 2**63], np.uint64)
+    lm.put_counts(str(tmp_path), "word-0", keys, counts)
+    place, found = lm.look_up(str(tmp_path), "word", np.array([5, 6, 2**63], np.uint64), np.zeros(3, np.int64))
+    assert place.tolist() == [0, -1, 2] and found.tolist() == [1, 0, 3]
+
+
 def test_lm_probabilities_sum_to_one(spark):
     train = ["a b a c", "b a", "c c c a", "", "a b"]
     model = lm.train(spark.createDataFrame([(t,) for t in train], ["text"]))
