@@ -17,6 +17,30 @@ def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON object a line, packed or not, as the file's extension says."""
+    return spark.read.schema(schema).json(path)
+
+
+#: Lists that are one JSON document: an array of entries, or an object that holds it under this name.
+LISTS = {
+    "daily": ("items", "work string, c string, v string, religion string, ref string, text string, edition string"),
+    "families": ("families", "term string, question string, line string, entries array<string>"),
+    "words": ("words", "word string, ids array<string>"),
+    "books": ("books", "work string, key string, label string"),
+    "pronounce": ("names", "name string, respelling string"),
+}
+
+
+def listed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(ord, …) of one of LISTS, in the document's order; what cannot be read gives no rows."""
+    name, entry = LISTS[kind]
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("t"))
+    array = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in entry.split(', '))}>>"
+    entries = F.when(F.ltrim("t", F.lit(" \t\r\n\ufeff")).startswith("["), F.from_json("t", array)).otherwise(F.from_json("t", f"struct<{name}:{array}>")[name])
+    return whole.select(F.posexplode(entries).alias("ord", "e")).select("ord", "e.*")
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     return json_file(spark, path, CATALOG)
 
@@ -64,5 +88,17 @@ def write_postings(postings: DataFrame, path: str) -> None:
     postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(path)
 
 
+def write_citations(cites: DataFrame, path: str) -> None:
+    """Citations by book, sorted by place within, so that one verse's are one run of rows in its book's folder."""
+    cites.repartition("book_key", F.pmod(F.xxhash64("work"), F.lit(4))).sortWithinPartitions("book_key", "chapter", "verse").write.mode("overwrite").partitionBy("book_key").parquet(path)
+
+
+def citations(spark: SparkSession, path: str, book: str | None = None, chapter: int | None = None) -> DataFrame:
+    """Stored citations, of one book (its folder alone is read) or chapter, or all."""
+    rows = spark.read.parquet(path)
+    rows = rows if book is None else rows.filter(F.col("book_key") == book)
+    return rows if chapter is None else rows.filter(F.col("chapter") == chapter)
+
+
 def read_chapter(spark: SparkSession, path: str, religion: str, work_id: str, chapter: str) -> DataFrame:
     return spark.read.parquet(path).filter((F.col("religion") == religion) & (F.col("work_id") == work_id) & (F.col("chapter") == chapter))

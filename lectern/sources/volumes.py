@@ -16,7 +16,11 @@ CHAPTER = r"^CHAP(?:TER|\.)\s+([IVXLCivxlc]+)\.?"
 
 def lines(spark: SparkSession, path: str, start: str = "*** START", end: str = "*** END") -> DataFrame:
     """(file, ord, line) between the distributor's marks, or of the whole file."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("t"))
+    return cut(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("t")), start, end)
+
+
+def cut(raw: DataFrame, start: str = "*** START", end: str = "*** END") -> DataFrame:
+    """lines() of raw(file, t)."""
     after = F.when(F.instr("t", start) > 0, F.substring("t", F.instr("t", start) + len(start), F.lit(2**31 - 1))).otherwise(F.col("t"))
     body = raw.select("file", after.alias("t")).withColumn("t", F.substring_index("t", end, 1))
     return body.select("file", F.posexplode(F.split("t", r"\r?\n", -1)).alias("ord", "line")).withColumn("line", F.rtrim("line"))

@@ -220,3 +220,33 @@ def test_editions(spark):
     works = spark.createDataFrame([(1, "A", None), (2, "a", None), (3, "A", "other"), (4, "b", None)], "id int, title string, borrowed_from string")
     assert {r.id: (r.edition_of, r.others) for r in catalog.editions(works, F.lower("title")).collect()} == {1: (1, 1), 2: (1, 1), 3: (1, 2)}
     assert [r.id for r in catalog.editions_of(works, 1, F.lower("title")).collect()] == [2]
+
+
+def test_lists_and_citations(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"items": [{"work": "w", "c": "1", "v": "2"}, {"work": "x", "c": None, "v": "3", "more": 1}]}))
+    (tmp_path / "n.json").write_text("\n [" + json.dumps({"name": "Aa", "respelling": "ah"}) + "]")
+    (tmp_path / "bad.json").write_text("{")
+    assert [(r.ord, r.work, r.c, r.v) for r in library.listed(spark, str(tmp_path / "d.json"), "daily").collect()] == [(0, "w", "1", "2"), (1, "x", None, "3")]
+    assert [(r.name, r.respelling) for r in library.listed(spark, str(tmp_path / "n.json"), "pronounce").collect()] == [("Aa", "ah")]
+    assert library.listed(spark, str(tmp_path / "bad.json"), "daily").count() == 0
+    cites = spark.createDataFrame([(f"b{k % 5}", k % 3, k, f"w{k}", 1) for k in range(60)], "book_key string, chapter long, verse long, work string, n long")
+    library.write_citations(cites, str(tmp_path / "c"))
+    one = library.citations(spark, str(tmp_path / "c"), "b2", 1)
+    assert {r.verse for r in one.collect()} == {k for k in range(60) if k % 5 == 2 and k % 3 == 1} and library.citations(spark, str(tmp_path / "c")).count() == 60
+    assert "b2" in str(one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1])
+
+
+def test_with_facts(spark):
+    """Every row once, with its key's facts or none, whether its key is large, small or null."""
+    from lectern.plans import skew
+
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 40}") for k in range(400)] + [(1000, None), (1001, "absent")], "id long, k string")
+    facts = rows.filter("k is not null and k <> 'absent'").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    out = {r.id: r.least for r in skew.with_facts(rows, facts, "k").collect()}
+    assert len(out) == 402 and out[1000] is None and out[1001] is None and out[399] == 1 and out[398] == 38
+
+
+def test_part_pages(spark):
+    books = spark.createDataFrame([("x", k, p, n) for k, (p, n) in enumerate([("A", 3), ("A", 2), ("B", 1), ("A", 4), ("C", 2)])], "b string, k int, part string, n long")
+    got = [(r.k, r.opens, r.page) for r in catalog.part_pages(books, "b", "k", "part", "n").orderBy("k").collect()]
+    assert got == [(0, True, 2), (1, False, 5), (2, True, 10), (3, False, 11), (4, True, 18)]
