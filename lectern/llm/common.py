@@ -75,22 +75,32 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges(a, b), root being its component's least node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each step replaces edges by edges to the least neighbour,
-    found by a pre-aggregated minimum, so that a hub's neighbours never meet in one list. A step's edges are written to the shared folder.
+    found by a pre-aggregated minimum, so that a hub's neighbours never meet in one list. The minimum meets a hub's edges by broadcast, where they are more
+    than an even partition (fewer hubs than partitions). A step's edges are written to the shared folder.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = lambda d: d.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     sign = lambda d: d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+
+    def lifted(ends: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        """(b, m) for ends(a, b) and least(a, m, n), n being the number of a's edges."""
+        known = least.withColumnRenamed("a", "k")
+        hubs, on = F.broadcast(known.filter(F.col("n") * parts > total).select("k", "m")), F.col("a") == F.col("k")
+        rest = ends.join(hubs, on, "left_anti").join(known.filter(F.col("n") * parts <= total).select("k", "m"), on)
+        return ends.join(hubs, on).select("b", "m").unionByName(rest.select("b", "m"))
+
     now = materialize(pairs(edges), "edges")
     was, mark = None, sign(now)
     while mark["n"] and was != mark:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
         # large star: the larger neighbours of a go to the least of a and its neighbours
-        large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = lifted(both.filter("b > a"), least, 2 * mark["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(pairs(large), "edges")
         # small star: the smaller neighbours of a, and a, go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = lifted(large, low, 2 * mark["n"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(low.select("a", F.col("m").alias("b")))
         nxt = materialize(pairs(small), "edges")
         drop_tables(now.sparkSession, now, large)
         now, was, mark = nxt, mark, sign(nxt)
