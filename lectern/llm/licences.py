@@ -1,8 +1,8 @@
 """License scans, by DataFrame functions alone.
 
 A text's units are its lines, its sentences (over line ends), its first lines together, and the whole text. A unit that holds a telling term is
-scored: its terms, weighted by TF-IDF, are joined to those of the templates and bodies (constant lists, so the broadcast is bounded) and give a sparse
-cosine with each. From LEAST and two shared terms on it is a statement of the best one's licence; the best statement's is the file's, and reserved rights
+scored: its terms are counted in its own row, those that templates or bodies have are joined to these (constant lists, so the broadcast is bounded), and give, weighted
+by TF-IDF, a sparse cosine with each. From LEAST and two shared terms on it is a statement of the best one's licence; the best statement's is the file's, and reserved rights
 yield to any licence. Telling terms are taken from the templates, so that no unit without one reaches LEAST but by COMMON terms alone. A file by one of the usual names, or with a statement in its first lines, speaks for its directory. A file without statement of its own inherits from
 the nearest directory above it that has one: directories, once each, are joined to their ancestors by path, and files to their directories.
 
@@ -147,7 +147,7 @@ def telling() -> str:
 
 
 def units(files: DataFrame, header: int) -> DataFrame:
-    """h1, h2, unit (a number), top (whether it lies in the first lines, as many as header) and body of files(h1, h2, text)."""
+    """uid (of a row, in this run), h1, h2, unit (a number), top (whether it lies in the first lines, as many as header) and body of files(h1, h2, text)."""
     lines = F.split("text", "\n", -1)
     head = F.array_join(F.slice(lines, 1, header), "\n")
     of = lambda top: lambda x: F.struct(F.lit(top).alias("top"), x.alias("body"))
@@ -155,22 +155,39 @@ def units(files: DataFrame, header: int) -> DataFrame:
         F.transform(lines, lambda x, i: F.struct((i < header).alias("top"), x.alias("body"))), F.transform(F.split("text", END, -1), of(False)), F.transform(F.split(head, END, -1), of(True)), F.array(of(True)(head), of(False)(F.col("text")))
     )
     cue = telling()
-    return files.filter(F.col("text").rlike(cue)).select("h1", "h2", F.posexplode(every).alias("unit", "u")).select("h1", "h2", "unit", "u.top", "u.body").filter(F.col("body").rlike(cue))
+    rows = files.filter(F.col("text").rlike(cue)).withColumn("uid", F.monotonically_increasing_id())
+    return rows.select("uid", "h1", "h2", F.posexplode(every).alias("unit", "u")).select("uid", "h1", "h2", "unit", "u.top", "u.body").filter(F.col("body").rlike(cue))
+
+
+def counted(body: Column) -> Column:
+    """An array of (term, tf) for a text, in its own row: its terms in order, and how far each one's run goes."""
+    terms = F.sort_array(F.regexp_extract_all(F.lower(body), F.lit("[a-z0-9]+"), 0))
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), n) - i).alias("tf"))))[0]
+
+    return F.transform(F.array(terms), runs)[0]  # the array is bound, so that it is made once
 
 
 def statements(files: DataFrame, header: int) -> DataFrame:
     """h1, h2, licence, score and on_top, a row for each file(h1, h2, text) that has a statement, one for equal rows."""
     table, other = weights()
-    spark = files.sparkSession
-    vectors = spark.createDataFrame([(t, i, licence, share) for t, i, licence, _, share in table] + bodies(), "term string, template int, licence string, share double")
-    idfs = spark.createDataFrame(sorted({(t, idf) for t, _, _, idf, _ in table}), "term string, idf double")
-    unit = ["h1", "h2", "unit"]
-    terms = units(files, header).select(*unit, "top", F.explode(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy(*unit, "top", "term").agg(F.count("*").alias("tf"))
-    weighed = terms.join(F.broadcast(idfs), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy(*unit, "top", "template", "licence").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared")).filter("shared > 1")
-    # equal rows have counted their terms together, which changes no cosine
-    scored = dots.join(norms, unit).select("h1", "h2", "top", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST)
+    idf = {t: x for t, _, _, x, _ in table}
+    rows = [(t, i, licence, idf[t], share) for t, i, licence, _, share in table] + [(t, i, licence, idf.get(t, other), share) for t, i, licence, share in bodies()]
+    vectors = files.sparkSession.createDataFrame(rows, "term string, template int, licence string, idf double, share double")
+    known = sorted({r[0] for r in rows})
+    weight = F.create_map(*[F.lit(x) for kv in sorted(idf.items()) for x in kv])
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    per_unit = units(files, header).select("uid", "h1", "h2", "unit", "top", counted(F.col("body")).alias("es")).select("*", F.filter("es", lambda e: e["term"].isin(known)).alias("ks"))
+    # a term that no template has weighs `other`: of those only the counts are looked at
+    unknown = F.filter("es", lambda e: ~e["term"].isin(known))
+    norm = F.sqrt(square(F.transform(unknown, lambda e: e["tf"] * F.lit(other))) + square(F.transform("ks", lambda e: e["tf"] * F.coalesce(F.try_element_at(weight, e["term"]), F.lit(other)))))
+    terms = per_unit.select("uid", "h1", "h2", "unit", "top", norm.alias("norm"), F.explode("ks").alias("e")).select("uid", "h1", "h2", "unit", "top", "norm", "e.term", "e.tf")
+    met = terms.join(F.broadcast(vectors), "term").groupBy("uid", "unit", "template", "licence")
+    dots = met.agg(F.sum(F.col("tf") * F.col("idf") * F.col("share")).alias("dot"), F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("h1", "h2", "top", "norm")]).filter("shared > 1")
+    scored = dots.select("h1", "h2", "top", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= LEAST)
     best = F.min(F.struct((F.col("licence") == RESERVED).alias("r"), (-F.col("score")).alias("s"), "licence"))
     return scored.groupBy("h1", "h2").agg(best.alias("b"), F.max("top").alias("on_top")).select("h1", "h2", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"), "on_top")
 
