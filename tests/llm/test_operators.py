@@ -220,6 +220,32 @@ def test_near_duplicates(docs, empty):
     assert components(empty, 3, 85) == []
 
 
+def pair_recall(spark, folder, n, t):
+    """Of the pairs (a row whose id is divisible by 20, any other row) that are similar enough, by full sets, how many are in one component; and how many there are."""
+    frame = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, hashing.shingles(hashing.words((r.text or "").encode()), n)) for r in frame.collect()]
+    holders = {}
+    for k, (_, s) in enumerate(rows):
+        for h in s.tolist():
+            holders.setdefault(h, []).append(k)
+    of = {r.doc_id: r.component_id for r in neardup.components(frame, n, t).collect()}
+    found = total = 0
+    for i, s in rows:
+        if i % 20 == 0:
+            for k, both in Counter(k for h in s.tolist() for k in holders[h]).items():
+                j, other = rows[k]
+                if j != i and 100 * both >= t * (len(s) + len(other) - both):
+                    total += 1
+                    found += of[i] == of[j]
+    return found, total
+
+
+@pytest.mark.parametrize("n, t", [(3, 85), (5, 80)])
+def test_pair_recall(spark, n, t):
+    found, total = pair_recall(spark, "/root/testdata/sf0.01", n, t)
+    assert total > 5 and found == total
+
+
 def test_near_duplicate_chains(spark):
     """Copies with edits of their own, chains whose ends differ, and a centre that is too far from most."""
     rng = np.random.default_rng(5)
