@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import activity, aligning, browsing, citing, cleaning, reading, retrieval, scalars, sources  # noqa: F401
+from . import activity, aligning, browsing, citing, cleaning, reading, retrieval, scalars, sources, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
