@@ -17,6 +17,8 @@ WORD = rf"[^{BLANKS}]+"
 FLUSH_BYTES = 4 << 20
 #: Rows that a worker holds as Python objects at once, at most.
 PART = 128
+#: Rows of a batch that goes to a worker, at most.
+ARROW_ROWS = 512
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,15 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, PART)
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with batches of ARROW_ROWS at most: rows hold whole texts or sets, and ten thousand of them, the session's default, would be held by the
+    JVM and again by the worker. The session keeps the smaller number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple[tuple, int]]], schema: pa.Schema, sql_schema: str) -> DataFrame:
     """df through fn, which takes an iterator over tuples of the columns and gives (row, its bytes) pairs."""
 
@@ -63,7 +74,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple[tuple
             yield from out.add(row, held)
         yield from out.flush()
 
-    return df.mapInArrow(run, sql_schema)
+    return map_arrow(df, run, sql_schema)
 
 
 def lower_ascii(c: Column) -> Column:

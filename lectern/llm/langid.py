@@ -117,7 +117,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], ["lang", "block", "counts"])
 
     kind = "lang string, block int, counts binary"
-    summed = rows.select("lang", "text").mapInArrow(count, kind).repartition("lang", "block").mapInArrow(add, kind).collect()  # languages x SLOTS: labels are a list of languages, a few hundred at most
+    summed = common.map_arrow(common.map_arrow(rows.select("lang", "text"), count, kind).repartition("lang", "block"), add, kind).collect()  # languages x SLOTS: labels are a list of languages, a few hundred at most
     langs = sorted({r.lang for r in summed})
     counts = np.zeros((len(langs), SLOTS + 1), np.float64)
     for r in summed:
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, keep: list[str]
 
     chosen = docs.select(*keep, F.col("text").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{kinds}, `{new[0]}` string, `{new[1]}` double")
+    return common.map_arrow(chosen, run, f"{kinds}, `{new[0]}` string, `{new[1]}` double")
 
 
 def held_out(folds: int, fold: int):
@@ -214,4 +214,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             kept = weigh(b.column(at).to_pylist(), langs, shared.value, judge=True)[2]
             yield pa.RecordBatch.from_arrays(b.columns, columns).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)

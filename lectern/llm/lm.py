@@ -328,7 +328,7 @@ def _met(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _sums(blocks: DataFrame, bits: int, fn) -> list:
-    return _met(blocks, bits).mapInArrow(_arrow(fn, _SUMS), "kind string, bucket int, sums array<long>").collect()  # a row for each kind and bucket
+    return common.map_arrow(_met(blocks, bits), _arrow(fn, _SUMS), "kind string, bucket int, sums array<long>").collect()  # a row for each kind and bucket
 
 
 def train(rows: DataFrame) -> Model:
@@ -355,7 +355,7 @@ def train(rows: DataFrame) -> Model:
                 put_counts(folder, f"word-{bucket}", k, n)
             yield (kind, bucket, [len(k), int(n.sum())]), 64
 
-    sums = _sums(rows.mapInArrow(_arrow(count_words, _BLOCK), BLOCK), bits, write_words)
+    sums = _sums(common.map_arrow(rows, _arrow(count_words, _BLOCK), BLOCK), bits, write_words)
     documents = sum(r.sums[1] for r in sums if r.kind == "all")
     by = {r.bucket: r.sums for r in sums if r.kind == "word"}
     sizes = tuple(by.get(b, [0, 0])[0] for b in range(1 << bits))
@@ -394,7 +394,7 @@ def train(rows: DataFrame) -> Model:
             put(folder, f"{kind}-{bucket}", narrow(dense))
             yield (kind, bucket, [*_of_counts(n[:, 0]), int((n[:, 0] > 2).sum())]), 64
 
-    pairs = _met(rows.mapInArrow(_arrow(count_pairs, _BLOCK), BLOCK), bits).mapInArrow(_arrow(write_pairs, _BLOCK), BLOCK)
+    pairs = common.map_arrow(_met(common.map_arrow(rows, _arrow(count_pairs, _BLOCK), BLOCK), bits), _arrow(write_pairs, _BLOCK), BLOCK)
     sums = _sums(pairs, bits, write_ids)
     total = next((r.sums for r in sums if r.kind == "all"), [0] * 5)
     n = [sum(r.sums[k] for r in sums if r.kind == "right") for k in range(5)]
@@ -468,7 +468,7 @@ def score(docs: DataFrame, m: Model) -> DataFrame:
                 yield (doc_ids[row].as_py(), int(n[i]), int(known[i]), float(plain[i]), float(total[i])), 64
 
     schema = common.fields(("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
-    return common.texts_only(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_arrow(run, schema), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return common.map_arrow(common.texts_only(docs).select(F.col("doc_id").cast("long"), "text"), _arrow(run, schema), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 bands.append(sketch.bands(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "node", "bands"])
 
-    return common.texts_only(docs).select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, bands array<long>")
+    return common.map_arrow(common.texts_only(docs).select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text"), run, "doc_id long, row_key long, n_shingles long, node binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -113,7 +113,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         yield from out.flush()
 
     found = common.texts_only(docs).join(wanted, F.col("doc_id") == F.col("doc")).select("node", "text")
-    return common.materialize(found.mapInArrow(run, "node binary, set binary").dropDuplicates(["node"]), "sets")
+    return common.materialize(common.map_arrow(found, run, "node binary, set binary").dropDuplicates(["node"]), "sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("node").alias("nb"), F.col("set").alias("set_b"))
     left = sets.select(F.col("node").alias("na"), F.col("set").alias("set_a"))
     both = pairs.join(right, F.col("b") == F.col("nb")).select("a", "b", "set_b").join(left, F.col("a") == F.col("na")).select("a", "b", "set_a", "set_b")
-    return common.materialize(both.mapInArrow(run, "a binary, b binary, size long, adds long, lacks long, delta array<long>"), "compared")
+    return common.materialize(common.map_arrow(both, run, "a binary, b binary, size long, adds long, lacks long, delta array<long>"), "compared")
 
 
 def stars(nodes: DataFrame) -> DataFrame:

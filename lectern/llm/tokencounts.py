@@ -141,7 +141,7 @@ def build(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = Non
 
     chosen = docs.select(*keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInArrow(run, f"{kinds}, tree binary, n_tokens long")
+    return common.map_arrow(chosen, run, f"{kinds}, tree binary, n_tokens long")
 
 
 def _follow(counter: Counter, tree: Tree, text: str, edits: list[dict] | None) -> tuple[Tree, str, int]:
