@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 
-from pyarrow import fs
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folders: set[str] = set()
@@ -29,9 +30,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def _delete(folder: str) -> None:
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
-    if system.get_file_info(path).type == fs.FileType.Directory:
-        system.delete_dir(path)
+    """At the driver's end: by the JVM while it runs, else by the local path; what neither reaches stays for the folder's owner."""
+    sc = SparkContext._active_spark_context
+    if sc and sc._jvm:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    elif "://" not in folder or folder.startswith("file://"):
+        shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
