@@ -101,12 +101,29 @@ def interlinear(spark, d):
     return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("gloss")))[0]
 
 
-@query("j11_unaligned", "select c_custkey as v from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("j11_unaligned", "select p_partkey as v from part where not exists (select 1 from customer where c_custkey = p_partkey)")
 def unaligned(spark, d):
-    """The verses that have no word."""
-    words = table(spark, d, "orders").select(F.col("o_custkey").alias("v"), F.lit(1).alias("pos"), F.col("o_orderkey").alias("id"))
-    entries = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss"))
-    return align.interlinear(table(spark, d, "customer").select(F.col("c_custkey").alias("v")), words, entries)[1]
+    """The verses that have no word: parts, where customers' numbers are words' verses."""
+    words = table(spark, d, "customer").select(F.col("c_custkey").alias("v"), F.lit(1).alias("pos"), F.col("c_nationkey").alias("id"))
+    entries = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("gloss"))
+    return align.interlinear(table(spark, d, "part").select(F.col("p_partkey").alias("v")), words, entries)[1]
+
+
+def _aligned(spark, d):
+    words = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("id"))
+    return align.interlinear(table(spark, d, "orders").select(F.col("o_orderkey").alias("v")), words, table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("gloss")))
+
+
+@query("j11_interlinear_whole", "select o_orderkey as v, l_linenumber as pos, l_partkey as id, coalesce(p_name, '') as gloss from orders join lineitem on l_orderkey = o_orderkey left join part on p_partkey = l_partkey")
+def interlinear_whole(spark, d):
+    """Every word, whatever its entry."""
+    return _aligned(spark, d)[0]
+
+
+@query("j11_unaligned_whole", "select o_orderkey as v from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def unaligned_whole(spark, d):
+    """The verses that have none of these words."""
+    return _aligned(spark, d)[1]
 
 
 @query("j4_work_book", "select c_custkey, n_name from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3")
