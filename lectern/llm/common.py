@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
 from ..plans.storage import drop_tables, materialize, new_path  # noqa: F401 - operators take them from here
 
 #: The white space that separates words: blank, and tab to carriage return. `bytes.split()` splits at the same.
@@ -53,8 +54,9 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow, with batches of ARROW_ROWS at most: rows hold whole texts or sets, and ten thousand of them, the session's default, would be held by the
-    JVM and again by the worker. The session keeps the smaller number."""
+    JVM and again by the worker. The session keeps the smaller number. Workers that don't find the package get it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ship(df.sparkSession)
     if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
         df.sparkSession.conf.set(name, str(ARROW_ROWS))
     return df.mapInArrow(fn, schema)

@@ -40,7 +40,7 @@ _BLANK = " \t\n\x0b\x0c\r"
 RULES = {
     "base": f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "lines": "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines",
     "lengths": "word_chars < 2 * n_words or word_chars > 12 * n_words",
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
