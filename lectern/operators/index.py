@@ -25,12 +25,23 @@ def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
+def _listed(tokens: Column) -> Column:
+    """An array of (term, places) for a text, in its own row: its tokens in order, each term's run with its positions."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        own = lambda b, i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), n) - i), lambda x: x["pos"])
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i)["term"].alias("term"), own(b, i, k).alias("places"))))[0]
+
+    return F.transform(F.array(placed), runs)[0]  # the array is bound, so that it is made once
+
+
 def write(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", attributes: tuple[str, ...] = (), shards: int = SHARDS, files: int = FILES) -> Index:
     """The index of docs, under path. Attributes are columns that searches filter or group by. Documents are told apart by doc, an integer; rows without are left out."""
     rows = docs.filter(F.col(doc).isNotNull())
-    words = rows.select(F.col(doc).cast("long").alias("doc"), F.posexplode(T.tokens(F.col(text))).alias("pos", "term"))
-    # a document's positions of a term meet in its own task, before anything is moved
-    listed = words.groupBy("doc", "term").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    listed = rows.select(F.col(doc).cast("long").alias("doc"), F.explode(_listed(T.tokens(F.col(text)))).alias("e")).select("doc", "e.term", "e.places")
     dealt = listed.select(_shard(F.col("term"), shards).alias("shard"), "term", "doc", F.size("places").alias("tf"), "places").repartition("shard", F.pmod(F.xxhash64("doc"), F.lit(files)))
     dealt.sortWithinPartitions("shard", "term", "doc").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
     units = rows.select(F.col(doc).cast("long").alias("doc"), F.size(F.coalesce(T.tokens(F.col(text)), F.array().cast("array<string>"))).alias("length"), *attributes)
