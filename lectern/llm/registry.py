@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licences, linededup, lm, media, neardup, packing, quality, tokencounts
+from . import bpe, langid, licences, linededup, lm, media, neardup, packing, quality, resampling, tokencounts, topk, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_media_columns": media.op9_media_columns,
         "op10_packing": packing.op10_packing,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_exact_topk": topk.op12_exact_topk,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
         "op2_license_tree": licences.op2_license_tree,
     }
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_tree": licences.TREE_SQL,
         "op7_line_dedup": linededup.SQL,
         "op8_quality_rules": quality.SQL,
+        "op12_exact_topk": topk.SQL,
+        "op13_importance_resampling": resampling.SQL,
     }
