@@ -4,9 +4,9 @@ A text's features are its runs of one to three words, hashed into buckets. Where
 the bucket's gain is high; a document's weight is the sum of the gains of its features, and a draw without replacement takes documents in the order of
 weight plus Gumbel noise, which comes from a hash of the document's id and a seed.
 
-Texts are read once: each row's buckets are written as an array to the shared folder, beside the row's other columns that are asked for. What is exploded
-afterwards are numbers. Counts of a bucket are summed before they are shuffled, so that a frequent word is one row of each task; the table of gains has as many rows as there are
-buckets, a parameter, and is broadcast. A row's sum is made where its array is exploded, before anything is shuffled. Ranks come from a sort by ranges of score and doc_id, each range written
+Texts are read once: arrays of words and of their successors are exploded together, and the buckets of the runs that begin with a word are written to the shared folder, a row for each word. What is read and
+exploded afterwards are small numbers. Counts of a bucket are summed before they are shuffled, so that a frequent word is one row of each task; the table of gains has as many rows as there are
+buckets, a parameter, and is broadcast. A document's sum is made by each task for the words that it reads, before anything is shuffled. Ranks come from a sort by ranges of score and doc_id, each range written
 as one partition, and from the number of rows in the ranges before it: no task sees more than its range, and the list of ranges is as long as the number of partitions.
 
 Edge cases: a null text, an empty one and one without words have no features and weight 0; floors go down, below zero too. Words are split before anything else, so a text of
@@ -17,6 +17,8 @@ no rows. Empty target: gains are those of zero counts. Other columns are not rea
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,31 +32,25 @@ PERCENT = 5
 SEED = "42"
 
 
-def _buckets(words: Column, order: int, buckets: int) -> Column:
-    """A bucket for each run of one to `order` consecutive words."""
-
-    def of(n: int) -> Column:
-        column = lambda x: (F.crc32(x.cast("binary")) % buckets).cast("int")
-        if n == 1:
-            return F.transform(words, column)
-        shifted = [words, *[F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))) for k in range(1, n)]]
-        # zipped arrays are as long as the longest; runs that stick out at the end are cut by the length
-        zipped = F.slice(F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)]), 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        return F.transform(zipped, lambda z: column(F.concat_ws(" ", *[z[f"w{k}"] for k in range(n)])))
-
-    return F.concat(*[of(n) for n in range(1, order + 1)])
-
-
 def features(rows: DataFrame, *keep: str, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
-    """keep, __n_words and __buckets (array, a bucket for each feature) for each row of rows(text, …)."""
+    """For each word of rows(text, …) a row of keep and b1, b2, …: the buckets of the runs of one, two, … words that begin with it, null where the text ends before. A text without words gives one row of nulls."""
     words = F.regexp_extract_all(common.lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
     split = rows.select(*keep, words.alias("__words"))
-    return split.select(*keep, F.size("__words").alias("__n_words"), _buckets(F.col("__words"), order, buckets).alias("__buckets"))
+    ahead = [F.col("__words").alias("w0"), *[F.slice("__words", k + 1, F.size("__words")).alias(f"w{k}") for k in range(1, order)]]
+    each = split.select(*keep, F.inline_outer(F.arrays_zip(*ahead)))
+    # || is null where a word is missing
+    run = lambda n: reduce(lambda a, k: F.concat(a, F.lit(" "), F.col(f"w{k}")), range(1, n), F.col("w0"))
+    return each.select(*keep, *[(F.crc32(run(n).cast("binary")) % buckets).cast("int").alias(f"b{n}") for n in range(1, order + 1)])
+
+
+def _columns(featured: DataFrame) -> list[str]:
+    return [c for c in featured.columns if c[0] == "b" and c[1:].isdigit()]
 
 
 def bucket_counts(featured: DataFrame) -> DataFrame:
     """bucket and n, its features in all rows."""
-    return featured.select(F.explode("__buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    each = featured.select(F.explode(F.array(*_columns(featured))).alias("bucket"))
+    return each.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -70,11 +66,14 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     return both.select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))
 
 
-def weighted(featured: DataFrame, gain: DataFrame) -> DataFrame:
-    """Rows of featured(__row, …) with __weight. gain has a row for each bucket, and is broadcast."""
-    sums = featured.select("__row", F.explode("__buckets").alias("bucket")).join(F.broadcast(gain), "bucket").groupBy("__row").agg(F.sum("gain").alias("__weight"))
-    rest = featured.select(*[c for c in featured.columns if c != "__buckets"], F.size("__buckets").cast("long").alias("__n_features"))
-    return rest.join(sums, "__row", "left").withColumn("__weight", F.coalesce("__weight", F.lit(0)).cast("long"))
+def weighted(featured: DataFrame, gain: DataFrame, *keep: str) -> DataFrame:
+    """keep, __n_words, __n_features and __weight for each row of the texts. gain has a row for each bucket, and is broadcast."""
+    met, columns = featured, _columns(featured)
+    for c in columns:
+        met = met.join(F.broadcast(gain.select(F.col("bucket").alias(f"k{c}"), F.col("gain").alias(f"g{c}"))), F.col(c) == F.col(f"k{c}"), "left")
+    total = lambda of: reduce(lambda a, b: a + b, map(of, columns))
+    sums = total(lambda c: F.coalesce(F.col(f"g{c}"), F.lit(0)))
+    return met.groupBy(*keep).agg(F.count(columns[0]).alias("__n_words"), F.sum(total(lambda c: F.col(c).isNotNull().cast("long"))).alias("__n_features"), F.sum(sums).alias("__weight"))
 
 
 def noise(doc_id: Column, seed: str = SEED) -> Column:
@@ -96,9 +95,9 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, buckets: int = BUCKETS, order: int = ORDER, seed: str = SEED) -> DataFrame:
     """doc_id, n_features, weight, score and rank (null for those not drawn) for each row of docs(doc_id, text). target(text): texts of the target distribution."""
-    featured = common.materialize(features(docs, "doc_id", order=order, buckets=buckets).withColumn("__row", F.monotonically_increasing_id()), "features")
+    featured = common.materialize(features(docs.withColumn("__row", F.monotonically_increasing_id()), "__row", "doc_id", order=order, buckets=buckets), "features")
     gain = common.materialize(gains(bucket_counts(featured), bucket_counts(features(target, order=order, buckets=buckets)), buckets), "gains")
-    scored = common.materialize(weighted(featured, gain).withColumn("__score", F.col("__weight") + noise(F.col("doc_id"), seed)), "scored")
+    scored = common.materialize(weighted(featured, gain, "__row", "doc_id").withColumn("__score", F.col("__weight") + noise(F.col("doc_id"), seed)), "scored")
     common.drop_tables(docs.sparkSession, featured)
     enough = (F.col("__n_words") >= min_words) & F.col("doc_id").isNotNull()
     drawn = scored.filter(enough).agg(F.floor(F.lit(percent) * F.count("*") / 100).alias("m"))  # one row
