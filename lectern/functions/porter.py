@@ -1,13 +1,11 @@
-"""Porter's suffix stripper (1980), with the two later changes -bli to -ble and -logi to -log, for a vocabulary's distinct words."""
+"""Porter's suffix stripper (1980), with the two later changes -bli to -ble and -logi to -log: as expressions for a vocabulary's distinct words, and as a function for the few that a query has."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Suffixes and what replaces them.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
@@ -72,8 +70,66 @@ def stem(w: str) -> str:
             w = w[:-1]
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
-@F.pandas_udf(StringType())
-def stem_column(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """For a column of distinct words; join the result to where they occur."""
-    for s in words:
-        yield s.map(stem, na_action="ignore")
+
+# ---- the same steps as expressions, for Spark and for a database that a result is held against ---------------------------------------------
+
+#: For each step, from first to last: suffix, what its base (the word without it) must be like, and what replaces the suffix. The longest suffix that a word ends with decides, whether its base suffices or not.
+RULES = [
+    ("1a", [("sses", "any", "ss"), ("ies", "any", "i"), ("ss", "any", "ss"), ("s", "any", "")]),
+    ("1b", [("eed", "m>0", "ee"), ("ed", "vowel", "*"), ("ing", "vowel", "*")]),
+    ("1c", [("y", "vowel", "i")]),
+    ("2", [(s, "m>0", r) for s, r in STEP2.items()]),
+    ("3", [(s, "m>0", r) for s, r in STEP3.items()]),
+    ("4", [(s, "m>1 after s or t" if s == "ion" else "m>1", "") for s in STEP4]),
+    ("5a", [("e", "m>1 or not short", "")]),
+    ("5b", [("l", "m>1 after l", "")]),
+]
+_VC = "length({b}) - length(replace({b}, 'vc', ''))"
+_SHORT = "(right({b}, 3) = 'cvc' and right({w}, 1) not in ('w', 'x', 'y'))"
+#: Of a base with the letters {w} and the shape {b}.
+CONDITIONS = {
+    "any": "true",
+    "vowel": "position('v' in {b}) > 0",
+    "m>0": f"{_VC} > 0",
+    "m>1": f"{_VC} > 2",
+    "m>1 after s or t": f"{_VC} > 2 and right({{w}}, 1) in ('s', 't')",
+    "m>1 after l": f"{_VC} > 2 and right({{w}}, 1) = 'l'",
+    "m>1 or not short": f"({_VC} > 2 or {_VC} = 2 and not {_SHORT})",
+}
+_LETTER = "case when c = '' then '' when c in ('a', 'e', 'i', 'o', 'u') or c = 'y' and right(a, 1) = 'c' then 'v' else 'c' end"
+#: The shape of the word w: c or v for each letter.
+SHAPES = {"spark": f"aggregate(split(w, ''), '', (a, c) -> a || {_LETTER})", "duckdb": f"list_reduce(list_prepend('', string_split(w, '')), lambda a, c: a || {_LETTER})"}
+
+
+def _expressions() -> list[str]:
+    """For each step an expression of the word w and its shape s; after 1b one that mends what -ed and -ing leave, marked by a star."""
+    out = []
+    for _, rules in RULES:
+        cases = []
+        for suffix, condition, new in sorted(rules, key=lambda r: -len(r[0])):
+            k = len(suffix)
+            base, shape = f"left(w, length(w) - {k})", f"left(s, length(w) - {k})"
+            cases.append(f"when right(w, {k}) = '{suffix}' then case when {CONDITIONS[condition].format(w=base, b=shape)} then {base} || '{new}' else w end")
+        out.append(f"case {' '.join(cases)} else w end")
+        if any(new == "*" for _, _, new in rules):
+            b, s = "left(w, length(w) - 1)", "left(s, length(w) - 1)"
+            double = f"length({b}) > 1 and right({b}, 1) = left(right({b}, 2), 1) and right({s}, 1) = 'c' and right({b}, 1) not in ('l', 's', 'z')"
+            mended = f"case when right({b}, 2) in ('at', 'bl', 'iz') then {b} || 'e' when {double} then left(w, length(w) - 2) when {_VC.format(b=s)} = 2 and {_SHORT.format(w=b, b=s)} then {b} || 'e' else {b} end"
+            out.append(f"case when right(w, 1) = '*' then {mended} else w end")
+    return out
+
+
+def stemmed(words: DataFrame, word: str = "term", to: str = "stem") -> DataFrame:
+    """words with the stems of a column of distinct words of a-z and digits, without Python; words of one or two letters stay."""
+    columns, out = words.columns, words.withColumn("w", F.col(word))
+    for e in _expressions():
+        out = out.withColumn("s", F.expr(SHAPES["spark"])).withColumn("w", F.expr(e))
+    return out.select(*columns, F.when(F.char_length(word) < 3, F.col(word)).otherwise(F.col("w")).alias(to))
+
+
+def sql(source: str, word: str = "term", to: str = "stem") -> str:
+    """Common table expressions for DuckDB: the last, `stems`, has each distinct `word` of the table `source` and its stem."""
+    parts = [f"porter0 as (select distinct {word} as word, {word} as w from {source})"]
+    for k, e in enumerate(_expressions()):
+        parts.append(f"porter{k + 1} as (select word, {e} as w from (select *, {SHAPES['duckdb']} as s from porter{k}))")
+    return ", ".join([*parts, f"stems as (select word as {word}, case when length(word) < 3 then word else w end as {to} from porter{len(parts) - 1})"])

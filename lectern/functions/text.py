@@ -31,6 +31,12 @@ def fold(text: Column) -> Column:
     return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, *_folding()))
 
 
+def folded(word: str) -> str:
+    """fold() for a word of a query."""
+    letters, bare = _folding()
+    return word.lower().translate({ord(c): bare[i] if i < len(bare) else None for i, c in enumerate(letters)})
+
+
 def transliterated(word: Column, aliases: dict[str, str] | None = None) -> Column:
     """A word as it is looked up in transliteration: folded, without quotes before it, common words by the name that they go by."""
     bare = F.regexp_replace(fold(word), "^['’‘ʼʻʾʿ`]+", "")

@@ -1,28 +1,41 @@
-"""A stored full-text index: postings by term, units by document, terms and totals; and searches that read no text.
+"""A stored full-text index in segments: postings by term, units by document, terms, and a manifest of what lies where; and searches that read no text.
 
-Postings are dealt to shards by their term's hash and sorted by term within, so that a search for words reads the folders of their shards alone and, in these, the row
-groups that may hold them. A shard's documents are dealt to several files, so that a term that every document holds is no single task's.
+Postings are partitioned by ranges of (term, document) and sorted within. Each range is a shard, a folder of its own; their number follows the bytes of the postings, and a term that very many
+documents hold spans several shards. The manifest has a row for each shard, with the first and last term in it: a search looks up its words there, and reads the folders of their shards alone; a
+prefix is a range of neighbouring shards.
+
+An index is plain or analysed. Plain terms are lower-case words as they stand. For an analysed one, letters lose their accents, and words of a-z and digits become Porter's stems; a table token -> term is made once
+over the distinct words and joined to the postings. Words of other scripts stay as they are. A query's words go through the same steps.
+
+A unit is a row of the documents: its doc and a digest of text and attributes, which tell it apart; rows that are equal in all of these are one unit. When documents change, `update` writes one segment of the units
+that are new, and marks those that are gone by tombstones. Searches read all segments and leave out what is marked. Segments of about the same size are merged, from their postings, when there are FAN of them,
+and so is one that is mostly tombstones.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import porter
 from ..functions import text as T
+from ..plans import sizes, storage
 from .search import Term
+from .search import parse as _parse
 
-SHARDS = 64
-#: Files that a shard is dealt to, by document.
-FILES = 4
-#: Of the tables that are dealt to folders, which may be none.
-SCHEMAS = {"postings": "term string, doc long, tf int, places array<int>, shard int", "terms": "term string, df long, n long, shard int"}
-
-
-def _shard(term: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
+#: A shard holds about so many bytes of postings.
+SHARD_BYTES = 64 << 20
+#: So many segments of one tier are merged.
+FAN = 4
+_LATIN = "^[a-z0-9]+$"
+#: Of tables that lie in folders, which may be none.
+SCHEMAS = {"postings": "term string, doc long, unit long, length int, tf int, places array<int>, shard int"}
+_STATE = "segment string, units long, length long, gone long, version int"
+_KEY = ["doc", "unit"]
 
 
 def _listed(tokens: Column) -> Column:
@@ -38,54 +51,197 @@ def _listed(tokens: Column) -> Column:
     return F.transform(F.array(placed), runs)[0]  # the array is bound, so that it is made once
 
 
-def write(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", attributes: tuple[str, ...] = (), shards: int = SHARDS, files: int = FILES) -> Index:
-    """The index of docs, under path. Attributes are columns that searches filter or group by. Documents are told apart by doc, an integer; rows without are left out."""
-    rows = docs.filter(F.col(doc).isNotNull())
-    listed = rows.select(F.col(doc).cast("long").alias("doc"), F.explode(_listed(T.tokens(F.col(text)))).alias("e")).select("doc", "e.term", "e.places")
-    dealt = listed.select(_shard(F.col("term"), shards).alias("shard"), "term", "doc", F.size("places").alias("tf"), "places").repartition("shard", F.pmod(F.xxhash64("doc"), F.lit(files)))
-    dealt.sortWithinPartitions("shard", "term", "doc").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    units = rows.select(F.col(doc).cast("long").alias("doc"), F.size(F.coalesce(T.tokens(F.col(text)), F.array().cast("array<string>"))).alias("length"), *attributes)
-    units.write.mode("overwrite").parquet(f"{path}/units")
-    spark = docs.sparkSession
-    spark.read.parquet(f"{path}/units").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
-    stored = Index(spark, path, shards)
-    terms = stored.table("postings").groupBy("shard", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).repartition("shard")
-    terms.sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
-    return stored
+def terms_of(tokens: DataFrame) -> DataFrame:
+    """(token, term) for a table of distinct folded tokens."""
+    latin = F.col("token").rlike(_LATIN)
+    return porter.stemmed(tokens.filter(latin), "token", "term").unionByName(tokens.filter(~latin).withColumn("term", F.col("token")))
+
+
+def term_of(word: str) -> str:
+    """The term of a query's word: terms_of() for one."""
+    word = T.folded(word)
+    return porter.stem(word) if re.match(_LATIN, word) else word
+
+
+def _units(docs: DataFrame, doc: str, text: str, attributes: tuple[str, ...]) -> DataFrame:
+    """doc, unit, text and attributes of the rows that have a doc."""
+    digest = F.xxhash64(F.col(text).cast("string"), *[F.col(a) for a in attributes])
+    return docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), digest.alias("unit"), F.col(text).alias("__text"), *attributes)
+
+
+def _write_sorted(postings: DataFrame, path: str, entries: int, positions: int, shard_bytes: int, merge: bool) -> None:
+    """Postings (term, doc, unit, length, places) as shards, with manifest and terms. merge: a term may come in several rows of a unit."""
+    shards = max(1, math.ceil((32 * entries + 4 * positions) / shard_bytes))
+    spark = postings.sparkSession
+    ranged = postings.repartitionByRange(shards, "term", *_KEY)
+    if merge:  # the rows of a term and unit lie in one range already
+        ranged = ranged.groupBy("term", *_KEY).agg(F.first("length").alias("length"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    placed = ranged.select(F.spark_partition_id().alias("shard"), "term", *_KEY, "length", F.size("places").alias("tf"), "places")
+    placed.sortWithinPartitions("shard", "term", *_KEY).write.partitionBy("shard").parquet(f"{path}/postings")
+    stored = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
+    stored.groupBy("shard").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/manifest")  # a row for each shard
+    terms = stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+
+
+def _write_segment(rows: DataFrame, path: str, attributes: tuple[str, ...], analysed: bool, shard_bytes: int) -> tuple[int, int]:
+    """A segment of the units of rows, and their number and length."""
+    spark = rows.sparkSession
+    tokens = F.coalesce(T.tokens(T.fold(F.col("__text")) if analysed else F.col("__text")), F.array().cast("array<string>"))
+    split = rows.select(*_KEY, *attributes, tokens.alias("__tokens"))
+    forward = storage.materialize(split.select(*_KEY, *attributes, F.size("__tokens").alias("length"), _listed(F.col("__tokens")).alias("listed")), "forward")
+    repeated = forward.groupBy(*_KEY).count().filter("count > 1").limit(1).count() > 0
+    once = forward.dropDuplicates(_KEY) if repeated else forward
+    once.select(*_KEY, "length", *attributes).write.parquet(f"{path}/units")
+    size = once.agg(F.count("*").alias("units"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("listed")), F.lit(0)).alias("entries")).first()
+    postings = once.select(*_KEY, "length", F.explode("listed").alias("e")).select(F.col("e.term").alias("term"), *_KEY, "length", F.col("e.places").alias("places"))
+    if analysed:
+        tokens = storage.materialize(terms_of(postings.select(F.col("term").alias("token")).distinct()), "tokens")
+        tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
+        known = sizes.broadcast_if_small(tokens, 64)
+        postings = postings.withColumnRenamed("term", "token").join(known, "token").select("term", *_KEY, "length", "places")
+    _write_sorted(postings, path, size["entries"], size["length"], shard_bytes, merge=analysed)
+    storage.drop_tables(spark, *([forward, tokens] if analysed else [forward]))
+    return size["units"], size["length"]
+
+
+@dataclass(frozen=True)
+class Segment:
+    name: str
+    units: int
+    length: int
+    gone: int = 0
+
+
+def write(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", attributes: tuple[str, ...] = (), analysed: bool = False, shard_bytes: int = SHARD_BYTES) -> Index:
+    """The index of docs, under path. Attributes are columns that searches filter or group by. Documents are named by doc, an integer; rows without are left out."""
+    units, length = _write_segment(_units(docs, doc, text, attributes), f"{path}/s0", attributes, analysed, shard_bytes)
+    return Index(docs.sparkSession, path, analysed)._with(0, Segment("s0", units, length))
+
+
+def open_index(spark: SparkSession, path: str, analysed: bool = False) -> Index:
+    """The index that lies under path, in its last version."""
+    state = spark.read.schema(_STATE).parquet(f"{path}/state")
+    last = state.agg(F.max("version")).first()[0]
+    rows = state.filter(F.col("version") == last).orderBy("segment").collect()  # a row for each segment
+    return Index(spark, path, analysed, last, tuple(Segment(r["segment"], r["units"], r["length"], r["gone"]) for r in rows if r["segment"]))
 
 
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
     path: str
-    shards: int = SHARDS
+    analysed: bool = False
+    version: int = -1
+    segments: tuple[Segment, ...] = ()
 
-    def table(self, name: str) -> DataFrame:
+    # ---- segments ------------------------------------------------------------------------------------------------------------------------
+
+    def _with(self, version: int, *segments: Segment) -> Index:
+        """This index with other segments; what a reader opens changes when the new version's rows have been committed."""
+        rows = [(s.name, s.units, s.length, s.gone, version) for s in segments] or [(None, 0, 0, 0, version)]
+        self.spark.createDataFrame(rows, _STATE).coalesce(1).write.mode("append").partitionBy("version").parquet(f"{self.path}/state")
+        return replace(self, version=version, segments=segments)
+
+    def _part(self, segment: Segment, name: str) -> DataFrame:
+        """A segment's table, without what tombstones mark."""
         read = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
-        return read.parquet(f"{self.path}/{name}")
-
-    def _of(self, name: str, terms: list[Term]) -> DataFrame:
-        """Rows of a table by term for the words and prefixes of terms: only the shards of words, all for a prefix."""
-        words = sorted({w for t in terms if not t.prefix for w in t.words})
-        prefixes = sorted({t.words[0] for t in terms if t.prefix})
-        rows = self.table(name)
-        wanted = F.lit(False)
-        for p in prefixes:
-            wanted = wanted | F.col("term").startswith(p)
-        if words:
-            own = F.col("term").isin(*words)
-            if not prefixes:
-                shards = self.spark.createDataFrame([(w,) for w in words], "w string").select(_shard(F.col("w"), self.shards).alias("s")).collect()  # the query's words
-                return rows.filter(F.col("shard").isin(*sorted({r.s for r in shards})) & own)
-            wanted = wanted | own
-        return rows.filter(wanted)
+        rows = read.parquet(f"{self.path}/{segment.name}/{name}")
+        if not segment.gone or name not in ("postings", "units"):
+            return rows
+        gone = self.spark.read.parquet(f"{self.path}/gone").filter((F.col("segment") == segment.name) & (F.col("version") <= self.version)).select(*_KEY)
+        return rows.join(sizes.broadcast_if_small(gone, 16), _KEY, "left_anti")
+
+    def table(self, name: str) -> DataFrame:
+        parts = [self._part(s, name) for s in self.segments]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def update(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", attributes: tuple[str, ...] = (), shard_bytes: int = SHARD_BYTES) -> Index:
+        """The index after the documents have become docs: a segment of the units that it hasn't, tombstones for those that are gone, and merges. Texts that haven't changed are digested, but neither split nor written."""
+        version, now = self.version + 1, _units(docs, doc, text, attributes)
+        known, keys = storage.materialize(self._lengths(), "known"), storage.materialize(now.select(*_KEY), "keys")
+        new = storage.materialize(keys.join(known.select(*_KEY), _KEY, "left_anti"), "new")
+        fresh = now.join(sizes.broadcast_if_small(new.distinct(), 16), _KEY, "left_semi")  # few keys: no text is shuffled
+        gone = storage.materialize(known.join(keys, _KEY, "left_anti"), "gone")
+        lost = {r["segment"]: r for r in gone.groupBy("segment").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()}  # a row for each segment
+        if lost:
+            gone.select("segment", *_KEY).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{self.path}/gone")
+        segments = [replace(s, units=s.units - lost[s.name]["n"], length=s.length - lost[s.name]["length"], gone=s.gone + lost[s.name]["n"]) if s.name in lost else s for s in self.segments]
+        if new.limit(1).count():
+            units, length = _write_segment(fresh, f"{self.path}/s{version}", attributes, self.analysed, shard_bytes)
+            segments.append(Segment(f"s{version}", units, length))
+        storage.drop_tables(self.spark, known, keys, new, gone)
+        return self._with(version, *segments)._merged(shard_bytes)
+
+    def _lengths(self) -> DataFrame:
+        """segment, doc, unit and length of all units."""
+        parts = [self._part(s, "units").select(F.lit(s.name).alias("segment"), *_KEY, "length") for s in self.segments]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _merged(self, shard_bytes: int) -> Index:
+        tiers: dict[int, list[Segment]] = {}
+        for s in self.segments:
+            tiers.setdefault(int(math.log(max(s.units, 1), FAN)), []).append(s)
+        due = next((t for t in tiers.values() if len(t) >= FAN), None) or next(([s] for s in self.segments if s.gone > s.units), None)
+        if not due:
+            return self
+        version, some = self.version + 1, replace(self, segments=tuple(due))
+        name = f"s{version}"
+        postings = some.table("postings")
+        size = postings.agg(F.count("*").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("places")).first()
+        _write_sorted(postings.select("term", *_KEY, "length", "places"), f"{self.path}/{name}", size["n"], size["places"], shard_bytes, merge=False)
+        some.table("units").write.parquet(f"{self.path}/{name}/units")
+        if self.analysed:
+            some.table("tokens").distinct().repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{self.path}/{name}/tokens")
+        merged = Segment(name, sum(s.units for s in due), sum(s.length for s in due))
+        return self._with(version, *[s for s in self.segments if s not in due], merged)._merged(shard_bytes)
+
+    # ---- searches ------------------------------------------------------------------------------------------------------------------------
+
+    def parse(self, q: str) -> list[Term]:
+        """What someone typed, its words as the index has them."""
+        return [Term(tuple(term_of(w) for w in t.words), t.prefix) for t in _parse(T.folded(q))] if self.analysed else _parse(q)
+
+    def shards(self, terms: list[Term]) -> dict[str, list[int]]:
+        """For each segment the shards that may hold the words and prefixes of terms, by the manifests."""
+        holds = F.lit(False)
+        for w, prefix in sorted({(w, t.prefix) for t in terms for w in t.words}):
+            starts = (F.col("first") <= w) | F.col("first").startswith(w) if prefix else F.col("first") <= w
+            holds = holds | starts & (F.col("last") >= w)
+        parts = [self.spark.read.parquet(f"{self.path}/{s.name}/manifest").filter(holds).select(F.lit(s.name).alias("segment"), "shard") for s in self.segments]
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        out: dict[str, list[int]] = {s.name: [] for s in self.segments}
+        for r in found.collect():  # the shards that the query reads
+            out[r["segment"]].append(r["shard"])
+        return {k: sorted(v) for k, v in out.items()}
 
     def postings(self, terms: list[Term]) -> DataFrame:
-        return self._of("postings", terms)
+        """The postings of the words and prefixes of terms."""
+        words, prefixes = sorted({w for t in terms if not t.prefix for w in t.words}), sorted({t.words[0] for t in terms if t.prefix})
+        wanted = F.col("term").isin(*words) if words else F.lit(False)
+        for p in prefixes:
+            wanted = wanted | F.col("term").startswith(p)
+        shards, out = self.shards(terms), None
+        for s in self.segments:
+            part = self._part(s, "postings").filter(F.col("shard").isin(*shards[s.name]) & wanted) if shards[s.name] else self._part(s, "postings").limit(0)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def match(self, terms: list[Term]) -> DataFrame:
-        """(doc, tf): the documents where every term occurs, with the sum of occurrences."""
+        """(doc, unit, tf): the units where every term occurs, with the sum of occurrences. A single word's postings are its hits, and are not shuffled."""
+        if not terms:
+            return self.table("units").select(*_KEY, F.lit(0).cast("long").alias("tf")).limit(0)
         rows, found = self.postings(terms), None
+        if len(terms) == 1 and len(terms[0].words) == 1 and not terms[0].prefix:
+            return rows.select(*_KEY, F.col("tf").cast("long").alias("tf"))
         singles = [t for t in terms if len(t.words) == 1]
         if singles:
             hits = [(F.col("term").startswith(t.words[0]) if t.prefix else F.col("term") == t.words[0]) for t in singles]
@@ -93,34 +249,46 @@ class Index:
             any_hit = hits[0]
             for h in hits[1:]:
                 any_hit = any_hit | h
-            by_doc = rows.filter(any_hit).groupBy("doc").agg(*counts)
+            by_unit = rows.filter(any_hit).groupBy(*_KEY).agg(*counts)
             for i in range(len(hits)):
-                by_doc = by_doc.filter(F.col(f"n{i}") > 0)
-            found = by_doc.select("doc", sum((F.col(f"n{i}") for i in range(len(hits))), F.lit(0)).cast("long").alias("tf"))
+                by_unit = by_unit.filter(F.col(f"n{i}") > 0)
+            found = by_unit.select(*_KEY, sum((F.col(f"n{i}") for i in range(len(hits))), F.lit(0)).cast("long").alias("tf"))
         for t in terms:
             if len(t.words) > 1:
                 phrase = self._phrase(rows, t)
-                found = phrase if found is None else found.join(phrase.withColumnRenamed("tf", "tf2"), "doc").select("doc", (F.col("tf") + F.col("tf2")).alias("tf"))
-        return found if found is not None else rows.select("doc", F.lit(0).cast("long").alias("tf")).limit(0)
+                found = phrase if found is None else found.join(phrase.withColumnRenamed("tf", "tf2"), _KEY).select(*_KEY, (F.col("tf") + F.col("tf2")).alias("tf"))
+        return found
 
     def _phrase(self, rows: DataFrame, term: Term) -> DataFrame:
-        """Where the words of a phrase follow one another: the starts that each of them names, intersected in a document's row."""
+        """Where the words of a phrase follow one another: the starts that each of them names, intersected in a unit's row."""
         begun = lambda i: F.transform("places", lambda p: p - i)
         starts = [F.flatten(F.collect_list(F.when(F.col("term") == w, begun(i)))).alias(f"s{i}") for i, w in enumerate(term.words)]
-        by_doc = rows.filter(F.col("term").isin(*set(term.words))).groupBy("doc").agg(*starts)
+        by_unit = rows.filter(F.col("term").isin(*set(term.words))).groupBy(*_KEY).agg(*starts)
         both = F.col("s0")
         for i in range(1, len(term.words)):
             both = F.array_intersect(both, F.col(f"s{i}"))
-        return by_doc.select("doc", F.size(both).cast("long").alias("tf")).filter("tf > 0")
+        return by_unit.select(*_KEY, F.size(both).cast("long").alias("tf")).filter("tf > 0")
 
     def bm25(self, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(doc, score), less is better: documents with any of the words."""
-        terms = [Term((w,)) for w in words]
-        n = self.table("totals")  # one row
-        known = self._of("terms", terms).select("term", "df").join(F.broadcast(n)).select("term", "n_docs", "avgdl", F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
-        hits = self.postings(terms).select("term", "doc", "tf").join(F.broadcast(known), "term").join(self.table("units").select("doc", "length"), "doc")  # known: a row for each word of the query
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-        return hits.groupBy("doc").agg((-F.sum(part)).alias("score"))
+        """(doc, score), less is better: units with any of the words. Lengths lie in the postings."""
+        if self.analysed:
+            words = [term_of(w) for w in words]
+        hits = self.postings([Term((w,)) for w in words])
+        n_docs = sum(s.units for s in self.segments)
+        avgdl = sum(s.length for s in self.segments) / n_docs if n_docs else 0.0
+        if len(self.segments) == 1 and not self.segments[0].gone:
+            known = self.table("terms").filter(F.col("term").isin(*words)).select("term", "df")
+        else:
+            known = hits.groupBy("term").agg(F.count("*").alias("df"))
+        known = known.select("term", F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avgdl))
+        scored = hits.join(F.broadcast(known), "term").withColumn("part", -part)  # known: a row for each word of the query
+        if len(set(words)) == 1:
+            return scored.select("doc", F.col("part").alias("score"))
+        return scored.groupBy(*_KEY).agg(F.sum("part").alias("score")).select("doc", "score")
 
     def vocabulary(self) -> DataFrame:
-        return self.table("terms").select("term", "df", "n")
+        """term, df and n of all terms."""
+        if len(self.segments) == 1 and not self.segments[0].gone:
+            return self.table("terms")
+        return self.table("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,24 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(df: DataFrame) -> tuple[int, int, int]:
+    """How many files df reads, their bytes and the time of the last: what a copy made of them goes by."""
+    spark = df.sparkSession
+    sizes, times = [], []
+    for f in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        sizes.append(status.getLen())
+        times.append(status.getModificationTime())
+    return len(sizes), sum(sizes), max(times, default=0)
+
+
 def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes what materialize() wrote for these, once nothing lazy reads it any more."""
+    """Deletes what materialize() wrote for these, once nothing lazy reads it any more. What does not lie under the application's own folder is refused."""
+    own = f"{urlparse(shared_dir(spark)).path}/lectern-{spark.sparkContext.applicationId}/"
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not urlparse(folder).path.startswith(own):
+                raise ValueError(f"{folder} is not a table of this application")
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

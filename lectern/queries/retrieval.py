@@ -15,14 +15,15 @@ TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 POS = f"select doc_id as doc, unnest({TOK}) as term, generate_subscripts({TOK}, 1) - 1 as pos from documents"
 
 
-_indexes: dict[tuple[str, str], index.Index] = {}
+_indexes: dict[tuple, index.Index] = {}
 
 
-def _index(spark, d):
-    """The tables' stored index, written by an application's first search."""
-    key = spark.sparkContext.applicationId, d
+def _index(spark, d, analysed=False):
+    """The tables' stored index, written by an application's first search of them, and anew when their files have changed."""
+    docs = table(spark, d, "documents")
+    key = spark.sparkContext.applicationId, analysed, d, storage.fingerprint(docs)
     if key not in _indexes:
-        _indexes[key] = index.write(table(spark, d, "documents"), storage.new_path(spark, "index"), attributes=("lang", "source"))
+        _indexes[key] = index.write(docs, storage.new_path(spark, "index"), attributes=("lang", "source"), analysed=analysed)
     return _indexes[key]
 
 
@@ -32,25 +33,25 @@ def _positions(spark, d):
 
 @query("p6_match_all", f"with p as ({POS}) select doc, count(*) as tf from p where term in ('the', 'and') group by doc having count(distinct term) = 2")
 def match_all(spark, d):
-    return _index(spark, d).match(search.parse("the and"))
+    return _index(spark, d).match(search.parse("the and")).select("doc", "tf")
 
 
 @query("p6_match_phrase", f"with p as ({POS}) select a.doc, count(*) as tf from p a join p b on a.doc = b.doc and b.pos = a.pos + 1 where a.term = 'of' and b.term = 'the' group by a.doc")
 def match_phrase(spark, d):
-    return _index(spark, d).match(search.parse('"of the"'))
+    return _index(spark, d).match(search.parse('"of the"')).select("doc", "tf")
 
 
 @query("p6_match_prefix", f"with p as ({POS}) select doc, count(*) as tf from p where starts_with(term, 'tion') group by doc")
 def match_prefix(spark, d):
-    return _index(spark, d).match(search.parse("tion*"))
+    return _index(spark, d).match(search.parse("tion*")).select("doc", "tf")
 
 
 @query("p7_match_filtered", f"""with p as ({POS}), m as (select doc, count(*) as tf from p where term = 'the' group by doc)
 select m.doc, m.tf, l.quality from m join documents t on t.doc_id = m.doc join labels l on l.doc_id = m.doc where t.lang = 'en' and t.source in ('src0', 'src1')""")
 def match_filtered(spark, d):
     stored = _index(spark, d)
-    units = stored.table("units").filter((F.col("lang") == "en") & F.col("source").isin("src0", "src1")).select("doc")
-    hits = stored.match(search.parse("the")).join(units, "doc")
+    units = stored.table("units").filter((F.col("lang") == "en") & F.col("source").isin("src0", "src1")).select("doc", "unit")
+    hits = stored.match(search.parse("the")).join(units, ["doc", "unit"])
     return hits.join(table(spark, d, "labels"), F.col("doc") == F.col("doc_id")).select("doc", "tf", "quality")
 
 
@@ -90,7 +91,7 @@ _HITS = f"with h as (select * from documents where list_contains({TOK}, 'the'))"
 
 def _hits(spark, d):
     stored = _index(spark, d)
-    return stored.match(search.parse("the")).join(stored.table("units"), "doc").select(F.col("doc").alias("doc_id"), "lang", "source")
+    return stored.match(search.parse("the")).join(stored.table("units"), ["doc", "unit"]).select(F.col("doc").alias("doc_id"), "lang", "source")
 
 
 @query("a2_concordance", f"""{_HITS}, c as (select source, any_value(lang) filter (where false) as none, count(*) as n from h group by source), r as (select source, n, row_number() over (order by n desc, source) as rank, max(n) over () as most from c)
@@ -142,18 +143,54 @@ def folded(spark, d):
     return table(spark, d, "documents").select(F.explode(F.regexp_extract_all(T.fold(F.col("text")), F.lit("[a-z0-9]+"), 0)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("h4_porter_vocab")
+_LATIN = f"select distinct term from p where regexp_full_match(term, '[a-z]+')"
+
+
+@query("h4_porter_vocab", f"""with p as (select distinct doc_id as doc, unnest({TOK}) as term from documents where lang = 'en'), v as ({_LATIN}), {porter.sql('v')}
+select stem, count(distinct doc) as docs, count(distinct term) as terms from p join stems using (term) group by stem""")
 def porter_vocab(spark, d):
     """Stems of the distinct English words, with their documents: the vocabulary is stemmed once and joined to the index's postings."""
     stored = _index(spark, d)
-    english = stored.table("units").filter("lang = 'en'").select("doc")
-    rows = stored.table("postings").select("term", "doc").filter(F.col("term").rlike("^[a-z]+$")).join(english, "doc")
-    vocab = storage.materialize(rows.select("term").distinct().withColumn("stem", porter.stem_column("term")), "stems")
+    english = stored.table("units").filter("lang = 'en'").select("doc", "unit")
+    rows = stored.table("postings").select("term", "doc", "unit").filter(F.col("term").rlike("^[a-z]+$")).join(english, ["doc", "unit"])
+    vocab = storage.materialize(porter.stemmed(rows.select("term").distinct()), "stems")
     terms = vocab.groupBy("stem").agg(F.count("*").alias("terms"))
     docs = rows.join(sizes.broadcast_if_small(vocab, 64), "term").select("stem", "doc").distinct().groupBy("stem").agg(F.count("*").alias("docs"))
     return docs.join(terms, "stem").select("stem", "docs", "terms")
 
 
+ANALYSED = f"""t as (select doc_id as doc, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) as token, generate_subscripts(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'), 1) as pos from documents),
+v as (select distinct token from t where regexp_full_match(token, '[a-z0-9]+')), {porter.sql('v', 'token')}, a as (select doc, pos, coalesce(stem, token) as term from t left join stems using (token))"""
+
+
+@query("s13_analysed", f"with {ANALYSED} select term, count(distinct doc) as df, count(*) as n from a group by term")
+def analysed_terms(spark, d):
+    """The terms of the analysed index: accents off, stems of the distinct words."""
+    return _index(spark, d, analysed=True).vocabulary()
+
+
+@query("p6_match_stem", f"with {ANALYSED} select doc, count(*) as tf from a where term in ('tion', 'erin') group by doc having count(distinct term) = 2")
+def match_stem(spark, d):
+    """A search finds other forms of its words: `tioned` finds `tion`, with or without accents."""
+    stored = _index(spark, d, analysed=True)
+    return stored.match(stored.parse("tioned ERINÉS")).select("doc", "tf")
+
+
+@query("p6_match_stem_phrase", f"with {ANALYSED} select x.doc, count(*) as tf from a x join a y on x.doc = y.doc and y.pos = x.pos + 1 where x.term = 'of' and y.term = 'the' group by x.doc")
+def match_stem_phrase(spark, d):
+    stored = _index(spark, d, analysed=True)
+    return stored.match(stored.parse('"of thé"')).select("doc", "tf")
+
+
+@query("s13_segments", f"with p as ({POS}), m as (select doc, count(*) filter (where term = 'the') as tf from p group by doc having tf > 0) select doc, tf, lang, source from m join documents on doc_id = doc")
+def segments(spark, d):
+    """An index of a former state of the documents, brought up to date: then those of one source had other texts, and those of another language were not there. What comes is one segment and tombstones; texts that stayed are not read again."""
+    docs = table(spark, d, "documents")
+    former = docs.filter(F.col("lang").isNull() | (F.col("lang") != "de")).withColumn("text", F.when(F.col("source") == "src1", F.concat_ws(" ", F.lit("the former"), "text")).otherwise(F.col("text")))
+    stored = index.write(former, storage.new_path(spark, "segments"), attributes=("lang", "source")).update(docs, attributes=("lang", "source"))
+    return stored.match(search.parse("the")).join(stored.table("units"), ["doc", "unit"]).select("doc", "tf", "lang", "source")
+
+
 @query("h12_light_stem", f"""with v as (select distinct unnest({TOK}) as term from documents where lang = 'en'),
 c as (select term, case when regexp_matches(term, 'ed$') then left(term, length(term) - 1) end as c1, case when length(term) > 4 and regexp_matches(term, 's$') then left(term, length(term) - 1) end as c2, case when length(term) > 5 and regexp_matches(term, 'ing$') then left(term, length(term) - 3) end as c3 from v)
 select c.term, case when a.term is not null then a.term when b.term is not null then b.term when e.term is not null then e.term end as base
