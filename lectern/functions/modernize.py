@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from . import text as T
+from .dictionaries import Dictionary, replaced
 
+Words = dict[str, str] | Dictionary
 PARTS = r"\p{L}+|[^\p{L}]+"
 
 
@@ -29,17 +30,13 @@ def cased(like: Column, word: Column) -> Column:
     return F.when((F.upper(like) == like) & (F.char_length(like) > 1), F.upper(word)).when(F.substring(like, 1, 1) != F.lower(F.substring(like, 1, 1)), F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.char_length(word)))).otherwise(word)
 
 
-def replace_words(text: Column, words: dict[str, str]) -> Column:
-    """Whole words by a dictionary of lower-case forms, their case kept; what lies between words stays. One pass, in the row."""
-    if not words:
-        return text
-    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+def replace_words(text: Column, *words: Words) -> Column:
+    """Whole words, and phrases, by dictionaries of lower-case forms, one after the other, their case kept; what lies between words stays. One pass over a text for all of them."""
+    return replaced(text, *map(_dictionary, words))
 
-    def one(w: Column) -> Column:
-        new = F.try_element_at(table, F.lower(w))
-        return F.when(new.isNull(), w).otherwise(cased(w, new))
 
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PARTS), 0), one), "")
+def _dictionary(words: Words) -> Dictionary:
+    return words if isinstance(words, Dictionary) else Dictionary(words.items())
 
 
 def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -70,15 +67,15 @@ def relative(text: Column, heads: list[str], link: str, to: str, subjects: list[
     return F.array_join(F.transform(parts, one), "")
 
 
-def modernized(text: Column, phrases: list[tuple[str, str]], words: dict[str, str]) -> Column:
+def modernized(text: Column, phrases: list[tuple[str, str]], words: Words) -> Column:
     """Phrases first, as they are made of words that change, then words."""
     return replace_words(rewrite(text, phrases), words)
 
 
-def fixed(text: Column, syntax: list[tuple[str, str]], words: dict[str, str], spelling: dict[str, str], names: dict[str, str]) -> Column:
-    """The corrections of a text in their order: syntax, vocabulary, spelling, and names, which begin with a capital and go by their exact form."""
-    text = replace_words(replace_words(rewrite(text, syntax), words), spelling)
-    return T.respell(text, names) if names else text
+def fixed(text: Column, syntax: list[tuple[str, str]], words: Words, spelling: Words, names: Words) -> Column:
+    """The corrections of a text in their order: syntax, vocabulary, spelling, and names, which begin with a capital and go by their exact form. The dictionaries take one pass together."""
+    exact = names if isinstance(names, Dictionary) else Dictionary(names.items(), exact=True)
+    return replaced(rewrite(text, syntax), _dictionary(words), _dictionary(spelling), exact)
 
 
 def by_tier(text: Column, tier: Column, spelling: dict[str, str], words: dict[str, str], phrases: list[tuple[str, str]]) -> Column:
@@ -89,14 +86,32 @@ def by_tier(text: Column, tier: Column, spelling: dict[str, str], words: dict[st
 
 @dataclass(frozen=True)
 class Clauses:
-    """Where a sentence of more than `most` words may be cut, leaving `least` words on either side: after a semicolon; or after a comma, before one of
-    joiners that one of subjects follows (with joiners alone nothing shows that a clause begins). A semicolon is safer than a comma."""
+    """Where a sentence of more than `most` words may be cut, leaving `least` words on either side. After a semicolon, unless a subordinator follows. After a comma, before a joiner, if what follows it is a clause:
+    one of subjects; for adversatives, which hardly ever join nouns, any word but a subordinator; or a noun phrase that a verb follows: a determiner, at most `within` words, and one of verbs or a word with a
+    verb's ending, as a list has no verb behind it. A semicolon is safer than a comma. All lists are in lower case."""
 
     joiners: frozenset[str] = frozenset()
     subjects: frozenset[str] = frozenset()
     most: int = 32
     least: int = 7
     rounds: int = field(default=40)
+    adversatives: frozenset[str] = frozenset()
+    subordinators: frozenset[str] = frozenset()
+    determiners: frozenset[str] = frozenset()
+    verbs: frozenset[str] = frozenset()
+    endings: tuple[str, ...] = ()
+    within: int = 2
+
+    def clause(self, words: list[str], i: int) -> bool:
+        """Whether a clause begins with the joiner words[i]."""
+        bare = [w.strip(".,;:!?").lower() for w in words[i : i + 4 + self.within]]
+        joiner, rest = bare[0], bare[1:]
+        if not rest:
+            return False
+        if joiner in self.joiners and rest[0] in self.subjects or joiner in self.adversatives and rest[0] not in self.subordinators and words[i + 1][:1].islower():
+            return True
+        verb = lambda w: w in self.verbs or len(w) > 4 and w.endswith(self.endings or ("\0",))
+        return joiner in self.joiners | self.adversatives and rest[0] in self.determiners and any(verb(w) and all(x.isalpha() for x in rest[1:k]) for k, w in enumerate(rest[1 : 2 + self.within], 1))
 
     def cut(self, sentence: str) -> int | None:
         """The word before which the sentence is best cut: the safest place, of these the one nearest the middle, of two the first."""
@@ -105,8 +120,7 @@ class Clauses:
         if len(words) > self.most:
             for i in range(max(1, self.least), len(words) - max(1, self.least) + 1):
                 mark = words[i - 1][-1]
-                follows = words[i + 1].lower() if i + 1 < len(words) else ""
-                safety = 2 if mark == ";" else 1 if mark == "," and words[i] in self.joiners and follows in self.subjects else 0
+                safety = 2 if mark == ";" and words[i].lower() not in self.subordinators else 1 if mark == "," and i + 1 < len(words) and self.clause(words, i) else 0
                 if safety:
                     best = max(best or (0, 0, 0), (safety, -abs(2 * i - len(words)), -i))
         return best and -best[2]

@@ -8,6 +8,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionaries import Dictionary, replaced
+
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -71,11 +73,9 @@ def word_input(typed: Column) -> Column:
     return F.regexp_replace(typed, r"[^\p{L}'’-]", "")
 
 
-def respell(text: Column, spoken: dict[str, str]) -> Column:
+def respell(text: Column, spoken: dict[str, str] | Dictionary) -> Column:
     """Names that begin with a capital, as they are spoken; other words stay."""
-    table = F.create_map(*[F.lit(x) for kv in spoken.items() for x in kv])
-    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), 0)
-    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"^\p{Lu}"), F.coalesce(F.try_element_at(table, w), w)).otherwise(w)), "")
+    return replaced(text, spoken if isinstance(spoken, Dictionary) else Dictionary(spoken.items(), exact=True))
 
 
 def title_key(title: Column) -> Column:

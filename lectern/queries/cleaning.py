@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import modernize
+from ..functions import dictionaries, modernize
 from ..sources import usfm, volumes, wikitext
 from .registry import query, table
 
@@ -193,3 +193,54 @@ def expected_verses(spark, d):
     """Of the numbers in each document's text, those accepted as verses: only the one expected next."""
     numbers = F.transform(F.regexp_extract_all("text", F.lit("[0-9]{1,9}"), 0), lambda x: x.cast("int"))
     return table(spark, d, "documents").select("doc_id", wikitext.accepted(numbers).alias("verses"))
+
+
+#: Dictionaries that the tables hold: the words of four letters of a-z and more of `benchmark`, turned round, and its pairs of a word of an even and one of an odd number of letters, exchanged (no two of which can overlap).
+_ITEMS = "select item_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as w, generate_subscripts(regexp_extract_all(lower(text), '\\p{L}+'), 1) as i from benchmark"
+_PARTS_SQL = "select doc_id, unnest(regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+')) as w, generate_subscripts(regexp_extract_all(text, '\\p{L}+|[^\\p{L}]+'), 1) as i from documents"
+
+
+def _glossary(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("received")).distinct()
+    return words.filter(F.col("received").rlike("^[a-z]{4,}$")).withColumn("corrected", F.reverse("received"))
+
+
+def _pairs(spark, d):
+    words = table(spark, d, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0).alias("ws"))
+    each = words.select(F.inline(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, F.size("ws")).alias("b")))).filter("b is not null and char_length(a) % 2 = 0 and char_length(b) % 2 = 1").distinct()
+    return each.select(F.concat_ws(" ", "a", "b").alias("received"), F.concat_ws(" ", "b", "a").alias("corrected"))
+
+
+@query("n1_dictionary_table", f"""with d as (select distinct w, reverse(w) as r from ({_ITEMS}) where regexp_full_match(w, '[a-z]{{4,}}')), t as ({_PARTS_SQL}), j as (select t.doc_id, i, t.w, r from t left join d on lower(t.w) = d.w)
+select doc_id, count(r) as changed, md5(string_agg(case when r is null then w else {_CASE} end, '' order by i)) as m from j group by doc_id""")
+def dictionary_table(spark, d):
+    """Words by a dictionary that a table holds, of any usual size: compiled once, one pass over each text."""
+    text, words = F.col("text"), dictionaries.Dictionary.read(_glossary(spark, d))
+    known = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0), lambda w: w.rlike("^[a-z]{4,}$"))
+    return table(spark, d, "documents").select("doc_id", _changed(known, words).alias("changed"), _md5(modernize.replace_words(text, words)))
+
+
+def _changed(words, dictionary):
+    """How many of an array of words the dictionary has."""
+    marked = modernize.replace_words(F.array_join(words, " "), dictionaries.Dictionary((w, "0") for w in dictionary.alone))
+    return F.char_length(F.regexp_replace(marked, "[^0]", "")).cast("long")
+
+
+@query("n1_dictionary_join", f"""with d as (select distinct w, reverse(w) as r from ({_ITEMS}) where regexp_full_match(w, '[a-z]{{4,}}')), t as ({_PARTS_SQL}), j as (select t.doc_id, i, t.w, r from t left join d on lower(t.w) = d.w)
+select doc_id, md5(string_agg(case when r is null then w else {_CASE} end, '' order by i)) as m from j group by doc_id""")
+def dictionary_join(spark, d):
+    """The same by a join, as for a dictionary that no worker can hold."""
+    out = dictionaries.by_join(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _glossary(spark, d))
+    return out.select("doc_id", _md5(F.col("text")))
+
+
+@query("n4_phrase_table", f"""with b as (select w as a, lead(w) over (partition by item_id order by i) as b from ({_ITEMS})), d as (select distinct a || ' ' || b as k, b || ' ' || a as r from b where length(a) % 2 = 0 and length(b) % 2 = 1),
+t as ({_PARTS_SQL}), n as (select *, lead(w) over o as sep, lead(w, 2) over o as nxt from t window o as (partition by doc_id order by i)),
+j as (select n.doc_id, i, n.w || coalesce(case when r is not null then sep || nxt end, '') as w, r from n left join d on lower(n.w) || ' ' || lower(nxt) = k and regexp_full_match(sep, '[ \\t\\n\\r\\f\\v]+')),
+s as (select *, coalesce(lag(r) over o, lag(r, 2) over o) as before from j window o as (partition by doc_id order by i))
+select doc_id, count(r) as changed, md5(string_agg(case when r is null then w else {_CASE} end, '' order by i)) as m from s where before is null group by doc_id""")
+def phrase_table(spark, d):
+    """Phrases by a dictionary that a table holds: the longest at each place, the case of their letters kept."""
+    phrases = dictionaries.Dictionary.read(_pairs(spark, d))
+    marked = modernize.replace_words(F.regexp_replace("text", "0", "1"), dictionaries.Dictionary.read(_pairs(spark, d).withColumn("corrected", F.lit("0"))))
+    return table(spark, d, "documents").select("doc_id", F.char_length(F.regexp_replace(marked, "[^0]", "")).cast("long").alias("changed"), _md5(modernize.replace_words(F.col("text"), phrases)))
