@@ -2,9 +2,10 @@
 
 Each text gets its counts from array functions in its own row, without a shuffle, and is held against RULES: the base rule, which fails a document by
 itself, and softer ones (symbols, repeated lines, word lengths), which don't. Failures of every rule are then added up by host (partial sums first, so a host with
-a third of all rows is no burden) and each host's failure rates are shrunk to the corpus' by a beta prior, fitted to the hosts' rates by moments. Two verdicts on a
-host follow. It is bad, and all its documents go, if its shrunk rate of the base rule passes HOST_LIMIT. It is strict in a rule if its shrunk rate lies above the
-prior's mean by more than SPREAD of the prior's standard deviations: there a soft failure counts, elsewhere it is forgiven. Verdicts are joined back to documents.
+a third of all rows is no burden) and each host's failure rates are shrunk to the corpus' by a beta prior, fitted by the moments of the beta-binomial to the hosts of two documents and more, as one says nothing of how alike a host's documents are: hosts weigh by their documents, and what their rates
+would differ by in any case, as samples of so many documents, is taken off before the rest counts as a difference between hosts. Where hosts differ no more than chance would have it (one document each, say), all have the
+corpus' rate, and none is told from the others. Two verdicts on a host follow. It is bad, and all its documents go, if its shrunk rate of the base rule passes HOST_LIMIT. It is strict in a rule if its shrunk rate lies above the
+prior's mean by more than SPREAD of its own standard deviations, those of the beta that the prior becomes by its documents, so that a page or two prove nothing: there a soft failure counts, elsewhere it is forgiven. Verdicts are joined back to documents.
 
 A document that fails no rule goes only with a bad host. The join broadcasts the hosts with a verdict if they are few by count; beyond that, hosts with more
 documents than an even partition, fewer than the partitions, are broadcast alone and the others' documents are shuffled to them.
@@ -28,12 +29,12 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: A host goes if its shrunk rate of failed documents is above this.
 HOST_LIMIT = 0.6
-#: How far above the prior's mean a host's rate makes it strict, in the prior's standard deviations.
-SPREAD = 0.5
+#: How far above the prior's mean a host's rate makes it strict, in standard deviations of that rate.
+SPREAD = 2.0
 #: So many hosts with a verdict are broadcast: at 200 bytes each, 20 MB.
 FEW_HOSTS = 100_000
-#: Bounds of the prior's weight, in documents.
-PRIOR_WEIGHT = (2.0, 1000.0)
+#: Bounds of the prior's weight, in documents, where hosts differ at all.
+PRIOR_WEIGHT = (2.0, 1e6)
 SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
 #: Rules that a document fails, in SQL over its counts. The first is the base rule.
@@ -82,27 +83,43 @@ def failures(counted: DataFrame) -> DataFrame:
     return counted.withColumn("__fails", F.array(*[F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__\1", rule)) for rule in RULES.values()]))
 
 
+def prior_weight(hosts: int, n: float | None, squares: float | None, mean: float, spread: float | None) -> float | None:
+    """The beta prior's weight in documents, None where hosts (of two documents at least) don't differ beyond chance: spread is the sum over hosts of n (rate - mean)^2, squares that of n^2. Its expectation is mean (1 - mean) ((hosts - 1) + rho (n - squares / n - (hosts - 1))), rho being the
+    correlation within hosts, of which the weight is 1 / rho - 1."""
+    if not hosts:
+        return None
+    least, most = PRIOR_WEIGHT
+    room, noise = n - squares / n - (hosts - 1), mean * (1 - mean)
+    if noise <= 0 or room <= 0:
+        return None
+    rho = round((spread / noise - (hosts - 1)) / room, 12)
+    return None if rho <= 0 else min(max(1 / rho - 1, least), most)
+
+
 def verdicts(judged: DataFrame, host: str) -> tuple[DataFrame, int]:
     """The hosts with a verdict, from judged(host, __fails), and the number of documents with a host: __host, n (its documents), __bad, and __strict, a
     boolean for each of RULES (never so of the base rule)."""
     k = range(len(RULES))
     failed = [F.count_if(F.get("__fails", F.lit(i))).alias(f"k{i}") for i in k]
     by = common.materialize(judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), *failed), "hosts")
-    rates = [F.col(f"k{i}") / F.col("n") for i in k]
-    m = by.agg(F.sum("n").alias("n"), *[F.avg(r).alias(f"mean{i}") for i, r in enumerate(rates)], *[F.var_pop(r).alias(f"var{i}") for i, r in enumerate(rates)]).first()  # one row
+    n = F.col("n").cast("double")
+    several = F.col("n") > 1
+    total = by.agg(F.sum("n").alias("n"), F.count_if(several).alias("hosts"), F.sum(F.when(several, n)).alias("m"), F.sum(F.when(several, n * n)).alias("squares"), *[F.sum(f"k{i}").alias(f"k{i}") for i in k], *[F.sum(F.when(several, F.col(f"k{i}"))).alias(f"m{i}") for i in k]).first()  # one row
+    means, fitted = ([(total[f"{x}{i}"] or 0) / (total[y] or 1) for i in k] for x, y in (("k", "n"), ("m", "m")))
+    away = [F.col(f"k{i}") / n - F.lit(fitted[i]) for i in k]
+    spread = by.filter(several).agg(*[F.sum(n * a * a).alias(f"s{i}") for i, a in enumerate(away)]).first()  # one row
     bad, strict = F.lit(False), [F.lit(False)]
-    for i in k if m["n"] else ():
-        mean, var = m[f"mean{i}"], m[f"var{i}"]
-        weight = min(max(mean * (1 - mean) / var - 1 if var else PRIOR_WEIGHT[1], PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
-        rate = F.round((F.col(f"k{i}") + mean * weight) / (F.col("n") + weight), 9)
+    for i in k if total["n"] else ():
+        mean, weight = means[i], prior_weight(total["hosts"], total["m"], total["squares"], fitted[i], spread[f"s{i}"])
+        rate = F.round((F.col(f"k{i}") + mean * weight) / (F.col("n") + weight), 9) if weight else F.lit(round(mean, 9))
         if i:
-            strict.append(rate > round(mean + SPREAD * (mean * (1 - mean) / (weight + 1)) ** 0.5, 9))
+            strict.append(F.round(rate - mean - SPREAD * F.sqrt(rate * (1 - rate) / (F.col("n") + weight + 1)), 9) > 0 if weight else F.lit(False))
         else:
             bad = rate > HOST_LIMIT
-    if not m["n"]:
+    if not total["n"]:
         strict = [F.lit(False) for _ in k]
     judged_hosts = by.select("__host", "n", bad.alias("__bad"), F.array(*strict).alias("__strict"))
-    return judged_hosts.filter(F.col("__bad") | F.exists("__strict", lambda x: x)), m["n"] or 0
+    return judged_hosts.filter(F.col("__bad") | F.exists("__strict", lambda x: x)), total["n"] or 0
 
 
 def with_verdicts(judged: DataFrame, found: DataFrame, total: int, host: str, few: int = FEW_HOSTS) -> DataFrame:
@@ -159,11 +176,14 @@ f as (select t.doc_id, t.source, cast(len(w.words) as bigint) as n_words, cast(l
 j as (select *, ({RULES["base"]}) as f0, ({RULES["symbols"]}) as f1, ({RULES["lines"]}) as f2, ({RULES["lengths"]}) as f3 from f),
 o as (select source, unnest([0, 1, 2, 3]) as rule, unnest([f0, f1, f2, f3]) as failed from j where source is not null),
 h as (select rule, source, count(*) as n, count(*) filter (where failed) as k from o group by rule, source),
-m as (select rule, avg(k / n) as mean, var_pop(k / n) as var from h group by rule),
-p as (select rule, mean, least(greatest(case when var > 0 then mean * (1 - mean) / var - 1 else {PRIOR_WEIGHT[1]} end, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) as weight from m),
-shrunk as (select rule, source, round((k + mean * weight) / (n + weight), 9) as rate, round(mean + {SPREAD} * sqrt(mean * (1 - mean) / (weight + 1)), 9) as above from h join p using (rule)),
+a as (select rule, sum(k) / sum(n) as mean from h group by rule),
+m as (select rule, count(*) as hosts, sum(n) as n, sum(n * n) as squares, sum(k) / sum(n) as mean from h where n > 1 group by rule),
+q as (select rule, hosts, any_value(m.n) as n, any_value(squares) as squares, any_value(mean) as mean, sum(h.n * (k / h.n - mean) * (k / h.n - mean)) as spread from h join m using (rule) where h.n > 1 group by rule, hosts),
+u as (select rule, n - squares / n - (hosts - 1) as room, round(case when mean > 0 and mean < 1 and n - squares / n - (hosts - 1) > 0 then (spread / (mean * (1 - mean)) - (hosts - 1)) / (n - squares / n - (hosts - 1)) else 0 end, 12) as rho from q),
+p as (select rule, mean, case when rho > 0 then least(greatest(1 / rho - 1, {PRIOR_WEIGHT[0]}), {PRIOR_WEIGHT[1]}) end as weight from a left join u using (rule)),
+shrunk as (select rule, source, n, mean, weight, coalesce(round((k + mean * weight) / (n + weight), 9), round(mean, 9)) as rate from h join p using (rule)),
 bad as (select source from shrunk where rule = 0 and rate > {HOST_LIMIT}),
-s as (select source, bool_or(rule = 1) as s1, bool_or(rule = 2) as s2, bool_or(rule = 3) as s3 from shrunk where rule > 0 and rate > above group by source)
+s as (select source, bool_or(rule = 1) as s1, bool_or(rule = 2) as s2, bool_or(rule = 3) as s3 from shrunk where rule > 0 and round(rate - mean - {SPREAD}::double * sqrt(rate * (1 - rate) / (n + weight + 1)), 9) > 0 group by source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 as base_failed,
   not (f0 or coalesce(j.source in (select source from bad), false) or (f1 and coalesce(s1, false)) or (f2 and coalesce(s2, false)) or (f3 and coalesce(s3, false))) as kept
 from j left join s on j.source = s.source

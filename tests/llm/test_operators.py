@@ -546,6 +546,34 @@ def test_soft_failures(spark, few):
     assert {i for i, kept in out.items() if not kept} == {1000 + k for k in range(60) if k % 2}
 
 
+def test_hosts_of_one_page(spark):
+    """Ten thousand hosts of one page each show no difference between hosts: a lone soft failure stays, and so does one on a host of three pages among them, while a host that mostly fails is strict."""
+    good = " ".join(f"word{i}" for i in range(60))
+    noisy = good + " #" * 20
+    rows = [(k, noisy if k % 20 == 0 else good, f"h{k}") for k in range(10_000)]
+    out = {r.doc_id: r["__kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
+    assert all(out.values()) and len(out) == len(rows)
+    rows += [(50_000 + k, noisy if k % 20 == 0 else good, f"ten{k // 10}") for k in range(2000)]
+    rows += [(20_000 + k, noisy if k == 0 else good, "three") for k in range(3)] + [(30_000 + k, noisy if k % 3 else good, "noisy") for k in range(90)]
+    out = {r.doc_id: r["__kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()}
+    assert {i for i, kept in out.items() if not kept} == {30_000 + k for k in range(90) if k % 3}
+
+
+def test_prior_weight():
+    """Beta-binomial hosts: the weight that made them comes back; binomial ones get the greatest."""
+    r = np.random.default_rng(5)
+
+    def fitted(weight):
+        n = r.integers(1, 60, 20_000)
+        p = r.beta(0.1 * weight, 0.9 * weight, n.size) if weight else np.full(n.size, 0.1)
+        k = r.binomial(n, p)
+        mean = k.sum() / n.sum()
+        return quality.prior_weight(n.size, int(n.sum()), float((n.astype(float) ** 2).sum()), mean, float((n * (k / n - mean) ** 2).sum()))
+
+    assert 4.5 < fitted(5) < 5.6 and 26 < fitted(30) < 35 and (fitted(0) or 1e6) > 500
+    assert [quality.prior_weight(*x) for x in ((1, 10, 100.0, 0.5, 0.0), (5, 5, 5.0, 0.2, 0.8), (3, 9, 27.0, 0.0, 0.0))] == [None] * 3
+
+
 def test_quality_of_repeated_and_foreign_columns(spark):
     """Repeated rows count each, other columns named like counts play no part, and the stage keeps them."""
     text = " ".join(f"w{i}" for i in range(60))
@@ -555,14 +583,14 @@ def test_quality_of_repeated_and_foreign_columns(spark):
     assert left.columns == frame.columns and sorted(str(r.n_words) for r in left.collect()) == ["5", "5", "None"]
 
 
-@pytest.mark.parametrize("sf", ["0.001", "0.01"])
-def test_verdicts_act(spark, sf):
-    """On the tables some documents go by their host's verdict, and most with a soft failure stay."""
-    judged = quality.judge(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"), ["doc_id"])
-    soft = judged.filter(~F.col("__failed") & F.exists("__fails", lambda x: x))
-    assert judged.filter("not __failed and not __kept").count() > 0
-    assert 0 < soft.filter("__kept").count()
-    assert judged.filter(~F.exists("__fails", lambda x: x) & ~F.col("__kept")).count() == 0
+def test_verdicts_of_the_tables(spark):
+    """On the tables sources differ by no more than chance, so soft failures are forgiven; once one source is noisy, its soft failures count, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = quality.judge(docs, ["doc_id", "source"])
+    assert judged.filter(~F.col("__failed") & F.exists("__fails", lambda x: x)).count() > 0 == judged.filter("not __failed and not __kept").count()
+    noisy = docs.withColumn("text", F.when((F.col("source") == "src4") & (F.col("doc_id") % 5 > 0), F.concat("text", F.lit(" #"), F.repeat(F.lit(" #"), F.length("text")))).otherwise(F.col("text")))
+    gone = quality.judge(noisy, ["doc_id", "source"]).filter("not __failed and not __kept")
+    assert gone.count() > 10 and gone.filter("source <> 'src4' or not __fails[1]").count() == 0
 
 
 # ---- 9, 10 ---------------------------------------------------------------------------------------------------------------------------------
