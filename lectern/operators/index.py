@@ -77,7 +77,7 @@ def _write_sorted(postings: DataFrame, path: str, entries: int, positions: int,
     if merge:  # the rows of a term and unit lie in one range already
         ranged = ranged.groupBy("term", *_KEY).agg(F.first("length").alias("length"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
     placed = ranged.select(F.spark_partition_id().alias("shard"), "term", *_KEY, "length", F.size("places").alias("tf"), "places")
-    placed.sortWithinPartitions("shard", "term", *_KEY).write.partitionBy("shard").parquet(f"{path}/postings")
+    placed.sortWithinPartitions("shard", "term", *_KEY).write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/postings")
     stored = spark.read.schema(SCHEMAS["postings"]).parquet(f"{path}/postings")
     stored.groupBy("shard").agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/manifest")  # a row for each shard
     terms = stored.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
@@ -89,7 +89,7 @@ def _write_segment(rows: DataFrame, path: str, attributes: tuple[str, ...], anal
     spark = rows.sparkSession
     tokens = F.coalesce(T.tokens(T.fold(F.col("__text")) if analysed else F.col("__text")), F.array().cast("array<string>"))
     split = rows.select(*_KEY, *attributes, tokens.alias("__tokens"))
-    forward = storage.materialize(split.select(*_KEY, *attributes, F.size("__tokens").alias("length"), _listed(F.col("__tokens")).alias("listed")), "forward")
+    forward = storage.materialize(split.select(*_KEY, *attributes, F.size("__tokens").alias("length"), _listed(F.col("__tokens")).alias("listed")), "forward", compression="zstd")
     repeated = forward.groupBy(*_KEY).count().filter("count > 1").limit(1).count() > 0
     once = forward.dropDuplicates(_KEY) if repeated else forward
     once.select(*_KEY, "length", *attributes).write.parquet(f"{path}/units")

@@ -40,10 +40,10 @@ def _delete(folder: str) -> None:
         shutil.rmtree(folder.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it: lineage ends there, and a lost executor costs no more than its tasks."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
