@@ -101,35 +101,44 @@ _LETTER = "case when c = '' then '' when c in ('a', 'e', 'i', 'o', 'u') or c = '
 SHAPES = {"spark": f"aggregate(split(w, ''), '', (a, c) -> a || {_LETTER})", "duckdb": f"list_reduce(list_prepend('', string_split(w, '')), lambda a, c: a || {_LETTER})"}
 
 
-def _expressions() -> list[str]:
-    """For each step an expression of the word w and its shape s; after 1b one that mends what -ed and -ing leave, marked by a star."""
+#: Consonants and vowels of endings that are put on, none of which has a y.
+_PUT_ON = "translate({x}, 'aeioubcdfglnstvz', 'vvvvvccccccccccc')"
+#: What a step does, from what it has found: how many letters go, and what is put on; nothing where it found nothing.
+APPLIED = {
+    "w": "case when r = '' then w else left(w, length(w) - cast(left(r, 1) as int)) || substring(r, 2) end",
+    "s": f"case when r = '' then s else left(s, length(w) - cast(left(r, 1) as int)) || {_PUT_ON.format(x='substring(r, 2)')} end",
+}
+
+
+def _findings() -> list[str]:
+    """For each step an expression of the word w and its shape s: how many letters go and what is put on, as 4ate. After 1b one that mends what -ed and -ing leave, marked by a star. The last letter leads to the suffixes that end with it."""
     out = []
     for _, rules in RULES:
-        cases = []
+        by_last: dict[str, list[str]] = {}
         for suffix, condition, new in sorted(rules, key=lambda r: -len(r[0])):
             k = len(suffix)
-            base, shape = f"left(w, length(w) - {k})", f"left(s, length(w) - {k})"
-            cases.append(f"when right(w, {k}) = '{suffix}' then case when {CONDITIONS[condition].format(w=base, b=shape)} then {base} || '{new}' else w end")
-        out.append(f"case {' '.join(cases)} else w end")
+            so = CONDITIONS[condition].format(w=f"left(w, length(w) - {k})", b=f"left(s, length(w) - {k})")
+            by_last.setdefault(suffix[-1], []).append(f"when right(w, {k}) = '{suffix}' then case when {so} then '{k}{new}' else '' end")
+        out.append("case right(w, 1) " + " ".join(f"when '{c}' then case {' '.join(cases)} else '' end" for c, cases in by_last.items()) + " else '' end")
         if any(new == "*" for _, _, new in rules):
-            b, s = "left(w, length(w) - 1)", "left(s, length(w) - 1)"
+            b, s = "left(w, length(w) - 1)", "left(s, length(s) - 1)"
             double = f"length({b}) > 1 and right({b}, 1) = left(right({b}, 2), 1) and right({s}, 1) = 'c' and right({b}, 1) not in ('l', 's', 'z')"
-            mended = f"case when right({b}, 2) in ('at', 'bl', 'iz') then {b} || 'e' when {double} then left(w, length(w) - 2) when {_VC.format(b=s)} = 2 and {_SHORT.format(w=b, b=s)} then {b} || 'e' else {b} end"
-            out.append(f"case when right(w, 1) = '*' then {mended} else w end")
+            mended = f"case when right({b}, 2) in ('at', 'bl', 'iz') then '1e' when {double} then '2' when {_VC.format(b=s)} = 2 and {_SHORT.format(w=b, b=s)} then '1e' else '1' end"
+            out.append(f"case when right(w, 1) = '*' then {mended} else '' end")
     return out
 
 
 def stemmed(words: DataFrame, word: str = "term", to: str = "stem") -> DataFrame:
     """words with the stems of a column of distinct words of a-z and digits, without Python; words of one or two letters stay."""
-    columns, out = words.columns, words.withColumn("w", F.col(word))
-    for e in _expressions():
-        out = out.withColumn("s", F.expr(SHAPES["spark"])).withColumn("w", F.expr(e))
+    columns, out = words.columns, words.withColumn("w", F.col(word)).withColumn("s", F.expr(SHAPES["spark"]))
+    for r in _findings():
+        out = out.withColumn("r", F.expr(r)).withColumns({k: F.expr(e) for k, e in APPLIED.items()})
     return out.select(*columns, F.when(F.char_length(word) < 3, F.col(word)).otherwise(F.col("w")).alias(to))
 
 
 def sql(source: str, word: str = "term", to: str = "stem") -> str:
     """Common table expressions for DuckDB: the last, `stems`, has each distinct `word` of the table `source` and its stem."""
-    parts = [f"porter0 as (select distinct {word} as word, {word} as w from {source})"]
-    for k, e in enumerate(_expressions()):
-        parts.append(f"porter{k + 1} as (select word, {e} as w from (select *, {SHAPES['duckdb']} as s from porter{k}))")
+    parts = [f"porter0 as (select word, w, {SHAPES['duckdb']} as s from (select distinct {word} as word, {word} as w from {source}))"]
+    for k, r in enumerate(_findings()):
+        parts.append(f"porter{k + 1} as (select word, {APPLIED['w']} as w, {APPLIED['s']} as s from (select *, {r} as r from porter{k}))")
     return ", ".join([*parts, f"stems as (select word as {word}, case when length(word) < 3 then word else w end as {to} from porter{len(parts) - 1})"])

@@ -16,14 +16,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import porter
 from ..functions import text as T
 from ..plans import sizes, storage
+from ..plans.session import ship
 from .search import Term
 from .search import parse as _parse
 
@@ -31,6 +35,8 @@ from .search import parse as _parse
 SHARD_BYTES = 64 << 20
 #: So many segments of one tier are merged.
 FAN = 4
+#: Texts that are inverted at once.
+ROWS = 256
 _LATIN = "^[a-z0-9]+$"
 #: Of tables that lie in folders, which may be none.
 SCHEMAS = {"postings": "term string, doc long, unit long, length int, tf int, places array<int>, shard int"}
@@ -38,17 +44,25 @@ _STATE = "segment string, units long, length long, gone long, version int"
 _KEY = ["doc", "unit"]
 
 
-def _listed(tokens: Column) -> Column:
-    """An array of (term, places) for a text, in its own row: its tokens in order, each term's run with its positions."""
-    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        begins = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-        own = lambda b, i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), n) - i), lambda x: x["pos"])
-        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(F.get(s, i)["term"].alias("term"), own(b, i, k).alias("places"))))[0]
-
-    return F.transform(F.array(placed), runs)[0]  # the array is bound, so that it is made once
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of (doc, unit, attributes, tokens): a row for each unit, with its length and attributes and without term, and one for each of its terms, with its places."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            b = whole.slice(lo, ROWS)
+            tokens, attributes = b.column("tokens"), [c for c in b.schema.names if c not in (*_KEY, "tokens")]
+            ends = np.asarray(tokens.offsets)
+            lengths, code = np.diff(ends), tokens.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            key = row * max(1, len(code.dictionary)) + np.asarray(code.indices)
+            order = np.argsort(key, kind="stable")  # places stay in order
+            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+            places = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array((np.arange(len(row)) - (ends[:-1] - ends[0])[row])[order].astype(np.int32)))
+            of, length = pa.array(row[order][begins]), pa.array(lengths.astype(np.int32))
+            n, none = len(begins), lambda k, like: pa.nulls(k, like.type)
+            terms = code.dictionary.take(pa.array(np.asarray(code.indices)[order][begins])) if n else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*_KEY, *attributes)], length, none(b.num_rows, terms), none(b.num_rows, places)], names=[*_KEY, *attributes, "length", "term", "places"])
+            if n:
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in _KEY], *[none(n, b.column(c)) for c in attributes], length.take(of), terms, places], names=[*_KEY, *attributes, "length", "term", "places"])
 
 
 def terms_of(tokens: DataFrame) -> DataFrame:
@@ -88,19 +102,24 @@ def _write_segment(rows: DataFrame, path: str, attributes: tuple[str, ...], anal
     """A segment of the units of rows, and their number and length."""
     spark = rows.sparkSession
     tokens = F.coalesce(T.tokens(T.fold(F.col("__text")) if analysed else F.col("__text")), F.array().cast("array<string>"))
-    split = rows.select(*_KEY, *attributes, tokens.alias("__tokens"))
-    forward = storage.materialize(split.select(*_KEY, *attributes, F.size("__tokens").alias("length"), _listed(F.col("__tokens")).alias("listed")), "forward", compression="zstd")
-    repeated = forward.groupBy(*_KEY).count().filter("count > 1").limit(1).count() > 0
-    once = forward.dropDuplicates(_KEY) if repeated else forward
-    once.select(*_KEY, "length", *attributes).write.parquet(f"{path}/units")
-    size = once.agg(F.count("*").alias("units"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("listed")), F.lit(0)).alias("entries")).first()
-    postings = once.select(*_KEY, "length", F.explode("listed").alias("e")).select(F.col("e.term").alias("term"), *_KEY, "length", F.col("e.places").alias("places"))
+    split = rows.select(*_KEY, *attributes, tokens.alias("tokens"))
+    kinds = {f.name: f.dataType.simpleString() for f in split.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*_KEY, *attributes)) + ", length int, term string, places array<int>"
+    ship(spark)
+    forward = storage.materialize(split.mapInArrow(_inverted, schema), "forward", compression="zstd")
+    units = forward.filter(F.col("term").isNull()).select(*_KEY, "length", *attributes)
+    repeated = units.groupBy(*_KEY).count().filter("count > 1").limit(1).count() > 0
+    (units.dropDuplicates(_KEY) if repeated else units).write.parquet(f"{path}/units")
+    size = spark.read.schema(units.schema).parquet(f"{path}/units").agg(F.count("*").alias("units"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    postings = forward.filter(F.col("term").isNotNull()).select("term", *_KEY, "length", "places")
+    postings = postings.dropDuplicates(["term", *_KEY]) if repeated else postings
+    entries = postings.count()
     if analysed:
         tokens = storage.materialize(terms_of(postings.select(F.col("term").alias("token")).distinct()), "tokens")
         tokens.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
         known = sizes.broadcast_if_small(tokens, 64)
         postings = postings.withColumnRenamed("term", "token").join(known, "token").select("term", *_KEY, "length", "places")
-    _write_sorted(postings, path, size["entries"], size["length"], shard_bytes, merge=analysed)
+    _write_sorted(postings, path, entries, size["length"], shard_bytes, merge=analysed)
     storage.drop_tables(spark, *([forward, tokens] if analysed else [forward]))
     return size["units"], size["length"]
 

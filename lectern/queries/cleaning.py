@@ -117,19 +117,17 @@ def usfm_words(spark, d):
 
 
 @query("s24_wikitext", f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)
-select doc_id, i // 500 as page, i % 500 + 1 as verse, md5(array_to_string({_WORDS}, ' ')) as m, cast(case when len({_WORDS}) > 3 then 1 else 0 end as bigint) as notes from l""")
+select doc_id, i + 1 as verse, md5(array_to_string({_WORDS}, ' ')) as m, cast(case when len({_WORDS}) > 3 then 1 else 0 end as bigint) as notes from l""")
 def wikitext_verses(spark, d):
-    """Each 500 lines of a document as a chapter, each line as a verse, with links, templates within templates, and notes."""
+    """Each document as a chapter, each line as a verse, with links, templates within templates, and notes."""
     words = lambda x: F.regexp_extract_all(_plain(x), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     lines = F.transform(F.split("text", "\n", -1), words)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / 500).cast("int")), lambda p: F.slice("ls", p * 500 + 1, F.lit(500)))
-    pages = table(spark, d, "documents").select("doc_id", lines.alias("ls")).select("doc_id", F.posexplode(cut).alias("page", "ls"))
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", lines.alias("ls"))
     c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     dressed = lambda w, k: F.when(k % 4 == 0, c("[[to|", w, "]]")).when(k % 4 == 1, c("{{sc|{{anchor+|a|2=", w, "}}}}")).when(k % 4 == 2, c("''[[", w, "]]''{{hidden|{{x}}}}")).otherwise(c(w, F.when(k == 3, "<ref>a ''note''</ref>").otherwise("")))
     verse = lambda ws, i: c((i + 1).cast("string"), ". ", F.array_join(F.transform(ws, dressed), " "))
     text = c("{{header\n| title = {{x}}\n}}\n", F.array_join(F.transform("ls", verse), "\n"), "\n== Footnotes ==\n1. none")
-    files = pages.select(F.struct("doc_id", "page").alias("file"), text.alias("text"))
-    return wikitext.parsed(files).select("file.doc_id", F.col("file.page").cast("long").alias("page"), F.col("verse").cast("long").alias("verse"), _md5(F.col("text")), F.size("notes").cast("long").alias("notes"))
+    return wikitext.parsed(docs.select(F.col("doc_id").alias("file"), text.alias("text"))).select(F.col("file").alias("doc_id"), F.col("verse").cast("long").alias("verse"), _md5(F.col("text")), F.size("notes").cast("long").alias("notes"))
 
 
 @query("n11_repair", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)

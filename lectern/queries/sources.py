@@ -73,21 +73,26 @@ def reports(spark, d):
     return library.reports(spark, f"{_written(spark, one.select('value'), 'reports')}/part-*").select("changed_occurrences", "unresolved_occurrences")
 
 
-_LINE = r"regexp_replace(regexp_replace(line, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')"
+#: A line without the characters that markup is made of, and with single blanks.
+_LINE = r"regexp_replace(regexp_replace(line, '[\\|*\[\]\x22~]', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')"
+
+
+def _bare(line):
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"[\\|*\[\]\x22~]", ""), r"[\x20\x09-\x0D]+", " "))
 
 
 @query("s18_usfm_book", f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents), k as (select doc_id, i, trim({_LINE}) as t from l)
 select 'D' || doc_id as book, cast(i // 20 + 1 as varchar) as chapter, cast(i % 20 + 1 as varchar) as verse, case when i % 20 % 7 = 6 then 'q1' else 'p' end as style, md5(t) as m from k where t <> ''""")
 def usfm_book(spark, d):
     """Each document as a book in USFM: chapters of twenty lines, paragraphs of verses, every seventh a line of poetry, with words wrapped and titles before."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z ]", ""), " +", " ")))
+    lines = F.transform(F.split("text", "\n", -1), _bare)
     c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
 
     def marked(t, i):
         k = i % 20
         chapter = F.when(k == 0, c("\\c ", (F.floor(i / 20) + 1).cast("string"), "\n\\s1 A heading\n")).otherwise("")
         style = F.when(k % 7 == 6, "\\q1\n").otherwise("\\p\n")
-        body = F.regexp_replace(t, "^([A-Za-z]+)", '\\\\\\\\w $1|strong="H1"\\\\\\\\w*')
+        body = F.regexp_replace(t, "^([^ ]+)", '\\\\\\\\w $1|strong="H1"\\\\\\\\w*')
         return c(chapter, style, "\\v ", (k + 1).cast("string"), " ", body)
 
     body = c("\\id X\n\\h Head\n\\toc1 Contents\n\\mt1 Title\n", F.array_join(F.transform(lines, marked), "\n"))
@@ -100,7 +105,7 @@ def usfm_book(spark, d):
 select 'B' || doc_id as name, i // 9 + 1 as chapter, i % 9 + 1 as verse, md5(regexp_replace('x ' || t || ' [' || (i + 1) || '] goes on', ' +', ' ', 'g')) as m, md5('note on ' || (i + 1) || ' in two lines') as note from k""")
 def volume(spark, d):
     """Each document as a plain-text volume: works, chapters of nine verses under Roman numerals, verses over two lines, notes called from the verses."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z ]", ""), " +", " ")))
+    lines = F.transform(F.split("text", "\n", -1), _bare)
     c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     number = lambda i: (i + 1).cast("string")
     head = lambda i: F.when(i % 9 == 0, c("\nCHAPTER ", T.roman((F.floor(i / 9) + 1).cast("int")), ".\n\n")).otherwise("")

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 SHOWN = {"anchor+": "2", "bbsc": "1", "sc": "1", "small-caps": "1"}
 
 _mark = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
+_number = re.compile(r"(?<![0-9])([0-9]{1,9})\.\s+", re.ASCII)
 _ends = {"{{": "}}", "[[": "]]"}
 
 
@@ -94,22 +95,21 @@ def accepted(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda last, n: F.when(n == last + 1, n).otherwise(last))
 
 
-def numbered(text: Column) -> Column:
-    """Text as an array of (verse, text): a number with a full stop begins a verse only if it is the next one expected; what comes before the first is verse 0."""
-    pieces = F.split(text, r"(?=(?<![0-9])[0-9]{1,3}\.\s)", -1)
-    number = lambda p: F.regexp_extract(p, r"^([0-9]{1,3})\.\s", 1).try_cast("int")
-    empty = F.expr("named_struct('due', 1, 'out', cast(array() as array<struct<verse:int,text:string>>))")
+def in_verses(text: str) -> list[str]:
+    """What comes before the first verse, then the verses: a number with a full stop begins one only if it is the next expected, from 1 on. One pass, in which one number and the last beginning are carried."""
+    out, due, last = [], 1, 0
+    for m in _number.finditer(text):
+        if int(m[1]) == due:
+            out.append(text[last : m.start()])
+            due, last = due + 1, m.end()
+    return [*out, text[last:]]
 
-    def step(state: Column, p: Column) -> Column:
-        due, out = state["due"], state["out"]
-        make = lambda d, o: F.struct(d.alias("due"), o.alias("out"))
-        verse = lambda n, t: F.array(F.struct(n.cast("int").alias("verse"), t.alias("text")))
-        last = F.try_element_at(out, F.lit(-1))
-        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), verse(last["verse"], F.concat(last["text"], p)))
-        begins = F.coalesce(number(p) == due, F.lit(False))
-        return F.when(begins, make(due + 1, F.concat(out, verse(due, F.regexp_replace(p, r"^[0-9]{1,3}\.\s+", ""))))).when(F.size(out) == 0, make(due, verse(F.lit(0), p))).otherwise(make(due, longer))
 
-    return F.filter(F.aggregate(pieces, empty, step, lambda s: s["out"]), lambda v: (v["verse"] > 0) | (F.trim(v["text"]) != ""))
+@F.pandas_udf(ArrayType(StringType()))
+def numbered(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """in_verses() of each text: the place of each is its number."""
+    for s in texts:
+        yield s.map(in_verses, na_action="ignore")
 
 
 def chapters(spark: SparkSession, path: str) -> DataFrame:
@@ -123,7 +123,8 @@ def parsed(files: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.get(F.split(drop_header(F.col("text")), r"==\s*Footnotes\s*=="), F.lit(0)), r"(?s)<ref[^>/]*/>", "")
     taken = files.select("file", body.alias("t")).select("file", F.regexp_extract_all("t", F.lit(r"(?s)<ref[^>]*>(.*?)</ref>"), 1).alias("notes"), F.regexp_replace("t", r"(?s)<ref[^>]*>.*?</ref>", "\u0001").alias("t"))
     flat = taken.select("file", F.transform(strip_each("notes"), F.trim).alias("notes"), strip_templates("t").alias("t"))
-    verses = flat.select("file", "notes", F.explode(numbered(F.trim(F.regexp_replace("t", r"\s+", " ")))).alias("v")).select("file", "notes", "v.verse", "v.text")
+    split = flat.select("file", "notes", numbered(F.trim(F.regexp_replace("t", r"\s+", " "))).alias("t"))
+    verses = split.select("file", "notes", F.posexplode("t").alias("verse", "text")).filter((F.col("verse") > 0) | (F.trim("text") != ""))
     marks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\u0001"), F.lit("")))
     upto = F.sum("marks").over(W.partitionBy("file").orderBy("verse").rowsBetween(W.unboundedPreceding, 0))
     own = F.slice("notes", (F.col("upto") - F.col("marks") + 1).cast("int"), F.col("marks"))
