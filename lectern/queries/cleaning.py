@@ -127,7 +127,7 @@ def wikitext_verses(spark, d):
     dressed = lambda w, k: F.when(k % 4 == 0, c("[[to|", w, "]]")).when(k % 4 == 1, c("{{sc|{{anchor+|a|2=", w, "}}}}")).when(k % 4 == 2, c("''[[", w, "]]''{{hidden|{{x}}}}")).otherwise(c(w, F.when(k == 3, "<ref>a ''note''</ref>").otherwise("")))
     verse = lambda ws, i: c((i + 1).cast("string"), ". ", F.array_join(F.transform(ws, dressed), " "))
     text = c("{{header\n| title = {{x}}\n}}\n", F.array_join(F.transform("ls", verse), "\n"), "\n== Footnotes ==\n1. none")
-    return wikitext.parsed(docs.select(F.col("doc_id").alias("file"), text.alias("text"))).select(F.col("file").alias("doc_id"), F.col("verse").cast("long").alias("verse"), _md5(F.col("text")), F.size("notes").cast("long").alias("notes"))
+    return wikitext.parsed(docs.select(F.col("doc_id").alias("file"), text.alias("text")), {"anchor+": "2", "sc": "1"}).select(F.col("file").alias("doc_id"), F.col("verse").cast("long").alias("verse"), _md5(F.col("text")), F.size("notes").cast("long").alias("notes"))
 
 
 @query("n11_repair", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)

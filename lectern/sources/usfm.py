@@ -49,6 +49,36 @@ def parsed(text: str) -> list[dict]:
     return out
 
 
+def marker(line: str) -> dict:
+    """The marker that a line begins with, and what stands behind it."""
+    m = _token.match(line)
+    return {"tag": m["nests"] + m["name"], "rest": line[m.end() :]} if m and m["name"] else {"tag": None, "rest": None}
+
+
+@F.pandas_udf(StructType().add("tag", StringType()).add("rest", StringType()))
+def opened(lines: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([marker(x) for x in lines], columns=["tag", "rest"], dtype=object)
+
+
+def cut_at_verses(text: str) -> list[dict]:
+    """The text before the first verse marker, without label, and each verse with the label that follows its marker."""
+    begins = [m for m in _token.finditer(text) if m["name"] == "v" and not m["ends"]]
+    before = text[: begins[0].start()] if begins else text
+    out = [{"label": None, "text": before}] if before or not begins else []
+    stops = [m.start() for m in begins[1:]] + [len(text)]
+    for m, stop in zip(begins, stops, strict=False):
+        body = text[m.end() : stop].lstrip()
+        label = body.split(maxsplit=1)[0].partition("\\")[0] if body else ""
+        out.append({"label": label or None, "text": body[len(label) :].lstrip()})
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType().add("label", StringType()).add("text", StringType())))
+def at_verses(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(cut_at_verses, na_action="ignore")
+
+
 @F.pandas_udf(ArrayType(RUN))
 def runs(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Inline content as an array of RUN: the styles that a piece of text stands in, outermost first, the text, its attributes, and the number of the note that it
@@ -87,8 +117,7 @@ def lines(files: DataFrame) -> DataFrame:
     """(book, ord, tag, rest): one row for each marker line, with the lines that continue it."""
     cut = F.split(F.replace("body", F.lit("\u200e"), F.lit("")), r"\n(?=\\)", -1)
     rows = files.select("book", F.posexplode(cut).alias("ord", "line")).withColumn("line", F.regexp_replace("line", r"\s*\n\s*", " "))
-    shape = r"(?s)^\\(\+?[a-z]+[0-9]*)\*?\s?(.*)$"
-    return rows.filter(F.col("line").rlike(shape)).select("book", "ord", F.regexp_extract("line", shape, 1).alias("tag"), F.trim(F.regexp_extract("line", shape, 2)).alias("rest"))
+    return rows.filter(F.col("line").startswith("\\")).select("book", "ord", opened("line").alias("o")).filter("o.tag is not null").select("book", "ord", "o.tag", F.trim("o.rest").alias("rest"))
 
 
 def pieces(lines: DataFrame) -> DataFrame:
@@ -97,12 +126,11 @@ def pieces(lines: DataFrame) -> DataFrame:
     tag, rest = F.col("tag"), F.col("rest")
     placed = lines.withColumn("chapter", F.coalesce(F.last(F.when(tag == "c", F.regexp_extract("rest", r"^(\S+)", 1)), ignorenulls=True).over(by_book), F.lit("1")))
     placed = placed.withColumn("style", F.coalesce(F.last(F.when(tag.rlike(PARAGRAPH), tag).when(tag == "c", F.lit("")), ignorenulls=True).over(by_book), F.lit("")))
-    body = placed.filter(tag.rlike(PARAGRAPH) | (tag == "v")).withColumn("text", F.when(tag == "v", F.concat(F.lit(r"\v "), rest)).otherwise(rest))
-    cut = body.select("book", "chapter", "style", "ord", F.posexplode(F.split("text", r"(?=\\v\s)", -1)).alias("part", "piece")).withColumn("ord", F.struct("ord", "part"))
-    number = F.regexp_extract("piece", r"^\\v\s+([\w\-,]+)", 1)
+    body = placed.filter(tag.rlike(PARAGRAPH) | (tag == "v")).withColumn("text", F.when(tag == "v", F.concat(F.lit("\\v "), rest)).otherwise(rest))
+    cut = body.select("book", "chapter", "style", "ord", F.posexplode(at_verses("text")).alias("part", "piece")).withColumn("ord", F.struct("ord", "part"))
     w = W.partitionBy("book", "chapter").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    known = cut.withColumn("verse", F.last(F.when(number != "", number), ignorenulls=True).over(w))
-    content = marked(runs(F.regexp_replace("piece", r"^\\v\s+[\w\-,]+\s?", "")))
+    known = cut.withColumn("verse", F.last("piece.label", ignorenulls=True).over(w))
+    content = marked(runs(F.col("piece.text")))
     return known.select("book", "chapter", "verse", "ord", F.when(F.col("style") == "", "p").otherwise(F.col("style")).alias("style"), content.alias("runs"))
 
 

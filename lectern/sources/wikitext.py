@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window as W
 
-# Templates that show one of their arguments, and which one. Others show nothing.
-SHOWN = {"anchor+": "2", "bbsc": "1", "sc": "1", "small-caps": "1"}
-
 _mark = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 _number = re.compile(r"(?<![0-9])([0-9]{1,9})\.\s+", re.ASCII)
 _ends = {"{{": "}}", "[[": "]]"}
@@ -36,8 +33,8 @@ def _seen(opening: str, parts: list[str], shown: dict[str, str]) -> str:
     return named.get(shown.get(parts[0].strip().lower(), ""), "")
 
 
-def rendered(text: str, shown: dict[str, str] = SHOWN) -> str:
-    """Links and templates, nested as they are, to what is seen of them; marks for bold and italics go, character entities become characters, hard blanks soft
+def rendered(text: str, shown: dict[str, str]) -> str:
+    """Links and templates, nested as they are, to what is seen of them: of a template the argument that `shown` has for its name, else nothing; marks for bold and italics go, character entities become characters, hard blanks soft
     ones. What opens and never closes, or closes what isn't open, stays."""
     levels: list[tuple[str, list[list[str]]]] = [("", [[]])]
     last = 0
@@ -72,16 +69,22 @@ def without_header(text: str, name: str = "header") -> str:
     return text
 
 
-@F.pandas_udf(StringType())
-def strip_templates(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(rendered, na_action="ignore")
+def strip_templates(text: Column, shown: dict[str, str]) -> Column:
+    @F.pandas_udf(StringType())
+    def strip(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: rendered(t, shown), na_action="ignore")
 
+    return strip(text)
 
-@F.pandas_udf(ArrayType(StringType()))
-def strip_each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda a: [rendered(t) for t in a], na_action="ignore")
+
+def strip_each(texts: Column, shown: dict[str, str]) -> Column:
+    @F.pandas_udf(ArrayType(StringType()))
+    def strip(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in arrays:
+            yield s.map(lambda a: [rendered(t, shown) for t in a], na_action="ignore")
+
+    return strip(texts)
 
 
 @F.pandas_udf(StringType())
@@ -112,17 +115,17 @@ def numbered(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(in_verses, na_action="ignore")
 
 
-def chapters(spark: SparkSession, path: str) -> DataFrame:
+def chapters(spark: SparkSession, path: str, shown: dict[str, str]) -> DataFrame:
     """(file, verse, text, notes) of chapters in wikitext, one file each: the header and the footnotes' section go, notes are lifted out of verses, and a
     number is a verse only if it is the next one expected."""
-    return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+    return parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")), shown)
 
 
-def parsed(files: DataFrame) -> DataFrame:
+def parsed(files: DataFrame, shown: dict[str, str]) -> DataFrame:
     """chapters() of files(file, text)."""
     body = F.regexp_replace(F.get(F.split(drop_header(F.col("text")), r"==\s*Footnotes\s*=="), F.lit(0)), r"(?s)<ref[^>/]*/>", "")
     taken = files.select("file", body.alias("t")).select("file", F.regexp_extract_all("t", F.lit(r"(?s)<ref[^>]*>(.*?)</ref>"), 1).alias("notes"), F.regexp_replace("t", r"(?s)<ref[^>]*>.*?</ref>", "\u0001").alias("t"))
-    flat = taken.select("file", F.transform(strip_each("notes"), F.trim).alias("notes"), strip_templates("t").alias("t"))
+    flat = taken.select("file", F.transform(strip_each(F.col("notes"), shown), F.trim).alias("notes"), strip_templates(F.col("t"), shown).alias("t"))
     split = flat.select("file", "notes", numbered(F.trim(F.regexp_replace("t", r"\s+", " "))).alias("t"))
     verses = split.select("file", "notes", F.posexplode("t").alias("verse", "text")).filter((F.col("verse") > 0) | (F.trim("text") != ""))
     marks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\u0001"), F.lit("")))

@@ -108,14 +108,17 @@ def test_volume(spark, tmp_path):
     assert [(r.verse, r.no, r.text) for r in volumes.callers(v, volumes.footnotes(lines)).collect()] == [("1", 1, "A note of two lines.")]
 
 
+SHOWN = {"anchor+": "2", "sc": "1", "small-caps": "1"}
+
+
 def test_wikitext(spark, tmp_path):
     (tmp_path / "I.txt").write_text("{{header\n| a = {{b}}\n}}Chapter I. 1. There are [[two|two ways]]<ref>a ''note''</ref> in 7. of them. 2. {{sc|Next}}. ==Footnotes== x")
-    got = [(r.verse, r.text, r.notes) for r in wikitext.chapters(spark, str(tmp_path)).orderBy("verse").collect()]
+    got = [(r.verse, r.text, r.notes) for r in wikitext.chapters(spark, str(tmp_path), SHOWN).orderBy("verse").collect()]
     assert got == [(0, "Chapter I.", []), (1, "There are two ways in 7. of them.", ["a note"]), (2, "Next.", [])]
     (tmp_path / "I.txt").unlink()
     (tmp_path / "II.txt").write_text(" ".join(f"{n}. word 1. of {n + 7}. it" for n in range(1, 20_001)))
     began = time.perf_counter()
-    many = wikitext.chapters(spark, str(tmp_path)).orderBy("verse").collect()
+    many = wikitext.chapters(spark, str(tmp_path), SHOWN).orderBy("verse").collect()
     assert [r.verse for r in many] == list(range(1, 20_001)) and many[-1].text == "word 1. of 20007. it" and many[4].text == "word 1. of 12. it"
     assert time.perf_counter() - began < 20  # time in proportion to the text
     assert wikitext.without_header("a {{header b") == "a {{header b" and wikitext.without_header("x {{header|{{a}}|b}} c {{header|d}}") == " c {{header|d}}"
@@ -129,7 +132,7 @@ def test_wikitext(spark, tmp_path):
     ],
 )
 def test_rendered(text, seen):
-    assert wikitext.rendered(text) == seen
+    assert wikitext.rendered(text, SHOWN) == seen
 
 
 @given(st.lists(st.tuples(st.integers(1, 10**6), st.integers(1, 500)), max_size=30))
