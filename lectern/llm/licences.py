@@ -6,8 +6,7 @@ by TF-IDF, a sparse cosine with each. From LEAST and two shared terms on it is a
 yield to any licence. Telling terms are taken from the templates, so that no unit without one reaches LEAST but by COMMON terms alone. A file by one of the usual names, or with a statement in its first lines, speaks for its directory. A file without statement of its own inherits from
 the nearest directory above it that has one: directories, once each, are joined to their ancestors by path, and files to their directories.
 
-IDF is over the templates; a term that none has weighs most, and lengthens a unit's vector. The query's SQL scores lines with a CUE against the
-templates alone: its tables have statements of that form only.
+IDF is over the templates, the statements that are looked for: in a corpus most of their terms are rare alike, and a file's score would change with what else is scanned. A term that none has weighs most, and lengthens a unit's vector.
 
 Rows are told apart by two hashes of all they hold, not by their key: rows that share a key, or have none, have statements of their own, equal rows equal ones.
 Directories with many below them (roots above all) are joined to these in SALTS parts.
@@ -77,8 +76,6 @@ BODIES = [
 ]
 #: Terms of templates that other prose has as well, versions and numbers: no statement by themselves. `mit` is also a German word.
 COMMON = set("a above all an and any are as at be but by can copies copy do either except file files following for form forms free from general if in is it its kind language law list may mit must name names no nor not of on or org other out particular person persons public see source code shall so software subject that the this to under use used v version whether whom with without work writing written www you your".split())
-#: What a statement holds, in any case; for SQL.
-CUE = r"licen[cs]e|rights reserved|public domain|copyright"
 LEAST = 0.6
 #: Parts in which a directory meets those below it.
 SALTS = 16
@@ -129,8 +126,8 @@ def _branches(words: list[str]) -> str:
     return f"(?:{out})?" if "" in words else f"(?:{out})" if len(firsts) > 1 else out
 
 
-def telling() -> str:
-    """A pattern of terms, so that what a unit shares with a template without any of them is COMMON, or too little for LEAST."""
+def telling_terms() -> list[str]:
+    """Terms, so that what a unit shares with a template without any of them is COMMON, or too little for LEAST."""
     shares: dict[int, list[tuple[str, float]]] = {}
     for term, i, *_, share in [*weights()[0], *bodies()]:
         shares.setdefault(i, []).append((term, share))
@@ -143,7 +140,12 @@ def telling() -> str:
             if term not in COMMON and not term.isdigit():
                 found.add(term)
                 rest -= x * x
-    return rf"(?i)(?<![a-z0-9]){_branches(sorted(found))}(?![a-z0-9])"
+    return sorted(found)
+
+
+def telling() -> str:
+    """A pattern of telling_terms()."""
+    return rf"(?i)(?<![a-z0-9]){_branches(telling_terms())}(?![a-z0-9])"
 
 
 def units(files: DataFrame, header: int) -> DataFrame:
@@ -220,51 +222,64 @@ def scan(files: DataFrame, header: int = HEADER) -> DataFrame:
     return out.select("file", "path", F.coalesce("licence", "up_licence").alias("licence"), how.alias("how"), "score", F.when(inherits, F.col("up")).alias("from_dir"))
 
 
-def _over_documents(spark: SparkSession, sf_dir: str, header: int, notices: bool = False) -> DataFrame:
-    """Over documents, whose path is made of source and doc_id: a folder for each source, in it one for each thousand, in that one for each hundred;
-    with notices, the first of each hundred is its LICENSE."""
+def _over_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over documents, whose path is made of source and doc_id: a folder for each source, in it one for each thousand, in that one for each hundred; the first of each hundred is its LICENSE."""
     d = F.col("doc_id")
-    name = F.when(d % 100 == 0, "LICENSE").otherwise(d.cast("string")) if notices else d.cast("string")
+    name = F.when(d % 100 == 0, "LICENSE").otherwise(d.cast("string"))
     path = F.concat("source", F.lit("/"), F.floor(d / 1000).cast("string"), F.lit("/"), F.floor(d / 100).cast("string"), F.lit("/"), name)
-    return scan(common.documents(spark, sf_dir).select(d.alias("file"), path.alias("path"), "text"), header).withColumnRenamed("file", "doc_id")
+    return scan(common.documents(spark, sf_dir).select(d.alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only a statement on its first line lets a document speak for its directory."""
-    return _over_documents(spark, sf_dir, 1)
+    """A statement anywhere in the header region speaks for its directory, a title or shebang may stand before it; in a file named LICENSE one anywhere does; files without one inherit."""
+    return _over_documents(spark, sf_dir)
 
 
 def op2_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement anywhere in the header region does, a title or shebang may stand before it; in a file named LICENSE one anywhere does."""
-    return _over_documents(spark, sf_dir, HEADER, True)
+    """Of op2_license_scan the directories: how many files each has, how many say their licence themselves, and what the others inherit from where."""
+    out = _over_documents(spark, sf_dir).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).filter("path is not null")
+    inherits = lambda c: F.max(F.when(F.col("how") == "inherited", F.col(c))).alias(c)  # noqa: E731 - one for all of a directory
+    return out.groupBy("dir").agg(F.count("*").alias("files"), F.count_if(F.col("how") == "header").alias("own"), F.count_if(F.col("how") == "inherited").alias("inherited"), inherits("licence"), inherits("from_dir"))
 
 
-def _sql(header: int, notices: bool = False) -> str:
+def _sql() -> str:
+    """All units, templates and bodies. END has look-ahead, which this database hasn't: what follows a mark is put back, and a sign stands for the end."""
     table, other = weights()
-    values = ", ".join(f"('{t}', {i}, '{licence}', cast({idf} as double), cast({share} as double))" for t, i, licence, idf, share in table)
-    name = "case when doc_id % 100 = 0 then 'LICENSE' else cast(doc_id as varchar) end" if notices else "doc_id"
-    speaks = "on_top or regexp_matches(path, '/LICENSE$')" if notices else "on_top"
+    idf = {t: x for t, _, _, x, _ in table}
+    rows = [(t, i, licence, x, share) for t, i, licence, x, share in table] + [(t, i, licence, idf.get(t, other), share) for t, i, licence, share in bodies()]
+    values = ", ".join(f"('{t}', {i}, '{licence}', cast({x} as double), cast({share} as double))" for t, i, licence, x, share in rows)
+    cues = ", ".join(f"'{t}'" for t in telling_terms())
+    marks = [("[.;!?]+([\\x20\\x09-\\x0D]|$)", 1), (":[ \\t]*(\\r?\\n|$)", 1), ("\\n[^A-Za-z0-9\\n]*(\\n)", 1)]
+
+    def sentences(c: str) -> str:
+        for pattern, group in marks:
+            c = f"regexp_replace({c}, '{pattern}', chr(1) || '\\{group}', 'g')"
+        return f"string_split({c}, chr(1))"
+
+    head = f"array_to_string(lines[1:{HEADER}], chr(10))"
     return f"""
 with v(term, template, licence, idf, share) as (values {values}),
 i as (select distinct term, idf from v),
-d as materialized (select row_number() over () as rid, doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) as dir, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || {name} as path, text from documents),
-l as (select rid, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from d),
-s as (select * from l where regexp_matches(body, '(?i){CUE}')),
-t as (select rid, line, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) as term from s),
-w as (select rid, line, t.term, count(*) * coalesce(any_value(i.idf), {other}) as w from t left join i on t.term = i.term group by rid, line, t.term),
-n as (select rid, line, sqrt(sum(w * w)) as norm from w group by rid, line),
-p as (select rid, line, template, licence, sum(w * share) as dot from w join v using (term) group by rid, line, template, licence),
-c as (select rid, line, licence, round(dot / norm, 6) as score from p join n using (rid, line) where round(dot / norm, 6) >= {LEAST}),
-o as (select rid, arg_min(licence, (-score, licence)) as licence, max(score) as score, min(line) {'= 0' if header == 1 else f'< {header}'} as on_top from c group by rid),
-k as (select dir, arg_min(licence, (-score, path)) as licence from d join o using (rid) where {speaks} group by dir),
+d as materialized (select row_number() over () as rid, doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) as dir,
+  source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || case when doc_id % 100 = 0 then 'LICENSE' else cast(doc_id as varchar) end as path, string_split(text, chr(10)) as lines, text from documents),
+l as (select rid, unnest(lines) as body, generate_subscripts(lines, 1) <= {HEADER} as top from d union all select rid, unnest({sentences('text')}), false from d
+  union all select rid, unnest({sentences(head)}), true from d union all select rid, {head}, true from d union all select rid, text, false from d),
+s as (select row_number() over () as u, rid, top, regexp_extract_all(lower(body), '[a-z0-9]+') as terms from l where list_has_any(regexp_extract_all(lower(body), '[a-z0-9]+'), [{cues}])),
+t as (select u, unnest(terms) as term from s),
+w as (select u, t.term, count(*) as tf, count(*) * coalesce(any_value(i.idf), {other}) as w from t left join i on t.term = i.term group by u, t.term),
+n as (select u, sqrt(sum(w * w)) as norm from w group by u),
+p as (select u, template, licence, sum(tf * v.idf * share) as dot from w join v using (term) group by u, template, licence having count(*) > 1),
+c as (select rid, top, licence, round(dot / norm, 6) as score from p join n using (u) join s using (u) where round(dot / norm, 6) >= {LEAST}),
+o as (select rid, arg_min(licence, (licence = '{RESERVED}', -score, licence)) as licence, arg_min(score, (licence = '{RESERVED}', -score, licence)) as score, bool_or(top) as on_top from c group by rid),
+k as (select dir, arg_min(licence, (-score, path)) as licence from d join o using (rid) where on_top or regexp_matches(path, '/LICENSE$') group by dir),
 a as (select distinct dir, unnest(range(1, len(string_split(dir, '/')) + 1)) as depth from d),
 u as (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') as up from a),
-b as (select u.dir, arg_max(k.dir, depth) as up, arg_max(k.licence, depth) as licence from u join k on u.up = k.dir group by u.dir)
-select d.doc_id, d.path, coalesce(o.licence, b.licence) as licence, case when o.licence is not null then 'header' when b.licence is not null then 'inherited' else 'none' end as how,
-  o.score, case when o.licence is null then b.up end as from_dir
-from d left join o using (rid) left join b on d.dir = b.dir
+b as (select u.dir, arg_max(k.dir, depth) as up, arg_max(k.licence, depth) as licence from u join k on u.up = k.dir group by u.dir),
+r as (select d.doc_id, d.path, d.dir, coalesce(o.licence, b.licence) as licence, case when o.licence is not null then 'header' when b.licence is not null then 'inherited' else 'none' end as how,
+  o.score, case when o.licence is null then b.up end as from_dir from d left join o using (rid) left join b on d.dir = b.dir)
 """
 
 
-SQL = _sql(1)
-TREE_SQL = _sql(HEADER, True)
+SQL = f"{_sql()} select doc_id, path, licence, how, score, from_dir from r"
+TREE_SQL = f"""{_sql()} select dir, count(*) as files, count(*) filter (where how = 'header') as own, count(*) filter (where how = 'inherited') as inherited,
+max(licence) filter (where how = 'inherited') as licence, max(from_dir) as from_dir from r where path is not null group by dir"""

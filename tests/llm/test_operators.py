@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from functools import cache
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -120,10 +121,28 @@ def test_licences_inherited(spark, small):
     rows = [("a", "r/s/a", "#!/bin/sh\n# A title\n# Released under the MIT License.\necho"), ("b", "r/s/b", "code"), ("c", "r/c", "code"), ("d", "t/d", "code\n" * licences.HEADER + "Released under the MIT License."), ("e", "t/e", "code")]
     out = {r.file: (r.licence, r.how, r.from_dir) for r in licences.scan(spark.createDataFrame(rows, "file string, path string, text string")).collect()}
     assert out == {"a": ("MIT", "header", None), "b": ("MIT", "inherited", "r/s"), "c": (None, "none", None), "d": ("MIT", "header", None), "e": (None, "none", None)}
-    inherited = registry.queries()["op2_license_tree"](spark, small).filter("how = 'inherited'").collect()
+    inherited = registry.queries()["op2_license_scan"](spark, small).filter("how = 'inherited'").collect()
     assert inherited and all(r.licence and r.score is None and r.path.startswith(f"{r.from_dir}/") for r in inherited)
 
 
+def test_licence_sql_of_all_units(spark, tmp_path):
+    """Statements over line ends, within prose, as bodies, and two in one file: the SQL finds what the operator finds, and who inherits."""
+    prose = "Some words. " * 30
+    texts = [
+        "Title\n\nReleased under\nthe MIT License.\ncode", licences._MIT, f"{prose}\n---\n{licences._BSD}", licences._APACHE.replace(". ", ".\n\n"), f"{prose}\n" * 30 + "Licensed under CC BY 4.0", "All rights reserved. Released under the MIT License", "All rights\nreserved",
+        f"{licences._ISC}:\n***\n{licences._AS_IS}", "The licence of this word is free.", None, "", "no statement at all", "SPDX-License-Identifier: GPL-3.0; other words!", "GNU General Public License\nVersion 3, 29 June 2007\n" + prose, licences._GNU.format("This library", "Lesser General", 3) + ".\n" + prose,
+    ]
+    rows = [(100 * (k // 4) + k % 4, x, "s" if k % 5 else "r/s") for k, x in enumerate(texts)] + [(None, "Released under the MIT License", "s"), (7, "Released under the MIT License", None), (350, "plain", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op2_license_scan", "op2_license_tree"):
+        got = registry.queries()[name](spark, str(tmp_path)).toPandas()
+        same(got, db.sql(registry.oracle_sql()[name]).df())
+    found = registry.queries()["op2_license_scan"](spark, str(tmp_path)).toPandas()
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "CC-BY-4.0", "Proprietary", "ISC", "GPL-3.0", "LGPL-3.0"} <= set(found.licence.dropna()) and (found.how == "inherited").any()
+
+
 def test_licences_of_odd_rows(spark):
     """Rows that share a key or have none, repeated rows, a very long text, ties and clashing columns."""
     mit, long = "Released under the MIT License.", "plain words here. " * 60_000 + "\nReleased under the MIT License.\n" + "more of it. " * 60_000
