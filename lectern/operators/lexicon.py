@@ -19,6 +19,39 @@ def top_entries(english: DataFrame, entry: DataFrame, k: int = 4) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
+def facts(english: DataFrame, entry: DataFrame, k: int = 4) -> DataFrame:
+    """word, n (its entries) and top (the ids of its k best, the best first), a row for each word: what notes on a chapter need of it."""
+    n = english.groupBy("word").agg(F.count_distinct("id").alias("n"))
+    best = top_entries(english, entry, k).groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("top"))
+    return n.join(best, "word").select("word", "n", "top")
+
+
+def chapter_notes(facts: DataFrame, chapters: DataFrame, skip: list[str], least: int = 4, limit: int = 10, common: int = 1024) -> DataFrame:
+    """id, word, n, top and at for the notes of each of chapters(id, text): of its words (a-z, three letters and more) those that stand for `least` entries or more, the `limit` richest; at is where the first whole word stands, from 1 on.
+
+    The richest words of all, `common` of them, meet a chapter's words in its row. Whatever ranks above the last of them is among them, so a chapter that has `limit` of these is done; only the others' words are exploded and joined.
+    A chapter's key is a hash of id and text beside it: equal rows are noted once.
+    """
+    known = facts.filter((F.col("n") >= max(2, least)) & ~F.col("word").isin(*skip)) if skip else facts.filter(F.col("n") >= max(2, least))
+    rich = known.orderBy(F.desc("n"), "word").limit(common)
+    listed = rich.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), lambda x: x["word"]).alias("rich"))  # one row, of `common` words at most
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))
+    rows = chapters.select("id", "text", F.xxhash64("id", "text").alias("__key"), words.alias("words"))
+    met = rows.join(F.broadcast(listed)).withColumn("own", F.slice(F.array_intersect("rich", "words"), 1, limit))  # in the order of rich
+    place = lambda w: F.regexp_instr(F.lower("text"), F.concat(F.lit("(?<![a-z])"), w, F.lit("(?![a-z])")))
+    placed = lambda d: d.select("id", "__key", F.explode(F.transform("own", lambda w: F.struct(w.alias("word"), place(w).alias("at")))).alias("e")).select("id", "__key", "e.word", "e.at")
+    done = F.size("own") >= limit
+    full = placed(met.filter(done)).join(F.broadcast(rich), "word")
+    # few chapters: each word of theirs once
+    short = met.filter(~done).select("id", "__key", F.explode("words").alias("word")).distinct().join(known, "word")
+    w = W.partitionBy("__key").orderBy(F.desc("n"), "word")
+    best = short.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    own = best.groupBy("__key").agg(F.collect_list("word").alias("own"))
+    rest = placed(met.filter(~done).drop("own").join(own, "__key")).join(best.select("__key", "word", "n", "top"), ["__key", "word"])
+    columns = ["id", "word", "n", "top", "at"]
+    return full.distinct().select(*columns).unionByName(rest.distinct().select(*columns))
+
+
 def by_word(entry: DataFrame, t: str, limit: int = 40) -> DataFrame:
     return entry.filter((F.col("word") == t) | F.col("word").startswith(t)).orderBy("num", "word").limit(limit)
 

@@ -60,14 +60,23 @@ _W = "regexp_extract_all(lower(text), '[a-z]{3,}')"
 ENGLISH = f"""e as (select word, id, min(rank) as rank from (select unnest({_W}) as word, doc_id as id, generate_subscripts({_W}, 1) - 1 as rank from documents where lang = 'en') group by word, id)"""
 
 
-_lists: dict[tuple[str, str], DataFrame] = {}
+_lists: dict[tuple, DataFrame] = {}
 
 
 def _english(spark, d):
     """word, id (a document) and rank (its first place there), once for each word of a document: a stored table, written by an application's first query."""
-    key = spark.sparkContext.applicationId, d
+    key = spark.sparkContext.applicationId, d, storage.fingerprint(table(spark, d, "documents"))
     if key not in _lists:
-        _lists[key] = storage.materialize(_english_of(spark, d), "english")
+        _lists[key] = storage.materialize(_english_of(spark, d).repartitionByRange("word", "id").sortWithinPartitions("word", "id"), "english")  # a word's rows lie together
+    return _lists[key]
+
+
+def _facts(spark, d):
+    """Each word's number of entries and four best: stored, as the words are."""
+    key = spark.sparkContext.applicationId, d, storage.fingerprint(table(spark, d, "documents")), "facts"
+    if key not in _lists:
+        found = lexicon.facts(_english(spark, d), _entries(spark, d).select("id", "refs"))
+        _lists[key] = storage.materialize(found.repartitionByRange("word").sortWithinPartitions("word"), "facts")
     return _lists[key]
 
 
@@ -94,6 +103,18 @@ def ambiguous(spark, d):
     return lexicon.ambiguous(_english(spark, d), chapter)
 
 
+@query("a3_chapter_notes", f"""with {ENGLISH}, r as (select word, id, row_number() over (partition by word order by (rank <= 2) desc, n_chars desc, rank, id) as rn from e join documents on doc_id = id),
+f as (select word, count(*) as n, string_agg(id, ' ' order by rn) filter (where rn <= 4) as top from r group by word having count(*) >= 4),
+w as (select distinct doc_id, unnest({_W}) as word from documents),
+k as (select doc_id, word, n, top, row_number() over (partition by doc_id order by n desc, word) as rank from w join f using (word) where word not in ({', '.join(repr(w) for w in STOP)}))
+select k.doc_id, word, n, top, length(regexp_extract(lower(text), '(?s)^((?:.*?[^a-z])??)' || word || '(?:[^a-z]|$)', 1)) + 1 as at from k join documents using (doc_id) where rank <= 10""")
+def chapter_notes(spark, d):
+    """The notes of every chapter at once: its ten richest words, their entries, and where their markers go."""
+    chapters = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = lexicon.chapter_notes(_facts(spark, d), chapters, STOP)
+    return found.select(F.col("id").alias("doc_id"), "word", "n", F.array_join(F.col("top").cast("array<string>"), " ").alias("top"), "at")
+
+
 @query("w5_top_per_word", f"""with {ENGLISH}, r as (select word, id, rank, n_chars as refs, row_number() over (partition by word order by (rank <= 2) desc, n_chars desc, rank, id) as rn from e join documents on doc_id = id) select word, id, rank, refs, rn from r where rn <= 4""")
 def top_per_word(spark, d):
     return lexicon.top_entries(_english(spark, d), _entries(spark, d).select("id", "refs")).select("word", "id", "rank", "refs", "rn")
