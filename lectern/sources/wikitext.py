@@ -9,10 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
-from pyspark.sql.window import Window as W
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 _mark = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
+_note, _reference, _footnotes = re.compile(r"(?s)<ref[^>]*>(.*?)</ref>"), re.compile(r"(?s)<ref[^>/]*/>"), re.compile(r"==\s*Footnotes\s*==")
+VERSE = StructType().add("verse", IntegerType()).add("text", StringType()).add("notes", ArrayType(StringType()))
+#: Texts whose verses a worker holds at once.
+PIECE = 64
 _number = re.compile(r"(?<![0-9])([0-9]{1,9})\.\s+", re.ASCII)
 _ends = {"{{": "}}", "[[": "]]"}
 
@@ -69,30 +72,6 @@ def without_header(text: str, name: str = "header") -> str:
     return text
 
 
-def strip_templates(text: Column, shown: dict[str, str]) -> Column:
-    @F.pandas_udf(StringType())
-    def strip(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: rendered(t, shown), na_action="ignore")
-
-    return strip(text)
-
-
-def strip_each(texts: Column, shown: dict[str, str]) -> Column:
-    @F.pandas_udf(ArrayType(StringType()))
-    def strip(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in arrays:
-            yield s.map(lambda a: [rendered(t, shown) for t in a], na_action="ignore")
-
-    return strip(texts)
-
-
-@F.pandas_udf(StringType())
-def drop_header(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(without_header, na_action="ignore")
-
-
 def accepted(numbers: Column) -> Column:
     """How many of a sequence of numbers are the next one expected, from 1 on."""
     return F.aggregate(numbers, F.lit(0), lambda last, n: F.when(n == last + 1, n).otherwise(last))
@@ -108,11 +87,16 @@ def in_verses(text: str) -> list[str]:
     return [*out, text[last:]]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def numbered(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """in_verses() of each text: the place of each is its number."""
-    for s in texts:
-        yield s.map(in_verses, na_action="ignore")
+def chapter(text: str, shown: dict[str, str]) -> list[dict]:
+    """The verses of a chapter, each with its notes: the header and the footnotes' section go, notes are lifted out, and signs hold their places until the text is cut."""
+    source = _reference.sub("", _footnotes.split(without_header(text), maxsplit=1)[0])
+    notes, body = iter([rendered(n, shown).strip() for n in _note.findall(source)]), _note.sub("\x01", source)
+    out = []
+    for verse, piece in enumerate(in_verses(re.sub(r"\s+", " ", rendered(body, shown), flags=re.ASCII).strip())):
+        own = [next(notes) for _ in range(piece.count("\x01"))]
+        if verse or piece.strip():
+            out.append({"verse": verse, "text": piece.replace("\x01", "").strip(), "notes": own})
+    return out
 
 
 def chapters(spark: SparkSession, path: str, shown: dict[str, str]) -> DataFrame:
@@ -122,13 +106,14 @@ def chapters(spark: SparkSession, path: str, shown: dict[str, str]) -> DataFrame
 
 
 def parsed(files: DataFrame, shown: dict[str, str]) -> DataFrame:
-    """chapters() of files(file, text)."""
-    body = F.regexp_replace(F.get(F.split(drop_header(F.col("text")), r"==\s*Footnotes\s*=="), F.lit(0)), r"(?s)<ref[^>/]*/>", "")
-    taken = files.select("file", body.alias("t")).select("file", F.regexp_extract_all("t", F.lit(r"(?s)<ref[^>]*>(.*?)</ref>"), 1).alias("notes"), F.regexp_replace("t", r"(?s)<ref[^>]*>.*?</ref>", "\u0001").alias("t"))
-    flat = taken.select("file", F.transform(strip_each(F.col("notes"), shown), F.trim).alias("notes"), strip_templates(F.col("t"), shown).alias("t"))
-    split = flat.select("file", "notes", numbered(F.trim(F.regexp_replace("t", r"\s+", " "))).alias("t"))
-    verses = split.select("file", "notes", F.posexplode("t").alias("verse", "text")).filter((F.col("verse") > 0) | (F.trim("text") != ""))
-    marks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\u0001"), F.lit("")))
-    upto = F.sum("marks").over(W.partitionBy("file").orderBy("verse").rowsBetween(W.unboundedPreceding, 0))
-    own = F.slice("notes", (F.col("upto") - F.col("marks") + 1).cast("int"), F.col("marks"))
-    return verses.withColumn("marks", marks).withColumn("upto", upto).select("file", "verse", F.trim(F.replace("text", F.lit("\u0001"), F.lit(""))).alias("text"), own.alias("notes"))
+    """chapters() of files(file, text): one pass in Python over each text."""
+
+    @F.pandas_udf(ArrayType(VERSE))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            for lo in range(0, len(s), PIECE):  # what a batch becomes isn't held at once
+                yield s[lo : lo + PIECE].map(lambda t: chapter(t, shown), na_action="ignore")
+
+    # outer, as an inner one would have the parser run for a filter as well
+    verses = files.select("file", F.explode_outer(run("text")).alias("v"))
+    return verses.filter("v is not null").select("file", "v.verse", "v.text", "v.notes")
