@@ -5,9 +5,8 @@ from __future__ import annotations
 import base64
 import gzip
 from collections.abc import Iterator
-from itertools import groupby
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,51 +18,66 @@ BLOCK = 4096
 BUNDLES = 500
 
 
-def varints(raw: bytes) -> list[int]:
-    """Little-endian base-128 numbers; a byte's high bit says that more follow."""
-    out, value, shift = [], 0, 0
-    for b in raw:
-        value |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            out.append(value)
-            value = shift = 0
-    return out
-
-
-def encode_postings(pairs: list[tuple[int, int]]) -> str:
-    """Base64 of (unit, count) pairs, each unit as the difference to the one before."""
-    out, before = bytearray(), 0
-    for uid, tf in pairs:
-        for n in (uid - before, tf):
-            while n > 127:
-                out.append(n & 127 | 128)
-                n >>= 7
-            out.append(n)
-        before = uid
-    return base64.b64encode(bytes(out)).decode()
-
-
-def decode_postings(text: str) -> list[tuple[int, int]]:
-    numbers = varints(base64.b64decode(text))
-    out, uid = [], 0
-    for delta, tf in zip(numbers[::2], numbers[1::2], strict=True):
-        uid += delta
-        out.append((uid, tf))
-    return out
-
-
-@F.pandas_udf(StringType())
-def packed(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Sorted document numbers, one for each occurrence, as postings."""
-    for s in docs:
-        yield s.map(lambda a: encode_postings([(k, len(list(g))) for k, g in groupby(a)]), na_action="ignore")
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("uid", LongType()), StructField("tf", LongType())])))
-def decoded(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in blobs:
-        yield s.map(lambda t: [{"uid": u, "tf": n} for u, n in decode_postings(t)], na_action="ignore")
+def encode_varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian base-128 numbers, a byte's high bit says that more follow: the bytes of all, and how many each takes."""
+    numbers = numbers.astype(np.uint64)
+    size = np.ones(len(numbers), np.int64)
+    for k in range(1, 10):
+        size += numbers >= np.uint64(1 << 7 * k)
+    begins, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[begins[some] + k] = (numbers[some] >> np.uint64(7 * k)) & np.uint64(127) | ((size[some] > k + 1).astype(np.uint64) << np.uint64(7))
+    return out, size
+
+
+def decode_varints(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and behind which byte each ends."""
+    ends = np.flatnonzero(raw < 128) + 1
+    if not len(ends):
+        return np.zeros(0, np.int64), ends
+    raw, begins = raw[: ends[-1]], np.concatenate([[0], ends[:-1]])
+    place = np.arange(len(raw)) - np.repeat(begins, ends - begins)
+    return np.add.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), begins).astype(np.int64), ends
+
+
+def encode_lists(docs: pa.Array) -> pa.Array:
+    """Each list of sorted document numbers, one for each occurrence, as base64 of (unit, count) pairs, the unit as the difference to the one before."""
+    ends, flat = np.asarray(docs.offsets).astype(np.int64), np.asarray(docs.values)
+    flat, ends = flat[ends[0] : ends[-1]], ends - ends[0]
+    of = np.repeat(np.arange(len(docs)), np.diff(ends))
+    runs = np.flatnonzero(np.diff(flat, prepend=-1) != 0) if len(flat) else np.zeros(0, np.int64)
+    runs = np.union1d(runs, ends[:-1][np.diff(ends) > 0]).astype(np.int64)  # a list begins with a run of its own
+    uid, own = flat[runs], of[runs]
+    new = np.diff(own, prepend=-1) != 0
+    pairs = np.empty(2 * len(runs), np.int64)
+    pairs[::2], pairs[1::2] = np.where(new, uid, np.diff(uid, prepend=0)), np.diff(np.append(runs, len(flat)))
+    raw, size = encode_varints(pairs)
+    upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], 2 * np.cumsum(np.bincount(own, minlength=len(docs)))])]
+    valid, whole = docs.is_valid().to_pylist(), raw.tobytes()
+    return pa.array([base64.b64encode(whole[a:b]).decode() if v else None for v, a, b in zip(valid, upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.string())
+
+
+def decode_lists(blobs: pa.Array) -> pa.Array:
+    """encode_lists() the other way: lists of (uid, tf)."""
+    each = [base64.b64decode(t) if t is not None else b"" for t in blobs.to_pylist()]
+    numbers, ends = decode_varints(np.frombuffer(b"".join(each), np.uint8))
+    upto = np.searchsorted(ends, np.cumsum([0, *map(len, each)]), side="right") // 2  # pairs before each list
+    deltas, tf = numbers[::2], numbers[1::2]
+    total = np.concatenate([[0], np.cumsum(deltas)])
+    uid = total[1:] - np.repeat(total[upto[:-1]], np.diff(upto))
+    pairs = pa.StructArray.from_arrays([pa.array(uid), pa.array(tf)], ["uid", "tf"])
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pairs, mask=pa.array(np.asarray(blobs.is_null())) if blobs.null_count else None)
+
+
+@F.arrow_udf(StringType())
+def packed(docs: pa.Array) -> pa.Array:
+    return encode_lists(docs)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("uid", LongType()), StructField("tf", LongType())])))
+def decoded(blobs: pa.Array) -> pa.Array:
+    return decode_lists(blobs)
 
 
 def postings(shards: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
+import base64
 import gzip
 import json
 import time
 
+import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -135,17 +137,33 @@ def test_rendered(text, seen):
     assert wikitext.rendered(text, SHOWN) == seen
 
 
-@given(st.lists(st.tuples(st.integers(1, 10**6), st.integers(1, 500)), max_size=30))
-def test_postings_round_trip(gaps):
-    pairs, uid = [], 0
-    for g, tf in gaps:
-        uid += g
-        pairs.append((uid, tf))
-    assert legacy.decode_postings(legacy.encode_postings(pairs)) == pairs
+def encoded(pairs):
+    """A list's blob, number by number."""
+    out, before = bytearray(), 0
+    for uid, tf in pairs:
+        for n in (uid - before, tf):
+            while n > 127:
+                out.append(n & 127 | 128)
+                n >>= 7
+            out.append(n)
+        before = uid
+    return base64.b64encode(bytes(out)).decode()
+
+
+@settings(deadline=None)
+@given(st.lists(st.none() | st.lists(st.tuples(st.integers(0, 2**40), st.integers(1, 300)), max_size=8), max_size=6))
+def test_postings_round_trip(lists):
+    """Many lists at once, empty and null ones among them, lists that begin where the one before ends, numbers of many bytes."""
+    lists = [x and [(uid, dict(x)[uid]) for uid in sorted({u for u, _ in x})] for x in lists]
+    docs = pa.array([x if x is None else [u for u, tf in x for _ in range(tf)] for x in lists], pa.list_(pa.int64()))
+    blobs = legacy.encode_lists(docs)
+    assert blobs.to_pylist() == [x if x is None else encoded(x) for x in lists]
+    assert legacy.decode_lists(blobs).to_pylist() == [x if x is None else [{"uid": u, "tf": n} for u, n in x] for x in lists]
+    assert legacy.decode_lists(blobs[1:]).to_pylist() == legacy.decode_lists(blobs).to_pylist()[1:] and legacy.encode_lists(docs[1:]).to_pylist() == blobs.to_pylist()[1:]
 
 
 def test_legacy_import(spark, tmp_path):
-    shards = spark.createDataFrame([("a", legacy.encode_postings([(3, 1), (300, 200)])), ("b", None)], "term string, blob string")
+    shards = spark.createDataFrame([("a", encoded([(3, 1), (300, 200)])), ("b", None)], "term string, blob string")
     assert {(r.term, r.uid, r.tf) for r in legacy.postings(shards).collect()} == {("a", 3, 1), ("a", 300, 200)}
     one, two = gzip.compress(b"first"), gzip.compress("zweité".encode())
     (tmp_path / "b0.bin").write_bytes(one + two)
