@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..plans.sizes import broadcast_if_small
+from ..plans.skew import numbered
 
 #: A quotation is looked for by the hashes of so many tokens in a row, a short one by so many first characters.
 WINDOW, GRAM = 5, 3
@@ -15,10 +16,17 @@ WINDOW, GRAM = 5, 3
 TEXT_BYTES, KEY_BYTES = 1024, 32
 
 
-def _windows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, h): the distinct hashes of WINDOW tokens in a row."""
+#: So many keys are looked for in a text's row, before anything is exploded.
+PROBED = 1024
+
+
+def _windows(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, h): the distinct hashes of WINDOW tokens in a row; if wanted(h) has few, only those."""
     w = df.select(key, T.tokens(F.col(text)).alias("w")).filter(F.size("w") >= WINDOW)
     hashed = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(WINDOW)]))
+    if wanted.limit(PROBED + 1).count() <= PROBED:
+        keys = wanted.agg(F.collect_set("h").alias("__keys"))  # one row, of PROBED at most
+        return w.select(key, hashed.alias("h")).join(F.broadcast(keys)).select(key, F.explode(F.array_intersect("h", "__keys")).alias("h"))
     return w.select(key, F.explode(F.array_distinct(hashed)).alias("h"))
 
 
@@ -37,7 +45,7 @@ def containment(works: DataFrame, targets: DataFrame, work: str = "doc_id", targ
     t = targets.select(F.col(target).alias("target"), F.col(text).alias("t"), T.tokens(F.col(text)).alias("w")).filter(F.char_length("t") > 0)
     texts = works.select(F.col(work).alias("work"), F.col(text).alias("body"))
     long = t.filter(F.size("w") >= WINDOW + 2).select("target", F.xxhash64(*[F.get("w", F.lit(j + 1)) for j in range(WINDOW)]).alias("h"))
-    pairs = _windows(texts, "work", "body").join(broadcast_if_small(long, KEY_BYTES), "h").select("work", "target")
+    pairs = _windows(texts, "work", "body", long).join(broadcast_if_small(long, KEY_BYTES), "h").select("work", "target")
     short = t.filter(F.size("w") < WINDOW + 2).select("target", "t", F.least(F.lit(GRAM), F.char_length("t")).alias("n"))
     for n in sorted(r.n for r in short.select("n").distinct().collect()):  # GRAM of them at most
         keyed = short.filter(F.col("n") == n).select("target", F.substring("t", 1, n).alias("h"))
@@ -64,8 +72,7 @@ def by_group(cites: DataFrame, groups: DataFrame) -> DataFrame:
 
 def listed(cites: DataFrame, groups: DataFrame) -> DataFrame:
     """The works of each target and group in their order, a row each, with the number: what an export nests."""
-    rows = cites.join(groups, "work").select("target", "grp", "work")
-    return rows.withColumn("ord", F.row_number().over(W.partitionBy("target", "grp").orderBy("work")))
+    return numbered(cites.join(groups, "work").select("target", "grp", "work"), ["target", "grp"], ["work"], "ord")
 
 
 def first_edition(texts: DataFrame, cites: DataFrame) -> DataFrame:

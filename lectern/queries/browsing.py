@@ -199,10 +199,12 @@ def daily_pick(spark, d):
     return days.join(ranked, F.pmod(F.unix_date("day"), F.col("n")) == F.col("ord")).select(F.col("day").cast("string").alias("day"), "item_id")
 
 
-@query("l12_random_unit")
+@query("l12_random_unit", """with p as (select doc_id, string_split(text, chr(10)) as lines from documents order by md5('7:' || doc_id), doc_id limit 1)
+select doc_id, lines[1 + ('0x' || left(md5('11:' || doc_id), 8))::bigint % len(lines)] as line from p""")
 def random_unit(spark, d):
-    """A document drawn evenly, then one of its lines, by a seed: lines of short documents are drawn more often."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    picked = docs.orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(1)
+    """A document drawn evenly, by the hash of a seed and its id, then one of its lines: lines of short documents are drawn more often."""
+    draw = lambda seed: F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
+    picked = table(spark, d, "documents").select("doc_id", "text").orderBy(draw(7), "doc_id").limit(1)
     lines = F.split("text", "\n", -1)
-    return picked.select("doc_id", F.get(lines, F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.size(lines)).cast("int")).alias("line"))
+    number = F.conv(F.substring(draw(11), 1, 8), 16, 10).cast("long")
+    return picked.select("doc_id", F.get(lines, F.pmod(number, F.size(lines)).cast("int")).alias("line"))

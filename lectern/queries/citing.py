@@ -13,8 +13,16 @@ from .registry import query, table
 CITE = "c as (select item_id as target, doc_id as work, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n from documents d join benchmark b on contains(d.text, b.text))"
 
 
+_lists: dict[tuple, DataFrame] = {}
+
+
 def _cites(spark, d):
-    return citations.containment(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    """The citations, stored by target: found by an application's first query of them, and anew when the tables' files have changed."""
+    works, targets = table(spark, d, "documents"), table(spark, d, "benchmark")
+    key = spark.sparkContext.applicationId, d, storage.fingerprint(works), storage.fingerprint(targets), "citations"
+    if key not in _lists:
+        _lists[key] = storage.materialize(citations.containment(works, targets).repartitionByRange("target", "work").sortWithinPartitions("target", "work"), "citations")
+    return _lists[key]
 
 
 @query("p8_citation_counts", f"with {CITE} select target, count(distinct work) as works, cast(sum(n) as bigint) as times from c group by target")
@@ -60,9 +68,6 @@ _W = "regexp_extract_all(lower(text), '[a-z]{3,}')"
 ENGLISH = f"""e as (select word, id, min(rank) as rank from (select unnest({_W}) as word, doc_id as id, generate_subscripts({_W}, 1) - 1 as rank from documents where lang = 'en') group by word, id)"""
 
 
-_lists: dict[tuple, DataFrame] = {}
-
-
 def _english(spark, d):
     """word, id (a document) and rank (its first place there), once for each word of a document: a stored table, written by an application's first query."""
     key = spark.sparkContext.applicationId, d, storage.fingerprint(table(spark, d, "documents"))

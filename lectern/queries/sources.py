@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations
 from ..plans import storage
 from ..sources import library, usfm, volumes
 from .citing import CITE
+from .citing import _cites as found_citations
 from .registry import query, table
 
 
@@ -51,7 +51,7 @@ def packed_json(spark, d):
 @query("s12_citation_links", f"with {CITE} select 'b' || target % 8 as book_key, target as verse, work, n from c")
 def citation_links(spark, d):
     """Citations stored by book and read again."""
-    cites = citations.containment(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    cites = found_citations(spark, d)
     path = storage.new_path(spark, "citations")
     library.write_citations(cites.select(F.concat(F.lit("b"), (F.col("target") % 8).cast("string")).alias("book_key"), (F.col("target") % 3).alias("chapter"), F.col("target").alias("verse"), "work", "n"), path)
     return library.citations(spark, path).select("book_key", "verse", "work", "n")

@@ -83,11 +83,6 @@ def write_units(units: DataFrame, path: str) -> None:
     units.repartitionByRange("religion", "work_id", "chapter").sortWithinPartitions("religion", "work_id", "chapter", "ord").write.mode("overwrite").partitionBy("religion").parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Postings sorted by term, so that a term's rows are found by row-group statistics; a common term's rows spread over files by document."""
-    postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(path)
-
-
 def write_citations(cites: DataFrame, path: str) -> None:
     """Citations by book, sorted by place within, so that one verse's are one run of rows in its book's folder."""
     cites.repartition("book_key", F.pmod(F.xxhash64("work"), F.lit(4))).sortWithinPartitions("book_key", "chapter", "verse").write.mode("overwrite").partitionBy("book_key").parquet(path)
