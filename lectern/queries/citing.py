@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, lexicon
+from ..operators import citations, grams, lexicon
 from ..plans import storage
 from .registry import query, table
 
@@ -142,9 +142,27 @@ def lookup_cascade(spark, d):
     return lexicon.lookup(_entries(spark, d), _english(spark, d), "erth")
 
 
+_grams: dict[tuple, grams.Grams] = {}
+
+
+def _names(spark, d):
+    """The sequences of parts' names, written by an application's first query of them."""
+    part = table(spark, d, "part")
+    key = spark.sparkContext.applicationId, d, storage.fingerprint(part)
+    if key not in _grams:
+        _grams[key] = grams.write(part, "p_partkey", "p_name", storage.new_path(spark, "grams"))
+    return _grams[key]
+
+
 @query("p20_autocomplete", "select p_partkey, p_name from part where contains(lower(p_name), 'an') order by p_name, p_partkey limit 8")
 def autocomplete(spark, d):
-    return table(spark, d, "part").filter(F.lower("p_name").contains("an")).orderBy("p_name", "p_partkey").limit(8).select("p_partkey", "p_name")
+    return _names(spark, d).find("an").select(F.col("key").alias("p_partkey"), F.col("text").alias("p_name")).orderBy("p_name", "p_partkey").limit(8)
+
+
+@query("p20_substring", "select p_partkey, p_name from part where contains(lower(p_name), 'ld wid') order by p_partkey")
+def substring(spark, d):
+    """All names with a longer substring: candidates by its sequences, then by their texts."""
+    return _names(spark, d).find("LD wid").select(F.col("key").alias("p_partkey"), F.col("text").alias("p_name"))
 
 
 @query("j16_lookup_gloss", "select p_partkey, count(l_orderkey) as uses, coalesce(max(l_returnflag), '-') as gloss from part left join lineitem on l_partkey = p_partkey group by p_partkey")
