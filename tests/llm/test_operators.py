@@ -697,6 +697,16 @@ def test_packing(docs, library, empty):
     assert packing.pieces(empty, WORDS).count() == 0
 
 
+def test_packed_buckets(spark, docs, tmp_path):
+    """A folder for each length holds pieces of that length alone, and together they are all pieces."""
+    packed = packing.pieces(docs, WORDS)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    read = spark.read.parquet(str(tmp_path / "b"))
+    assert read.filter("octet_length(ids) <> 4 * shiftleft(1, bucket)").count() == 0
+    key = lambda d: sorted((str(r.doc_id), r.start, bytes(r.ids)) for r in d.select("doc_id", "start", "ids").collect())
+    assert key(read) == key(packed) and len(list((tmp_path / "b").glob("bucket=*"))) > 3
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.lists(st.one_of(st.text(st.characters(max_codepoint=255), max_size=40), st.sampled_from(["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "e\u0301"])), max_size=3).map("".join))
 def test_word_encoder(library, text):
