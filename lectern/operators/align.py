@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..plans.skew import with_facts
+
 # The greatest number of pages of a band, and its inner margin in inches.
 GUTTERS = [(150, 0.375), (300, 0.5), (500, 0.625), (700, 0.75), (828, 0.875)]
 
@@ -43,6 +45,26 @@ def canonical(rows: DataFrame, work: Column, chapter: Column, canon: DataFrame,
     return j.withColumn("book_key", F.coalesce("__mb", "__bk")).withColumn("local", F.coalesce("local_chapter", "__c")).drop("__w", "__c", "__mw", "__mc", "__mb", "__bw", "__bk", "local_chapter")
 
 
+def _last_not_above(sorted_: Column, x: Column, steps: int = 20) -> Column:
+    """The place of the last of sorted numbers that is not above x, -1 before the first: found by halves, for up to 2 ** steps numbers."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(halves, F.lit(-1), lambda p, s: F.when(F.get(sorted_, p + s) <= x, p + s).otherwise(p))
+
+
+def in_books(rows: DataFrame, work: str, chapter: str, books: DataFrame) -> DataFrame:
+    """rows with book_key and local: the canonical reference of a composite work's chapter, from books(work, first: its first chapter in the work, chapters, book_key). An interval join: a work's books are one sorted
+    array, in which each row looks its chapter up by halves; null where no book has it. A work's rows meet its array by broadcast where arrays are small or the work has very many rows."""
+    entry = F.struct("first", "chapters", "book_key")
+    arrays = books.groupBy(F.col("work").alias("__work")).agg(F.array_sort(F.collect_list(entry)).alias("__books"), F.sum("chapters").alias("n"))
+    known = arrays.select("__work", "__books", "n", F.transform("__books", lambda b: b["first"]).alias("__firsts"))
+    count = rows.groupBy(F.col(work).alias("__work")).agg(F.count("*").alias("__rows"))
+    facts = known.drop("n").join(count, "__work").withColumnRenamed("__rows", "n").withColumnRenamed("__work", work)
+    met = with_facts(rows, facts, work).withColumn("__at", F.get("__books", _last_not_above(F.col("__firsts"), F.col(chapter))))
+    local = F.col(chapter) - F.col("__at.first") + 1
+    inside = local <= F.col("__at.chapters")
+    return met.select(*rows.columns, F.when(inside, F.col("__at.book_key")).alias("book_key"), F.when(inside, local).alias("local"))
+
+
 def starts(parts: DataFrame, key: str, n: str, block: int = 4096) -> DataFrame:
     """Where each part starts if parts(key, n) follow one another by their integer key: sums within blocks of keys, within blocks of blocks, and of those before;
     the last, one for block * block keys, are few."""

@@ -57,6 +57,24 @@ def canonical_ref(spark, d):
     return out.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "book_key", "local")
 
 
+@query("j5_canonical_counts", """with b as (select o_custkey as work, o_orderkey as book_key, count(l_orderkey) as chapters from orders join lineitem on l_orderkey = o_orderkey group by o_custkey, o_orderkey),
+f as (select *, 1 + coalesce(sum(chapters) over (partition by work order by book_key rows between unbounded preceding and 1 preceding), 0) as first from b),
+g as (select work, unnest(range(1, sum(chapters)::bigint + 2)) as chapter from b group by work),
+r as (select g.work, chapter, book_key, chapter - first + 1 as local from g left join f on f.work = g.work and chapter between first and first + chapters - 1),
+c as (select l_orderkey, l_linenumber, sum(l_quantity) as n from lineitem group by l_orderkey, l_linenumber)
+select work, chapter, book_key, cast(local as bigint) as local, cast(coalesce(n, 0) as double) as n from r left join c on l_orderkey = book_key and l_linenumber = local""")
+def canonical_counts(spark, d):
+    """Counts that lie by book and chapter, for the chapters of composite works: a customer's orders are the books of a work, one behind the other, and a chapter behind the last has none."""
+    lines = table(spark, d, "lineitem")
+    books = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("work"), F.col("o_orderkey").alias("book_key")).agg(F.count("*").alias("chapters"))
+    before = F.coalesce(F.sum("chapters").over(W.partitionBy("work").orderBy("book_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chapters = books.groupBy("work").agg(F.sum("chapters").alias("n")).select("work", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + 1)).alias("chapter"))
+    placed = align.in_books(chapters, "work", "chapter", books.withColumn("first", before + 1))
+    n = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("double").alias("n"))
+    met = placed.join(n, (F.col("book_key") == F.col("l_orderkey")) & (F.col("local") == F.col("l_linenumber")), "left")
+    return met.select("work", "chapter", "book_key", "local", F.coalesce("n", F.lit(0.0)).alias("n"))
+
+
 @query("j12_band_lookup", "select p_partkey, p_retailprice, case when p_retailprice <= 150 then 0.375 when p_retailprice <= 300 then 0.5 when p_retailprice <= 500 then 0.625 when p_retailprice <= 700 then 0.75 when p_retailprice <= 828 then 0.875 end::double as margin from part")
 def band_lookup(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_retailprice", align.band(F.col("p_retailprice"), align.GUTTERS).alias("margin"))

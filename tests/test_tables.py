@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.operators import catalog, citations, lexicon, reader
+from lectern.operators import align, catalog, citations, lexicon, reader
 from lectern.sources import legacy, library, usfm, volumes, wikitext
 from lectern.streaming import sessions
 
@@ -137,6 +137,19 @@ def test_rendered(text, seen):
     assert wikitext.rendered(text, SHOWN) == seen
 
 
+def test_in_books(spark):
+    """Chapters looked up in their works' books: first and last ones, gaps, before the first and behind the last, a work without books, null works, and one work with most rows."""
+    books = [("w", 1, 3, "a"), ("w", 4, 2, "b"), ("w", 10, 1, "c"), ("v", 2, 5, "d")]
+    rows = [("w", c) for c in range(0, 13)] * 9 + [("v", c) for c in range(0, 9)] + [("none", 1), (None, 1)]
+    want = []
+    for w, c in rows:
+        own = [(k, c - f + 1) for x, f, n, k in books if x == w and f <= c < f + n]
+        want.append((w, c, *(own[0] if own else (None, None))))
+    table = spark.createDataFrame(books, "work string, first long, chapters long, book_key string")
+    got = align.in_books(spark.createDataFrame(rows, "work string, chapter long").repartition(3), "work", "chapter", table)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def encoded(pairs):
     """A list's blob, number by number."""
     out, before = bytearray(), 0
