@@ -56,17 +56,35 @@ def by_word(entry: DataFrame, t: str, limit: int = 40) -> DataFrame:
     return entry.filter((F.col("word") == t) | F.col("word").startswith(t)).orderBy("num", "word").limit(limit)
 
 
+def _keyed(entry: DataFrame, english: DataFrame, questions: DataFrame) -> DataFrame:
+    """priority, key and id: what entries answer to, by number (1), by English word (2) and by the beginnings of their transliteration (3), once each. Beginnings are of those lengths alone that questions have, so that a very long word has few."""
+    lengths = questions.agg(F.collect_set(F.char_length("w")).alias("lengths"))  # one row
+    heads = F.transform(F.filter("lengths", lambda n: (n > 0) & (n <= F.char_length("word"))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    by_number = entry.select(F.lit(1).alias("priority"), F.lower("id").alias("key"), "id")
+    by_english = english.select(F.lit(2).alias("priority"), F.col("word").alias("key"), "id")
+    by_spelling = entry.join(F.broadcast(lengths)).select(F.lit(3).alias("priority"), F.explode(heads).alias("key"), "id")
+    return by_number.unionByName(by_english).unionByName(by_spelling)
+
+
+def _questions(asked: DataFrame) -> DataFrame:
+    """q, w and number: each of asked(q) once, as it is compared."""
+    w = F.lower(F.trim("q"))
+    return asked.select("q").distinct().select("q", w.alias("w"), F.replace(w, F.lit(" "), F.lit("")).alias("number"))
+
+
+def _best(keyed: DataFrame, questions: DataFrame) -> DataFrame:
+    """q, priority, key and n: for each question the first kind that has any entry, and how many. Entries are counted by key before questions meet them: a word that many entries have, and that is asked in many ways, makes no pairs."""
+    counts = keyed.groupBy("priority", "key").agg(F.count_distinct("id").alias("n"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("priority"), F.col(c).alias("key")) for k, c in ((1, "number"), (2, "w"), (3, "w"))])
+    met = questions.select("q", F.inline(kinds)).join(counts, ["priority", "key"])
+    return met.groupBy("q").agg(F.min(F.struct("priority", "key", "n")).alias("b")).select("q", "b.priority", "b.key", "b.n")
+
+
 def answers(entry: DataFrame, english: DataFrame, asked: DataFrame) -> DataFrame:
     """(q, id, priority): for each of asked(q), the entries by number (1), by English word (2) and by the beginning of their transliteration (3), of the first kind that has any."""
-    a = asked.select("q", F.lower(F.trim("q")).alias("w"), F.replace(F.lower(F.trim("q")), F.lit(" "), F.lit("")).alias("number"))
-    by_number = a.join(entry.select(F.lower("id").alias("number"), "id"), "number").select("q", "id", F.lit(1).alias("priority"))
-    by_english = a.join(english.select(F.col("word").alias("w"), "id"), "w").select("q", "id", F.lit(2).alias("priority"))
-    # beginnings meet what is asked by themselves: an entry has as many as its word has letters
-    heads = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
-    by_spelling = a.join(entry.filter(F.char_length("word") > 0).select("id", F.explode(heads).alias("w")), "w").select("q", "id", F.lit(3).alias("priority"))
-    rows = by_number.unionByName(by_english).unionByName(by_spelling).distinct()
-    best = rows.groupBy("q").agg(F.min("priority").alias("priority"))
-    return rows.join(best, ["q", "priority"]).select("q", "id", "priority")
+    questions = _questions(asked)
+    keyed = _keyed(entry, english, questions)
+    return keyed.join(_best(keyed, questions), ["priority", "key"]).select("q", "id", "priority").distinct()
 
 
 def mode(priority: Column) -> Column:
@@ -74,12 +92,18 @@ def mode(priority: Column) -> Column:
 
 
 def lookup(entry: DataFrame, english: DataFrame, q: str, limit: int = 40) -> DataFrame:
-    """Entries for what someone typed, by number, else by English word, else by transliteration; `mode` says which answered."""
-    found = answers(entry, english, entry.sparkSession.createDataFrame([(q,)], "q string"))
+    """Entries for what someone typed, by number, else by English word, else by transliteration; `mode` says which answered. What is typed filters the tables where they are read."""
+    w = F.lower(F.trim(F.lit(q)))
+    by_number = entry.filter(F.lower("id") == F.replace(w, F.lit(" "), F.lit(""))).select("id", F.lit(1).alias("priority"))
+    by_english = english.filter(F.col("word") == w).select("id", F.lit(2).alias("priority"))
+    by_spelling = entry.filter((w != "") & F.col("word").startswith(w)).select("id", F.lit(3).alias("priority"))
+    rows = by_number.unionByName(by_english).unionByName(by_spelling).distinct()
+    found = rows.join(F.broadcast(rows.agg(F.min("priority").alias("priority"))), "priority")  # one row
     return found.join(entry, "id").orderBy(F.desc("lang"), "num", "id").limit(limit).select("id", "lang", "num", mode(F.col("priority")).alias("mode"))
 
 
 def modes(entry: DataFrame, english: DataFrame, asked: DataFrame) -> DataFrame:
     """How each of asked(q) is answered, none of those without an entry, and the number of entries."""
-    found = answers(entry, english, asked).groupBy("q").agg(F.min("priority").alias("priority"), F.count("*").alias("n"))
-    return asked.select("q").distinct().join(found, "q", "left").select("q", F.coalesce(mode(F.col("priority")), F.lit("none")).alias("mode"), F.coalesce("n", F.lit(0)).alias("n"))
+    questions = _questions(asked)
+    best = _best(_keyed(entry, english, questions), questions)
+    return questions.select("q").join(best, "q", "left").select("q", F.coalesce(mode(F.col("priority")), F.lit("none")).alias("mode"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -170,10 +170,11 @@ select k.q, case b.p when 1 then 'number' when 2 then 'english' when 3 then 'wor
 def answer_modes(spark, d):
     """How questions are answered: by number, by English word, by the beginning of a transliteration, or not."""
     docs = table(spark, d, "documents")
-    first = F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)
+    word = F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)
+    first = F.coalesce(word, F.lit(""))
     id_ = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     entry = docs.filter("lang <> 'en'").select(id_.alias("id"), first.alias("word"))
-    english = docs.filter("lang = 'en'").select(first.alias("word"), id_.alias("id"))
+    english = docs.filter("lang = 'en'").select(word.alias("word"), id_.alias("id"))
     asked = table(spark, d, "labels").select(F.concat(F.lit("D "), F.col("doc_id").cast("string")).alias("q")).union(docs.select(F.concat(F.lit(" "), F.substring(first, 1, 5)))).union(docs.select(first))
     return lexicon.modes(entry, english, asked)
 

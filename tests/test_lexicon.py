@@ -28,3 +28,28 @@ def test_chapter_notes(spark):
         got = [(r.id, r.word, r.n, r["at"]) for r in lexicon.chapter_notes(facts, chapters, ["the"], 3, 3, common).collect()]
         assert sorted(got, key=str) == sorted(want, key=str), common
     assert lexicon.chapter_notes(facts, chapters.limit(0), []).count() == 0 == lexicon.chapter_notes(facts.limit(0), chapters, []).count()
+
+
+ASKED = ["D 1", "d1", " the", "the", "THE ", "th", "lord", "", " ", None, "zz", "x" * 3000]
+
+
+def test_answers(spark):
+    """Each kind of answer; entries and questions that repeat are counted once, and a word that many have makes no pairs."""
+    entry = [("d1", "theos"), ("d2", "the"), ("d2", "the"), ("d3", "x" * 3000), ("d4", ""), ("d5", "lordos"), (None, "zzz")] + [(f"e{k}", "thesis") for k in range(300)]
+    english = [("the", "d7"), ("lord", "d8"), ("lord", "d8"), ("lord", "d9"), ("", "d10")]
+    frames = [spark.createDataFrame(entry, "id string, word string"), spark.createDataFrame(english, "word string, id string"), spark.createDataFrame([(q,) for q in ASKED * 300], "q string")]
+    want, count = set(), set()
+    for q in set(ASKED):
+        w = None if q is None else q.strip(" ").lower()
+        kinds = [] if w is None else [{i for i, _ in entry if i == w.replace(" ", "")}, {i for x, i in english if x == w}, {i for i, x in entry if w and x.startswith(w)}]
+        k = next((k for k, ids in enumerate(kinds) if ids), None)
+        count.add((q, "none" if k is None else ("number", "english", "word")[k], 0 if k is None else len(kinds[k] - {None})))
+        want |= {(q, i, k + 1) for i in (kinds[k] if k is not None else ())}
+    assert set(map(tuple, lexicon.answers(*frames).collect())) == want
+    out = lexicon.modes(*frames)
+    got = list(map(tuple, out.collect()))
+    assert len(got) == len(count) and set(got) == count
+    joins = re.findall(r"Join [^\n]*", out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple"))
+    assert not any("id" in re.findall(r"\w+", j) for j in joins)
+    long = lexicon._keyed(*frames[:2], lexicon._questions(frames[2])).filter("priority = 3 and id = 'd3'").count()
+    assert long <= len({len(q) for q in ASKED if q})
