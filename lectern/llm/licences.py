@@ -236,10 +236,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op2_license_scan the directories: how many files each has, how many say their licence themselves, and what the others inherit from where."""
-    out = _over_documents(spark, sf_dir).withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).filter("path is not null")
-    inherits = lambda c: F.max(F.when(F.col("how") == "inherited", F.col(c))).alias(c)  # noqa: E731 - one for all of a directory
-    return out.groupBy("dir").agg(F.count("*").alias("files"), F.count_if(F.col("how") == "header").alias("own"), F.count_if(F.col("how") == "inherited").alias("inherited"), inherits("licence"), inherits("from_dir"))
+    """Every file of op2_license_scan with its directory: how many files that has, how many of them say their licence themselves, and how many inherit. Files without path have no directory."""
+    dir_ = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    out = common.materialize(_over_documents(spark, sf_dir).withColumn("dir", dir_), "scan")
+    by_dir = out.filter("dir is not null").groupBy(F.col("dir").alias("d")).agg(F.count("*").alias("files"), F.count_if(F.col("how") == "header").alias("own"), F.count_if(F.col("how") == "inherited").alias("inherited"))
+    return out.join(by_dir, F.col("dir") == F.col("d"), "left").drop("d")
 
 
 def _sql() -> str:
@@ -281,5 +282,5 @@ r as (select d.doc_id, d.path, d.dir, coalesce(o.licence, b.licence) as licence,
 
 
 SQL = f"{_sql()} select doc_id, path, licence, how, score, from_dir from r"
-TREE_SQL = f"""{_sql()} select dir, count(*) as files, count(*) filter (where how = 'header') as own, count(*) filter (where how = 'inherited') as inherited,
-max(licence) filter (where how = 'inherited') as licence, max(from_dir) as from_dir from r where path is not null group by dir"""
+TREE_SQL = f"""{_sql()}, m as (select dir, count(*) as files, count(*) filter (where how = 'header') as own, count(*) filter (where how = 'inherited') as inherited from r where dir is not null group by dir)
+select doc_id, path, licence, how, score, from_dir, r.dir, files, own, inherited from r left join m on r.dir = m.dir"""

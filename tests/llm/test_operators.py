@@ -143,6 +143,15 @@ def test_licence_sql_of_all_units(spark, tmp_path):
     assert {"MIT", "BSD-3-Clause", "Apache-2.0", "CC-BY-4.0", "Proprietary", "ISC", "GPL-3.0", "LGPL-3.0"} <= set(found.licence.dropna()) and (found.how == "inherited").any()
 
 
+def test_license_tree_has_every_document(spark, small):
+    """A row for each document, as the scan has it, beside what is known of its directory."""
+    tree, scan = (registry.queries()[f"op2_license_{n}"](spark, small).toPandas() for n in ("tree", "scan"))
+    same(tree[scan.columns], scan)
+    assert len(tree) == spark.read.parquet(f"{small}/documents.parquet").count()
+    for _, own in tree.groupby("dir"):
+        assert (own.files == len(own)).all() and (own.own == (own.how == "header").sum()).all() and (own.inherited == (own.how == "inherited").sum()).all()
+
+
 def test_licences_of_odd_rows(spark):
     """Rows that share a key or have none, repeated rows, a very long text, ties and clashing columns."""
     mit, long = "Released under the MIT License.", "plain words here. " * 60_000 + "\nReleased under the MIT License.\n" + "more of it. " * 60_000
