@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql.types import StringType
 
 #: Bytes of entries that a dictionary may have: what each worker process can well hold.
 LIMIT = 64 << 20
+#: Texts that are strings in a worker at once; a batch has thousands.
+PIECE = 64
 #: Distinct forms that are remembered at once.
 FORMS = 1 << 16
 _parts = regex.compile(r"\p{L}+|[^\p{L}]+")
@@ -101,8 +103,8 @@ def replaced(text: Column, *dictionaries: Dictionary) -> Column:
     if not some:
         return text
 
-    @F.pandas_udf(StringType())
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         steps = [d.replacer() for d in some]
 
         def through(t: str) -> str:
@@ -110,12 +112,19 @@ def replaced(text: Column, *dictionaries: Dictionary) -> Column:
                 t = s(t)
             return t
 
-        for s in texts:
-            yield pd.Series([None if t is None else through(t) for t in s], dtype=object)
+        for piece in pieces(texts):
+            yield pa.array([None if t is None else through(t) for t in piece.to_pylist()], pa.string())
 
     return run(text)
 
 
+def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Parts of batches, so that neither a batch's strings nor what becomes of them are held at once; an empty batch is one part."""
+    for b in batches:
+        for lo in range(0, max(1, len(b)), PIECE):
+            yield b.slice(lo, PIECE)
+
+
 def by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """texts with words replaced by dictionary(received: one lower-case word, corrected), of any size: each text's distinct words meet the dictionary by a join, and its few hits come back to it. Rows are told apart by key and text."""
     parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), 0)

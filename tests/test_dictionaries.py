@@ -92,3 +92,12 @@ def test_clauses():
     assert c.shortened(f"{lead} and the people gathered there now.") == f"{lead[:-1]}. And the people gathered there now."
     assert c.shortened(f"{lead} and the law of old times.") == f"{lead} and the law of old times."
     assert c.shortened("one two three four five; which six seven eight nine.") == "one two three four five; which six seven eight nine."
+
+
+def test_pieces():
+    """A batch's texts are strings a few at a time, in order, and none is lost."""
+    import pyarrow as pa
+
+    whole = pa.array([None if k % 7 == 0 else str(k) for k in range(1000)])
+    parts = list(dictionaries.pieces(iter([whole, whole.slice(0, 0), whole.slice(5, 3)])))
+    assert max(map(len, parts)) <= dictionaries.PIECE and [x for p in parts for x in p.to_pylist()] == whole.to_pylist() + whole.to_pylist()[5:8]
