@@ -9,12 +9,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .dictionaries import Dictionary, replaced
+from .dictionaries import Dictionary, pieces, replaced
 
 Words = dict[str, str] | Dictionary
 PARTS = r"\p{L}+|[^\p{L}]+"
@@ -148,10 +148,10 @@ class Clauses:
 def resentence(text: str, clauses: Clauses) -> Column:
     """The column text with its long sentences cut."""
 
-    @F.pandas_udf(StringType())
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(clauses.shortened, na_action="ignore")
+    @F.arrow_udf(StringType())
+    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for piece in pieces(texts):
+            yield pa.array([clauses.shortened(t) for t in piece.to_pylist()], pa.string())
 
     return cut(text)
 
