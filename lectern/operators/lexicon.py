@@ -8,8 +8,10 @@ from pyspark.sql.window import Window as W
 
 
 def ambiguous(english: DataFrame, words: DataFrame, least: int = 4, limit: int = 10) -> DataFrame:
-    """Of words(word), those that stand for `least` entries or more, the richest first."""
-    return english.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= max(2, least)).orderBy(F.desc("n"), "word").limit(max(1, min(40, limit)))
+    """Of words(word), those that stand for `least` entries or more, the richest first. Rows are dealt before they are counted, as nearly all differ: a part of a stored table, many rows in few bytes, would be one hash table. Only words with enough entries meet those asked for."""
+    dealt = english.select("word", "id").repartition("word", "id")
+    n = dealt.groupBy("word").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= max(2, least))
+    return n.join(words.select("word").distinct(), "word", "left_semi").orderBy(F.desc("n"), "word").limit(max(1, min(40, limit)))
 
 
 def top_entries(english: DataFrame, entry: DataFrame, k: int = 4) -> DataFrame:

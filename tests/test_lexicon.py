@@ -64,3 +64,14 @@ def test_lookup_stores_nothing(spark, small):
     out = QUERIES["p11_lookup_cascade"](spark, small)
     assert out.count() and not citing._lists
     citing._lists.update(known)
+
+
+def test_ambiguous(spark):
+    """Words by their distinct entries; rows are dealt before they are first counted, and few words meet those asked for."""
+    english = spark.createDataFrame([(w, i) for w, n in ENTRIES.items() for i in [*range(n), 0, 0]], "word string, id long")
+    words = spark.createDataFrame([("love",), ("king",), ("king",), ("zebra",), ("none",), (None,), ("word",)], "word string")
+    out = lexicon.ambiguous(english, words, 4, 2)
+    assert list(map(tuple, out.collect())) == [("word", 9), ("king", 6)]
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple").split("== Initial Plan ==")[-1]
+    steps = re.findall(r"HashAggregate\(keys=\[word#\d+, id#\d+L?\]|Exchange hashpartitioning\(word#\d+, id#\d+L?", plan)
+    assert steps and steps[-1].startswith("Exchange")  # the plan's leaves come last
