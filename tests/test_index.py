@@ -159,3 +159,13 @@ def test_update(spark, tmp_path, analysed, steps):
 def test_update_to_nothing(spark, tmp_path):
     stored = index.write(frame(spark, TEXTS), str(tmp_path)).update(frame(spark, []))
     assert hits(stored.match(search.parse("a"))) == [] == stored.bm25(["a"]).collect()
+
+
+def test_blocks(spark, tmp_path):
+    """A term's postings lie in blocks, of which there are far fewer, and carry no digests where a doc has one unit; they are the same rows, places too, near 2^31 and below 0 as well."""
+    rows = [(i, f"common x{i % 7} common") for i in (*range(-300, 300), *range(2**31 - 50, 2**31 + 50))]
+    stored = index.write(frame(spark, rows), str(tmp_path))
+    blocks = spark.read.parquet(f"{tmp_path}/s0/postings")
+    assert blocks.filter("term = 'common'").count() < 60 and blocks.filter("units is not null or size(docs) > 64").count() == 0
+    want = sorted((i, t, p) for i, text in rows for t, p in (("common", [0, 2]), (text.split()[1], [1])))
+    assert sorted((r.doc, r.term, r.places) for r in stored.table("postings").collect()) == want
