@@ -169,3 +169,14 @@ def test_blocks(spark, tmp_path):
     assert blocks.filter("term = 'common'").count() < 60 and blocks.filter("units is not null or size(docs) > 64").count() == 0
     want = sorted((i, t, p) for i, text in rows for t, p in (("common", [0, 2]), (text.split()[1], [1])))
     assert sorted((r.doc, r.term, r.places) for r in stored.table("postings").collect()) == want
+
+
+def test_stem_counts(spark):
+    """Rows of one doc_id are one document, rows without are none; nothing but distinct words and stems is shuffled, no documents beside them."""
+    rows = [(1, "loves loved loving x1"), (1, "love"), (2, "Loved hates"), (None, "hated"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", T.tokens(F.col("text")).alias("words"))
+    found = search.stem_counts(docs)
+    assert {r.stem: (r.docs, r.terms) for r in found.collect()} == {"love": (2, 4), "hate": (1, 2)}
+    plan = search.stem_counts(docs.filter("doc_id <> 1"))
+    text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "simple")
+    assert [x for x in text.splitlines() if "Exchange" in x and "hashpartitioning" in x] and not any("doc_id" in x for x in text.splitlines() if "Exchange" in x)
