@@ -15,6 +15,8 @@ N = 3
 START, END = "\x02", "\x03"
 #: So many candidates are looked up by their keys; more are joined.
 FEW = 1000
+#: Sequences of a range.
+RANGE = 1 << 19
 
 
 def _sequences(text: Column) -> Column:
@@ -26,8 +28,10 @@ def write(rows: DataFrame, key: str, text: str, path: str) -> Grams:
     """The index of rows(key, text) under path; rows without key or text are left out, rows that share a key are texts of their own."""
     known = rows.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     known.repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{path}/texts")
-    each = known.select("key", F.explode(_sequences(F.col("text"))).alias("gram")).distinct()
-    each.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{path}/grams")
+    # dealt to ranges of about RANGE sequences before those of rows that share a key are made one: nearly all differ, and a part of a stored table, many texts in few bytes, would be one hash table
+    size = known.agg(F.coalesce(F.sum(F.char_length("text") + 1), F.lit(0))).first()[0]
+    ranged = known.select("key", F.explode(_sequences(F.col("text"))).alias("gram")).repartitionByRange(max(1, -(-size // RANGE)), "gram", "key")
+    ranged.distinct().sortWithinPartitions("gram", "key").write.parquet(f"{path}/grams")
     return Grams(rows.sparkSession, path)
 
 

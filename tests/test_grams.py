@@ -17,3 +17,11 @@ def test_find(spark, tmp_path, monkeypatch):
     plan = index.candidates("banana")
     text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
     assert "In(gram" in text and "/texts" not in text
+
+
+def test_ranges(spark, tmp_path, monkeypatch):
+    """How many ranges there are follows the letters of the texts, not the files that hold them; each is told apart by itself."""
+    monkeypatch.setattr(grams, "RANGE", 16)
+    index = grams.write(spark.createDataFrame([(i, f"name {i} of many") for i in range(20)] * 2, "id long, t string").coalesce(1), "id", "t", str(tmp_path))
+    assert len(spark.read.parquet(f"{tmp_path}/grams").inputFiles()) > 8
+    assert sorted(r.key for r in index.candidates("name 1").collect()) == [1, *range(10, 20)]
