@@ -8,6 +8,8 @@ run again after a failure writes the same folder anew, and readers take each lis
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nlargest
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +25,24 @@ _STATE = "address array<string>, at array<bigint>, tie array<bigint>"
 _LIST = "user_id bigint, salt int, address string, at bigint, tie bigint"
 
 
-def newest(rows: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """Each address's last visit, the `cap` most recent."""
-    return rows.sort_values(["at", "tie"], ascending=False, kind="stable").drop_duplicates("address").head(cap)
+def newest(visits: dict[str, tuple[int, int]], cap: int) -> dict[str, tuple[int, int]]:
+    """Of each address's last visit (at, tie), the `cap` most recent, the last first."""
+    return dict(nlargest(cap, visits.items(), key=itemgetter(1)))
 
 
 def lists(visits: DataFrame, cap: int = CAP, salts: int = SALTS) -> DataFrame:
     """A stream of changed lists from one of visits(user_id, address, at in microseconds, tie: an integer that orders visits of one time); rows without user are left out."""
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["address", "at", "tie"]
-        kept = pd.DataFrame(dict(zip(columns, state.get, strict=True))) if state.exists else pd.DataFrame({c: [] for c in columns})
+        kept = {a: (at, tie) for a, at, tie in zip(*state.get, strict=True)} if state.exists else {}
         for c in chunks:  # bounded parts of what has come for this reader
-            kept = newest(pd.concat([kept, c[columns]], ignore_index=True) if len(kept) else c[columns], cap)
-        state.update((kept["address"].tolist(), [int(x) for x in kept["at"]], [int(x) for x in kept["tie"]]))
-        yield kept.assign(user_id=key[0], salt=key[1])[["user_id", "salt", *columns]]
+            for a, *last in zip(c["address"].tolist(), c["at"].tolist(), c["tie"].tolist(), strict=True):
+                if a not in kept or kept[a] < tuple(last):
+                    kept[a] = tuple(last)
+            kept = newest(kept, cap)
+        addresses, ats, ties = list(kept), [int(at) for at, _ in kept.values()], [int(tie) for _, tie in kept.values()]
+        state.update((addresses, ats, ties))
+        yield pd.DataFrame({"user_id": key[0], "salt": key[1], "address": addresses, "at": ats, "tie": ties})
 
     salted = visits.filter(F.col("user_id").isNotNull() & F.col("address").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("tie"), F.lit(salts)).cast("int"))
     return salted.select("user_id", "salt", "address", "at", "tie").groupBy("user_id", "salt").applyInPandasWithState(update, _LIST, _STATE, "update", "NoTimeout")
