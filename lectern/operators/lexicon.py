@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Rows of a range of words.
+RANGE = 1 << 19
+
+
+def first_places(words: DataFrame) -> DataFrame:
+    """word, id and rank (the first place) of words(id, rank, word), sorted, so that a word's rows lie together. Rows are dealt to ranges of bounded size before they are made one, in one shuffle: nearly all differ, and a part of the texts would be one hash table."""
+    ranged = words.repartitionByRange(max(1, -(-words.count() // RANGE)), "word", "id")
+    return ranged.groupBy("word", "id").agg(F.min("rank").alias("rank")).sortWithinPartitions("word", "id")
+
+
 def ambiguous(english: DataFrame, words: DataFrame, least: int = 4, limit: int = 10) -> DataFrame:
     """Of words(word), those that stand for `least` entries or more, the richest first. Rows are dealt before they are counted, as nearly all differ: a part of a stored table, many rows in few bytes, would be one hash table. Only words with enough entries meet those asked for."""
     dealt = english.select("word", "id").repartition("word", "id")
@@ -15,8 +25,8 @@ def ambiguous(english: DataFrame, words: DataFrame, least: int = 4, limit: int =
 
 
 def top_entries(english: DataFrame, entry: DataFrame, k: int = 4) -> DataFrame:
-    """Each word's k best entries: those that lead with the sense, then those of the largest family, then by rank."""
-    rows = english.join(entry, "id")
+    """Each word's k best entries: those that lead with the sense, then those of the largest family, then by rank. Rows meet their entries in parts of bounded size, however many they are."""
+    rows = english.repartition(max(1, -(-english.count() // RANGE)), "id").join(entry, "id")
     w = W.partitionBy("word").orderBy((F.col("rank") <= 2).desc(), F.desc("refs"), "rank", "id")
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 

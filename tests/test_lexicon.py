@@ -75,3 +75,16 @@ def test_ambiguous(spark):
     plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple").split("== Initial Plan ==")[-1]
     steps = re.findall(r"HashAggregate\(keys=\[word#\d+, id#\d+L?\]|Exchange hashpartitioning\(word#\d+, id#\d+L?", plan)
     assert steps and steps[-1].startswith("Exchange")  # the plan's leaves come last
+
+
+def test_first_places(spark, monkeypatch):
+    """One shuffle, to ranges of a bounded number of rows, before which nothing is aggregated."""
+    monkeypatch.setattr(lexicon, "RANGE", 50)
+    rows = [(i % 20, k, f"w{(i * k) % 9}") for i in range(40) for k in range(10)]
+    found = lexicon.first_places(spark.createDataFrame(rows, "id long, rank int, word string"))
+    want = {}
+    for i, k, w in rows:
+        want[w, i] = min(k, want.get((w, i), k))
+    assert [tuple(r) for r in found.select("word", "id", "rank").collect()] == sorted((w, i, k) for (w, i), k in want.items())
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("HashAggregate")
