@@ -11,11 +11,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from pyspark.sql.window import Window as W
 
+from ..functions.dictionaries import pieces as pieces_of
+
 #: Paragraphs by the format's description: prose, poetry, lists, tables, headings in the text. Digits may follow.
 PARAGRAPH = r"^(?:p|m|po|pr|cls|pmo|pm|pmc|pmr|pi|mi|nb|pc|ph|b|q|qr|qc|qa|qm|qd|lh|li|lf|lim|tr|ms|mr|s|sr|r|d|sp|sd|cl|ip|ipi|im|imi|ipq|imq|ipr|iq|ib|ili|iot|io|is|iex)[1-9]?$"
 #: Notes and cross references, plain and extended.
@@ -26,27 +29,63 @@ SILENT = ["va", "vp", "cp", "ca", "rq", "fig"]
 DIVINE = ["H3068", "H3069"]
 
 _token = re.compile(r"(?P<mark>\\(?P<nests>\+?)(?P<name>[a-z]+[0-9]*)(?:(?P<ends>\*)|[ \t\n]|(?=\\)|$))|[^\\]+|\\")
+#: A marker within a text, and one of a verse.
+_mark = re.compile(r"(\\\+?[a-z]+[0-9]*(?:\*|[ \t\n]|(?=\\)|$))")
+_verse = re.compile(r"\\\+?v(?:[ \t\n]|(?=\\)|$)")
+RUN_STYLES = pa.list_(pa.string())
 RUN = StructType().add("styles", ArrayType(StringType())).add("text", StringType()).add("attrs", StringType()).add("note", IntegerType())
 
 
-def parsed(text: str) -> list[dict]:
-    """runs() of one line."""
-    open_, note, out = [], 0, []
-    for m in _token.finditer(text):
-        name = m["name"]
-        in_note = bool(open_) and open_[0] in NOTES
+class _Open(dict):
+    """The styles that are open, outermost first, and by each marker that may come next the styles then open, and whether it opens a note: worked out once."""
+
+    def __init__(self, styles: tuple[str, ...], known: dict[tuple[str, ...], _Open]):
+        self.styles, self.known, self.no, self.in_note = styles, known, len(known), bool(styles) and styles[0] in NOTES
+        known[styles] = self
+
+    def __missing__(self, mark: str) -> tuple[_Open, bool]:
+        m = _token.match(mark)
+        name, open_ = m["name"], list(self.styles)
         if m["ends"]:  # takes its style off, the innermost of that name, with what is nested in it; one that isn't open closes nothing
             if name in open_:
                 del open_[len(open_) - 1 - open_[::-1].index(name) :]
-        elif name:
+        else:
             if not m["nests"]:
-                open_ = open_[:1] if in_note and name not in NOTES else []
-            open_ = [*open_, name]
-            note += name in NOTES
-        elif m.group() != "\\":
-            body, bar, attrs = m.group().partition("|") if open_ else (m.group(), "", "")
-            out.append({"styles": list(open_), "text": body, "attrs": attrs if bar else None, "note": note if in_note else None})
-    return out
+                open_ = open_[:1] if self.in_note and name not in NOTES else []
+            open_.append(name)
+        then = tuple(open_)
+        found = self.known.get(then)
+        self[mark] = out = (_Open(then, self.known) if found is None else found, not m["ends"] and name in NOTES)
+        return out
+
+
+def parsed(texts: pa.Array) -> pa.Array:
+    """runs() of some lines, column by column."""
+    known: dict[tuple[str, ...], _Open] = {}
+    none = _Open((), known)
+    offsets, at, bodies, attributes, numbers = [0], [], [], [], []
+    for text in texts.to_pylist():
+        now, note, parts = none, 0, _mark.split(text or "")
+        for mark, piece in zip([None, *parts[1::2]], parts[::2], strict=True):
+            if mark is not None:
+                now, opens = now[mark]
+                note += opens
+            if not piece:
+                continue
+            for body in piece.split("\\") if "\\" in piece else (piece,):  # a backslash that begins no marker is none, and parts the text
+                if not body:
+                    continue
+                attrs = None
+                if now.styles and "|" in body:
+                    body, _, attrs = body.partition("|")  # noqa: PLW2901
+                at.append(now.no)
+                bodies.append(body)
+                attributes.append(attrs)
+                numbers.append(note if now.in_note else None)
+        offsets.append(len(bodies))
+    styles = pa.array([list(k) for k in known], RUN_STYLES).take(pa.array(at, pa.int32()))
+    runs = pa.StructArray.from_arrays([styles, pa.array(bodies, pa.string()), pa.array(attributes, pa.string()), pa.array(numbers, pa.int32())], names=["styles", "text", "attrs", "note"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs, mask=texts.is_null())
 
 
 def marker(line: str) -> dict:
@@ -62,7 +101,7 @@ def opened(lines: pd.Series) -> pd.DataFrame:
 
 def cut_at_verses(text: str) -> list[dict]:
     """The text before the first verse marker, without label, and each verse with the label that follows its marker."""
-    begins = [m for m in _token.finditer(text) if m["name"] == "v" and not m["ends"]]
+    begins = list(_verse.finditer(text))
     before = text[: begins[0].start()] if begins else text
     out = [{"label": None, "text": before}] if before or not begins else []
     stops = [m.start() for m in begins[1:]] + [len(text)]
@@ -73,31 +112,32 @@ def cut_at_verses(text: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType().add("label", StringType()).add("text", StringType())))
-def at_verses(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(cut_at_verses, na_action="ignore")
+@F.arrow_udf(ArrayType(StructType().add("label", StringType()).add("text", StringType())))
+def at_verses(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("label", pa.string()), ("text", pa.string())]))
+    for s in pieces_of(texts):
+        yield pa.array([None if t is None else cut_at_verses(t) for t in s.to_pylist()], kind)
 
 
-@F.pandas_udf(ArrayType(RUN))
-def runs(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(RUN))
+def runs(lines: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Inline content as an array of RUN: the styles that a piece of text stands in, outermost first, the text, its attributes, and the number of the note that it
     belongs to (from 1 on), if any."""
-    for s in lines:
-        yield s.map(parsed, na_action="ignore")
+    for s in pieces_of(lines):
+        yield parsed(s)
 
 
 def marked(runs: Column, divine: list[str] = DIVINE) -> Column:
     """runs, where a word in capitals with one of the numbers of the divine name has the style `nd` as well."""
     number = lambda r: F.regexp_extract(F.coalesce(r["attrs"], F.lit("")), r'strong="([^"]*)"', 1)
-    is_name = lambda r: number(r).isin(divine) & r["text"].rlike(r"^\p{Lu}{2,}\b")
+    is_name = lambda r: r["attrs"].contains("strong=") & number(r).isin(divine) & r["text"].rlike(r"^\p{Lu}{2,}\b")
     return F.transform(runs, lambda r: F.struct(F.when(is_name(r) & ~F.array_contains(r["styles"], "nd"), F.concat(r["styles"], F.array(F.lit("nd")))).otherwise(r["styles"]).alias("styles"), r["text"].alias("text"), r["attrs"].alias("attrs"), r["note"].alias("note")))
 
 
 def visible(runs: Column) -> Column:
     """The text of runs without notes and numbers that are no text, its white space collapsed."""
     silent = F.array(*[F.lit(s) for s in SILENT])
-    kept = F.filter(runs, lambda r: r["note"].isNull() & ~F.arrays_overlap(r["styles"], silent))
+    kept = F.filter(runs, lambda r: r["note"].isNull() & ((F.size(r["styles"]) == 0) | ~F.arrays_overlap(r["styles"], silent)))
     return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda r: r["text"]), ""), r"\s+", " "))
 
 
