@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,14 +126,35 @@ def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield b.slice(lo, PIECE)
 
 
+def put(text: str, own: dict[str, str]) -> str:
+    """text with words replaced by own(received, corrected). Text is cut at blanks, and what each distinct piece becomes is worked out once; only those that aren't a word are cut further."""
+
+    def form(part: str) -> str:
+        new = own.get(part.lower())
+        return part if new is None else cased(part, new)
+
+    pieces = text.split(" ")
+    forms = {p: form(p) if p.isalpha() else "".join(map(form, _parts.findall(p))) for p in set(pieces)}
+    return " ".join([forms[p] for p in pieces])
+
+
+@F.arrow_udf(StringType())
+def _put(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, entries in rows:
+        for lo in range(0, max(1, len(texts)), PIECE):
+            own = entries.slice(lo, PIECE)
+            received, corrected = (c.to_pylist() for c in own.flatten().flatten())  # columns, as an object for each entry takes longer than all else
+            out, at = [], 0
+            for t, n in zip(texts.slice(lo, PIECE).to_pylist(), pc.list_value_length(own).to_pylist(), strict=True):
+                out.append(put(t, dict(zip(received[at : at + n], corrected[at : at + n], strict=True))) if n else t)
+                at += n or 0
+            yield pa.array(out, pa.string())
+
+
 def by_join(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """texts with words replaced by dictionary(received: one lower-case word, corrected), of any size: each text's distinct words meet the dictionary by a join, and its few hits come back to it. Rows are told apart by key and text."""
-    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), 0)
+    """texts with words replaced by dictionary(received: one lower-case word, corrected), of any size: each text's distinct words meet the dictionary by a join, and its few hits come back to it, where a word finds its own by hash. Rows are told apart by key and text; equal ones have their hits once."""
     rows = texts.withColumn("__key", F.xxhash64(key, text))
-    words = rows.select("__key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0))).alias("received")).distinct()
+    words = rows.select("__key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), 0))).alias("received"))
     hits = words.join(dictionary.groupBy("received").agg(F.max("corrected").alias("corrected")), "received")
-    own = hits.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("received", "corrected"))).alias("__map"))
-    like = lambda w, new: F.when((F.upper(w) == w) & (F.char_length(w) > 1), F.upper(new)).when(F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.char_length(new)))).otherwise(new)
-    one = lambda w: F.coalesce(like(w, F.try_element_at("__map", F.lower(w))), w)
-    joined = rows.join(own, "__key", "left")
-    return joined.withColumn(text, F.when(F.col("__map").isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, one), ""))).drop("__key", "__map")
+    own = hits.groupBy("__key").agg(F.collect_set(F.struct("received", "corrected")).alias("__own"))
+    return rows.join(own, "__key", "left").withColumn(text, _put(F.col(text), F.col("__own"))).drop("__key", "__own")

@@ -58,6 +58,25 @@ def test_read_and_join(spark):
     assert want[0] == (1, "There TIMES there")
 
 
+def test_join_time(spark):
+    """A text of many words that the dictionary has: each word finds its own without going through all of them."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}")
+    table = spark.range(20_000).select(F.translate(F.lpad(F.col("id").cast("string"), 5, "0"), "0123456789", "abcdefghij").alias("received")).withColumn("corrected", F.reverse("received"))
+    words = [name(i) for i in range(20_000)]
+    texts = spark.createDataFrame([(k, " ".join(words[k:])) for k in range(2)], "id long, t string")
+    began = time.perf_counter()
+    got = {r.id: r.t for r in dictionaries.by_join(texts, "id", "t", table).collect()}
+    assert got == {k: " ".join(w[::-1] for w in words[k:]) for k in range(2)}
+    assert time.perf_counter() - began < 15
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abAB é.1\u0130ß", max_size=20))
+def test_put(text):
+    own = {"a": "xy", "ab": "é", "é": "", "ß": "ss", "b": None}
+    assert dictionaries.put(text, own) == Dictionary(own.items()).replacer()(text)
+
+
 def test_limit(monkeypatch):
     monkeypatch.setattr(dictionaries, "LIMIT", 100)
     with pytest.raises(ValueError, match="join"):
