@@ -161,6 +161,18 @@ def test_rendered(text, seen):
     assert wikitext.rendered(text, SHOWN) == seen
 
 
+@pytest.mark.parametrize("text, seen", [("[[[a|b]]]", "b]"), ("{{{sc|q}}}", "}"), ("[[x|]]{", "{"), ("{[[]]{", "{{"), ("{{sc|[[a|b=c]]}}", ""), ("{{sc|{{x}}}}y", "y"), ("{{none|=v}}", "v"), ("{{sc|a|b", "{{sc|a|b"), ("{{sc [[|a]]|r}}", "")])
+def test_rendered_marks(text, seen):
+    """Marks that run together, and what a closed one leaves, which is no mark again."""
+    assert wikitext.rendered(text, SHOWN) == seen
+
+
+def test_whole_marks():
+    """A link or template without any in it, and a template's beginning, is a single mark, so that a text has fewer steps."""
+    assert wikitext._mark.split("[[to|a]] {{sc|{{x}}}}")[1::2] == ["[[to|a]]", "{{sc|", "{{x}}", "}}"]
+    assert wikitext.in_columns([None, [], wikitext.chapter("1. [[a]]<ref>''n''</ref>", SHOWN)]).to_pylist() == [None, [], [{"verse": 1, "text": "a", "notes": ["n"]}]]
+
+
 def test_in_books(spark):
     """Chapters looked up in their works' books: first and last ones, gaps, before the first and behind the last, a work without books, null works, and one work with most rows."""
     books = [("w", 1, 3, "a"), ("w", 4, 2, "b"), ("w", 10, 1, "c"), ("v", 2, 5, "d")]
