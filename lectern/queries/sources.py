@@ -115,6 +115,5 @@ def volume(spark, d):
     found = volumes.cut(raw)
     titles = spark.createDataFrame([("WORK", "the work")], "key string, name string")
     verses = volumes.verses(volumes.in_works(found, volumes.works(found, titles)))
-    called = volumes.callers(verses, volumes.footnotes(found)).select("file", "chapter", "verse", F.col("text").alias("note"))
-    rows = verses.join(called, ["file", "chapter", "verse"])
-    return rows.select(F.concat(F.lit("B"), F.col("file")).alias("name"), "chapter", F.col("verse").cast("long").alias("verse"), F.md5(F.regexp_replace("text", " +", " ").cast("binary")).alias("m"), F.md5(F.col("note").cast("binary")).alias("note"))
+    rows = volumes.callers(verses, volumes.footnotes(found), beside="body")
+    return rows.select(F.concat(F.lit("B"), F.col("file")).alias("name"), "chapter", F.col("verse").cast("long").alias("verse"), F.md5(F.regexp_replace("body", " +", " ").cast("binary")).alias("m"), F.md5(F.col("text").cast("binary")).alias("note"))

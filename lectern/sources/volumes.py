@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import unroman
+from ..plans.sizes import broadcast_if_small
 
+#: Bytes of a row of titles.
+TITLE_BYTES = 512
 CHAPTER = r"^CHAP(?:TER|\.)\s+([IVXLCivxlc]+)\.?"
 
 
@@ -33,17 +36,21 @@ def repair_numeral(s: Column) -> Column:
 
 def works(lines: DataFrame, titles: DataFrame, after: int = 0) -> DataFrame:
     """(file, name, begin, stop): each work of titles(key, name) runs from its title line (the first beyond line `after`, past the contents) to the next work's."""
-    found = lines.filter(F.col("ord") > after).join(titles, F.trim("line") == F.col("key")).groupBy("file", "name").agg(F.min("ord").alias("begin"))
-    last = lines.groupBy(F.col("file").alias("f2")).agg((F.max("ord") + 1).alias("size"))
-    return found.join(last, F.col("file") == F.col("f2")).select("file", "name", "begin", F.lead("begin").over(W.partitionBy("file").orderBy("begin")).alias("next"), "size").select("file", "name", "begin", F.coalesce("next", "size").alias("stop"))
+    marked = lines.join(broadcast_if_small(titles.select("key", "name"), TITLE_BYTES), F.trim("line") == F.col("key"), "left")  # most lines are no title, and so share a few keys or none
+    found = marked.groupBy("file", "name").agg(F.min(F.when((F.col("ord") > after) & F.col("key").isNotNull(), F.col("ord"))).alias("begin"), (F.max("ord") + 1).alias("size"))
+    sized = found.withColumn("size", F.max("size").over(W.partitionBy("file"))).filter("begin is not null")
+    return sized.select("file", "name", "begin", F.coalesce(F.lead("begin").over(W.partitionBy("file").orderBy("begin")), F.col("size")).alias("stop"))
 
 
 def in_works(lines: DataFrame, works: DataFrame) -> DataFrame:
     """lines with the work that they stand in, by carrying its title line forward; title lines go."""
-    marks = works.select(F.col("file").alias("__f"), F.col("begin").alias("__o"), F.col("name").alias("__n"))
-    w = W.partitionBy("file").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    marked = lines.join(marks, (F.col("file") == F.col("__f")) & (F.col("ord") == F.col("__o")), "left")
-    return marked.withColumn("name", F.last("__n", ignorenulls=True).over(w)).filter(F.col("__n").isNull() & F.col("name").isNotNull()).select("file", "name", "ord", "line")
+    own = lines.select("file", "ord", "line", F.lit(None).alias("name"), F.lit(1).alias("__k"))
+    marks = works.filter("name is not null").select("file", F.col("begin").alias("ord"), F.lit(None).alias("line"), "name", F.lit(0).alias("__k"))
+    # a mark goes before its line, in one shuffle by file, in which what follows stays
+    w = W.partitionBy("file").orderBy("ord", "__k").rowsBetween(W.unboundedPreceding, 0)
+    carried = F.last(F.when(F.col("__k") == 0, F.struct("name", "ord")), ignorenulls=True).over(w)
+    placed = own.unionByName(marks).withColumn("__in", carried).filter((F.col("__k") == 1) & (F.col("__in.ord") < F.col("ord")))
+    return placed.select("file", F.col("__in.name").alias("name"), "ord", "line").filter("name is not null")
 
 
 def footnotes(lines: DataFrame) -> DataFrame:
@@ -87,10 +94,11 @@ def without(lines: DataFrame, opens: str, closes: str) -> DataFrame:
     return lines.withColumn("__in", F.coalesce(state, F.lit(False))).filter(~F.col("__in")).drop("__in")
 
 
-def callers(verses: DataFrame, footnotes: DataFrame) -> DataFrame:
-    """(file, name, chapter, verse, no, text): notes joined to the verses that call them."""
-    calls = verses.select("file", "name", "chapter", "verse", F.explode(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), 1)).alias("no")).withColumn("no", F.col("no").cast("int"))
-    return calls.join(footnotes, ["file", "no"]).select("file", "name", "chapter", "verse", "no", "text")
+def callers(verses: DataFrame, footnotes: DataFrame, beside: str | None = None) -> DataFrame:
+    """(file, name, chapter, verse, no, text): notes joined to the verses that call them, with the verse's own text in a column `beside` if it is named."""
+    own = [F.col("text").alias(beside)] if beside else []
+    calls = verses.select("file", "name", "chapter", "verse", *own, F.explode(F.regexp_extract_all("text", F.lit(r"\[(\d+)\]"), 1)).alias("no")).withColumn("no", F.col("no").cast("int"))
+    return calls.join(footnotes, ["file", "no"]).select("file", "name", "chapter", "verse", "no", "text", *([beside] if beside else []))
 
 
 def repaired(lines: DataFrame, furniture: list[str], plates: list[str]) -> DataFrame:

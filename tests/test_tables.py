@@ -134,6 +134,22 @@ def test_volume(spark, tmp_path):
     assert [(r.verse, r.no, r.text) for r in volumes.callers(v, volumes.footnotes(lines)).collect()] == [("1", 1, "A note of two lines.")]
 
 
+def test_volume_marks(spark):
+    """Title lines are carried forward in one shuffle, without a join on lines; files without works, works behind one another, and a null name."""
+    text = {"a": ["x", "T", "1", "U", "V", "2"], "b": ["no title", "1"], "c": ["T", "", "T"]}
+    lines = spark.createDataFrame([(f, k, t) for f, ts in text.items() for k, t in enumerate(ts)], "file string, ord int, line string")
+    titles = spark.createDataFrame([("T", "t"), ("U", "u"), ("V", "v"), ("none", None)], "key string, name string")
+    spans = volumes.works(lines, titles)
+    assert sorted(map(tuple, spans.collect())) == [("a", "t", 1, 3), ("a", "u", 3, 4), ("a", "v", 4, 6), ("c", "t", 2, 3)]
+    known = spark.createDataFrame([*spans.collect(), ("a", None, 2, 3)], spans.schema)
+    placed = volumes.in_works(lines, known)
+    assert sorted((r.file, r.name, r.ord, r.line) for r in placed.collect()) == [("a", "t", 2, "1"), ("a", "v", 5, "2")]
+    assert "Join" not in placed._jdf.queryExecution().executedPlan().toString()
+    verses = spark.createDataFrame([("a", "t", 1, "1", "see [2] and [3]")], "file string, name string, chapter int, verse string, text string")
+    notes = spark.createDataFrame([("a", 2, "two"), ("b", 3, "three")], "file string, no int, text string")
+    assert [tuple(r) for r in volumes.callers(verses, notes, beside="body").collect()] == [("a", "t", 1, "1", 2, "two", "see [2] and [3]")]
+
+
 SHOWN = {"anchor+": "2", "sc": "1", "small-caps": "1"}
 
 
