@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.dictionaries import pieces
+from ..plans.storage import materialize
+
+_word = re.compile("[a-z]{3,}")
 
 #: Rows of a range of words.
 RANGE = 1 << 19
@@ -32,36 +41,50 @@ def top_entries(english: DataFrame, entry: DataFrame, k: int = 4) -> DataFrame:
 
 
 def facts(english: DataFrame, entry: DataFrame, k: int = 4) -> DataFrame:
-    """word, n (its entries) and top (the ids of its k best, the best first), a row for each word: what notes on a chapter need of it."""
-    n = english.groupBy("word").agg(F.count_distinct("id").alias("n"))
+    """word, n (its entries) and top (the ids of its k best, the best first), a row for each word: what notes on a chapter need of it. english has a word of an entry once, as first_places() gives it, so its rows are counted where they lie."""
+    n = english.groupBy("word").agg(F.count("id").alias("n"))
     best = top_entries(english, entry, k).groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda x: x["id"]).alias("top"))
     return n.join(best, "word").select("word", "n", "top")
 
 
-def chapter_notes(facts: DataFrame, chapters: DataFrame, skip: list[str], least: int = 4, limit: int = 10, common: int = 1024) -> DataFrame:
+def chapter_notes(facts: DataFrame, chapters: DataFrame, skip: list[str], least: int = 4, limit: int = 10, common: int = 8192) -> DataFrame:
     """id, word, n, top and at for the notes of each of chapters(id, text): of its words (a-z, three letters and more) those that stand for `least` entries or more, the `limit` richest; at is where the first whole word stands, from 1 on.
 
-    The richest words of all, `common` of them, meet a chapter's words in its row. Whatever ranks above the last of them is among them, so a chapter that has `limit` of these is done; only the others' words are exploded and joined.
-    A chapter's key is a hash of id and text beside it: equal rows are noted once.
+    The richest words of all, `common` of them, go to the workers. Whatever ranks above the last of them is among them, so a chapter that has `limit` of these is done; only the others' words are exploded and joined.
+    A text is cut into words once, which gives their places too. A chapter's key is a hash of id and text beside it: equal rows are noted once. What was noted of each chapter is stored, as both parts read it.
     """
     known = facts.filter((F.col("n") >= max(2, least)) & ~F.col("word").isin(*skip)) if skip else facts.filter(F.col("n") >= max(2, least))
     rich = known.orderBy(F.desc("n"), "word").limit(common)
-    listed = rich.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))), lambda x: x["word"]).alias("rich"))  # one row, of `common` words at most
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))
-    rows = chapters.select("id", "text", F.xxhash64("id", "text").alias("__key"), words.alias("words"))
-    met = rows.join(F.broadcast(listed)).withColumn("own", F.slice(F.array_intersect("rich", "words"), 1, limit))  # in the order of rich
-    place = lambda w: F.regexp_instr(F.lower("text"), F.concat(F.lit("(?<![a-z])"), w, F.lit("(?![a-z])")))
-    placed = lambda d: d.select("id", "__key", F.explode(F.transform("own", lambda w: F.struct(w.alias("word"), place(w).alias("at")))).alias("e")).select("id", "__key", "e.word", "e.at")
-    done = F.size("own") >= limit
-    full = placed(met.filter(done)).join(F.broadcast(rich), "word")
-    # few chapters: each word of theirs once
-    short = met.filter(~done).select("id", "__key", F.explode("words").alias("word")).distinct().join(known, "word")
+    ranked = [r["word"] for r in rich.select("word").collect()]  # `common` words at most
+    seen = chapters.select("id", F.xxhash64("id", "text").alias("__key"), _noted(ranked, limit)(F.lower("text")).alias("s")).dropDuplicates(["id", "__key"])
+    noted = materialize(seen.select("id", "__key", "s.done", "s.words"), "noted")
+    each = lambda done: noted.filter(F.col("done") == done).select("id", "__key", F.explode("words").alias("e")).select("id", "__key", "e.word", "e.at")
+    full = each(True).join(F.broadcast(rich), "word")
     w = W.partitionBy("__key").orderBy(F.desc("n"), "word")
-    best = short.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
-    own = best.groupBy("__key").agg(F.collect_list("word").alias("own"))
-    rest = placed(met.filter(~done).drop("own").join(own, "__key")).join(best.select("__key", "word", "n", "top"), ["__key", "word"])
+    rest = each(False).join(known, "word").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)  # few chapters
     columns = ["id", "word", "n", "top", "at"]
-    return full.distinct().select(*columns).unionByName(rest.distinct().select(*columns))
+    return full.select(*columns).unionByName(rest.select(*columns))
+
+
+def _noted(ranked: list[str], limit: int) -> Callable[[Column], Column]:
+    """A function over lower-case texts: done and words(word, at), the `limit` words of a text that stand first in `ranked`, or all its distinct words if it has fewer of these; at is where a word first stands, from 1 on."""
+    kind = pa.list_(pa.struct([("word", pa.string()), ("at", pa.int32())]))
+    rank = {w: k for k, w in enumerate(ranked)}
+
+    @F.arrow_udf("done boolean, words array<struct<word string, at int>>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for piece in pieces(texts):
+            done, words = [], []
+            for t in piece.to_pylist():
+                first: dict[str, int] = {}
+                for m in _word.finditer(t or ""):
+                    first.setdefault(m[0], m.start() + 1)
+                own = nsmallest(limit, [rank[w] for w in first if w in rank])
+                done.append(len(own) >= limit)
+                words.append([(ranked[k], first[ranked[k]]) for k in own] if done[-1] else list(first.items()))
+            yield pa.StructArray.from_arrays([pa.array(done, pa.bool_()), pa.array(words, kind)], names=["done", "words"])
+
+    return run
 
 
 def by_word(entry: DataFrame, t: str, limit: int = 40) -> DataFrame:

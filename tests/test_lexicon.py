@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from lectern.operators import lexicon
+from lectern.plans.storage import materialize
 
 CHAPTERS = [(1, "The Lord loves; the lord's love. beloved love"), (1, "The Lord loves; the lord's love. beloved love"), (2, None), (3, ""), (4, "zebra lord"), (5, "Unloved, élove love2 LOVE"), (None, "lord"), (6, "king house lord love hand word zebra")]
 ENTRIES = {"love": 5, "lord": 4, "king": 6, "house": 6, "hand": 3, "word": 9, "the": 50, "zebra": 2}
@@ -30,6 +31,20 @@ def test_chapter_notes(spark):
     assert lexicon.chapter_notes(facts, chapters.limit(0), []).count() == 0 == lexicon.chapter_notes(facts.limit(0), chapters, []).count()
 
 
+def test_chapter_notes_read_once(spark, monkeypatch):
+    """Chapters are read and cut into words once, places beyond U+FFFF are counted in characters, and a word's entries are counted where they lie."""
+    english = spark.createDataFrame([("lord", k, 0) for k in range(4)] + [("king", k, 0) for k in range(5)], "word string, id long, rank int")
+    facts = lexicon.facts(english, english.select("id", F.lit(1).alias("refs")).distinct())
+    stored = []
+    monkeypatch.setattr(lexicon, "materialize", lambda d, name: stored.append(d) or materialize(d, name))
+    chapters = spark.createDataFrame([(1, "\U0001d400 Lords, lord and KING"), (1, "\U0001d400 Lords, lord and KING"), (2, "king"), (3, None)], "id long, text string")
+    for common in (1, 2):
+        notes = lexicon.chapter_notes(facts, chapters, [], 4, 1, common)
+        assert sorted((r.id, r.word, r.n, r["at"]) for r in notes.collect()) == [(1, "king", 5, 19), (2, "king", 5, 1)]
+    assert [r["at"] for r in lexicon.chapter_notes(facts, chapters, ["king"], 4, 2, 1).collect()] == [10]
+    assert len(stored) == 3 and "text#" not in notes._jdf.queryExecution().executedPlan().toString()
+
+
 ASKED = ["D 1", "d1", " the", "the", "THE ", "th", "lord", "", " ", None, "zz", "x" * 3000]
 
 
