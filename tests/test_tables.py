@@ -189,6 +189,13 @@ def test_whole_marks():
     assert wikitext.in_columns([None, [], wikitext.chapter("1. [[a]]<ref>''n''</ref>", SHOWN)]).to_pylist() == [None, [], [{"verse": 1, "text": "a", "notes": ["n"]}]]
 
 
+def test_last_verse_of_nothing():
+    """A number alone in the last line is a verse; one that ends a line stays in its text."""
+    verses = lambda text: [(v["verse"], v["text"]) for v in wikitext.chapter(text, SHOWN)]
+    assert verses("1. a\n2.\n3. \n==Footnotes== x") == [(1, "a"), (2, ""), (3, "")] and verses("{{header}}\n1. ") == [(1, "")] and verses("1. a\n3.") == [(1, "a 3.")]
+    assert verses("1. in the year 2. \n==Footnotes== x") == [(1, "in the year 2.")]
+
+
 def test_in_books(spark):
     """Chapters looked up in their works' books: first and last ones, gaps, before the first and behind the last, a work without books, null works, and one work with most rows."""
     books = [("w", 1, 3, "a"), ("w", 4, 2, "b"), ("w", 10, 1, "c"), ("v", 2, 5, "d")]
