@@ -1,5 +1,6 @@
 import pytest
 from compare import TABLES, database, same
+from pyspark.sql import functions as F
 
 from lectern.queries import QUERIES, SQL
 
@@ -59,3 +60,16 @@ def odd(spark, small, tmp_path_factory):
 @pytest.mark.parametrize("name", ["h24_respell", "n1_dictionary_join", "n1_dictionary_replace", "n1_dictionary_table", "n4_phrase_table", "s24_wikitext"])
 def test_odd_texts(spark, odd, name):
     same(QUERIES[name](spark, odd).toPandas(), database(odd).sql(SQL[name]).df())
+
+
+def test_concordance_has_all_sources(spark, small, tmp_path):
+    """Sixty sources and none, ties among them: every one has its row and rank."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.withColumn("source", F.when(F.col("doc_id") % 61 > 0, F.concat(F.lit("s"), F.col("doc_id") % 61))).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in set(TABLES) - {"documents"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    hits = docs.filter(F.array_contains(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "the"))
+    sources = hits.select(F.col("doc_id") % 61).distinct().count()
+    got = QUERIES["a2_concordance"](spark, str(tmp_path)).toPandas()
+    assert len(got) == sources > 25
+    same(got, database(tmp_path).sql(SQL["a2_concordance"]).df())
