@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -94,7 +94,7 @@ class Clauses:
     subjects: frozenset[str] = frozenset()
     most: int = 32
     least: int = 7
-    rounds: int = field(default=40)
+    rounds: int | None = None
     adversatives: frozenset[str] = frozenset()
     subordinators: frozenset[str] = frozenset()
     determiners: frozenset[str] = frozenset()
@@ -126,19 +126,19 @@ class Clauses:
         return best and -best[2]
 
     def shortened(self, text: str | None) -> str | None:
-        """Sentences are cut while they can be, `rounds` times in a text at most; marks and capitals change, words and line breaks don't."""
+        """Sentences are cut while they can be (with `rounds`, so many times in a text at most); marks and capitals change, words and line breaks don't."""
         if not text or len(text.split()) <= self.most:
             return text
-        out, rounds = [], self.rounds
+        out, cuts, rounds = [], 0, self.rounds
         for sentence in re.split(r"((?<=[.!?])\s+)", text):
             todo = [sentence]
             while todo:
                 now = todo.pop()
-                at = self.cut(now) if rounds else None
+                at = self.cut(now) if rounds is None or cuts < rounds else None
                 if at is None:
                     out.append(now)
                     continue
-                rounds -= 1
+                cuts += 1
                 words = list(re.finditer(r"\S+", now))
                 left, gap, right = now[: words[at - 1].end() - 1], now[words[at - 1].end() : words[at].start()], now[words[at].start() :]
                 todo += [right[:1].upper() + right[1:], gap, left + "."]

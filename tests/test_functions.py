@@ -132,3 +132,11 @@ def test_long_sentences(spark):
 @given(st.lists(st.sampled_from(["he", "and", "they", "noon,", "hill;", "but", "it", "the", "law,"]), max_size=90))
 def test_shortening_by_brute_force(words):
     assert CLAUSES.shortened(" ".join(words)) == " ".join(brute_shortened(" ".join(words), CLAUSES))
+
+
+def test_whole_texts_are_shortened():
+    """As many cuts as there are places for, in one sentence and in many."""
+    c = modernize.Clauses(frozenset(["and"]), frozenset(["they"]), most=12, least=3)
+    assert all(len(x.split()) <= 12 for x in c.shortened("one two three four; " * 100 + "end of it all.").split(". "))
+    many = " ".join(["They went up to the city in the morning, and they took the gate."] * 100)
+    assert c.shortened(many) == " ".join(["They went up to the city in the morning. And they took the gate."] * 100)
