@@ -55,16 +55,20 @@ def rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
 def relative(text: Column, heads: list[str], link: str, to: str, subjects: list[str]) -> Column:
     """`link` becomes `to` where it opens a relative clause: right after one of heads, and before a lower-case word that is none of subjects, as a subject
     would make it a clause of its own. All lists are in lower case."""
-    parts = F.regexp_extract_all(text, F.lit(PARTS), 0)
-    at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
-    blank = lambda i: at(i).rlike(r"^\s+$")
 
-    def one(w: Column, i: Column) -> Column:
-        after = at(i + 2)
-        opens = (F.lower(w) == link) & F.lower(at(i - 2)).isin(heads) & blank(i - 1) & blank(i + 1) & after.rlike(r"^\p{Ll}") & ~F.lower(after).isin(subjects)
-        return F.when(opens, cased(w, F.lit(to))).otherwise(w)
+    def whole(parts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        blank = lambda i: at(i).rlike(r"^\s+$")
 
-    return F.array_join(F.transform(parts, one), "")
+        def one(w: Column, i: Column) -> Column:
+            after = at(i + 2)
+            opens = (F.lower(w) == link) & F.lower(at(i - 2)).isin(heads) & blank(i - 1) & blank(i + 1) & after.rlike(r"^\p{Ll}") & ~F.lower(after).isin(subjects)
+            return F.when(opens, cased(w, F.lit(to))).otherwise(w)
+
+        return F.array_join(F.transform(parts, one), "")
+
+    # as a function's argument a text's parts are made once, and not again for each of them
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(PARTS), 0)), whole), F.lit(0))
 
 
 def modernized(text: Column, phrases: list[tuple[str, str]], words: Words) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -140,3 +142,10 @@ def test_whole_texts_are_shortened():
     assert all(len(x.split()) <= 12 for x in c.shortened("one two three four; " * 100 + "end of it all.").split(". "))
     many = " ".join(["They went up to the city in the morning, and they took the gate."] * 100)
     assert c.shortened(many) == " ".join(["They went up to the city in the morning. And they took the gate."] * 100)
+
+
+def test_relative_in_long_texts(spark):
+    """Time in proportion to the text: its parts are made once."""
+    began = time.perf_counter()
+    got = one(spark, modernize.relative(F.col("t"), ["of"], "the", "which", ["a"]), t="of the cat The a " * 8000)
+    assert got == "of which cat The a " * 8000 and time.perf_counter() - began < 20

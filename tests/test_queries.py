@@ -57,7 +57,7 @@ def odd(spark, small, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["h24_respell", "n1_dictionary_join", "n1_dictionary_replace", "n1_dictionary_table", "n4_phrase_table", "s24_wikitext"])
+@pytest.mark.parametrize("name", ["h24_respell", "n1_dictionary_join", "n1_dictionary_replace", "n1_dictionary_table", "n4_phrase_table", "s24_wikitext", "n6_relative"])
 def test_odd_texts(spark, odd, name):
     same(QUERIES[name](spark, odd).toPandas(), database(odd).sql(SQL[name]).df())
 
